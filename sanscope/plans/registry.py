@@ -32,4 +32,4 @@ def load_all() -> None:
         importlib.import_module(f"sanscope.plans.{m}")
 
 
-MODULES = ("q_certs",)
+MODULES = ("q_certs", "q_db")
