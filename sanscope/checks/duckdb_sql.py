@@ -95,6 +95,21 @@ union all select page_id, root, case when zone = '.bo' then '.ia.bo' else '.bo'
     "whois_details": ((), r"""
 select s_suppkey as page_id, 'https://nic.bo/revisar_contacto.php?id=' || cast(s_suppkey as varchar) as url,
   '<table><tr><td>Titular :</td><td>' || s_name || '</td></tr><tr><th>Contacto</th></tr><tr><td>Ciudad:</td><td>La Paz</td></tr><tr><td>Ciudad:</td><td>Oruro</td></tr></table>' as html from supplier"""),
+    "crtsh_targets": ((), r"""
+select s_suppkey as target_seq, case when s_suppkey % 13 = 0 then '  ' when s_suppkey % 5 = 0 then ' ' || b || ' ' else b end as target
+from (select s_suppkey, ['example.com','acme.com.bo','umsa.edu.bo','www.acme.com','google.co.uk','shop.example.com','localhost'][cast(s_suppkey % 7 as int) + 1] as b
+  from supplier) z"""),
+    "whois_targets": ((), r"""
+select s_suppkey as target_seq, case when s_suppkey % 3 = 0 then 'nada' || cast(s_suppkey as varchar) || '.bo'
+  else 'root' || cast(s_suppkey as varchar) || '.com.bo' end as target from supplier"""),
+    "record_type_inputs": (("dig_output_types",), r"""
+select target_seq, case target_seq % 4 when 0 then lower(record_type) when 1 then ' ' || record_type || ' '
+  when 2 then record_type || 'X' else record_type end as record_type from dig_output_types"""),
+    "link_hrefs": (("targets",), r"""
+select target_seq, case target_seq % 6 when 0 then 'revisar_contacto.php?id=' || cast(target_seq as varchar)
+  when 1 then '/revisar_contacto.php?id=' || cast(target_seq as varchar) when 2 then '//nic.bo/revisar_contacto.php?id=' || cast(target_seq as varchar)
+  when 3 then 'https://other.bo/revisar_contacto.php?id=' || cast(target_seq as varchar) when 4 then '../revisar_contacto.php?id=' || cast(target_seq as varchar)
+  else '?id=' || cast(target_seq as varchar) end as href from targets"""),
 }
 
 # Expression snippets (``{x}`` is the input expression)
@@ -148,3 +163,44 @@ def with_fixtures(body: str, *names: str) -> str:
         return body
     ctes = ",\n".join(f"{n} as ({FIXTURES[n][1].strip()})" for n in order)
     return f"with {ctes}\n{body.strip()}"
+
+
+# ---------------------------------------------------------------- lookup snippets
+def _re2(java_re: str) -> str:
+    """Anchored Java pattern (\\A ... \\z) -> body for regexp_full_match."""
+    body = java_re
+    if body.startswith(r"\A"):
+        body = body[2:]
+    if body.endswith(r"\z"):
+        body = body[:-2]
+    return body
+
+
+def target_class(x: str) -> str:
+    """validate_target class in DuckDB (no look-arounds: the host rule is checked per label)."""
+    from sanscope.functions.targets import IPV4_RE, IPV6_RE
+
+    v = strip(x)
+    labels = f"string_split({v}, '.')"
+    host = (f"(length({v}) between 1 and 253 and not starts_with({v}, '-') and len({labels}) >= 2 and "
+            f"list_aggregate(list_transform({labels}, lambda l: regexp_full_match(l, '[A-Za-z0-9-]{{1,63}}') "
+            f"and not ends_with(l, '-')), 'bool_and'))")
+    return (f"(case when {v} = '' then null when starts_with({v}, 'http://') or starts_with({v}, 'https://') then null "
+            f"when regexp_full_match({v}, '{_re2(IPV4_RE)}') or regexp_full_match({v}, '{_re2(IPV6_RE)}') then 'ip' "
+            f"when regexp_full_match({v}, '(?i)AS[0-9]+') then 'asn' when {host} then 'domain' end)")
+
+
+def target_error(x: str) -> str:
+    from sanscope import constants as K
+
+    v = strip(x)
+    return (f"(case when {v} = '' then '{K.MSG_TARGET_REQUIRED}' when starts_with({v}, 'http://') or "
+            f"starts_with({v}, 'https://') then '{K.MSG_NO_URL}' when {target_class(x)} is null then '{K.MSG_BAD_TARGET}' end)")
+
+
+def dig_answers(x: str) -> str:
+    """list of token lists (>= 5 tokens) of each output line."""
+    from sanscope.functions.parsers import WS_RUN_RE
+
+    return (f"list_filter(list_transform({split_lines(x)}, lambda l: string_split_regex({strip('l')}, '{WS_RUN_RE}')), "
+            "lambda t: len(t) >= 5)")

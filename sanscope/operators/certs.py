@@ -100,7 +100,7 @@ def match_cert_identity(entries: DataFrame, searches: Sequence[tuple[str, str]])
     names matches; then all its names come along. One scan for all searches: each
     entry gets the array of search ordinals it satisfies, exploded (no join)."""
     hits = F.array(*[F.when(identity_match(term, mode), F.lit(i)) for i, (mode, term) in enumerate(searches)])
-    return entries.withColumn("query_ord", F.explode(F.filter(hits, lambda x: x.isNotNull())))
+    return explode_ords(entries, hits)
 
 
 def text_hits(entries: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -108,7 +108,14 @@ def text_hits(entries: DataFrame, terms: Sequence[str]) -> DataFrame:
     ``name_value + '\\n' + common_name`` text (the stored search responses)."""
     text = F.lower(F.concat(F.coalesce("name_value", F.lit("")), F.lit("\n"), F.coalesce("common_name", F.lit(""))))
     hits = F.array(*[F.when(F.like(text, N.like_contains(t)), F.lit(i)) for i, t in enumerate(terms)])
-    return entries.withColumn("query_ord", F.explode(F.filter(hits, lambda x: x.isNotNull())))
+    return explode_ords(entries, hits)
+
+
+def explode_ords(df: DataFrame, hits: Column, out: str = "query_ord") -> DataFrame:
+    """One row per non-null ordinal of ``hits``. ``explode_outer`` + null filter keeps the
+    optimizer from inferring a ``size > 0`` filter that would evaluate every match
+    predicate a second time below the projection."""
+    return df.withColumn(out, F.explode_outer(F.filter(hits, lambda x: x.isNotNull()))).where(F.col(out).isNotNull())
 
 
 def first_query_owner(hits: DataFrame, key: str = "cert_id", order: str = "query_ord") -> DataFrame:

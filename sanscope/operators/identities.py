@@ -57,7 +57,8 @@ def fulltext_certificates(identities: DataFrame, searches: Sequence[str], cert_c
         groups.append((i, names))
     per_cert = identities.groupBy(cert_col).agg(*flags)
     hit = F.array(*[F.when(F.lit(bool(cols)) & _all(cols), F.lit(i)) for i, cols in groups])
-    return per_cert.select(cert_col, F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("query_ord"))
+    return per_cert.select(cert_col, F.explode_outer(F.filter(hit, lambda x: x.isNotNull())).alias("query_ord")).where(
+        F.col("query_ord").isNotNull())
 
 
 def _all(cols: list[str]) -> Column:
@@ -77,7 +78,8 @@ def filter_fulltext(identities: DataFrame, searches: Sequence[str], cert_col: st
 def tag_matches(identities: DataFrame, preds: dict[int, Column]) -> DataFrame:
     """Explode each identity into the searches whose row predicate it satisfies."""
     hit = F.array(*[F.when(p, F.lit(i)) for i, p in preds.items()])
-    return identities.withColumn("query_ord", F.explode(F.filter(hit, lambda x: x.isNotNull())))
+    return identities.withColumn("query_ord", F.explode_outer(F.filter(hit, lambda x: x.isNotNull()))).where(
+        F.col("query_ord").isNotNull())
 
 
 def join_issuer(identities: DataFrame, ca: DataFrame, max_broadcast: int = MAX_BROADCAST_ISSUERS) -> DataFrame:
@@ -104,5 +106,5 @@ def limit_identities(identities: DataFrame, n: int, order: Sequence[str] = ("cer
 
 def split_identity_names(identities: DataFrame, keep: Sequence[str], col: str = "name_value") -> DataFrame:
     """``splitlines()`` of the raw name, each normalised; invalid names dropped."""
-    ex = identities.select(*keep, F.explode(N.split_names(col)).alias("_raw"))
+    ex = identities.select(*keep, F.explode_outer(N.split_names(col)).alias("_raw"))
     return ex.select(*keep, N.normalize_domain("_raw").alias("domain")).where(F.col("domain").isNotNull())

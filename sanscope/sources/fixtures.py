@@ -235,3 +235,40 @@ def whois_details(spark: SparkSession, sf: str) -> DataFrame:
                  F.lit("</td></tr><tr><th>Contacto</th></tr><tr><td>Ciudad:</td><td>La Paz</td></tr>"
                        "<tr><td>Ciudad:</td><td>Oruro</td></tr></table>")).alias("html"),
     )
+
+
+def crtsh_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Domains given to the certificate-search tool (duplicates, padding and blanks kept)."""
+    k = F.col("s_suppkey")
+    base = _pick(k % 7, NAME_BASES)
+    t = F.when(k % 13 == 0, F.lit("  ")).when(k % 5 == 0, F.concat(F.lit(" "), base, F.lit(" "))).otherwise(base)
+    return table(spark, sf, "supplier").select(k.alias("target_seq"), t.alias("target"))
+
+
+def whois_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Registry targets: most have search pages, every third has none."""
+    k = F.col("s_suppkey")
+    t = F.when(k % 3 == 0, F.concat(F.lit("nada"), _s(k), F.lit(".bo"))).otherwise(
+        F.concat(F.lit("root"), _s(k), F.lit(".com.bo")))
+    return table(spark, sf, "supplier").select(k.alias("target_seq"), t.alias("target"))
+
+
+def record_type_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Record-type arguments as typed by users: lower case, padded, unknown, plain."""
+    d = dig_output(spark, sf, record_types=True)
+    s, rt = F.col("target_seq"), F.col("record_type")
+    raw = (F.when(s % 4 == 0, F.lower(rt)).when(s % 4 == 1, F.concat(F.lit(" "), rt, F.lit(" ")))
+           .when(s % 4 == 2, F.concat(rt, F.lit("X"))).otherwise(rt))
+    return d.select("target_seq", raw.alias("record_type"))
+
+
+def link_hrefs(spark: SparkSession, sf: str) -> DataFrame:
+    """Detail links in the reference forms urljoin resolves (relative, root, scheme-relative,
+    absolute, parent) plus links without the detail marker."""
+    s = F.col("target_seq")
+    k = s % 6
+    q = F.concat(F.lit("revisar_contacto.php?id="), _s(s))
+    href = (F.when(k == 0, q).when(k == 1, F.concat(F.lit("/"), q)).when(k == 2, F.concat(F.lit("//nic.bo/"), q))
+            .when(k == 3, F.concat(F.lit("https://other.bo/"), q)).when(k == 4, F.concat(F.lit("../"), q))
+            .otherwise(F.concat(F.lit("?id="), _s(s))))
+    return targets(spark, sf).select(s, href.alias("href"))
