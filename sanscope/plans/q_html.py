@@ -117,14 +117,17 @@ def q_join_whois_detail(spark, sf):
 WHOIS_KEYS = ("whois_detalles_Contacto_Ciudad", "whois_detalles_General_Titular", "whois_dominio", "whois_estado", "whois_precio")
 
 
-@register("envelope_whois", _compose(
+ENVELOPE_WHOIS_BODY = (
     f"select s.target_seq, '{TS}' as timestamp, 'whois_bo' as action, s.target, true as ok, '200' as status, '' as error, "
     "max(case when c.category = 'Contacto' and c.field = 'Ciudad' then c.value end) as whois_detalles_Contacto_Ciudad, "
     "max(case when c.category = 'General' and c.field = 'Titular' then c.value end) as whois_detalles_General_Titular, "
     "s.dominio as whois_dominio, s.estado as whois_estado, s.precio as whois_precio "
     "from scan s left join cats c on c.url = s.detail_url group by all "
     f"union all select target_seq, '{TS}', 'whois_bo', target, false, '404', '{K.MSG_WHOIS_NONE}', null, null, null, null, null "
-    "from whois_targets t where not exists (select 1 from scan s where s.target_seq = t.target_seq)",
-    [SCAN_SQL, CATS_SQL], ("whois_targets", "whois_pages_both", "whois_details")))
+    "from whois_targets t where not exists (select 1 from scan s where s.target_seq = t.target_seq)")
+
+
+@register("envelope_whois", _compose(ENVELOPE_WHOIS_BODY, [SCAN_SQL, CATS_SQL],
+                                     ("whois_targets", "whois_pages_both", "whois_details")))
 def q_envelope_whois(spark, sf):
     return W.envelope_whois(X.whois_targets(spark, sf), X.whois_pages(spark, sf, both_zones=True), X.whois_details(spark, sf), TS)
