@@ -32,4 +32,4 @@ def load_all() -> None:
         importlib.import_module(f"sanscope.plans.{m}")
 
 
-MODULES = ("q_certs", "q_db", "q_lookups", "q_html", "q_io")
+MODULES = ("q_certs", "q_db", "q_lookups", "q_html", "q_io", "q_stream")
