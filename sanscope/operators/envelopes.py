@@ -147,44 +147,74 @@ def envelope_open_rank(targets: DataFrame, payloads: DataFrame, ts: str, keys: S
 
 
 # ---------------------------------------------------------------- certificate search tool
+def crtsh_name_list(name_value: str = "name_value") -> Column:
+    """The toolkit's basic cleaning of an entry's names: split on newline, strip, lower, non-blank."""
+    return F.filter(F.transform(F.split(F.coalesce(F.col(name_value), F.lit("")), "\n", -1), N.clean_name_basic),
+                    lambda x: x.isNotNull())
+
+
 def crtsh_names(entries: DataFrame) -> DataFrame:
-    """(entry_seq, name) with the toolkit's basic cleaning (split on newline, strip, lower)."""
-    e = entries.select("entry_seq", F.explode(F.split(F.coalesce("name_value", F.lit("")), "\n", -1)).alias("_raw"))
-    return e.select("entry_seq", N.clean_name_basic("_raw").alias("name")).where(F.col("name").isNotNull())
+    """(entry_seq, name) rows of the cleaned names."""
+    ex = entries.select("entry_seq", F.explode_outer(crtsh_name_list()).alias("name"))
+    return ex.where(F.col("name").isNotNull())
+
+
+def _dot_suffixes(names: Column) -> Column:
+    """Distinct proper dot-suffixes of all names of an entry (``a.b.c`` -> ``b.c``, ``c``)."""
+    def sfx(n):
+        labels = F.split(n, r"\.", -1)
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
+                           lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    per_name = F.transform(names, lambda n: F.filter(sfx(n), lambda x: n.endswith(F.concat(F.lit("."), x))))
+    return F.array_distinct(F.flatten(per_name))
+
+
+def _checked_broadcast(df: DataFrame, limit: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def crtsh_subdomains(targets: DataFrame, entries: DataFrame, max_broadcast: int = MAX_BROADCAST_TARGETS) -> DataFrame:
+    """(target, name): distinct cleaned names of every certificate holding a name below
+    the target (``q=%.target``).
+
+    Each entry's distinct dot-suffixes are equi-joined with the distinct lower-cased
+    targets (broadcast after a size check), so one (entry, target) pair is one row and
+    no pattern join or dedup is needed; the entry's names ride along and are exploded
+    there. The only shuffle is the final distinct on (target, name), which spreads a
+    target holding a third of all names over every reducer."""
+    t = targets.select(F.lower(N.py_strip("target")).alias("_q")).where(F.col("_q") != "").distinct()
+    t = _checked_broadcast(t, max_broadcast)
+    e = entries.select(crtsh_name_list().alias("_names")).select("_names", F.explode_outer(_dot_suffixes(F.col("_names"))).alias("_q"))
+    hits = e.where(F.col("_q").isNotNull()).join(t, "_q")
+    return hits.select(F.col("_q").alias("_target_key"), F.explode("_names").alias("name")).distinct()
 
 
 def crtsh_responses(targets: DataFrame, entries: DataFrame, max_broadcast: int = MAX_BROADCAST_TARGETS) -> DataFrame:
-    """(target, entry_seq): entries holding a name below ``target`` (``q=%.target``).
-
-    Name suffixes at dot boundaries are equi-joined with the lower-cased targets, so
-    no pattern join is needed; the target list is broadcast after a size check, which
-    keeps a target matching a third of all names off a single reducer."""
-    names = crtsh_names(entries)
-    labels = F.split(F.col("name"), r"\.", -1)
-    suffixes = names.select("entry_seq", F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
-        lambda k: F.array_join(F.slice(labels, -k, k), "."))).alias("_sfx"), "name")
-    suffixes = suffixes.where(F.col("name").endswith(F.concat(F.lit("."), F.col("_sfx"))))
-    t = targets.select("target", F.lower(N.py_strip("target")).alias("_sfx")).where(F.col("_sfx") != "")
-    if t.count() <= max_broadcast:
-        t = F.broadcast(t)
-    return suffixes.join(t, "_sfx").select("target", "entry_seq").distinct()
-
-
-def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str) -> DataFrame:
+    """(target key, entry_seq) for every entry a target's search returns."""
+    t = targets.select(F.lower(N.py_strip("target")).alias("_q")).where(F.col("_q") != "").distinct()
+    t = _checked_broadcast(t, max_broadcast)
+    e = entries.select("entry_seq", F.explode_outer(_dot_suffixes(crtsh_name_list())).alias("_q"))
+    return e.where(F.col("_q").isNotNull()).join(t, "_q").select(F.col("_q").alias("target"), "entry_seq")
+
+
+def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str, max_broadcast: int = MAX_BROADCAST_TARGETS) -> DataFrame:
     """One row per distinct cleaned name of the certificates each target returned; a
     target with no names keeps one bare row; a blank target is an error row.
-    Duplicate targets in the list are kept (one block of rows each)."""
-    distinct_targets = targets.select("target").distinct()
-    hits = crtsh_responses(distinct_targets, entries)
-    names = crtsh_names(entries)
-    per_target = hits.join(names, "entry_seq").select("target", F.col("name").alias("crt_subdomain")).distinct()
+    Duplicate targets in the list are kept (one block of rows each): the target list
+    (size-checked) is broadcast onto the (target, name) rows, so repeated targets
+    multiply rows inside many tasks instead of one."""
+    t = targets.select("target_seq", "target", F.lower(N.py_strip("target")).alias("_target_key"))
+    subs = crtsh_subdomains(targets, entries, max_broadcast)
+    tb = _checked_broadcast(t, max_broadcast)
+    found = subs.join(tb, "_target_key").select("target_seq", "target", F.col("name").alias("crt_subdomain"))
+    bare = t.join(subs.select("_target_key").distinct(), "_target_key", "left_anti").select(
+        "target_seq", "target", F.lit(None).cast("string").alias("crt_subdomain"))
+    rows = found.unionByName(bare)
     blank = N.py_strip(F.col("target")) == ""
-    j = targets.select("target_seq", "target").join(per_target, "target", "left")
     ok = ~blank
-    return j.select("target_seq", *head(ts, "crtsh", ok, F.when(ok, F.lit("200")).otherwise(F.lit("")),
-                                        F.when(blank, F.lit(K.MSG_PARAM_TARGET_REQUIRED)).otherwise(F.lit(""))),
-                    F.when(ok, F.col("crt_subdomain")).alias("crt_subdomain"))
+    return rows.select("target_seq", *head(ts, "crtsh", ok, F.when(ok, F.lit("200")).otherwise(F.lit("")),
+                                           F.when(blank, F.lit(K.MSG_PARAM_TARGET_REQUIRED)).otherwise(F.lit(""))),
+                       "crt_subdomain")
 
 
 def subdomain_summary(crtsh_rows: DataFrame) -> DataFrame:
