@@ -120,10 +120,12 @@ def explode_ords(df: DataFrame, hits: Column, out: str = "query_ord") -> DataFra
 
 def first_query_owner(hits: DataFrame, key: str = "cert_id", order: str = "query_ord") -> DataFrame:
     """Keep only the rows of the first query (smallest ``order``) that returned each key.
-    The window partitions by the certificate id; a partition holds one certificate's
-    hits (bounded by the number of searches times its copies)."""
-    w = Window.partitionBy(key)
-    return hits.withColumn("_owner", F.min(order).over(w)).where(F.col(order) == F.col("_owner")).drop("_owner")
+
+    The owner per key is a partial+final ``min`` (map-side combined, so a certificate
+    holding a third of all rows is reduced before the shuffle); rows are then kept by a
+    semi join on (key, owner), which AQE splits when one key is skewed."""
+    owners = hits.groupBy(key).agg(F.min(order).alias(order))
+    return hits.join(owners, [key, order], "left_semi")
 
 
 def filter_levels(named: DataFrame, max_level: Column) -> DataFrame:

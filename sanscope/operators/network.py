@@ -15,6 +15,7 @@ from sanscope.functions import names as N
 from sanscope.functions.targets import IPV4_RE
 
 BUCKET_BITS = 16
+MAX_BROADCAST_BLOCKS = 5_000_000  # exploded (block, bucket) rows; a full routing table is ~1.2M
 
 
 def ipv4_to_long(col) -> Column:
@@ -53,6 +54,8 @@ def enrich_network(targets: DataFrame, networks: DataFrame, target_col: str = "t
     t = targets.select("target_seq", N.py_strip(target_col).alias("ip")).withColumn("_ip", ipv4_to_long("ip"))
     t = t.where(F.col("_ip").isNotNull()).withColumn("_bucket", F.shiftright("_ip", BUCKET_BITS))
     nb = network_buckets(networks)
+    if nb.count() <= MAX_BROADCAST_BLOCKS:  # checked, so a hot /16 of targets never lands on one reducer
+        nb = F.broadcast(nb)
     cand = t.join(nb, "_bucket", "left").where(
         F.col("lo").isNull() | ((F.col("lo") <= F.col("_ip")) & (F.col("_ip") <= F.col("hi"))))
     best = cand.groupBy("target_seq", "ip").agg(

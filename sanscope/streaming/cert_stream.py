@@ -30,6 +30,9 @@ from sanscope.operators import state as S
 from sanscope.session import state_path, use_utc
 from sanscope.sources.readers import CERT_ENTRY_SCHEMA
 
+MAX_BROADCAST_BATCH_IDS = 20_000_000
+MAX_FILES_PER_TRIGGER = 1000
+
 NEW_CERT_SCHEMA = T.StructType(list(CERT_ENTRY_SCHEMA.fields) + [T.StructField("cert_id", T.LongType())])
 
 
@@ -59,13 +62,19 @@ class CertStream:
         self._arrivals += 1
 
     # -- per-batch logic
-    def _known_ids(self, epoch: int) -> DataFrame:
-        ids = self.spark.read.parquet(self.known)
-        return ids.where(F.col("epoch") != epoch).select("cert_id")
+    def _known_ids(self, epoch: int, batch_ids: DataFrame) -> DataFrame:
+        """Known ids that occur in this batch. The batch's distinct ids (bounded by the
+        trigger's file limit, and counted) are broadcast into a semi join, so the whole
+        state is scanned once but never shuffled."""
+        ids = self.spark.read.parquet(self.known).where(F.col("epoch") != epoch).select("cert_id")
+        probe = batch_ids.select(F.col("cert_id").cast("string").alias("cert_id")).distinct()
+        if probe.count() <= MAX_BROADCAST_BATCH_IDS:
+            probe = F.broadcast(probe)
+        return ids.join(probe, "cert_id", "left_semi")
 
     def _process(self, batch: DataFrame, epoch: int) -> None:
         ded = C.dedup_certs(C.with_cert_id(batch.drop("arrival")))
-        new = S.anti_seen(ded, self._known_ids(epoch))
+        new = S.anti_seen(ded, self._known_ids(epoch, ded.select("cert_id")))
         new.write.mode("overwrite").parquet(f"{self.new_certs}/epoch={epoch}")
         written = self.spark.read.schema(NEW_CERT_SCHEMA).parquet(f"{self.new_certs}/epoch={epoch}")
         written.select(F.col("cert_id").cast("string").alias("cert_id")).write.mode("overwrite").parquet(
@@ -75,7 +84,7 @@ class CertStream:
 
     def run_new_certs(self) -> None:
         schema = T.StructType(list(CERT_ENTRY_SCHEMA.fields) + [T.StructField("arrival", T.IntegerType())])
-        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1 << 20).parquet(self.source)
+        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", MAX_FILES_PER_TRIGGER).parquet(self.source)
         q = (stream.writeStream.foreachBatch(lambda df, epoch: self._process(df, epoch))
              .option("checkpointLocation", f"{self.root}/ckpt_new_certs").trigger(availableNow=True).start())
         q.awaitTermination()
