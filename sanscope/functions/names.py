@@ -47,9 +47,16 @@ def normalize_domain(col) -> Column:
     return F.when(v != "", v)
 
 
+LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def split_names(col) -> Column:
-    """``str.splitlines()`` as an array; a trailing empty piece is dropped like Python does."""
-    parts = F.split(F.coalesce(_c(col), F.lit("")), LINE_SPLIT_RE, -1)
+    """``str.splitlines()`` as an array; a trailing empty piece is dropped like Python does.
+
+    ``\\r\\n`` becomes ``\\n``, every other line boundary is translated to ``\\n``, then
+    a single-character split (no regex engine per row)."""
+    text = F.replace(F.coalesce(_c(col), F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    parts = F.split(F.translate(text, LINE_BREAKS, "\n" * len(LINE_BREAKS)), "\n", -1)
     return F.when(
         F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     ).otherwise(parts)

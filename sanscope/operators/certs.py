@@ -128,6 +128,17 @@ def first_query_owner(hits: DataFrame, key: str = "cert_id", order: str = "query
     return hits.join(owners, [key, order], "left_semi")
 
 
+def first_owned_entries(hits: DataFrame, key: str = "cert_id", by: str = "query_ord",
+                        order_col: str = "entry_seq") -> DataFrame:
+    """``dedup_certs`` per search followed by ``first_query_owner`` in one aggregate: per
+    certificate, the first entry of the first search that returned it,
+    ``min_by(row, (search, entry))`` - one partial+final aggregate, one shuffle."""
+    cols = hits.columns
+    keyed = hits.where(F.col(key).isNotNull())
+    first = keyed.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(by, order_col)).alias("_row"))
+    return first.select("_row.*")
+
+
 def filter_levels(named: DataFrame, max_level: Column) -> DataFrame:
     """Keep names with at most ``max_level`` dots (``--levels``)."""
     return named.where(N.domain_level("domain") <= max_level)

@@ -46,9 +46,12 @@ def run_names(spark: SparkSession, entries: DataFrame, searches: Sequence[Search
     certificate only counts for the first search that returned it (the state is
     saved after each search)."""
     hits = responses(entries, searches, kind)
-    ded = C.dedup_certs(hits, by=["query_ord"])
     if seen is not None:
-        ded = C.first_query_owner(state.anti_seen(ded, seen))
+        # the saved state does not depend on the search, so it is applied after the
+        # combined dedup + first-owner aggregate (one row per certificate left to join)
+        ded = state.anti_seen(C.first_owned_entries(hits), seen)
+    else:
+        ded = C.dedup_certs(hits, by=["query_ord"])
     terms = {i: t for i, (_, t) in enumerate(searches) if i in set(_ords(searches, kind))}
     ded = ded.withColumn("term", _by_ord(terms))
     return C.entry_names(ded, keep=("query_ord", "entry_seq", "cert_id", "term", "not_before", "not_after"))
