@@ -48,17 +48,15 @@ def _node(o: Column, n: Column, v: Column, done: Column, value: Column) -> Colum
 
 def _expand(x: Column) -> Column:
     """A node -> itself when done; its children when it is an object or a list; else
-    the node marked done with its leaf text."""
+    the node marked done with its leaf text. ``coalesce`` is lazy, so each variant cast
+    runs at most once per node (lambda bodies get no common-subexpression elimination)."""
     v, o, n = x["v"], x["o"], x["n"]
-    as_map = F.try_variant_get(v, "$", "map<string,variant>")
-    as_arr = F.try_variant_get(v, "$", "array<variant>")
-    from_obj = F.transform(F.map_entries(as_map), lambda e, i: _node(
+    from_obj = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e, i: _node(
         F.concat(o, F.array(i)), F.concat(n, e["key"], F.lit("_")), e["value"], F.lit(False), F.lit(None).cast("string")))
-    from_arr = F.transform(as_arr, lambda y, i: _node(
+    from_arr = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda y, i: _node(
         F.concat(o, F.array(i)), F.concat(n, i.cast("string"), F.lit("_")), y, F.lit(False), F.lit(None).cast("string")))
     leaf = F.array(_node(o, n, F.lit(None).cast("variant"), F.lit(True), leaf_text(v)))
-    return (F.when(x["done"], F.array(x)).when(as_map.isNotNull(), from_obj).when(as_arr.isNotNull(), from_arr)
-            .otherwise(leaf))
+    return F.when(x["done"], F.array(x)).otherwise(F.coalesce(from_obj, from_arr, leaf))
 
 
 def start(doc: Column, prefix: str) -> Column:
