@@ -63,6 +63,24 @@ def _run_sql(kind: str, uncached: bool) -> list[str]:
     return ctes
 
 
+def ps_sql(p: str, domains: str) -> str:
+    """CTEs ``{p}_lab`` and ``{p}_out(domain, private_suffix)`` for the distinct normalised
+    domains selected by ``domains`` (one column ``domain``), from the ``suffix_rules`` table."""
+    return f"""
+{p}_dom as (select distinct domain from ({domains}) d where domain is not null),
+{p}_lab as (select domain, string_split(domain, '.') as l from {p}_dom),
+{p}_cand as (select domain, n, k, array_to_string(l[n - k + 1:], '.') as cand from
+  (select domain, l, len(l) as n, unnest(range(1, len(l) + 1)) as k from {p}_lab) z),
+{p}_rules as (select case when rule like '!%' then substr(rule, 2) when rule like '*.%' then substr(rule, 3) else rule end as body,
+  case when rule like '!%' then -1 when rule like '*.%' then 1 else 0 end as delta from suffix_rules),
+{p}_hit as (select c.domain, c.k + r.delta as ps_len, r.delta = -1 as exc from {p}_cand c join {p}_rules r on c.cand = r.body
+  where c.k + r.delta <= c.n),
+{p}_len as (select d.domain, coalesce(max(h.ps_len) filter (where h.exc), max(h.ps_len), 1) as ps_len
+  from {p}_dom d left join {p}_hit h on h.domain = d.domain group by d.domain),
+{p}_out as (select p.domain, case when p.ps_len >= len(l.l) then p.domain else array_to_string(l.l[1:len(l.l) - p.ps_len], '.') end
+  as private_suffix from {p}_len p join {p}_lab l on l.domain = p.domain)""".strip()
+
+
 # ---------------------------------------------------------------- flagship
 @register("domain_analysis", _compose(
     "select domain, " + D.level("domain") + " as level, "
@@ -204,10 +222,11 @@ def q_match_cert_identity(spark, sf):
 
 
 @register("filter_private_suffix", _compose(
-    "select query_ord, domain from (select distinct " + D.normalize("name") + " as domain from name_rows) n "
-    "join qps on list_contains(list_filter(string_split(domain, '.'), lambda x: x <> ''), qps.private_suffix) ",
-    ["qps as (select 0 as query_ord, 'example' as private_suffix union all select 1, 'acme' union all select 3, 'google')"],
-    ("name_rows",)))
+    "select qps.query_ord, n.domain from (select distinct " + D.normalize("name") + " as domain from name_rows) n "
+    "join qps on list_contains(list_filter(string_split(n.domain, '.'), lambda x: x <> ''), qps.private_suffix)",
+    [ps_sql("tp", "select " + D.normalize("term") + " as domain from queries where kind = 'domain'"),
+     "qps as (select q.query_ord, t.private_suffix from queries q join tp_out t on t.domain = " + D.normalize("q.term")
+     + " where q.kind = 'domain')"], ("name_rows", "queries", "suffix_rules")))
 def q_filter_private_suffix(spark, sf):
     """Names kept by each domain search's private-suffix label (computed by the rule table)."""
     d = X.name_rows(spark, sf).select(N.normalize_domain("name").alias("domain")).distinct()
@@ -328,11 +347,14 @@ EXT_TERM = "example.com"
     "select domain from " + _names_sql("(select * from ents where " + _match_sql("identity", EXT_TERM)
                                        + " qualify row_number() over (partition by cert_id order by entry_seq) = 1 and cert_id is not null)",
                                        "entry_seq")
-    + " union select domain from " + _names_sql("(select * from ents where " + _match_sql("extended", "example")
-                                                + " qualify row_number() over (partition by cert_id order by entry_seq) = 1 and cert_id is not null)",
-                                                "entry_seq")
-    + " and list_contains(list_filter(string_split(domain, '.'), lambda x: x <> ''), 'example')",
-    [ENTS], ("cert_entries",)))
+    + " union select x.domain from (select domain from " + _names_sql(
+        "(select e.* from ents e, xp where lower(" + D.strip("e.name_value") + ") is not null and "
+        "len(list_filter(list_filter(" + NAME_LIST.replace("name_value", "e.name_value").replace("common_name", "e.common_name")
+        + ", lambda n: n is not null), lambda n: lower(" + D.strip("n") + ") like xp.private_suffix || '.%.%')) > 0 "
+        "qualify row_number() over (partition by e.cert_id order by e.entry_seq) = 1 and e.cert_id is not null)", "entry_seq")
+    + ") x, xp where list_contains(list_filter(string_split(x.domain, '.'), lambda y: y <> ''), xp.private_suffix)",
+    [ENTS, ps_sql("xt", f"select '{EXT_TERM}' as domain"), "xp as (select private_suffix from xt_out)"],
+    ("cert_entries", "suffix_rules")))
 def q_union_base_extended(spark, sf):
     return P.discover_extended(spark, entries(spark, sf), EXT_TERM, X.suffix_rules(spark))
 
@@ -364,24 +386,9 @@ def q_certificate_log(spark, sf):
     return P.certificate_log(entries(spark, sf), X.QUERIES, kinds=("domain",)).drop("cert_id")
 
 
-PS_SQL = """
-ps_dom as (select distinct {norm} as domain from name_rows where {norm} is not null),
-ps_lab as (select domain, string_split(domain, '.') as l from ps_dom),
-ps_cand as (select domain, n, k, array_to_string(l[n - k + 1:], '.') as cand from
-  (select domain, l, len(l) as n, unnest(range(1, len(l) + 1)) as k from ps_lab) z),
-ps_rules as (select case when rule like '!%' then substr(rule, 2) when rule like '*.%' then substr(rule, 3) else rule end as body,
-  case when rule like '!%' then -1 when rule like '*.%' then 1 else 0 end as delta from suffix_rules),
-ps_hit as (select c.domain, c.k + r.delta as ps_len, r.delta = -1 as exc from ps_cand c join ps_rules r on c.cand = r.body
-  where c.k + r.delta <= c.n),
-ps_len as (select d.domain, coalesce(max(h.ps_len) filter (where h.exc), max(h.ps_len), 1) as ps_len
-  from ps_dom d left join ps_hit h on h.domain = d.domain group by d.domain)
-""".replace("{norm}", D.normalize("name"))
-
-
 @register("private_suffix", _compose(
-    "select p.domain, case when p.ps_len >= len(l.l) then p.domain else array_to_string(l.l[1:len(l.l) - p.ps_len], '.') end "
-    "as private_suffix from ps_len p join ps_lab l on l.domain = p.domain",
-    [PS_SQL.strip()], ("name_rows", "suffix_rules")))
+    "select domain, private_suffix from ps_out",
+    [ps_sql("ps", f"select {D.normalize('name')} as domain from name_rows")], ("name_rows", "suffix_rules")))
 def q_private_suffix(spark, sf):
     d = X.name_rows(spark, sf).select(N.normalize_domain("name").alias("domain")).where(F.col("domain").isNotNull()).distinct()
     return suffix.private_suffix(d, X.suffix_rules(spark))
