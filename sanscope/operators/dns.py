@@ -20,9 +20,9 @@ def records_by_type(outputs: DataFrame, key: str = "target_seq") -> DataFrame:
         F.count("*").alias("n_records"),
         F.array_join(F.array_sort(F.collect_list("a.value")), "\n").alias("records"))
     order = F.array(*[F.lit(t) for t in K.DNS_REPORT_TYPES])
-    found = grouped.select(key, (F.array_position(order, F.col("record_type")) - 1).alias("type_ord"), "record_type",
+    found = grouped.select(key, (F.array_position(order, F.col("record_type")) - 1).cast("int").alias("type_ord"), "record_type",
                            "n_records", "records")
     none = outputs.select(key).distinct().join(found.select(key).distinct(), key, "left_anti").select(
-        key, F.lit(None).cast("long").alias("type_ord"), F.lit(None).cast("string").alias("record_type"),
+        key, F.lit(None).cast("int").alias("type_ord"), F.lit(None).cast("string").alias("record_type"),
         F.lit(0).cast("long").alias("n_records"), F.lit(K.MSG_NO_COMMON_RECORDS).alias("records"))
     return found.unionByName(none)

@@ -31,7 +31,7 @@ NAME_LIST = f"list_concat({D.split_lines('name_value')}, [common_name])"
 def _names_sql(src: str, keep: str) -> str:
     """(keep..., name_pos, domain) rows of ``src`` (normalised, invalid dropped)."""
     return (f"(select {keep}, name_pos, {D.normalize('raw_name')} as domain from "
-            f"(select {keep}, unnest(range(len(l))) as name_pos, unnest(l) as raw_name from "
+            f"(select {keep}, unnest(list_transform(range(len(l)), lambda i: cast(i as int))) as name_pos, unnest(l) as raw_name from "
             f"(select *, {NAME_LIST} as l from {src}) z1) z2) z3 where domain is not null")
 
 
@@ -112,7 +112,7 @@ def q_entry_names(spark, sf):
 
 
 @register("split_names", _compose(
-    "select entry_seq, unnest(range(len(l))) as pos, unnest(l) as piece from "
+    "select entry_seq, unnest(list_transform(range(len(l)), lambda i: cast(i as int))) as pos, unnest(l) as piece from "
     f"(select entry_seq, {D.split_lines('name_value')} as l from cert_entries) z", [], ("cert_entries",)))
 def q_split_names(spark, sf):
     return X.cert_entries(spark, sf).select(
@@ -126,7 +126,7 @@ def q_normalize_domain(spark, sf):
 
 
 @register("clean_name_basic", _compose(
-    "select entry_seq, pos, name from (select entry_seq, unnest(range(len(l))) as pos, "
+    "select entry_seq, pos, name from (select entry_seq, unnest(list_transform(range(len(l)), lambda i: cast(i as int))) as pos, "
     f"lower({D.strip('unnest(l)')}) as name from (select entry_seq, string_split(coalesce(name_value, ''), chr(10)) as l "
     "from cert_entries) z) y where name <> ''", [], ("cert_entries",)))
 def q_clean_name_basic(spark, sf):
@@ -183,7 +183,7 @@ def q_like_pattern(spark, sf):
 # ---------------------------------------------------------------- filters
 @register("filter_valid_name", _compose(
     f"select entry_seq, name_pos, raw_name, {D.normalize('raw_name')} as domain from "
-    f"(select entry_seq, unnest(range(len(l))) as name_pos, unnest(l) as raw_name from "
+    f"(select entry_seq, unnest(list_transform(range(len(l)), lambda i: cast(i as int))) as name_pos, unnest(l) as raw_name from "
     f"(select *, {NAME_LIST} as l from cert_entries) z1) z2 where {D.normalize('raw_name')} is not null",
     [], ("cert_entries",)))
 def q_filter_valid_name(spark, sf):
@@ -319,8 +319,8 @@ def q_discover_keyword(spark, sf):
 
 
 @register("novelty_curve", _compose(
-    "select query_ord, entry_seq, new_domains, sum(new_domains) over (partition by query_ord order by entry_seq "
-    "rows between unbounded preceding and current row) as total_domains from "
+    "select query_ord, entry_seq, new_domains, cast(sum(new_domains) over (partition by query_ord order by entry_seq "
+    "rows between unbounded preceding and current row) as bigint) as total_domains from "
     "(select query_ord, entry_seq, count(*) as new_domains from "
     "(select query_ord, domain, min(entry_seq) as entry_seq from "
     + _names_sql("run", "query_ord, entry_seq, term") + f" and {D.level('domain')} <= {D.level('term')} + 1"

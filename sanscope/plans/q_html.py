@@ -33,7 +33,7 @@ def _rows_sql(src: str, keys: str) -> str:
     table = f"coalesce(case when regexp_matches(html, '{H.TABLE_RE}') then regexp_extract(html, '{H.TABLE_RE}', 1) end, '')"
     return (f"(select {keys}, pos, list_transform(regexp_extract_all(r, '{H.CELL_RE}', 1), lambda c: {_cell_text('c')}) as cells, "
             f"case when regexp_matches(r, '{_q(H.HREF_RE)}') then regexp_extract(r, '{_q(H.HREF_RE)}', 1) end as href from "
-            f"(select {keys}, unnest(range(len(rs))) as pos, unnest(rs) as r from "
+            f"(select {keys}, unnest(list_transform(range(len(rs)), lambda i: cast(i as int))) as pos, unnest(rs) as r from "
             f"(select {keys}, regexp_extract_all({table}, '{H.ROW_RE}', 1) as rs from {src}) z1) z2)")
 
 

@@ -107,7 +107,7 @@ JSONL_FIELDS = ("min_cert_id", "id", "issuer_ca_id", "common_name", "name_value"
 
 
 @register("sink_jsonl", _compose(
-    "select query_ord, entry_seq, to_json({" + ", ".join(f"'{f}': {f}" for f in JSONL_FIELDS) + "}) as line "
+    "select query_ord, entry_seq, cast(to_json({" + ", ".join(f"'{f}': {f}" for f in JSONL_FIELDS) + "}) as varchar) as line "
     "from hits where kind = 'domain'", [HITS], ("query_hits",)))
 def q_sink_jsonl(spark, sf):
     log = P.certificate_log(entries(spark, sf), X.QUERIES, kinds=("domain",))
@@ -182,7 +182,7 @@ def rank_rows(spark, sf) -> DataFrame:
 @register("rank_targets", _compose(
     "select target_seq, elem_pos, json_extract_string(e, '$.domain') as domain, json_extract_string(e, '$.error') as error, "
     "json_extract_string(e, '$.page_rank_integer') as page_rank_integer, json_extract_string(e, '$.rank') as rank from "
-    "(select target_seq, unnest(range(cast(json_array_length(r) as bigint))) as elem_pos, unnest(json_extract(r, '$[*]')) as e "
+    "(select target_seq, unnest(list_transform(range(cast(json_array_length(r) as bigint)), lambda i: cast(i as int))) as elem_pos, unnest(json_extract(r, '$[*]')) as e "
     "from (select t.target_seq, json_extract(p.body, '$.response') as r from targets t join rank_payloads p on p.target_seq = t.target_seq "
     f"where {D.strip('t.target')} <> '' and p.http_status = 200 and json_valid(p.body)) z) y", [], ("targets", "rank_payloads")))
 def q_rank_targets(spark, sf):

@@ -67,7 +67,7 @@ def q_resolve_link(spark, sf):
     return h.select("target_seq", "href", T.resolve_link(K.WHOIS_BASE_URL, F.col("href")).alias("url"))
 
 
-DIG_ANS_SQL = ("select target_seq, unnest(range(len(ans))) as ans_pos, unnest(ans) as t from "
+DIG_ANS_SQL = ("select target_seq, unnest(list_transform(range(len(ans)), lambda i: cast(i as int))) as ans_pos, unnest(ans) as t from "
                f"(select target_seq, {D.dig_answers('stdout')} as ans from dig_output) z")
 
 
@@ -151,7 +151,7 @@ def q_first_response(spark, sf):
 @register("explode_response", _compose(
     "select target_seq, elem_pos, k.key as key, case when json_type(k.value) = 'NULL' then null "
     "when json_type(k.value) = 'VARCHAR' then json_extract_string(k.value, '$') else k.value::varchar end as value from "
-    "(select target_seq, unnest(range(cast(json_array_length(r) as bigint))) as elem_pos, unnest(json_extract(r, '$[*]')) as e from "
+    "(select target_seq, unnest(list_transform(range(cast(json_array_length(r) as bigint)), lambda i: cast(i as int))) as elem_pos, unnest(json_extract(r, '$[*]')) as e from "
     "(select target_seq, json_extract(body, '$.response') as r from rank_payloads where json_valid(body)) z) y, "
     "json_each(e) k", [], ("rank_payloads",)))
 def q_explode_response(spark, sf):
@@ -196,7 +196,7 @@ def q_enrich_network(spark, sf):
 @register("enrich_dns", _compose(
     "select target_seq, record_type, ans_pos, t[1] as record_name, t[2] as ttl, t[3] as class, t[4] as type, "
     "array_to_string(t[5:], ' ') as value from (select target_seq, record_type, "
-    "unnest(case when len(ans) > 0 then range(len(ans)) else [null] end) as ans_pos, "
+    "unnest(case when len(ans) > 0 then list_transform(range(len(ans)), lambda i: cast(i as int)) else [null] end) as ans_pos, "
     "unnest(case when len(ans) > 0 then ans else [null] end) as t from "
     f"(select t.target_seq, d.record_type, case when d.returncode = 0 then {D.dig_answers('d.stdout')} else [] end as ans "
     "from targets t left join dig_output_types d on d.target_seq = t.target_seq) z) y", [], ("targets", "dig_output_types")))
