@@ -43,6 +43,14 @@ def duck(sf_dir: str):
     return con
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE",
+                 "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+def spark_types(df) -> dict:
+    return {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+
+
 def rows_of_spark(df):
     cols = sorted(df.columns)
     return cols, [tuple(_canon(r[c]) for c in cols) for r in df.select(*cols).collect()]
@@ -62,16 +70,22 @@ def compare(spark, key: str, sf_dir: str, con=None) -> dict:
     load_all()
     con = con or duck(sf_dir)
     t0 = time.time()
-    scols, srows = rows_of_spark(QUERIES[key](spark, sf_dir))
+    sdf = QUERIES[key](spark, sf_dir)
+    stypes = spark_types(sdf)
+    scols, srows = rows_of_spark(sdf)
     t1 = time.time()
     out = {"key": key, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2)}
     if key not in ORACLE:
         out["status"] = "rows-only"
         return out
     dcols, drows = rows_of_duck(con, ORACLE[key])
+    rel = con.sql(ORACLE[key])
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     out.update(duck_rows=len(drows), duck_sec=round(time.time() - t1, 2))
     if scols != dcols:
         out["status"] = f"SCHEMA {scols} != {dcols}"
+    elif stypes != dtypes:
+        out["status"] = f"TYPES {sorted(set(stypes.items()) ^ set(dtypes.items()))}"
     elif Counter(srows) != Counter(drows):
         a, b = Counter(srows), Counter(drows)
         out["status"] = "VALUES"

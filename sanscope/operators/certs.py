@@ -18,7 +18,6 @@ from pyspark.sql.window import Window
 
 from sanscope.functions import names as N
 
-ENTRY_COLUMNS = ("entry_seq", "min_cert_id", "id", "issuer_ca_id", "common_name", "name_value", "not_before", "not_after")
 
 
 def with_cert_id(entries: DataFrame) -> DataFrame:

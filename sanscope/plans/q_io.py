@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from sanscope import constants as K
 from sanscope.checks import duckdb_sql as D
-from sanscope.functions import names as N
 from sanscope.operators import certs as C
 from sanscope.operators import envelopes as E
-from sanscope.operators import ordering, ranking, state
+from sanscope.operators import ordering, ranking
 from sanscope.operators import whois as W
 from sanscope.plans import discover as P
 from sanscope.plans import q_html, q_lookups
@@ -44,9 +43,6 @@ def q_src_targets(spark, sf):
     return cli.unionByName(RD.target_lines(lines).select(F.lit(1).alias("source_ord"), "line_ord", "target"))
 
 
-CSV_LINE = "'\"' || replace(target, '\"', '\"\"') || '\"'"
-
-
 @register("src_domains_csv", _compose(
     f"select target_seq, {D.strip('target')} as dominio from targets where {D.strip('target')} <> ''", [], ("targets",)))
 def q_src_domains_csv(spark, sf):

@@ -3,7 +3,6 @@ and the per-tool result envelopes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sanscope import constants as K
@@ -15,7 +14,6 @@ from sanscope.functions import targets as T
 from sanscope.operators import envelopes as E
 from sanscope.operators import network as NET
 from sanscope.operators import ranking as R
-from sanscope.operators import whois as W
 from sanscope.plans.q_certs import _compose
 from sanscope.plans.registry import register
 from sanscope.sources import fixtures as X

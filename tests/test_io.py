@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from sanscope.sinks import writers as W
 from sanscope.sources import readers as R
