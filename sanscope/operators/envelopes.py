@@ -22,6 +22,7 @@ from sanscope.functions import parsers as P
 from sanscope.functions import targets as T
 
 MAX_BROADCAST_TARGETS = 2_000_000
+MAX_WIDE_COLUMNS = 20_000
 
 
 def head(ts: str, action: str, ok: Column, status: Column, error: Column) -> list[Column]:
@@ -105,7 +106,12 @@ def widen(df: DataFrame, flat_col: str, keys: Sequence[str] | None = None) -> Da
     discovered in one aggregate pass (its size is the number of distinct JSON paths,
     not rows), then each key becomes ``element_at(map, key)``."""
     if keys is None:
-        keys = [r[0] for r in df.select(F.explode(F.col(flat_col)["key"]).alias("k")).distinct().orderBy("k").collect()]
+        found = df.select(F.explode(F.col(flat_col)["key"]).alias("k")).distinct()
+        n = found.count()
+        if n > MAX_WIDE_COLUMNS:
+            raise ValueError(f"{n} distinct flattened keys: too many columns for a wide table; "
+                             "use the long form (jsonflat.explode_kv) instead")
+        keys = [r[0] for r in found.orderBy("k").collect()]
     m = F.map_from_entries(F.coalesce(F.col(flat_col), F.array().cast("array<struct<key:string,value:string>>")))
     return df.select("*", *[F.element_at(m, F.lit(k)).alias(k) for k in keys]).drop(flat_col)
 
