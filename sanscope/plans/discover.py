@@ -34,8 +34,15 @@ def _by_ord(values: dict[int, object]) -> Column:
 
 
 def responses(entries: DataFrame, searches: Sequence[Search], kind: str | None) -> DataFrame:
-    """Stored responses: the entries each search returned, tagged with ``query_ord``."""
-    hits = C.text_hits(entries, [t for _, t in searches])
+    """Stored responses: the entries each search returned, tagged with ``query_ord``.
+
+    Snapshots that already carry ``query_ord`` (one stored response per search) are used
+    as they are; otherwise each entry is tagged with every search whose term its
+    lower-cased names contain (one scan, no join)."""
+    if "query_ord" in entries.columns:
+        hits = entries
+    else:
+        hits = C.text_hits(entries, [t for _, t in searches])
     ords = _ords(searches, kind)
     return hits.where(F.col("query_ord").isin(ords)) if kind is not None else hits
 
