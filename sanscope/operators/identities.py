@@ -22,6 +22,33 @@ def identity_domain_match(col: str, domain: str) -> Column:
     return F.ilike(F.col(col), F.lit("%." + domain)) | (F.col(col) == F.lit(domain))
 
 
+def reversed_labels(col) -> Column:
+    """Lower-cased name with its dot labels reversed: ``www.Example.com`` -> ``com.example.www``."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.array_join(F.reverse(F.split(F.lower(c), r"\.", -1)), ".")
+
+
+def with_name_index(identities: DataFrame, col: str = "name_value") -> DataFrame:
+    """Add ``rev_name``. Written sorted by it (``write_name_index``), a suffix search
+    becomes a prefix search that parquet row-group statistics can prune."""
+    return identities.withColumn("rev_name", reversed_labels(col))
+
+
+def write_name_index(identities: DataFrame, path: str, col: str = "name_value", partitions: int | None = None) -> None:
+    """Range-partition and sort by ``rev_name`` so every file and row group covers a
+    narrow, ordered slice of the reversed names."""
+    df = with_name_index(identities, col)
+    df = df.repartitionByRange(partitions, "rev_name") if partitions else df.repartitionByRange("rev_name")
+    df.sortWithinPartitions("rev_name").write.mode("overwrite").parquet(path)
+
+
+def identity_domain_match_indexed(domain: str, col: str = "name_value", rev_col: str = "rev_name") -> Column:
+    """``NAME_VALUE ILIKE '%.d' OR NAME_VALUE = d`` on an indexed table: the suffix test
+    is ``rev_name LIKE 'd-reversed.%'`` (pushed to parquet as StringStartsWith)."""
+    rev = ".".join(reversed(domain.lower().split(".")))
+    return F.col(rev_col).startswith(rev + ".") | (F.col(col) == F.lit(domain))
+
+
 def identity_keyword_match(col: str, keyword: str) -> Column:
     """``NAME_VALUE ILIKE '%kw%' OR NAME_VALUE = kw``."""
     return F.ilike(F.col(col), F.lit("%" + keyword + "%")) | (F.col(col) == F.lit(keyword))

@@ -70,3 +70,18 @@ def test_results_header_first_appearance(spark):
     a = spark.createDataFrame([(1, None)], "x int, y string")
     b = spark.createDataFrame([(2, "v")], "x int, z string")
     assert W.header_first_appearance([a, b]) == ["x", "z"]
+
+
+def test_name_index_prefix_pushdown(spark, sf):
+    from sanscope.operators import identities as I
+    from sanscope.sources import fixtures as X
+
+    d = _tmp()
+    ids = X.cert_identities(spark, sf)
+    I.write_name_index(ids, os.path.join(d, "idx"), partitions=4)
+    idx = spark.read.parquet(os.path.join(d, "idx"))
+    hit = idx.where(I.identity_domain_match_indexed("example.com"))
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(rev_name,com.example.)" in plan
+    plain = ids.where(I.identity_domain_match("name_value", "example.com"))
+    assert hit.count() == plain.count()
