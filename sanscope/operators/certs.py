@@ -153,25 +153,37 @@ def filter_not_expired(entries: DataFrame, as_of: str, col: str = "not_after") -
     return entries.where(N.parse_cert_time(col) > F.lit(as_of).cast("timestamp"))
 
 
+def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """Inclusive running sum of ``value`` within ``by`` in ``order`` order (``order`` unique
+    within ``by``, non-negative integers), without any window partition larger than
+    ``width`` rows: sums inside buckets of ``width`` consecutive order values, plus
+    offsets = running sums over the bucket totals, computed the same way (recursively;
+    log_width(max order) levels, the level count comes from one small aggregate)."""
+    top = df.agg(F.max(order)).first()[0] or 0
+    return _running_sum(df, by, order, value, out, width, int(top), 0)
+
+
+def _running_sum(df: DataFrame, by: str, order: str, value: str, out: str, width: int, top: int, level: int) -> DataFrame:
+    b, loc, tot, off = f"_b{level}", f"_loc{level}", f"_t{level}", f"_o{level}"
+    d = df.withColumn(b, F.floor(F.col(order) / F.lit(width)))
+    w = Window.partitionBy(by, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumn(loc, F.sum(value).over(w))
+    if top < width:  # a single bucket per group: the local sum is the answer
+        return local.drop(b).withColumnRenamed(loc, out)
+    totals = d.groupBy(by, b).agg(F.sum(value).alias(tot))
+    runs = _running_sum(totals, by, b, tot, f"_r{level}", width, top // width, level + 1)
+    offsets = runs.select(by, b, (F.col(f"_r{level}") - F.col(tot)).alias(off))
+    return local.join(offsets, [by, b]).withColumn(out, F.col(loc) + F.col(off)).drop(b, loc, off)
+
+
 def novelty_curve(named_first: DataFrame, by: str = "query_ord", order: str = "entry_seq",
                   bucket_width: int = 1 << 16) -> DataFrame:
     """'New domains found: n. Total: m' per certificate, only where n > 0.
 
     ``named_first``: (by, order, domain) for the names each query kept. A domain is
-    new at the first ``order`` it appears in its query. Running totals are a
-    two-level prefix sum: within buckets of ``bucket_width`` consecutive ``order``
-    values (each window partition holds at most that many rows), plus per-bucket
-    offsets from a window over the bucket totals. No global single-task window."""
+    new at the first ``order`` it appears in its query; the totals are a bounded-partition
+    running sum (``running_sum``) - no global or per-search single-task window."""
     firsts = named_first.groupBy(by, "domain").agg(F.min(order).alias(order))
     per_entry = firsts.groupBy(by, order).agg(F.count("*").alias("new_domains"))
-    per_entry = per_entry.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket_width)))
-    bucket_tot = per_entry.groupBy(by, "_bucket").agg(F.sum("new_domains").alias("_bt"))
-    offsets = bucket_tot.withColumn(
-        "_off",
-        F.coalesce(F.sum("_bt").over(Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)),
-    ).select(by, "_bucket", "_off")
-    w = Window.partitionBy(by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = per_entry.withColumn("_local", F.sum("new_domains").over(w))
-    return local.join(offsets, [by, "_bucket"]).select(
-        by, order, "new_domains", (F.col("_local") + F.col("_off")).alias("total_domains"))
+    return running_sum(per_entry, by, order, "new_domains", "total_domains", bucket_width).select(
+        by, order, "new_domains", "total_domains")

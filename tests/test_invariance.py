@@ -31,3 +31,14 @@ def test_novelty_curve_buckets_do_not_change_totals(spark, sf):
     small = C.novelty_curve(named, bucket_width=64)
     big = C.novelty_curve(named)
     assert _rows(small) == _rows(big)
+
+
+def test_running_sum_multi_level(spark):
+    rows = [(q, i, (i * 7 + q) % 5) for q in (0, 1) for i in range(0, 3000, 3)]
+    df = spark.createDataFrame(rows, "q int, o long, v long")
+    got = {(r["q"], r["o"]): r["s"] for r in C.running_sum(df, "q", "o", "v", "s", width=4).collect()}
+    want, acc = {}, {}
+    for q, o, v in sorted(rows):
+        acc[q] = acc.get(q, 0) + v
+        want[(q, o)] = acc[q]
+    assert got == want
