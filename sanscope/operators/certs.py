@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sanscope.functions import names as N
+from sanscope.session import materialize
 
 
 
@@ -114,7 +115,7 @@ def explode_ords(df: DataFrame, hits: Column, out: str = "query_ord") -> DataFra
     """One row per non-null ordinal of ``hits``. ``explode_outer`` + null filter keeps the
     optimizer from inferring a ``size > 0`` filter that would evaluate every match
     predicate a second time below the projection."""
-    return df.withColumn(out, F.explode_outer(F.filter(hits, lambda x: x.isNotNull()))).where(F.col(out).isNotNull())
+    return df.withColumn(out, F.explode_outer(F.array_compact(hits))).where(F.col(out).isNotNull())
 
 
 def first_query_owner(hits: DataFrame, key: str = "cert_id", order: str = "query_ord") -> DataFrame:
@@ -153,25 +154,37 @@ def filter_not_expired(entries: DataFrame, as_of: str, col: str = "not_after") -
     return entries.where(N.parse_cert_time(col) > F.lit(as_of).cast("timestamp"))
 
 
-def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, width: int = 1 << 16) -> DataFrame:
+def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, width: int = 1 << 16,
+                levels: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` within ``by`` in ``order`` order (``order`` unique
-    within ``by``, non-negative integers), without any window partition larger than
+    within ``by``, non-negative integers) without any window partition larger than
     ``width`` rows: sums inside buckets of ``width`` consecutive order values, plus
-    offsets = running sums over the bucket totals, computed the same way (recursively;
-    log_width(max order) levels, the level count comes from one small aggregate)."""
-    top = df.agg(F.max(order)).first()[0] or 0
-    return _running_sum(df, by, order, value, out, width, int(top), 0)
-
-
-def _running_sum(df: DataFrame, by: str, order: str, value: str, out: str, width: int, top: int, level: int) -> DataFrame:
+    offsets = the running sum over the bucket totals, computed the same way one level up.
+
+    The input feeds every level, so it is checkpointed once (to ``spark.checkpoint.dir``;
+    this also cuts the lineage); the number of levels is then the smallest with
+    ``width ** levels > max(order)``, read from the checkpointed rows."""
+    df = materialize(df, "running-sum")
+    if levels is None:
+        top = int(df.agg(F.max(order)).first()[0] or 0)
+        levels = 1
+        while width ** levels <= top:
+            levels += 1
+    return _running_sum(df, by, order, value, out, width, levels, 0)
+
+
+def _running_sum(df: DataFrame, by: str, order: str, value: str, out: str, width: int, levels: int,
+                 level: int) -> DataFrame:
+    if level == levels - 1:
+        # top level: order values are below ``width`` here, so a group holds < width rows
+        w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(w))
     b, loc, tot, off = f"_b{level}", f"_loc{level}", f"_t{level}", f"_o{level}"
     d = df.withColumn(b, F.floor(F.col(order) / F.lit(width)))
     w = Window.partitionBy(by, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumn(loc, F.sum(value).over(w))
-    if top < width:  # a single bucket per group: the local sum is the answer
-        return local.drop(b).withColumnRenamed(loc, out)
     totals = d.groupBy(by, b).agg(F.sum(value).alias(tot))
-    runs = _running_sum(totals, by, b, tot, f"_r{level}", width, top // width, level + 1)
+    runs = _running_sum(totals, by, b, tot, f"_r{level}", width, levels, level + 1)
     offsets = runs.select(by, b, (F.col(f"_r{level}") - F.col(tot)).alias(off))
     return local.join(offsets, [by, b]).withColumn(out, F.col(loc) + F.col(off)).drop(b, loc, off)
 

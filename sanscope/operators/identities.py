@@ -84,7 +84,7 @@ def fulltext_certificates(identities: DataFrame, searches: Sequence[str], cert_c
         groups.append((i, names))
     per_cert = identities.groupBy(cert_col).agg(*flags)
     hit = F.array(*[F.when(F.lit(bool(cols)) & _all(cols), F.lit(i)) for i, cols in groups])
-    return per_cert.select(cert_col, F.explode_outer(F.filter(hit, lambda x: x.isNotNull())).alias("query_ord")).where(
+    return per_cert.select(cert_col, F.explode_outer(F.array_compact(hit)).alias("query_ord")).where(
         F.col("query_ord").isNotNull())
 
 
@@ -105,7 +105,7 @@ def filter_fulltext(identities: DataFrame, searches: Sequence[str], cert_col: st
 def tag_matches(identities: DataFrame, preds: dict[int, Column]) -> DataFrame:
     """Explode each identity into the searches whose row predicate it satisfies."""
     hit = F.array(*[F.when(p, F.lit(i)) for i, p in preds.items()])
-    return identities.withColumn("query_ord", F.explode_outer(F.filter(hit, lambda x: x.isNotNull()))).where(
+    return identities.withColumn("query_ord", F.explode_outer(F.array_compact(hit))).where(
         F.col("query_ord").isNotNull())
 
 

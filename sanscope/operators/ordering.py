@@ -8,8 +8,8 @@ and without a global window:
 2. count rows per partition (a table of exactly ``num_partitions`` rows, so its
    broadcast is bounded), turn the counts into offsets, add them.
 
-The range-partitioned frame is checkpointed to ``spark.checkpoint.dir`` so both
-passes see the same partition assignment even after an executor is lost.
+The range-partitioned frame is written once under ``spark.checkpoint.dir`` and read
+back, so both passes see the same partition assignment even after an executor is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sanscope.session import ensure_checkpoint_dir
+from sanscope.session import ensure_checkpoint_dir, materialize
 
 _LOCAL_BITS = 33
 
@@ -30,12 +30,11 @@ def order_number(df: DataFrame, order_cols: Sequence[str], out_col: str = "order
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    ranged = (
+    ranged = materialize(
         df.repartitionByRange(n, *order_cols)
         .sortWithinPartitions(*order_cols)
-        .select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-        .checkpoint(eager=True)
-    )
+        .select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")),
+        "order-number")
     counts = ranged.groupBy("_pid").agg(F.count("*").alias("_cnt"))
     offsets = counts.select(
         "_pid",

@@ -110,7 +110,7 @@ def label_hits(domains: DataFrame, labels_by_ord: dict[int, str]) -> DataFrame:
     """(query_ord, domain) for every search whose private-suffix label the domain carries.
     One pass, no join: each name gets the array of matching search ordinals."""
     hits = F.array(*[F.when(N.has_label("domain", lab), F.lit(i)) for i, lab in labels_by_ord.items()])
-    return domains.withColumn("query_ord", F.explode_outer(F.filter(hits, lambda x: x.isNotNull()))).where(
+    return domains.withColumn("query_ord", F.explode_outer(F.array_compact(hits))).where(
         F.col("query_ord").isNotNull())
 
 

@@ -12,7 +12,7 @@ from sanscope.operators import certs as C
 from sanscope.operators import identities as I
 from sanscope.operators import state
 from sanscope.plans.q_certs import _compose
-from sanscope.session import ensure_checkpoint_dir
+from sanscope.session import materialize
 from sanscope.plans.registry import register
 from sanscope.sources import fixtures as X
 
@@ -143,8 +143,7 @@ def discover_db(spark: SparkSession, identities: DataFrame, ca: DataFrame, seen:
         # every search takes its own ordered top-n from the matched rows: write them once
         # to the shared checkpoint folder instead of recomputing the scan and the
         # full-text aggregate per search (also cuts the lineage)
-        ensure_checkpoint_dir(spark)
-        rows = rows.checkpoint(eager=True)
+        rows = materialize(rows, "db-matches")
     rows = I.limit_identities(rows, limit, by="query_ord", ords=ords)
     rows = I.join_issuer(rows, ca)
     if seen is not None:

@@ -55,3 +55,14 @@ def state_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint root (stream checkpoints, versioned state)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}"
+
+
+def materialize(df, name: str):
+    """Cut the lineage of ``df``: write it once as parquet under the shared checkpoint
+    folder and read it back. (``Dataset.checkpoint`` without a persist computes its input
+    twice - once to count, once to write.)"""
+    import uuid
+
+    path = state_path(df.sparkSession, f"materialized/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

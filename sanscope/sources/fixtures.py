@@ -65,8 +65,7 @@ def cert_entries(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "name"))),
-                            lambda x: x["name"]),
+                F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "name"))).getField("name"),
                 "\n",
             ).alias("name_value"),
             F.max("host").alias("common_name"),

@@ -28,7 +28,7 @@ def test_dedup_first_wins_is_order_independent(spark, sf):
 def test_novelty_curve_buckets_do_not_change_totals(spark, sf):
     named = C.entry_names(C.dedup_certs(C.text_hits(entries(spark, sf), ["example.com", "mail"]), by=["query_ord"]),
                           keep=("query_ord", "entry_seq"))
-    small = C.novelty_curve(named, bucket_width=64)
+    small = C.novelty_curve(named, bucket_width=1 << 12)
     big = C.novelty_curve(named)
     assert _rows(small) == _rows(big)
 
@@ -36,7 +36,7 @@ def test_novelty_curve_buckets_do_not_change_totals(spark, sf):
 def test_running_sum_multi_level(spark):
     rows = [(q, i, (i * 7 + q) % 5) for q in (0, 1) for i in range(0, 3000, 3)]
     df = spark.createDataFrame(rows, "q int, o long, v long")
-    got = {(r["q"], r["o"]): r["s"] for r in C.running_sum(df, "q", "o", "v", "s", width=4).collect()}
+    got = {(r["q"], r["o"]): r["s"] for r in C.running_sum(df, "q", "o", "v", "s", width=4, levels=7).collect()}
     want, acc = {}, {}
     for q, o, v in sorted(rows):
         acc[q] = acc.get(q, 0) + v
