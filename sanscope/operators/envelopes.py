@@ -107,11 +107,10 @@ def widen(df: DataFrame, flat_col: str, keys: Sequence[str] | None = None) -> Da
     not rows), then each key becomes ``element_at(map, key)``."""
     if keys is None:
         found = df.select(F.explode(F.col(flat_col)["key"]).alias("k")).distinct()
-        n = found.count()
-        if n > MAX_WIDE_COLUMNS:
-            raise ValueError(f"{n} distinct flattened keys: too many columns for a wide table; "
-                             "use the long form (jsonflat.explode_kv) instead")
-        keys = [r[0] for r in found.orderBy("k").collect()]
+        keys = [r[0] for r in found.orderBy("k").limit(MAX_WIDE_COLUMNS + 1).collect()]  # one job, bounded
+        if len(keys) > MAX_WIDE_COLUMNS:
+            raise ValueError(f"more than {MAX_WIDE_COLUMNS} distinct flattened keys: too many columns for a "
+                             "wide table; use the long form (jsonflat.explode_kv) instead")
     m = F.map_from_entries(F.coalesce(F.col(flat_col), F.array().cast("array<struct<key:string,value:string>>")))
     return df.select("*", *[F.element_at(m, F.lit(k)).alias(k) for k in keys]).drop(flat_col)
 
@@ -179,7 +178,8 @@ def _checked_broadcast(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def crtsh_subdomains(targets: DataFrame, entries: DataFrame, max_broadcast: int = MAX_BROADCAST_TARGETS) -> DataFrame:
+def crtsh_subdomains(targets: DataFrame, entries: DataFrame, max_broadcast: int = MAX_BROADCAST_TARGETS,
+                     small: bool | None = None) -> DataFrame:
     """(target, name): distinct cleaned names of every certificate holding a name below
     the target (``q=%.target``).
 
@@ -189,7 +189,9 @@ def crtsh_subdomains(targets: DataFrame, entries: DataFrame, max_broadcast: int
     there. The only shuffle is the final distinct on (target, name), which spreads a
     target holding a third of all names over every reducer."""
     t = targets.select(F.lower(N.py_strip("target")).alias("_q")).where(F.col("_q") != "").distinct()
-    t = _checked_broadcast(t, max_broadcast)
+    if small is None:
+        small = targets.count() <= max_broadcast
+    t = F.broadcast(t) if small else t
     e = entries.select(crtsh_name_list().alias("_names")).select("_names", F.explode_outer(_dot_suffixes(F.col("_names"))).alias("_q"))
     hits = e.where(F.col("_q").isNotNull()).join(t, "_q")
     return hits.select(F.col("_q").alias("_target_key"), F.explode("_names").alias("name")).distinct()
@@ -210,8 +212,9 @@ def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str, max_broadcas
     (size-checked) is broadcast onto the (target, name) rows, so repeated targets
     multiply rows inside many tasks instead of one."""
     t = targets.select("target_seq", "target", F.lower(N.py_strip("target")).alias("_target_key"))
-    subs = crtsh_subdomains(targets, entries, max_broadcast)
-    tb = _checked_broadcast(t, max_broadcast)
+    small = targets.count() <= max_broadcast  # one count bounds both broadcasts (distinct keys <= rows)
+    subs = crtsh_subdomains(targets, entries, max_broadcast, small)
+    tb = F.broadcast(t) if small else t
     found = subs.join(tb, "_target_key").select("target_seq", "target", F.col("name").alias("crt_subdomain"))
     bare = t.join(subs.select("_target_key").distinct(), "_target_key", "left_anti").select(
         "target_seq", "target", F.lit(None).cast("string").alias("crt_subdomain"))
