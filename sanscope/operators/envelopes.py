@@ -20,6 +20,7 @@ from sanscope.functions import jsonflat as J
 from sanscope.functions import names as N
 from sanscope.functions import parsers as P
 from sanscope.functions import targets as T
+from sanscope.session import materialize
 
 MAX_BROADCAST_TARGETS = 2_000_000
 MAX_WIDE_COLUMNS = 20_000
@@ -106,6 +107,8 @@ def widen(df: DataFrame, flat_col: str, keys: Sequence[str] | None = None) -> Da
     discovered in one aggregate pass (its size is the number of distinct JSON paths,
     not rows), then each key becomes ``element_at(map, key)``."""
     if keys is None:
+        # the flattened rows feed both the key discovery and the result: write them once
+        df = materialize(df, "wide")
         found = df.select(F.explode(F.col(flat_col)["key"]).alias("k")).distinct()
         keys = [r[0] for r in found.orderBy("k").limit(MAX_WIDE_COLUMNS + 1).collect()]  # one job, bounded
         if len(keys) > MAX_WIDE_COLUMNS:
