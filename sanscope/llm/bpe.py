@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+from .common import share_code
+
 #: Pieces up to this length are remembered, and so many of them; both only save time.
 CACHED_CHARS, CACHED_PIECES = 48, 200_000
 #: An output batch is handed over once it holds this many tokens.
@@ -142,6 +144,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text_col: str
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *extra])
                 at = end
 
+    share_code(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -161,4 +164,5 @@ def decode_documents(df: DataFrame, ranks_path: str, pattern: str, ids_col: str
                 [batch.column(batch.schema.get_field_index(n)) for n in names] + [pa.array(out, pa.binary())],
                 names=[*names, "decoded"])
 
+    share_code(df.sparkSession)
     return df.mapInArrow(run, schema)

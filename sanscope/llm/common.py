@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,18 @@ from sanscope.session import state_path
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a local run, or a
+    folder all machines see); on a cluster that has it installed this changes nothing."""
+    import sanscope
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(sanscope.__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 class Scratch:
     """Tables written below ``spark.checkpoint.dir`` to cut lineage.
 
@@ -22,6 +35,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        share_code(spark)
         self.spark = spark
         self.root = state_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
         self._n = 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sanscope.sources.tables import table
 
-from . import bpe, exact_dedup, url_filter
+from . import bpe, exact_dedup, minhash, suffix_dedup, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -30,7 +30,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_bpe, op8_url_filter)}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_bpe, op8_url_filter, op9_near_dedup, op10_suffix_dedup)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
