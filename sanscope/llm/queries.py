@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 
 from sanscope.sources.tables import table
 
-from . import bpe, exact_dedup, minhash, suffix_dedup, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, minhash, suffix_dedup, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, offsets=False).drop("text")
@@ -38,7 +46,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_bpe, op8_url_filter, op9_near_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op2_decontamination, op3_exact_dedup, op5_html_text, op6_bpe, op8_url_filter, op9_near_dedup, op10_suffix_dedup)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
