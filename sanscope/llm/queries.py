@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from sanscope.sources.tables import table
 
-from . import bpe, decontaminate, exact_dedup, html_text, minhash, suffix_dedup, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, minhash, pii, quality, suffix_dedup, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,6 +25,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -34,6 +43,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.expr(f"filter(base, s -> s.k = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text("base").cast("binary"), 256).alias("base_sha256"),
+                        pii.span_text("spans").alias("spans"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -47,7 +63,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_exact_dedup, op5_html_text, op6_bpe, op8_url_filter, op9_near_dedup, op10_suffix_dedup)}
+    op1_quality, op2_decontamination, op3_exact_dedup, op4_toxicity, op5_html_text, op6_bpe, op7_pii, op8_url_filter,
+    op9_near_dedup, op10_suffix_dedup)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
