@@ -1,14 +1,67 @@
-"""Corpus pipeline over the documents table."""
+"""Corpus pipeline: five stages over the documents table, each calling one operator of ``sanscope.llm``.
+
+Every stage takes (spark, docs, sf_dir) and reads all rows its predecessor kept; all but the last
+return the columns of ``docs`` unchanged. Rows without an id can't be named by a decision on pairs:
+the two dedup stages pass them on. Of rows that share an id these stages keep one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sanscope.llm import bpe, decontaminate, exact_dedup, minhash, toxicity
 from sanscope.llm.common import Scratch
 from sanscope.sources.tables import table
 
-STAGES: list = []
-#: A trained classifier and edit distances decide on rows: not expressible in SQL.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row of ``docs`` for every kept id, and the rows without an id."""
+    kept = judged.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    named = docs.where("doc_id is not null")
+    return (named.join(kept, named["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+            .unionByName(docs.where("doc_id is null")))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity (4): documents more likely toxic than not go."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup (3): of equal texts the least doc_id stays."""
+    return _only(docs, exact_dedup.exact_dedup(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup (9): of each linked group the least doc_id stays."""
+    return _only(docs, minhash.near_duplicates(docs))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (2): documents that hold a copy of an item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE (6): token ids instead of the text, and whether they decode to it."""
+    coded = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, offsets=False)
+    back = bpe.decode_documents(coded, RANKS, public_tokenizers.PATTERN)
+    whole = F.col("decoded") == F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    return back.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("lossless", whole).drop("text", "decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("bpe", tokenize),
+]
+#: A trained classifier, similarity links and edit distances decide on rows: not expressible in SQL.
 ORACLE_SQL = None
 
 

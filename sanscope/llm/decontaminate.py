@@ -190,6 +190,43 @@ def _find(items_of):
     return run
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[tuple[list, list]]:
+    """Item ids and texts in blocks of about ``block_chars`` characters: what one pass over the documents holds."""
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"),
+                             text_or_empty(item_text_col).alias("text")).where("item_id is not null and text <> ''")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield [r[0] for r in rows], [r[1].encode() for r in rows]
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no copy of an item, all columns as they are; no shuffle.
+
+    Null, empty and wordless texts stay; repeated rows are judged alike.
+    """
+    spark = docs.sparkSession
+    share_code(spark)
+
+    def passing(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(*shared.value, similarity)
+            for batch in batches:
+                texts = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
+                clean = np.ones(len(texts), bool)
+                for at, h, bound in document_words([t.translate(_WORDS) for t in texts]):
+                    clean[[at + d for d, _ in items.matches(h, bound)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
+        docs = docs.mapInArrow(passing(spark.sparkContext.broadcast(block)), docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                  block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -202,16 +239,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     spark = docs.sparkSession
     share_code(spark)
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"),
-                             text_or_empty(item_text_col).alias("text")).where("item_id is not null and text <> ''")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).where(
         "doc_id is not null")
     found = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # bounded by block_chars
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1].encode() for r in rows], similarity))
+    for ids, words in _blocks(benchmark, item_col, item_text_col, block_chars):
+        shared = spark.sparkContext.broadcast((ids, words, similarity))
         part = texts.mapInArrow(_find(shared), "doc_id bigint, item_id bigint, edits bigint, words bigint")
         found = part if found is None else found.unionByName(part)
     return (found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.min("words").alias("words"))
