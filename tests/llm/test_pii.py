@@ -1,0 +1,113 @@
+import hashlib
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sanscope.llm import pii
+
+from .helpers import docs
+
+PLAIN = [re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+                                 r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def plain_spans(text):
+    def ok(k, s):
+        digits = re.sub(r"\D", "", s)
+        if k == 1:
+            return all(int(p) <= 255 for p in s.split("."))
+        if k == 2:
+            total = sum(sum(divmod(int(c) * (1 + n % 2), 10)) for n, c in enumerate(digits[::-1]))
+            return 16 <= len(digits) <= 19 and total % 10 == 0
+        return k == 0 or 8 <= len(digits) <= 15
+
+    return [(k, *m.span()) for k, p in enumerate(PLAIN) for m in p.finditer(text) if ok(k, m[0])]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a@.-_+0123459 ()\né🙂", max_size=60))
+def test_base_spans_match_the_patterns(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+@pytest.mark.parametrize("text", ["a@b.co@d.com", "a@b.com_x@y.org", "x@y", "+1 (706) 555-3138, 4111 1111 1111 1111 1.2.3.4.5.6.7.8",
+                                  "4111-1111-1111-1111", "0.0.0.256 999.1.1.1", "@@a@b.c", "🙂 me@x.de 🙂 9.9.9.9"])
+def test_base_cases(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_contexts_discover_unseen_identifiers(spark):
+    """A card that fails the checksum and a phone without plus are found by their contexts, others aren't."""
+    r = random.Random(1)
+    fill = ["river", "stone", "cloud", "green", "table", "light"]
+
+    def card():
+        d = [r.randrange(10) for _ in range(15)]
+        total = sum(sum(divmod(x * (1 + (n + 1) % 2), 10)) for n, x in enumerate(d[::-1]))
+        return "".join(map(str, d + [-total % 10]))
+
+    rows = []
+    for i in range(60):
+        a, b = r.choice(fill), r.choice(fill)
+        rows.append((i, f"{a} my card number {card()} ends {b}; call us at +1 706 555 {r.randrange(1000, 9999)} now"))
+    rows += [(100, "stone my card number 1234567812345678 ends cloud"), (101, "river order 1234567812345671 light"),
+             (102, "green call us at 706 555 3138 now"), (103, None), (104, ""), (105, "no data"), (105, "no data"), (None, "a@b.co")]
+    got = pii.find_pii(docs(spark, rows)).select("doc_id", "base", "spans", pii.span_text("spans").alias("t")).collect()
+    by = {x.doc_id: x for x in got}
+    assert len(got) == len(rows) and by[100].t == "card:21:37" and by[100].base == [] and by[101].t == "" and by[102].t == "phone:17:29"
+    assert by[103].t == by[104].t == by[105].t == "" and by[None].t == "email:0:6"
+    for i, t in rows[:60]:
+        assert [tuple(s) for s in by[i].base] == plain_spans(t) and [s for s in by[i].base if s not in by[i].spans] == []
+
+
+def test_scores_match_brute_force(spark):
+    """Believed strings of the graph, turn by turn, without Spark."""
+    import math
+
+    from sanscope.llm.common import Scratch
+
+    r = random.Random(8)
+    rows = [(f"s{r.randrange(60)}", r.randrange(2), None, [f"p{x}" for x in r.sample(range(8), 2)]) for _ in range(400)]
+    rows = [(w, k, int(w[1:]) < 35, p) for w, k, _, p in rows]
+    df = spark.createDataFrame(rows, "what string, kind int, known boolean, patterns array<string>")
+    got = {tuple(x) for x in pii.believed_strings(df, Scratch(spark, "test"), 3, 3, 0.6).collect()}
+    edges = {}
+    for w, k, known, ps in rows:
+        for p in ps:
+            edges[p, w, k] = edges.get((p, w, k), False) or known
+    believed = {}
+    for _ in range(3):
+        b = {e: 1.0 if known else believed.get(e[1:], 0.0) for e, known in edges.items()}
+        score = {}
+        for p in {e[0] for e in edges}:
+            n = len({e[1] for e in edges if e[0] == p})
+            for k in (0, 1):
+                x = [v for e, v in b.items() if e[0] == p and e[2] == k]
+                if sum(v > 0 for v in x) >= 3:
+                    score[p, k] = sum(x) / (n + pii.DOUBT)
+        now = {}
+        for (p, w, k), known in edges.items():
+            if not known and (p, k) in score:
+                now[w, k] = now.get((w, k), 1.0) * max(1 - score[p, k], 1e-9)
+        believed = {e: 1 - v for e, v in now.items() if 1 - v >= 0.6}
+    assert got == set(believed) and not math.isnan(sum(believed.values()))
+
+
+def test_query_digest(spark, sf):
+    from sanscope.llm.queries import QUERIES
+
+    texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    got = QUERIES["op7_pii"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        base = plain_spans(texts[x.doc_id] or "")
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(s[0] == k for s in base) for k in range(4)]
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert x.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) - {""} <= set(x.spans.split(","))
+
+
+def test_empty_table(spark):
+    assert pii.find_pii(docs(spark, [])).count() == 0
