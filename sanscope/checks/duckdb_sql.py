@@ -6,8 +6,11 @@ ones a statement needs (and their dependencies) in order.
 
 from __future__ import annotations
 
-# Regex pieces shared with sanscope.functions.names (same text works in RE2).
-from sanscope.functions.names import LINE_SPLIT_RE, STRIP_RE
+# The oracle's own patterns: white space and line ends as Python's str.strip and str.splitlines see them.
+_BLANK = (r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+STRIP_RE = rf"^[{_BLANK}]+|[{_BLANK}]+$"
+LINE_SPLIT_RE = r"\r\n|[\x{A}-\x{D}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+IPV4_RE = r"(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}"
 
 FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     "name_rows": ((), r"""
@@ -37,7 +40,9 @@ select 0 as query_ord, 'domain' as kind, 'example.com' as term union all select
 union all select 2, 'keyword', 'umsa' union all select 3, 'domain', 'google.co.uk' union all select 4, 'keyword', 'mail'"""),
     "query_hits": (("cert_entries", "queries"), r"""
 select q.query_ord, e.entry_seq from queries q join cert_entries e
-on lower(coalesce(e.name_value, '') || chr(10) || coalesce(e.common_name, '')) like '%' || q.term || '%'"""),
+on len(list_filter(list_transform(list_concat(string_split(coalesce(e.name_value, ''), chr(10)), [coalesce(e.common_name, '')]),
+    lambda n: lower(trim(n))), lambda n: case q.kind when 'domain' then n = q.term or ends_with(n, '.' || q.term)
+    else contains(n, q.term) end)) > 0"""),
     "cert_identities": (("name_rows",), r"""
 select l_orderkey as certificate_id, name as name_value, o_orderdate as not_before,
   o_orderdate + interval 90 day as not_after, cast(o_custkey % 25 as int) as issuer_ca_id
@@ -59,12 +64,18 @@ select target_seq, trim(target) as target, case when target_seq % 5 = 0 then 404
   else '{"status_code":200,"response":[{"domain":"' || trim(target) || '","page_rank_integer":' || cast(target_seq % 10 as varchar)
   || ',"rank":"' || cast(target_seq * 37 as varchar) || '","error":null}]}' end as body from targets"""),
     "network_payloads": (("targets",), r"""
-select target_seq, trim(target) as target, case when target_seq % 9 = 0 then '<html>err</html>'
+select target_seq, trim(target) as target, case when target_seq % 13 = 0 then 502 else 200 end as http_status,
+  case when target_seq % 9 = 0 then '<html>err</html>'
   else '{"ip":"' || trim(target) || '","network":{"cidr":"10.0.0.0/8","autonomous_system":{"asn":' || cast(6568 + target_seq as varchar)
   || ',"tags":["a",{"k":"v"}]}},"location":{"country":"Bolivia","city":null},"extra":{}}' end as body from targets"""),
+    "json_payloads": (("network_payloads",), r"""
+select target_seq, target, case when target_seq % 9 = 1 then '{"a_b":1,"a":{"b":2},"ip":"x","ip":"y' || cast(target_seq as varchar)
+  || '","n":100.0,"e":[1.5,true,null,{"k":""},12345678901],"z":{},"w":[]}' else body end as body from network_payloads"""),
     "networks": ((), r"""
-select n_nationkey as net_id, case when n_nationkey % 2 = 0 then cast(n_nationkey + 1 as varchar) || '.0.0.0/8'
-  else cast(n_nationkey as varchar) || '.' || cast(n_nationkey - 1 as varchar) || '.0.0/16' end as cidr, 6500 + n_nationkey as asn from nation"""),
+select n_nationkey as net_id, case n_nationkey % 3 when 0 then cast(n_nationkey + 1 as varchar) || '.0.0.0/8'
+  when 1 then cast(n_nationkey as varchar) || '.' || cast(n_nationkey - 1 as varchar) || '.0.0/16'
+  else cast(n_nationkey * 8 + 1 as varchar) || '.' || cast(n_nationkey * 8 as varchar) || '.' || cast(n_nationkey % 5 as varchar) || '.0/24'
+  end as cidr, 6500 + n_nationkey as asn from nation"""),
     "dig_output": (("targets",), r"""
 select target_seq, trim(target) as target, 'A' as record_type, case when target_seq % 6 = 0 then 9 else 0 end as returncode,
   case when target_seq % 5 = 0 then '' else trim(target) || '.' || chr(9) || '300' || chr(9) || 'IN' || chr(9) || 'A' || chr(9) || '10.0.0.'
@@ -87,17 +98,18 @@ select target_seq, trim(target) as target, case when target_seq % 6 = 0 then 28
     "whois_pages": ((), r"""
 select s_suppkey as page_id, 'root' || cast(s_suppkey as varchar) as root, case when s_suppkey % 2 = 0 then '.bo' else '.ia.bo' end as zone,
   case when s_suppkey % 7 = 0 then '<html><p>sin tabla</p></html>' else '<html><table><tr><th>Nombre de dominio</th><th>Estado</th></tr><tr><td> root'
-  || cast(s_suppkey as varchar) || '.com.bo </td><td><a href="revisar_contacto.php?id=' || cast(s_suppkey as varchar)
-  || '">Registrado</a></td></tr><tr><td>root' || cast(s_suppkey as varchar) || '.edu.bo</td><td>Disponible</td><td>280 Bs</td></tr></table></html>' end as html from supplier"""),
+  || cast(s_suppkey as varchar) || '.com.bo </td><td><a href="revisar_contacto.php?a=1&amp;id=' || cast(s_suppkey as varchar)
+  || '">Registrado</a></td></tr><tr><td>root' || cast(s_suppkey as varchar) || '.edu.bo</td><td>Disponible &ndash; s&iacute;&#33;</td><td>280 Bs</td></tr></table></html>' end as html from supplier"""),
     "whois_pages_both": (("whois_pages",), r"""
 select page_id, root, zone, html from whois_pages
 union all select page_id, root, case when zone = '.bo' then '.ia.bo' else '.bo' end, html from whois_pages"""),
     "whois_details": ((), r"""
-select s_suppkey as page_id, 'https://nic.bo/revisar_contacto.php?id=' || cast(s_suppkey as varchar) as url,
-  '<table><tr><td>Titular :</td><td>' || s_name || '</td></tr><tr><th>Contacto</th></tr><tr><td>Ciudad:</td><td>La Paz</td></tr><tr><td>Ciudad:</td><td>Oruro</td></tr></table>' as html from supplier"""),
+select s_suppkey as page_id, 'https://nic.bo/revisar_contacto.php?a=1&id=' || cast(s_suppkey as varchar) as url,
+  '<table><tr><td>Titular :</td><td>' || s_name || '</td></tr><tr><th>Contacto</th></tr><tr><td>Ciudad:</td><td>La Paz</td></tr><tr><td>Ciudad:</td><td>Oruro</td></tr><tr><td>Tel_Casa</td><td>1</td></tr><tr><th>Contacto_Tel</th></tr><tr><td>Casa</td><td>&aacute;2</td></tr></table>' as html from supplier"""),
     "crtsh_targets": ((), r"""
 select s_suppkey as target_seq, case when s_suppkey % 13 = 0 then '  ' when s_suppkey % 5 = 0 then ' ' || b || ' ' else b end as target
-from (select s_suppkey, ['example.com','acme.com.bo','umsa.edu.bo','www.acme.com','google.co.uk','shop.example.com','localhost'][cast(s_suppkey % 7 as int) + 1] as b
+from (select s_suppkey, case when s_suppkey > 28 then cast(s_suppkey as varchar) || '.' else '' end ||
+  ['example.com','acme.com.bo','umsa.edu.bo','www.acme.com','google.co.uk','shop.example.com','localhost'][cast(s_suppkey % 7 as int) + 1] as b
   from supplier) z"""),
     "whois_targets": ((), r"""
 select s_suppkey as target_seq, case when s_suppkey % 3 = 0 then 'nada' || cast(s_suppkey as varchar) || '.bo'
@@ -178,7 +190,7 @@ def _re2(java_re: str) -> str:
 
 def target_class(x: str) -> str:
     """validate_target class in DuckDB (no look-arounds: the host rule is checked per label)."""
-    from sanscope.functions.targets import IPV4_RE, IPV6_RE
+    from sanscope.functions.targets import IPV6_RE
 
     v = strip(x)
     labels = f"string_split({v}, '.')"
@@ -186,7 +198,7 @@ def target_class(x: str) -> str:
             f"list_aggregate(list_transform({labels}, lambda l: regexp_full_match(l, '[A-Za-z0-9-]{{1,63}}') "
             f"and not ends_with(l, '-')), 'bool_and'))")
     return (f"(case when {v} = '' then null when starts_with({v}, 'http://') or starts_with({v}, 'https://') then null "
-            f"when regexp_full_match({v}, '{_re2(IPV4_RE)}') or regexp_full_match({v}, '{_re2(IPV6_RE)}') then 'ip' "
+            f"when regexp_full_match({v}, '{IPV4_RE}') or regexp_full_match({v}, '{_re2(IPV6_RE)}') then 'ip' "
             f"when regexp_full_match({v}, '(?i)AS[0-9]+') then 'asn' when {host} then 'domain' end)")
 
 

@@ -47,7 +47,7 @@ PREFIX_OPR = "opr_"
 PREFIX_WHOIS = "whois_"
 
 # --- defaults
-DEFAULT_DB_LIMIT = 30000
+DB_ROW_LIMIT = 30000  # value of the database search's row option; runs here have no limit unless one is given
 DEFAULT_RANK_BATCH = 250
 
 # --- envelope column order

@@ -5,6 +5,8 @@ cells are out of scope (stated limit)."""
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,24 @@ CELL_RE = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"
 HREF_RE = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
 TAG_RE = r"(?s)<[^>]*>"
 
-# FIXED VALUES: HTML entities decoded in cell text
-ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+_PIECE_RE = r"(&#?[A-Za-z0-9]+;|[^&]+|&)"
+
+
+def decode_entities(col) -> Column:
+    """Named (the HTML 4 names, from the standard library's table) and numeric character references."""
+    c = _c(col)
+    named = F.create_map(*[F.lit(x) for n, p in sorted(name2codepoint.items()) for x in (f"&{n};", chr(p))])
+
+    def one(p: Column) -> Column:
+        digits = F.when(p.rlike("^&#[0-9]{1,7};$"), F.regexp_extract(p, "([0-9]+)", 1).cast("int")).when(
+            p.rlike("^&#[xX][0-9A-Fa-f]{1,6};$"), F.conv(F.regexp_extract(p, "[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("int"))
+        char = F.when(digits.between(1, 0xD7FF) | digits.between(0xE000, 0x10FFFF),
+                      F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
+        return F.when(p == "&apos;", F.lit("'")).otherwise(F.coalesce(F.try_element_at(named, p), char, p))
+
+    pieces = F.transform(F.regexp_extract_all(c, F.lit(_PIECE_RE), F.lit(1)), one)
+    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
+
 
 
 def has_table(col) -> Column:
@@ -32,10 +50,7 @@ def first_table(col) -> Column:
 
 def cell_text(col) -> Column:
     """Tag-free, entity-decoded, stripped text of a cell."""
-    t = F.regexp_replace(_c(col), TAG_RE, "")
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return py_strip(t)
+    return py_strip(decode_entities(F.regexp_replace(_c(col), TAG_RE, "")))
 
 
 def table_rows(col) -> Column:
@@ -44,5 +59,5 @@ def table_rows(col) -> Column:
     return F.transform(rows, lambda r, i: F.struct(
         i.alias("pos"),
         F.transform(F.regexp_extract_all(r, F.lit(CELL_RE), 1), cell_text).alias("cells"),
-        F.when(r.rlike(HREF_RE), F.regexp_extract(r, HREF_RE, 1)).alias("href"),
+        F.when(r.rlike(HREF_RE), decode_entities(F.regexp_extract(r, HREF_RE, 1))).alias("href"),
     ))

@@ -1,21 +1,25 @@
-"""JSON flattening on VARIANT values, per row and without a shuffle.
+"""JSON flattening, per row and without a shuffle.
 
-``flatten_json`` turns one JSON document into ``array<struct<key, value>>``: paths
-joined by ``_``, list indexes as segments, a prefix in front, null leaves kept,
-empty objects/lists vanish, and on a duplicate path the last leaf in depth-first
-order wins. Nesting is walked level by level with array higher-order functions
-(``transform``/``flatten``), so each row is flattened inside its own task.
-
-Divergence: VARIANT stores object keys sorted, so "first appearance" order of the
-produced columns follows sorted keys, not the document's key order.
+A document becomes ``array<struct<key, value>>``: paths joined by ``_``, list indexes as segments, a
+prefix in front, null leaves kept, empty objects and lists vanish; paths come in the order of
+their first appearance in the document and the last value of a repeated path wins. Spark's JSON
+values sort object keys and refuse repeated ones, so the documents are read by a small Arrow-batched
+function; everything around it stays in expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODE_TYPE = "array<struct<o:array<int>,n:string,v:variant,done:boolean,value:string>>"
+from sanscope.session import share_code
+
+FLAT_TYPE = "array<struct<key:string,value:string>>"
+PARSED_TYPE = f"valid boolean, found boolean, flat {FLAT_TYPE}"
 
 
 def _kind(v: Column) -> Column:
@@ -28,7 +32,7 @@ def _is_container(v: Column) -> Column:
 
 
 def leaf_text(v: Column) -> Column:
-    """Text the original prints for a scalar: strings as is, booleans ``True``/``False``,
+    """Text the original prints for a scalar VARIANT: strings as is, booleans ``True``/``False``,
     null stays null, numbers in their JSON form."""
     k = _kind(v)
     return (
@@ -39,79 +43,46 @@ def leaf_text(v: Column) -> Column:
     )
 
 
-def _node(o: Column, n: Column, v: Column, done: Column, value: Column) -> Column:
-    return F.struct(o.alias("o"), n.alias("n"), v.alias("v"), done.alias("done"), value.alias("value"))
-
-
-
-
-
-def _expand(x: Column) -> Column:
-    """A node -> itself when done; its children when it is an object or a list; else
-    the node marked done with its leaf text. ``coalesce`` is lazy, so each variant cast
-    runs at most once per node (lambda bodies get no common-subexpression elimination)."""
-    v, o, n = x["v"], x["o"], x["n"]
-    from_obj = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e, i: _node(
-        F.concat(o, F.array(i)), F.concat(n, e["key"], F.lit("_")), e["value"], F.lit(False), F.lit(None).cast("string")))
-    from_arr = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda y, i: _node(
-        F.concat(o, F.array(i)), F.concat(n, i.cast("string"), F.lit("_")), y, F.lit(False), F.lit(None).cast("string")))
-    leaf = F.array(_node(o, n, F.lit(None).cast("variant"), F.lit(True), leaf_text(v)))
-    return F.when(x["done"], F.array(x)).otherwise(F.coalesce(from_obj, from_arr, leaf))
-
-
-def start(doc: Column, prefix: str) -> Column:
-    """Initial state array for a parsed VARIANT document (empty for null)."""
-    root = _node(F.array().cast("array<int>"), F.lit(prefix), doc, F.lit(False), F.lit(None).cast("string"))
-    return F.when(doc.isNull(), F.array().cast(NODE_TYPE)).otherwise(F.array(root))
-
-
-def step(state: Column) -> Column:
-    """One nesting level. The previous state is referenced once, so stacked steps stay
-    linear in size when the optimizer merges them."""
-    return F.flatten(F.transform(state, _expand))
-
-
-def finish(state: Column) -> Column:
-    """Depth-first order, last duplicate path wins -> array<struct<key, value>>."""
-    leaves = F.transform(F.filter(state, lambda x: x["done"]), lambda x: F.struct(
-        x["o"].alias("o"), F.substring(x["n"], 1, F.length(x["n"]) - 1).alias("key"), x["value"].alias("value")))
-    ordered = F.array_sort(leaves)
-    last = F.filter(ordered, lambda e, i: ~F.exists(F.slice(ordered, i + 2, F.size(ordered)), lambda x: x["key"] == e["key"]))
-    return F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-
-
-def json_depth(doc: Column) -> Column:
-    """Nesting depth of a VARIANT document (0 for a scalar): string literals are removed
-    from its JSON text, then the running bracket balance is folded over the rest."""
-    text = F.regexp_replace(F.to_json(doc), r'"(?:[^"\\]|\\.)*"', "")
-    brackets = F.regexp_replace(text, r"[^\[\]{}]", "")
-    chars = F.split(brackets, "", -1)
-    folded = F.aggregate(
-        chars, F.struct(F.lit(0).alias("cur"), F.lit(0).alias("mx")),
-        lambda acc, c: F.struct(
-            (acc["cur"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("cur"),
-            F.greatest(acc["mx"], acc["cur"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("mx")),
-        lambda acc: acc["mx"])
-    return F.coalesce(folded, F.lit(0))
-
-
-def flatten_json_df(df: DataFrame, doc: Column, prefix: str, out_col: str = "flat") -> DataFrame:
-    """Add ``out_col`` = flattened ``doc`` (a VARIANT column expression).
-
-    One small aggregate finds the deepest nesting over all documents; exactly that
-    many level steps (+1 for the leaves) are then added, so the result is exact for
-    any depth and no document is cut."""
-    base = df.withColumn("_doc", doc)
-    depth = base.agg(F.max(json_depth(F.col("_doc")))).first()[0] or 0
-    keep = [c for c in base.columns if c != "_doc"]
-    cur = base.select(*keep, start(F.col("_doc"), prefix).alias("_state"))
-    for _ in range(int(depth) + 1):
-        cur = cur.select(*keep, step(F.col("_state")).alias("_state"))
-    return cur.select(*keep, finish(F.col("_state")).alias(out_col))
-
-
-def is_json_object(doc: Column) -> Column:
-    return F.coalesce(_kind(doc).startswith("OBJECT"), F.lit(False))
+def flatten_value(value, prefix: str) -> dict[str, str | None]:
+    """Path -> text of every leaf, in order of first appearance. Any depth: no recursion."""
+    out: dict[str, str | None] = {}
+    stack = [(prefix, value)]
+    while stack:
+        name, x = stack.pop()
+        if isinstance(x, dict):
+            stack.extend((f"{name}{k}_", v) for k, v in reversed(x.items()))
+        elif isinstance(x, list):
+            stack.extend((f"{name}{i}_", x[i]) for i in range(len(x) - 1, -1, -1))
+        else:
+            out[name[:-1]] = None if x is None else str(x)
+    return out
+
+
+def parsed(body: Column | str, prefix: str, response: bool = False) -> Column:
+    """struct(valid, found, flat) of JSON text. ``found``: it is an object (with ``response``: it
+    has a non-empty list ``response``, whose first element is flattened); else ``flat`` is null."""
+    share_code(SparkSession.active())
+
+    def read(text):
+        try:
+            doc = json.loads(text)
+        except (TypeError, ValueError, RecursionError):
+            return False, False, None
+        if response:
+            doc = doc.get("response") if isinstance(doc, dict) else None
+            if not (isinstance(doc, list) and doc):
+                return True, False, None
+            doc = doc[0]
+        elif not isinstance(doc, dict):
+            return True, False, None
+        return True, True, [{"key": k, "value": v} for k, v in flatten_value(doc, prefix).items()]
+
+    @F.pandas_udf(PARSED_TYPE)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([read(t) for t in texts], columns=["valid", "found", "flat"])
+
+    return run(F.col(body) if isinstance(body, str) else body)
 
 
 def explode_kv(df: DataFrame, flat_col: str, keys) -> DataFrame:

@@ -82,21 +82,40 @@ def domain_level(col) -> Column:
 raw_level = domain_level
 
 
+#: ISO text that is read: a full date, optionally with a time to the minute, second or fraction and a zone.
+ISO_TIME_RE = (r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?"
+               r"(Z|[+-][0-9]{2}:?[0-9]{2})?)?\z")
+ZONE_RE = r":[0-9]{2}.*(Z|[+-][0-9]{2}:?[0-9]{2})\z"
+
+
+def utc_time(col) -> Column:
+    """Text or a timestamp literal without zone -> the instant it names in UTC, whatever the session zone."""
+    c = _c(col)
+    return F.try_to_timestamp(F.concat(F.when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00"))).otherwise(c), F.lit("Z")))
+
+
 def parse_cert_time(col) -> Column:
-    """ISO-8601 text (optional ``Z``/offset) -> TIMESTAMP; unparsable -> null.
+    """ISO-8601 text (optional ``Z``/offset) -> TIMESTAMP; anything else -> null.
+
+    Naive values are UTC. The result does not depend on the session zone or the date of the run."""
+    c = _c(col)
+    zoned = F.regexp_replace(c, r"([+-][0-9]{2})([0-9]{2})\z", "$1:$2")
+    return F.when(c.rlike(ISO_TIME_RE), F.when(c.rlike(ZONE_RE), F.try_to_timestamp(zoned)).otherwise(utc_time(c)))
+
 
-    Naive values are UTC: the session zone is set to UTC by ``session.use_utc``."""
-    return F.try_to_timestamp(_c(col))
+def utc_text(col, fmt: str) -> Column:
+    """A timestamp printed in UTC, whatever the session zone."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), _c(col).cast("timestamp_ntz")), fmt)
 
 
 def iso_date(col) -> Column:
-    """``ts.date().isoformat()`` or ``""`` for null."""
-    return F.coalesce(F.date_format(_c(col), "yyyy-MM-dd"), F.lit(""))
+    """``ts.date().isoformat()`` in UTC, or ``""`` for null."""
+    return F.coalesce(utc_text(col, "yyyy-MM-dd"), F.lit(""))
 
 
 def is_active(last_seen, as_of) -> Column:
     """'Vigente' when last_seen is strictly after ``as_of``, else 'Expirado' (null too)."""
-    as_of_col = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+    as_of_col = as_of if isinstance(as_of, Column) else utc_time(F.lit(as_of))
     return F.when(_c(last_seen) > as_of_col, F.lit(K.ACTIVE)).otherwise(F.lit(K.EXPIRED))
 
 

@@ -1,8 +1,8 @@
 """Certificate-entry operators: dedup, name explode, filters, per-domain analysis.
 
 Shuffle map (for a cluster run):
-* ``dedup_certs``  - one shuffle on (group, cert_id); ``min_by`` combines map-side,
-  so a hot certificate id ships one row per map task, not all of its copies.
+* ``dedup_certs``  - a hash aggregate of two integers per (group, cert_id), combined map-side,
+  then a semi join on (group, cert_id, entry): only the columns the caller selects are moved.
 * ``domain_analysis`` / ``distinct_domains`` - one shuffle on ``domain`` with a
   partial aggregate first; a domain holding a third of all rows is reduced map-side.
 * filters and ``entry_names`` are narrow (no shuffle) and run inside whole-stage codegen.
@@ -27,18 +27,16 @@ def with_cert_id(entries: DataFrame) -> DataFrame:
 
 
 def dedup_certs(entries: DataFrame, by: Sequence[str] = (), order_col: str = "entry_seq") -> DataFrame:
-    """First entry per ``cert_id`` (in ``order_col`` order) within each ``by`` group;
-    entries without an id are dropped.
+    """First entry per ``cert_id`` (in ``order_col`` order, unique per entry) within each ``by``
+    group; entries without an id are dropped.
 
-    ``min_by`` over the whole row is a partial aggregate: each map task forwards at
-    most one row per (group, cert_id)."""
+    The least order value per (group, cert_id) is a hash aggregate over integers; the rows are kept
+    by a semi join on it, so columns nobody selects are never read and a hot id can be split."""
     if "cert_id" not in entries.columns:
         entries = with_cert_id(entries)
-    cols = [c for c in entries.columns]
     keyed = entries.where(F.col("cert_id").isNotNull())
-    first = keyed.groupBy(*by, "cert_id").agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("row"))
-    return first.select("row.*")
+    first = keyed.groupBy(*by, "cert_id").agg(F.min(order_col).alias(order_col))
+    return keyed.join(first, [*by, "cert_id", order_col], "left_semi")
 
 
 def entry_names(entries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -130,13 +128,13 @@ def first_query_owner(hits: DataFrame, key: str = "cert_id", order: str = "query
 
 def first_owned_entries(hits: DataFrame, key: str = "cert_id", by: str = "query_ord",
                         order_col: str = "entry_seq") -> DataFrame:
-    """``dedup_certs`` per search followed by ``first_query_owner`` in one aggregate: per
-    certificate, the first entry of the first search that returned it,
-    ``min_by(row, (search, entry))`` - one partial+final aggregate, one shuffle."""
-    cols = hits.columns
+    """``dedup_certs`` per search followed by ``first_query_owner``: per certificate, the first
+    entry of the first search that returned it. Both minima are hash aggregates over integers
+    (the second one over at most searches x certificates rows); the rows follow by a semi join."""
     keyed = hits.where(F.col(key).isNotNull())
-    first = keyed.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(by, order_col)).alias("_row"))
-    return first.select("_row.*")
+    per_search = keyed.groupBy(key, by).agg(F.min(order_col).alias(order_col))
+    first = per_search.groupBy(key).agg(F.min_by(order_col, by).alias(order_col), F.min(by).alias(by))
+    return keyed.join(first, [key, by, order_col], "left_semi")
 
 
 def filter_levels(named: DataFrame, max_level: Column) -> DataFrame:
@@ -151,7 +149,7 @@ def filter_private_suffix(named: DataFrame, suffix: Column) -> DataFrame:
 
 def filter_not_expired(entries: DataFrame, as_of: str, col: str = "not_after") -> DataFrame:
     """``exclude=expired``: certificate still valid at ``as_of``."""
-    return entries.where(N.parse_cert_time(col) > F.lit(as_of).cast("timestamp"))
+    return entries.where(N.parse_cert_time(col) > N.utc_time(F.lit(as_of)))
 
 
 def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, width: int = 1 << 16,

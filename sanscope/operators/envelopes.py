@@ -22,9 +22,6 @@ from sanscope.functions import parsers as P
 from sanscope.functions import targets as T
 from sanscope.session import materialize
 
-MAX_BROADCAST_TARGETS = 2_000_000
-MAX_WIDE_COLUMNS = 20_000
-
 
 def head(ts: str, action: str, ok: Column, status: Column, error: Column) -> list[Column]:
     return [F.lit(ts).alias("timestamp"), F.lit(action).alias("action"), F.col("target"),
@@ -110,48 +107,43 @@ def widen(df: DataFrame, flat_col: str, keys: Sequence[str] | None = None) -> Da
         # the flattened rows feed both the key discovery and the result: write them once
         df = materialize(df, "wide")
         found = df.select(F.explode(F.col(flat_col)["key"]).alias("k")).distinct()
-        keys = [r[0] for r in found.orderBy("k").limit(MAX_WIDE_COLUMNS + 1).collect()]  # one job, bounded
-        if len(keys) > MAX_WIDE_COLUMNS:
-            raise ValueError(f"more than {MAX_WIDE_COLUMNS} distinct flattened keys: too many columns for a "
-                             "wide table; use the long form (jsonflat.explode_kv) instead")
+        keys = sorted(r[0] for r in found.collect())  # the result's column names: a schema, not rows
     m = F.map_from_entries(F.coalesce(F.col(flat_col), F.array().cast("array<struct<key:string,value:string>>")))
     return df.select("*", *[F.element_at(m, F.lit(k)).alias(k) for k in keys]).drop(flat_col)
 
 
 def envelope_ipguide(targets: DataFrame, payloads: DataFrame, ts: str, keys: Sequence[str] | None = None) -> DataFrame:
-    j = targets.select("target_seq", "target").join(payloads.select("target_seq", "body"), "target_seq", "left")
-    q = N.py_strip(F.col("target"))
-    blank = q == ""
+    """A stored answer with an HTTP status outside 2xx is an error row: its body is the error text."""
+    p = payloads.select("target_seq", "http_status", "body").withColumn("_p", J.parsed(
+        F.when(N.py_strip(F.col("body")).startswith("{"), F.col("body")), K.PREFIX_IPG))
+    j = targets.select("target_seq", "target").join(p, "target_seq", "left")
+    blank = N.py_strip(F.col("target")) == ""
     found = F.col("body").isNotNull()
-    doc = F.when(N.py_strip(F.col("body")).startswith("{"), F.try_parse_json("body"))
-    is_obj = J.is_json_object(doc)
-    ok = ~blank & found
-    err = F.when(blank, F.lit(K.MSG_PARAM_TARGET_QUERY_REQUIRED)).otherwise(F.lit(""))
-    status = F.when(ok, F.lit("200")).otherwise(F.lit(""))
-    base = j.select("target_seq", *head(ts, "ipguide", ok, status, err),
-                    F.when(ok & is_obj, doc).alias("_doc"), F.when(ok & ~is_obj, F.col("body")).alias("ipg_raw_data"))
-    flat = J.flatten_json_df(base, F.col("_doc"), K.PREFIX_IPG, "_flat").drop("_doc")
-    return widen(flat, "_flat", keys)
+    good = F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
+    is_obj = F.coalesce(F.col("_p.found"), F.lit(False))
+    ok = ~blank & found & good
+    err = F.when(blank, F.lit(K.MSG_PARAM_TARGET_QUERY_REQUIRED)).when(found & ~good, F.col("body")).otherwise(F.lit(""))
+    status = F.when(blank, F.lit("")).otherwise(F.coalesce(F.col("http_status").cast("string"), F.lit("")))
+    base = j.select("target_seq", *head(ts, "ipguide", ok, status, err), F.when(ok & is_obj, F.col("_p.flat")).alias("_flat"),
+                    F.when(ok & ~is_obj, F.col("body")).alias("ipg_raw_data"))
+    return widen(base, "_flat", keys)
 
 
 def envelope_open_rank(targets: DataFrame, payloads: DataFrame, ts: str, keys: Sequence[str] | None = None) -> DataFrame:
-    j = targets.select("target_seq", "target").join(payloads.select("target_seq", "http_status", "body"), "target_seq", "left")
+    p = payloads.select("target_seq", "http_status", "body").withColumn("_p", J.parsed("body", K.PREFIX_OPR, response=True))
+    j = targets.select("target_seq", "target").join(p, "target_seq", "left")
     blank = N.py_strip(F.col("target")) == ""
     http_ok = F.coalesce(F.col("http_status") == 200, F.lit(False))
-    doc = F.try_parse_json("body")
-    parsed = doc.isNotNull()
+    parsed = F.coalesce(F.col("_p.valid"), F.lit(False))
     ok = ~blank & http_ok & parsed
     status = F.when(blank, F.lit("")).otherwise(F.coalesce(F.col("http_status").cast("string"), F.lit("")))
     err = (F.when(blank, F.lit(K.MSG_PARAM_TARGET_REQUIRED)).when(~http_ok, F.coalesce(F.col("body"), F.lit("")))
            .when(~parsed, F.lit(K.MSG_NOT_JSON)).otherwise(F.lit("")))
-    first = F.try_variant_get(doc, "$.response[0]", "variant")
-    has_first = F.coalesce(F.schema_of_variant(F.try_variant_get(doc, "$.response", "variant")).startswith("ARRAY"),
-                           F.lit(False)) & first.isNotNull()
+    has_first = F.coalesce(F.col("_p.found"), F.lit(False))
     base = j.select("target_seq", *head(ts, "open_rank", ok, status, err),
-                    F.when(ok & has_first, first).alias("_doc"),
+                    F.when(ok & has_first, F.col("_p.flat")).alias("_flat"),
                     F.when(ok & ~has_first, F.col("body")).alias("opr_raw_data"))
-    flat = J.flatten_json_df(base, F.col("_doc"), K.PREFIX_OPR, "_flat").drop("_doc")
-    return widen(flat, "_flat", keys)
+    return widen(base, "_flat", keys)
 
 
 # ---------------------------------------------------------------- certificate search tool
@@ -177,48 +169,34 @@ def _dot_suffixes(names: Column) -> Column:
     return F.array_distinct(F.flatten(per_name))
 
 
-def _checked_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def crtsh_subdomains(targets: DataFrame, entries: DataFrame, max_broadcast: int = MAX_BROADCAST_TARGETS,
-                     small: bool | None = None) -> DataFrame:
+def crtsh_subdomains(targets: DataFrame, entries: DataFrame) -> DataFrame:
     """(target, name): distinct cleaned names of every certificate holding a name below
     the target (``q=%.target``).
 
-    Each entry's distinct dot-suffixes are equi-joined with the distinct lower-cased
-    targets (broadcast after a size check), so one (entry, target) pair is one row and
-    no pattern join or dedup is needed; the entry's names ride along and are exploded
-    there. The only shuffle is the final distinct on (target, name), which spreads a
-    target holding a third of all names over every reducer."""
+    Each entry's distinct dot-suffixes are equi-joined with the distinct lower-cased targets, so one
+    (entry, target) pair is one row and no pattern join is needed; the names are joined to the pairs
+    afterwards, so they never ride on suffixes that no target asks for. The final distinct on
+    (target, name) spreads a target holding a third of all names over every reducer."""
     t = targets.select(F.lower(N.py_strip("target")).alias("_q")).where(F.col("_q") != "").distinct()
-    if small is None:
-        small = targets.count() <= max_broadcast
-    t = F.broadcast(t) if small else t
-    e = entries.select(crtsh_name_list().alias("_names")).select("_names", F.explode_outer(_dot_suffixes(F.col("_names"))).alias("_q"))
+    e = entries.select("entry_seq", F.explode_outer(_dot_suffixes(crtsh_name_list())).alias("_q"))
     hits = e.where(F.col("_q").isNotNull()).join(t, "_q")
-    return hits.select(F.col("_q").alias("_target_key"), F.explode("_names").alias("name")).distinct()
+    return hits.join(crtsh_names(entries), "entry_seq").select(F.col("_q").alias("_target_key"), "name").distinct()
 
 
-def crtsh_responses(targets: DataFrame, entries: DataFrame, max_broadcast: int = MAX_BROADCAST_TARGETS) -> DataFrame:
+def crtsh_responses(targets: DataFrame, entries: DataFrame) -> DataFrame:
     """(target key, entry_seq) for every entry a target's search returns."""
     t = targets.select(F.lower(N.py_strip("target")).alias("_q")).where(F.col("_q") != "").distinct()
-    t = _checked_broadcast(t, max_broadcast)
     e = entries.select("entry_seq", F.explode_outer(_dot_suffixes(crtsh_name_list())).alias("_q"))
     return e.where(F.col("_q").isNotNull()).join(t, "_q").select(F.col("_q").alias("target"), "entry_seq")
 
 
-def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str, max_broadcast: int = MAX_BROADCAST_TARGETS) -> DataFrame:
+def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str) -> DataFrame:
     """One row per distinct cleaned name of the certificates each target returned; a
     target with no names keeps one bare row; a blank target is an error row.
-    Duplicate targets in the list are kept (one block of rows each): the target list
-    (size-checked) is broadcast onto the (target, name) rows, so repeated targets
-    multiply rows inside many tasks instead of one."""
+    Duplicate targets in the list are kept: the original prints one block of rows for each."""
     t = targets.select("target_seq", "target", F.lower(N.py_strip("target")).alias("_target_key"))
-    small = targets.count() <= max_broadcast  # one count bounds both broadcasts (distinct keys <= rows)
-    subs = crtsh_subdomains(targets, entries, max_broadcast, small)
-    tb = F.broadcast(t) if small else t
-    found = subs.join(tb, "_target_key").select("target_seq", "target", F.col("name").alias("crt_subdomain"))
+    subs = crtsh_subdomains(targets, entries)
+    found = subs.join(t, "_target_key").select("target_seq", "target", F.col("name").alias("crt_subdomain"))
     bare = t.join(subs.select("_target_key").distinct(), "_target_key", "left_anti").select(
         "target_seq", "target", F.lit(None).cast("string").alias("crt_subdomain"))
     rows = found.unionByName(bare)
@@ -227,12 +205,3 @@ def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str, max_broadcas
     return rows.select("target_seq", *head(ts, "crtsh", ok, F.when(ok, F.lit("200")).otherwise(F.lit("")),
                                            F.when(blank, F.lit(K.MSG_PARAM_TARGET_REQUIRED)).otherwise(F.lit(""))),
                        "crt_subdomain")
-
-
-def subdomain_summary(crtsh_rows: DataFrame) -> DataFrame:
-    """Per target: number of distinct names and the names joined by commas, sorted.
-    The joined list is bounded by one target's certificate names."""
-    named = crtsh_rows.where(F.col("crt_subdomain").isNotNull())
-    return named.groupBy("target_seq", "target").agg(
-        F.count_distinct("crt_subdomain").alias("crt_unique_subdomains_count"),
-        F.array_join(F.array_sort(F.collect_set("crt_subdomain")), ",").alias("crt_subdomains"))

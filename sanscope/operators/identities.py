@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sanscope.functions import names as N
+from sanscope.operators import ordering
 
-MAX_BROADCAST_ISSUERS = 1_000_000
 LEXEME_SPLIT_RE = r"[^a-z0-9-]+"
 
 
@@ -82,7 +82,10 @@ def fulltext_certificates(identities: DataFrame, searches: Sequence[str], cert_c
             flags.append(F.bool_or(F.array_contains(toks, F.lit(lex))).alias(c))
             names.append(c)
         groups.append((i, names))
-    per_cert = identities.groupBy(cert_col).agg(*flags)
+    # only identities that hold some lexeme take part in the shuffle
+    wanted = sorted({lex for term in searches for lex in lexemes(term)})
+    some = F.arrays_overlap(toks, F.array(*[F.lit(x) for x in wanted])) if wanted else F.lit(False)
+    per_cert = identities.select(cert_col, name_col).where(some).groupBy(cert_col).agg(*flags)
     hit = F.array(*[F.when(F.lit(bool(cols)) & _all(cols), F.lit(i)) for i, cols in groups])
     return per_cert.select(cert_col, F.explode_outer(F.array_compact(hit)).alias("query_ord")).where(
         F.col("query_ord").isNotNull())
@@ -109,22 +112,25 @@ def tag_matches(identities: DataFrame, preds: dict[int, Column]) -> DataFrame:
         F.col("query_ord").isNotNull())
 
 
-def join_issuer(identities: DataFrame, ca: DataFrame, max_broadcast: int = MAX_BROADCAST_ISSUERS) -> DataFrame:
-    """LEFT JOIN ca ON issuer_ca_id = ca.id; the issuer table is broadcast only after
-    its row count is checked (CA tables are small, but checked, not assumed)."""
+def join_issuer(identities: DataFrame, ca: DataFrame) -> DataFrame:
+    """LEFT JOIN ca ON issuer_ca_id = ca.id; the optimizer broadcasts the issuers if their size allows."""
     dim = ca.select(F.col("id").alias("_ca_id"), F.col("name").alias("issuer_name"))
-    if dim.count() <= max_broadcast:
-        dim = F.broadcast(dim)
     return identities.join(dim, identities["issuer_ca_id"] == dim["_ca_id"], "left").drop("_ca_id")
 
 
 def limit_identities(identities: DataFrame, n: int, order: Sequence[str] = ("certificate_id", "name_value"),
                      by: str | None = None, ords: Sequence[int] = ()) -> DataFrame:
-    """``LIMIT n`` with a fixed order (the database's order is arbitrary). Per search
-    when ``by`` is given: one distributed top-n (TakeOrderedAndProject) per search."""
+    """``LIMIT n`` with a fixed order (the database's order is arbitrary), per search when ``by``
+    is given. Every task keeps its own first n rows, the survivors are ranged and numbered: no
+    task merges all tasks' rows, however large n is."""
+    def first(df: DataFrame) -> DataFrame:
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        own = df.sortWithinPartitions(*order).withColumn("_place", place).where(F.col("_place") < n).drop("_place")
+        return ordering.order_number(own, order, "_place").where(F.col("_place") < n).drop("_place")
+
     if by is None:
-        return identities.orderBy(*order).limit(n)
-    parts = [identities.where(F.col(by) == o).orderBy(*order).limit(n) for o in ords]
+        return first(identities)
+    parts = [first(identities.where(F.col(by) == o)) for o in ords]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

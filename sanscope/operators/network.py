@@ -15,7 +15,6 @@ from sanscope.functions import names as N
 from sanscope.functions.targets import IPV4_RE
 
 BUCKET_BITS = 16
-MAX_BROADCAST_BLOCKS = 5_000_000  # exploded (block, bucket) rows; a full routing table is ~1.2M
 
 
 def ipv4_to_long(col) -> Column:
@@ -49,15 +48,15 @@ def network_buckets(networks: DataFrame, cidr_col: str = "cidr") -> DataFrame:
 
 def enrich_network(targets: DataFrame, networks: DataFrame, target_col: str = "target",
                    keep=("net_id", "cidr", "asn")) -> DataFrame:
-    """(target_seq, ip, <keep>) for every IPv4 target; the most specific block wins,
-    no block -> nulls."""
+    """(target_seq, ip, <keep>) for every target; the most specific block wins; a target without a
+    block, or that is no IPv4 address, has nulls.
+
+    The range test is part of the left join, so a target that shares a bucket with blocks that miss it
+    stays. Broadcast or shuffle is the optimizer's choice by size; a hot bucket can be split."""
     t = targets.select("target_seq", N.py_strip(target_col).alias("ip")).withColumn("_ip", ipv4_to_long("ip"))
-    t = t.where(F.col("_ip").isNotNull()).withColumn("_bucket", F.shiftright("_ip", BUCKET_BITS))
-    nb = network_buckets(networks)
-    if nb.count() <= MAX_BROADCAST_BLOCKS:  # checked, so a hot /16 of targets never lands on one reducer
-        nb = F.broadcast(nb)
-    cand = t.join(nb, "_bucket", "left").where(
-        F.col("lo").isNull() | ((F.col("lo") <= F.col("_ip")) & (F.col("_ip") <= F.col("hi"))))
+    t = t.withColumn("_bucket", F.shiftright("_ip", BUCKET_BITS)).alias("t")
+    nb = network_buckets(networks).alias("n")
+    cand = t.join(nb, F.expr("t._bucket = n._bucket and n.lo <= t._ip and t._ip <= n.hi"), "left")
     best = cand.groupBy("target_seq", "ip").agg(
-        F.max_by(F.struct(*[F.col(k) for k in keep]), F.col("prefix_len")).alias("_best"))
-    return best.select("target_seq", "ip", *[F.col(f"_best.{k}").alias(k) for k in keep])
+        *[F.max_by(F.col(f"n.{k}"), F.col("prefix_len")).alias(k) for k in keep])
+    return best.select("target_seq", "ip", *keep)

@@ -6,8 +6,8 @@ label is the public suffix. The private part is the domain without ``.suffix``;
 domain that is itself a suffix stays whole.
 
 Plan: each domain explodes into its <= n label suffixes, equi-joined to the rule
-table (a parameter of bounded size, broadcast only under ``max_broadcast_rules``),
-then one partial+final aggregate per domain.
+table (broadcast or shuffled by size, as the optimizer decides), then one partial+final
+aggregate per domain.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from sanscope.functions import names as N
 
-MAX_BROADCAST_RULES = 200_000  # the full public suffix list is ~10k rules
-
 
 def rule_table(rules: DataFrame, rule_col: str = "rule") -> DataFrame:
     r = F.col(rule_col)
@@ -29,20 +27,14 @@ def rule_table(rules: DataFrame, rule_col: str = "rule") -> DataFrame:
     )
 
 
-def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast the rule table only after checking its row count."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def public_suffix_len(domains: DataFrame, rules: DataFrame, col: str = "domain",
-                      max_broadcast_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
+def public_suffix_len(domains: DataFrame, rules: DataFrame, col: str = "domain") -> DataFrame:
     """(col, ps_len): number of labels of the public suffix of each distinct value."""
     labels = F.split(F.col(col), r"\.", -1)
     cand = domains.select(col).distinct().select(
         col, F.size(labels).alias("_n"),
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)),
                                  lambda k: F.array_join(F.slice(labels, -k, k), "."))).alias("_k0", "_cand"))
-    rt = _maybe_broadcast(rule_table(rules), max_broadcast_rules)
+    rt = rule_table(rules)
     hit = cand.join(rt, cand["_cand"] == rt["body"], "left").select(
         col, F.when(F.col("body").isNotNull() & (F.col("_k0") + 1 + F.col("delta") <= F.col("_n")),
                     F.col("_k0") + 1 + F.col("delta")).alias("_len"),

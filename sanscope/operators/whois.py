@@ -41,6 +41,11 @@ def whois_categories(details: DataFrame, key: str = "url") -> DataFrame:
     """(key, category, field, value): one-cell rows open a category (default 'General';
     re-opening one empties it); rows with >= 2 cells are ``field -> value`` with the
     field right-stripped of ' :'; the last duplicate field wins."""
+    return _categories(details, key).select(key, "category", "field", "value")
+
+
+def _categories(details: DataFrame, key: str) -> DataFrame:
+    """``whois_categories`` with ``at``: where a field's category, then the field itself, first stand."""
     rows = html_first_table(details, (key,)).where(F.size("cells") >= 1)
     opener = F.when(F.size("cells") == 1, F.col("cells")[0])
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -53,7 +58,10 @@ def whois_categories(details: DataFrame, key: str = "url") -> DataFrame:
         F.col("cells")[1].alias("value"))
     kv = kv.join(last_open, [key, "category"], "left").where(
         F.col("_open_pos").isNull() | (F.col("pos") > F.col("_open_pos")))
-    return kv.groupBy(key, "category", "field").agg(F.max_by("value", "pos").alias("value"))
+    first = rows.groupBy(key, "category").agg(F.min("pos").alias("_cat_pos"))
+    kv = kv.groupBy(key, "category", "field").agg(F.max_by("value", "pos").alias("value"), F.min("pos").alias("_pos"))
+    return kv.join(first, [key, "category"]).select(
+        key, "category", "field", "value", F.struct("_cat_pos", "_pos").alias("at"))
 
 
 def whois_dedup(rows: DataFrame, by: str = "target_seq") -> DataFrame:
@@ -81,10 +89,11 @@ def envelope_whois(targets: DataFrame, pages: DataFrame, details: DataFrame, ts:
     """One row per found domain (``whois_*`` columns), or one 404 row per target without
     results."""
     scan = whois_scan(targets, pages)
-    cats = whois_categories(details.select(F.col("url").alias("detail_url"), "html"), "detail_url")
-    detail_kv = cats.select("detail_url", F.struct(
-        F.concat(F.lit(K.PREFIX_WHOIS + "detalles_"), F.col("category"), F.lit("_"), F.col("field")).alias("key"),
-        F.col("value").alias("value")).alias("_kv")).groupBy("detail_url").agg(F.collect_list("_kv").alias("_dkv"))
+    cats = _categories(details.select(F.col("url").alias("detail_url"), "html"), "detail_url")
+    # a category and a field may join to the path of another pair: the later one wins
+    path = F.concat(F.lit(K.PREFIX_WHOIS + "detalles_"), F.col("category"), F.lit("_"), F.col("field"))
+    cats = cats.groupBy("detail_url", path.alias("key")).agg(F.max_by("value", "at").alias("value"))
+    detail_kv = cats.groupBy("detail_url").agg(F.collect_list(F.struct("key", "value")).alias("_dkv"))
     rows = scan.join(detail_kv, "detail_url", "left")
     base_kv = F.array(
         F.struct(F.lit(K.PREFIX_WHOIS + "dominio").alias("key"), F.col("dominio").alias("value")),

@@ -37,21 +37,24 @@ def responses(entries: DataFrame, searches: Sequence[Search], kind: str | None)
     """Stored responses: the entries each search returned, tagged with ``query_ord``.
 
     Snapshots that already carry ``query_ord`` (one stored response per search) are used
-    as they are; otherwise each entry is tagged with every search whose term its
-    lower-cased names contain (one scan, no join)."""
+    as they are; otherwise each entry is tagged with every search it answers: a domain search
+    returns certificates with a name equal to or below the domain, a keyword search those with a
+    name that contains it (one scan, no join)."""
     if "query_ord" in entries.columns:
         hits = entries
     else:
-        hits = C.text_hits(entries, [t for _, t in searches])
+        hits = C.match_cert_identity(entries, [("identity" if k == "domain" else k, t) for k, t in searches])
     ords = _ords(searches, kind)
     return hits.where(F.col("query_ord").isin(ords)) if kind is not None else hits
 
 
 def run_names(spark: SparkSession, entries: DataFrame, searches: Sequence[Search], kind: str | None,
-              seen: DataFrame | None) -> DataFrame:
-    """Names of one run. With ``seen`` (``--uncached``) saved ids are skipped and a
+              seen: DataFrame | None, exclude_expired: str | None = None) -> DataFrame:
+    """Names of one run. ``exclude_expired`` is the time at which a certificate must still be valid. With ``seen`` (``--uncached``) saved ids are skipped and a
     certificate only counts for the first search that returned it (the state is
     saved after each search)."""
+    if exclude_expired is not None:
+        entries = C.filter_not_expired(entries, exclude_expired)
     hits = responses(entries, searches, kind)
     if seen is not None:
         # the saved state does not depend on the search, so it is applied after the
@@ -75,9 +78,9 @@ def level_bounds(searches: Sequence[Search], levels: int, base: dict[int, str] |
 
 
 def discover_domains(spark: SparkSession, entries: DataFrame, searches: Sequence[Search], seen: DataFrame | None,
-                     levels: int | None = None, distinct: bool = True) -> DataFrame:
+                     levels: int | None = None, distinct: bool = True, exclude_expired: str | None = None) -> DataFrame:
     """``-d`` run over the domain searches (plain pass)."""
-    named = run_names(spark, entries, searches, "domain", seen)
+    named = run_names(spark, entries, searches, "domain", seen, exclude_expired)
     if levels is not None:
         bounds = {i: b for i, b in level_bounds(searches, levels).items() if searches[i][0] == "domain"}
         named = C.filter_levels(named, _by_ord(bounds))
@@ -85,25 +88,35 @@ def discover_domains(spark: SparkSession, entries: DataFrame, searches: Sequence
 
 
 def discover_keyword(spark: SparkSession, entries: DataFrame, searches: Sequence[Search], seen: DataFrame | None,
-                     distinct: bool = True) -> DataFrame:
+                     distinct: bool = True, exclude_expired: str | None = None) -> DataFrame:
     """``-k`` run: no suffix or level filters (``--levels`` is ignored for keywords)."""
-    named = run_names(spark, entries, searches, "keyword", seen)
+    named = run_names(spark, entries, searches, "keyword", seen, exclude_expired)
     return C.distinct_domains(named) if distinct else named
 
 
-def discover_extended(spark: SparkSession, entries: DataFrame, domain: str, rules: DataFrame | None,
-                      levels: int | None = None) -> DataFrame:
-    """``--extended``: plain pass (identity search) U extended pass (``ps.%.%`` search,
-    names must carry the private-suffix label), as one set."""
-    ps = suffix.private_suffix_of_terms(spark, [domain], rules)[0]
-    plain = C.entry_names(C.dedup_certs(C.match_cert_identity(entries, [("identity", domain)])), keep=("entry_seq",))
-    if levels is not None:
-        plain = C.filter_levels(plain, F.lit(domain.count(".") + levels))
-    ext = C.entry_names(C.dedup_certs(C.match_cert_identity(entries, [("extended", ps)])), keep=("entry_seq",))
-    ext = C.filter_private_suffix(ext, F.lit(ps))
+def discover_extended(spark: SparkSession, entries: DataFrame, domains: Sequence[str], rules: DataFrame | None,
+                      seen: DataFrame | None = None, levels: int | None = None, exclude_expired: str | None = None) -> DataFrame:
+    """``--extended``: for each domain a plain pass (identity search) and an extended pass
+    (``ps.%.%`` search, names must carry the private-suffix label), all as one set.
+
+    With ``seen`` saved ids are skipped and a certificate counts for the first pass that returned
+    it only: domain 1 plain, domain 1 extended, domain 2 plain and so on, as the state grows."""
+    private = suffix.private_suffix_of_terms(spark, list(domains), rules)
+    passes = [p for d, ps in zip(domains, private) for p in (("identity", d), ("extended", ps))]
+    if exclude_expired is not None:
+        entries = C.filter_not_expired(entries, exclude_expired)
+    hits = C.match_cert_identity(C.with_cert_id(entries) if "cert_id" not in entries.columns else entries, passes)
+    if seen is not None:
+        ded = state.anti_seen(C.first_owned_entries(hits), seen)
+    else:
+        ded = C.dedup_certs(hits, by=["query_ord"])
+    named = C.entry_names(ded, keep=("query_ord", "entry_seq"))
+    labels = _by_ord({2 * k + 1: ps for k, ps in enumerate(private)})
+    named = named.where((F.col("query_ord") % 2 == 0) | F.coalesce(N.has_label("domain", labels), F.lit(False)))
     if levels is not None:
-        ext = C.filter_levels(ext, F.lit((ps or domain).count(".") + levels))
-    return C.distinct_domains(plain).union(C.distinct_domains(ext)).distinct()
+        base = {2 * k: d for k, d in enumerate(domains)} | {2 * k + 1: ps or d for k, (d, ps) in enumerate(zip(domains, private))}
+        named = C.filter_levels(named, _by_ord({i: b.count(".") + levels for i, b in base.items()}))
+    return C.distinct_domains(named)
 
 
 def label_hits(domains: DataFrame, labels_by_ord: dict[int, str]) -> DataFrame:
@@ -119,6 +132,5 @@ def certificate_log(entries: DataFrame, searches: Sequence[Search], kinds: Seque
     repeated for every search that returned it."""
     hits = responses(entries, searches, None)
     ords = [i for i, (k, _) in enumerate(searches) if k in kinds]
-    cols = ["query_ord", "entry_seq", "min_cert_id", "id", "issuer_ca_id", "common_name", "name_value", "not_before",
-            "not_after"]
-    return hits.where(F.col("query_ord").isin(ords)).select(*cols)
+    cols = [c for c in entries.columns if c not in ("query_ord", "cert_id")]  # entries are logged whole
+    return hits.where(F.col("query_ord").isin(ords)).select("query_ord", *cols)

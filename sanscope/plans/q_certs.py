@@ -14,7 +14,7 @@ from sanscope.plans.registry import register
 from sanscope.sources import fixtures as X
 
 AS_OF = X.AS_OF
-TERMS = [t for _, t in X.QUERIES]
+VALID_AT = "1996-01-01 00:00:00"  # the moment of the run that leaves out expired certificates
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,8 +150,8 @@ def q_domain_level(spark, sf):
 def q_parse_cert_time(spark, sf):
     e = X.cert_entries(spark, sf)
     fmt = "yyyy-MM-dd HH:mm:ss"
-    return e.select("entry_seq", F.date_format(N.parse_cert_time("not_before"), fmt).alias("not_before_ts"),
-                    F.date_format(N.parse_cert_time("not_after"), fmt).alias("not_after_ts"))
+    return e.select("entry_seq", N.utc_text(N.parse_cert_time("not_before"), fmt).alias("not_before_ts"),
+                    N.utc_text(N.parse_cert_time("not_after"), fmt).alias("not_after_ts"))
 
 
 @register("iso_date", _compose(
@@ -282,7 +282,7 @@ def q_sort_seen_ids(spark, sf):
     "select query_ord, entry_seq, cert_id from hits where cert_id is not null "
     "qualify query_ord = min(query_ord) over (partition by cert_id)", [HITS], ("query_hits",)))
 def q_first_query_owner(spark, sf):
-    hits = C.text_hits(entries(spark, sf), TERMS).where(F.col("cert_id").isNotNull())
+    hits = P.responses(entries(spark, sf), X.QUERIES, None).where(F.col("cert_id").isNotNull())
     return C.first_query_owner(hits).select("query_ord", "entry_seq", "cert_id")
 
 
@@ -297,25 +297,28 @@ def q_distinct_domains(spark, sf):
     "select query_ord, count(distinct domain) as n_domains from " + _names_sql("hd", "query_ord") + " group by query_ord",
     [HITS, HITS_DEDUP], ("query_hits",)))
 def q_domains_per_query(spark, sf):
-    ded = C.dedup_certs(C.text_hits(entries(spark, sf), TERMS), by=["query_ord"])
+    ded = C.dedup_certs(P.responses(entries(spark, sf), X.QUERIES, None), by=["query_ord"])
     named = C.entry_names(ded, keep=("query_ord",))
     return C.distinct_domains(named, by=["query_ord"]).groupBy("query_ord").agg(F.count("*").alias("n_domains"))
 
 
-def _discover_sql(kind: str, levels: int | None) -> str:
+def _discover_sql(kind: str, levels: int | None, valid_at: str | None = None) -> str:
+    ctes = _run_sql(kind, True)
+    if valid_at is not None:
+        ctes[1] = ctes[1].replace("cert_id is not null ", f"cert_id is not null and {D.cert_time('not_after')} > timestamp '{valid_at}' ")
     cond = f" and {D.level('domain')} <= {D.level('term')} + {levels}" if levels is not None else ""
     return _compose("select distinct domain from " + _names_sql("run", "query_ord, entry_seq, term") + cond,
-                    _run_sql(kind, True), ("query_hits", "seen_ids"))
+                    ctes, ("query_hits", "seen_ids"))
 
 
-@register("discover_domains", _discover_sql("domain", 1))
+@register("discover_domains", _discover_sql("domain", 1, VALID_AT))
 def q_discover_domains(spark, sf):
-    return P.discover_domains(spark, entries(spark, sf), X.QUERIES, X.seen_ids(spark, sf), levels=1)
+    return P.discover_domains(spark, entries(spark, sf), X.QUERIES, X.seen_ids(spark, sf), levels=1, exclude_expired=VALID_AT)
 
 
-@register("discover_keyword", _discover_sql("keyword", None))
+@register("discover_keyword", _discover_sql("keyword", None, VALID_AT))
 def q_discover_keyword(spark, sf):
-    return P.discover_keyword(spark, entries(spark, sf), X.QUERIES, X.seen_ids(spark, sf))
+    return P.discover_keyword(spark, entries(spark, sf), X.QUERIES, X.seen_ids(spark, sf), exclude_expired=VALID_AT)
 
 
 @register("novelty_curve", _compose(
@@ -340,23 +343,26 @@ def q_union_queries(spark, sf):
     return C.distinct_domains(named)
 
 
-EXT_TERM = "example.com"
+EXT_TERMS = [t for k, t in X.QUERIES if k == "domain"]
+_XNAME = f"list_transform(list_filter({NAME_LIST}, lambda n: n is not null), lambda n: lower({D.strip('n')}))"
 
 
 @register("union_base_extended", _compose(
-    "select domain from " + _names_sql("(select * from ents where " + _match_sql("identity", EXT_TERM)
-                                       + " qualify row_number() over (partition by cert_id order by entry_seq) = 1 and cert_id is not null)",
-                                       "entry_seq")
-    + " union select x.domain from (select domain from " + _names_sql(
-        "(select e.* from ents e, xp where lower(" + D.strip("e.name_value") + ") is not null and "
-        "len(list_filter(list_filter(" + NAME_LIST.replace("name_value", "e.name_value").replace("common_name", "e.common_name")
-        + ", lambda n: n is not null), lambda n: lower(" + D.strip("n") + ") like xp.private_suffix || '.%.%')) > 0 "
-        "qualify row_number() over (partition by e.cert_id order by e.entry_seq) = 1 and e.cert_id is not null)", "entry_seq")
-    + ") x, xp where list_contains(list_filter(string_split(x.domain, '.'), lambda y: y <> ''), xp.private_suffix)",
-    [ENTS, ps_sql("xt", f"select '{EXT_TERM}' as domain"), "xp as (select private_suffix from xt_out)"],
-    ("cert_entries", "suffix_rules")))
+    "select distinct domain from " + _names_sql("xrun", "pass, xterm")
+    + " and (pass % 2 = 0 or list_contains(list_filter(string_split(domain, '.'), lambda y: y <> ''), xterm)) and "
+    + D.level("domain") + " <= " + D.level("xterm") + " + 1",
+    [ENTS, ps_sql("xt", " union all ".join(f"select '{t}' as domain" for t in EXT_TERMS)),
+     "xpass as (" + " union all ".join(
+         f"select {2 * i} as pass, '{t}' as xterm union all select {2 * i + 1}, private_suffix from xt_out where domain = '{t}'"
+         for i, t in enumerate(EXT_TERMS)) + ")",
+     "xhit as (select p.pass, p.xterm, e.* from ents e join xpass p on len(list_filter(" + _XNAME
+     + ", lambda n: case when p.pass % 2 = 0 then n = p.xterm or ends_with(n, '.' || p.xterm) "
+       "else n like p.xterm || '.%.%' end)) > 0 where e.cert_id is not null)",
+     "xrun as (select * from xhit where cast(cert_id as varchar) not in (select cert_id from seen_ids) "
+     "qualify row_number() over (partition by cert_id order by pass, entry_seq) = 1)"],
+    ("cert_entries", "suffix_rules", "seen_ids")))
 def q_union_base_extended(spark, sf):
-    return P.discover_extended(spark, entries(spark, sf), EXT_TERM, X.suffix_rules(spark))
+    return P.discover_extended(spark, entries(spark, sf), EXT_TERMS, X.suffix_rules(spark), X.seen_ids(spark, sf), levels=1)
 
 
 @register("output_counts", _compose(

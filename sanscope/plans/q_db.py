@@ -11,6 +11,7 @@ from sanscope.functions import names as N
 from sanscope.operators import certs as C
 from sanscope.operators import identities as I
 from sanscope.operators import state
+from sanscope.plans import discover as P
 from sanscope.plans.q_certs import _compose
 from sanscope.session import materialize
 from sanscope.plans.registry import register
@@ -105,10 +106,10 @@ def q_filter_levels_raw(spark, sf):
 
 
 @register("limit_identities", _compose(
-    f"select certificate_id, name_value from cert_identities order by certificate_id, name_value limit {K.DEFAULT_DB_LIMIT}",
+    f"select certificate_id, name_value from cert_identities order by certificate_id, name_value limit {K.DB_ROW_LIMIT}",
     [], ("cert_identities",)))
 def q_limit_identities(spark, sf):
-    return I.limit_identities(ids(spark, sf), K.DEFAULT_DB_LIMIT).select("certificate_id", "name_value")
+    return I.limit_identities(ids(spark, sf), K.DB_ROW_LIMIT).select("certificate_id", "name_value")
 
 
 @register("join_issuer", _compose(
@@ -131,36 +132,45 @@ def q_src_cert_identities(spark, sf):
 
 
 def discover_db(spark: SparkSession, identities: DataFrame, ca: DataFrame, seen: DataFrame | None, ords, preds,
-                limit: int = K.DEFAULT_DB_LIMIT) -> DataFrame:
-    """full text AND row filter -> LIMIT per search -> issuer -> saved-state filter ->
-    split + normalise -> (query_ord, domain)."""
-    tagged = I.tag_matches(identities, preds)
-    ft = I.fulltext_certificates(identities, [TERM[i] for i in ords])
-    # fulltext_certificates numbers the searches 0..n-1; map them back to the run's ordinals
-    ft = ft.withColumn("query_ord", F.element_at(F.array(*[F.lit(o) for o in ords]), F.col("query_ord") + 1))
-    rows = tagged.join(ft, ["certificate_id", "query_ord"])
-    if len(ords) > 1:
-        # every search takes its own ordered top-n from the matched rows: write them once
-        # to the shared checkpoint folder instead of recomputing the scan and the
-        # full-text aggregate per search (also cuts the lineage)
-        rows = materialize(rows, "db-matches")
-    rows = I.limit_identities(rows, limit, by="query_ord", ords=ords)
+                limit: int | None = None, levels: int | None = None, labels: dict[int, str] | None = None) -> DataFrame:
+    """full text AND row filter (AND raw level) -> optional LIMIT per search -> issuer -> saved-state
+    filter -> split + normalise (AND private-suffix label) -> (query_ord, domain).
+
+    ``limit`` is the caller's row limit per search; without one all rows count. ``labels`` are the
+    private suffixes of an extended run (``preds`` then hold its ``ps.%.%`` patterns)."""
+    if levels is not None:
+        base = labels or {i: TERM[i] for i in ords}
+        preds = {i: p & (N.raw_level("name_value") <= base[i].count(".") + levels) for i, p in preds.items()}
+    rows = I.tag_matches(identities, preds)
+    # a row that ends in a term of plain labels holds the term's words itself: the certificate matches
+    implied = labels is None and all(set(TERM[i]) <= set("abcdefghijklmnopqrstuvwxyz0123456789-.") and X.QUERIES[i][0] == "domain"
+                                     for i in ords)
+    if not implied:
+        terms = [(labels or TERM)[i] for i in ords]
+        ft = I.fulltext_certificates(identities, terms)
+        # fulltext_certificates numbers the searches 0..n-1; map them back to the run's ordinals
+        ft = ft.withColumn("query_ord", F.element_at(F.array(*[F.lit(o) for o in ords]), F.col("query_ord") + 1))
+        rows = rows.join(ft, ["certificate_id", "query_ord"])
+    if limit is not None:
+        if len(ords) > 1:
+            # every search takes its own first rows: write the matches once instead of finding them per search
+            rows = materialize(rows, "db-matches")
+        rows = I.limit_identities(rows, limit, by="query_ord", ords=ords)
     rows = I.join_issuer(rows, ca)
     if seen is not None:
         rows = C.first_query_owner(state.anti_seen(rows, seen, id_col="certificate_id"), key="certificate_id")
-    return I.split_identity_names(rows, keep=("query_ord", "certificate_id", "not_before", "not_after"))
+    named = I.split_identity_names(rows, keep=("query_ord", "certificate_id", "not_before", "not_after"))
+    if labels is not None:
+        named = C.filter_private_suffix(named, P._by_ord(labels))
+    return named
 
 
 def _discover_db_sql(ords, conds) -> str:
-    lim = " union all ".join(
-        f"(select * from tagged where query_ord = {i} order by certificate_id, name_value limit {K.DEFAULT_DB_LIMIT})"
-        for i in ords)
     ctes = [
         _ft_sql(ords),
         "tagged as (select t.* from (" + _tag_sql(conds) + ") t join ft on ft.certificate_id = t.certificate_id "
         "and ft.query_ord = t.query_ord)",
-        f"lim as ({lim})",
-        "run as (select * from lim where cast(certificate_id as varchar) not in (select cert_id from seen_ids) "
+        "run as (select * from tagged where cast(certificate_id as varchar) not in (select cert_id from seen_ids) "
         "qualify query_ord = min(query_ord) over (partition by certificate_id))",
     ]
     body = (f"select distinct domain from (select {D.normalize('unnest(' + D.split_lines('name_value') + ')')} as domain "
@@ -168,9 +178,11 @@ def _discover_db_sql(ords, conds) -> str:
     return _compose(body, ctes, ("cert_identities", "ca", "seen_ids"))
 
 
-@register("discover_domains_db", _discover_db_sql(DOMAIN_ORDS, {i: _dom_sql(TERM[i]) for i in DOMAIN_ORDS}))
+@register("discover_domains_db", _discover_db_sql(DOMAIN_ORDS, {
+    i: f"{_dom_sql(TERM[i])} and {D.level('name_value')} <= {TERM[i].count('.') + LEVELS}" for i in DOMAIN_ORDS}))
 def q_discover_domains_db(spark, sf):
-    named = discover_db(spark, ids(spark, sf), X.ca(spark, sf), X.seen_ids(spark, sf), DOMAIN_ORDS, _domain_preds(DOMAIN_ORDS))
+    named = discover_db(spark, ids(spark, sf), X.ca(spark, sf), X.seen_ids(spark, sf), DOMAIN_ORDS,
+                        _domain_preds(DOMAIN_ORDS), levels=LEVELS)
     return C.distinct_domains(named)
 
 

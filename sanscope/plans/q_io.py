@@ -99,7 +99,7 @@ def q_sink_analysis_csv(spark, sf):
     return ordering.order_number(C.domain_analysis(named, AS_OF), ["domain"], "row_no")
 
 
-JSONL_FIELDS = ("min_cert_id", "id", "issuer_ca_id", "common_name", "name_value", "not_before", "not_after")
+JSONL_FIELDS = ("min_cert_id", "id", "issuer_ca_id", "common_name", "name_value", "not_before", "not_after")  # the oracle's list
 
 
 @register("sink_jsonl", _compose(
@@ -107,7 +107,8 @@ JSONL_FIELDS = ("min_cert_id", "id", "issuer_ca_id", "common_name", "name_value"
     "from hits where kind = 'domain'", [HITS], ("query_hits",)))
 def q_sink_jsonl(spark, sf):
     log = P.certificate_log(entries(spark, sf), X.QUERIES, kinds=("domain",))
-    return log.select("query_ord", "entry_seq", F.to_json(F.struct(*JSONL_FIELDS), {"ignoreNullFields": "false"}).alias("line"))
+    whole = [c for c in log.columns if c not in S.RUN_COLUMNS]
+    return log.select("query_ord", "entry_seq", F.to_json(F.struct(*whole), {"ignoreNullFields": "false"}).alias("line"))
 
 
 @register("sink_seen_ids", _compose(
@@ -122,30 +123,41 @@ def q_sink_seen_ids(spark, sf):
     return ordering.order_number(merged, ["cert_id"], "row_no")
 
 
-RESULT_HEADER = ("timestamp", "action", "target", "ok", "status", "error", "target_seq", "dig_record_name", "dig_ttl",
-                 "dig_class", "dig_type", "dig_value", "ping_avg", "ping_max", "ping_min", "ping_mdev", "curl_http_code",
-                 "curl_latency_seconds")
+RESULT_TOOLS = (
+    (q_lookups.DIG_BODY, ("dig_record_name", "dig_ttl", "dig_class", "dig_type", "dig_value")),
+    (q_lookups.PING_BODY, ("ping_avg", "ping_max", "ping_min", "ping_mdev")),
+    (q_lookups.CURL_BODY, ("curl_http_code", "curl_latency_seconds")),
+)
+
 
+def _results_sql() -> str:
+    own = [c for _, cols in RESULT_TOOLS for c in cols]
+    return " union all ".join(
+        "select " + ", ".join([*K.ENVELOPE_COLUMNS, *[c if c in cols else f"null as {c}" for c in own]]) + f" from ({body}) t{i}"
+        for i, (body, cols) in enumerate(RESULT_TOOLS))
 
-@register("sink_results_csv", " union all ".join(f"select {i} as pos, '{c}' as column_name" for i, c in enumerate(RESULT_HEADER)))
+
+@register("sink_results_csv", _compose(_results_sql(), [], ("targets", "dig_output", "ping_output", "curl_output")))
 def q_sink_results_csv(spark, sf):
-    """Header of the results CSV for dig, ping and curl rows written together: the key
-    union in first-appearance order (one small aggregate per tool output)."""
+    """The rows of the results CSV for dig, ping and curl written together, under the union
+    of their keys in first-appearance order."""
     t = X.targets(spark, sf)
-    frames = [E.envelope_dig(t, X.dig_output(spark, sf), TS), E.envelope_ping(t, X.ping_output(spark, sf), TS),
-              E.envelope_curl(t, X.curl_output(spark, sf), TS)]
-    frames = [f.select(*K.ENVELOPE_COLUMNS, *[c for c in f.columns if c not in K.ENVELOPE_COLUMNS]) for f in frames]
-    header = S.header_first_appearance(frames)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(header)], "pos int, column_name string")
+    return S.results_rows([E.envelope_dig(t, X.dig_output(spark, sf), TS), E.envelope_ping(t, X.ping_output(spark, sf), TS),
+                           E.envelope_curl(t, X.curl_output(spark, sf), TS)])
 
 
-@register("sink_rows_sorted_header", " union all ".join(
-    f"select {i} as pos, '{c}' as column_name" for i, c in enumerate(("domain", "elem_pos", "error", "page_rank_integer", "rank",
-                                                                       "target_seq"))))
+RANK_SQL = (
+    "select json_extract_string(e, '$.domain') as domain, json_extract_string(e, '$.error') as error, "
+    "json_extract_string(e, '$.page_rank_integer') as page_rank_integer, json_extract_string(e, '$.rank') as rank from "
+    "(select unnest(json_extract(r, '$[*]')) as e "
+    "from (select json_extract(p.body, '$.response') as r from targets t join rank_payloads p on p.target_seq = t.target_seq "
+    f"where {D.strip('t.target')} <> '' and p.http_status = 200 and json_valid(p.body)) z) y")
+
+
+@register("sink_rows_sorted_header", _compose(RANK_SQL, [], ("targets", "rank_payloads")))
 def q_sink_rows_sorted_header(spark, sf):
-    """Header of the exported rank rows: the sorted union of the response keys."""
-    rows = rank_rows(spark, sf)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(sorted(rows.columns))], "pos int, column_name string")
+    """The exported rank rows under the sorted union of the response keys."""
+    return S.sorted_header_rows(rank_rows(spark, sf))
 
 
 # ---------------------------------------------------------------- ordering / batches / sets
@@ -175,14 +187,9 @@ def rank_rows(spark, sf) -> DataFrame:
     return E.widen(ex, "_flat")
 
 
-@register("rank_targets", _compose(
-    "select target_seq, elem_pos, json_extract_string(e, '$.domain') as domain, json_extract_string(e, '$.error') as error, "
-    "json_extract_string(e, '$.page_rank_integer') as page_rank_integer, json_extract_string(e, '$.rank') as rank from "
-    "(select target_seq, unnest(list_transform(range(cast(json_array_length(r) as bigint)), lambda i: cast(i as int))) as elem_pos, unnest(json_extract(r, '$[*]')) as e "
-    "from (select t.target_seq, json_extract(p.body, '$.response') as r from targets t join rank_payloads p on p.target_seq = t.target_seq "
-    f"where {D.strip('t.target')} <> '' and p.http_status = 200 and json_valid(p.body)) z) y", [], ("targets", "rank_payloads")))
+@register("rank_targets", _compose(RANK_SQL, [], ("targets", "rank_payloads")))
 def q_rank_targets(spark, sf):
-    return rank_rows(spark, sf)
+    return rank_rows(spark, sf).drop(*S.RUN_COLUMNS)
 
 
 UNION_COLS = ("target_seq", "action", "ok", "status", "ping_avg", "ping_max", "ping_min", "ping_mdev", "curl_http_code",

@@ -105,35 +105,31 @@ def _tree_sql(body: str, prefix: str, src: str, where: str) -> str:
     path = "regexp_replace(regexp_replace(substr(fullkey, 3), '\\[([0-9]+)\\]', '.\\1', 'g'), '\\.', '_', 'g')"
     val = ("case when type = 'NULL' then null when type = 'BOOLEAN' then case when value::varchar = 'true' then 'True' "
            "else 'False' end when type = 'VARCHAR' then json_extract_string(value, '$') else value::varchar end")
-    return (f"select s.target_seq, '{prefix}' || {path} as key, {val} as value from (select * from {src} where {where}) s, "
-            f"json_tree(s.{body}) jt where jt.type not in ('OBJECT', 'ARRAY')")
+    # of a repeated path the last leaf counts
+    return (f"select target_seq, key, value from (select s.target_seq, jt.id as leaf, '{prefix}' || {path} as key, {val} as value "
+            f"from (select * from {src} where {where}) s, json_tree(s.{body}) jt where jt.type not in ('OBJECT', 'ARRAY')) leaves "
+            "qualify row_number() over (partition by target_seq, key order by leaf desc) = 1")
 
 
 OBJ_BODY = (f"(starts_with({D.strip('body')}, '{{') and coalesce(case when json_valid(body) then json_type(body) = 'OBJECT' end, "
             "false))")
 
 
-@register("flatten_json", _compose(_tree_sql("body", K.PREFIX_IPG, "network_payloads", OBJ_BODY), [], ("network_payloads",)))
+@register("flatten_json", _compose(_tree_sql("body", K.PREFIX_IPG, "json_payloads", OBJ_BODY), [], ("json_payloads",)))
 def q_flatten_json(spark, sf):
-    p = X.network_payloads(spark, sf)
-    doc = F.when(N.py_strip("body").startswith("{"), F.try_parse_json("body"))
-    base = p.select("target_seq", F.when(J.is_json_object(doc), doc).alias("_doc"))
-    flat = J.flatten_json_df(base, F.col("_doc"), K.PREFIX_IPG, "_flat")
-    return J.explode_kv(flat, "_flat", ["target_seq"])
+    p = X.json_payloads(spark, sf).select("target_seq", J.parsed("body", K.PREFIX_IPG).alias("_p"))
+    return J.explode_kv(p.select("target_seq", F.col("_p.flat").alias("_flat")), "_flat", ["target_seq"])
 
 
 @register("json_or_raw", _compose(
-    _tree_sql("body", K.PREFIX_IPG, "network_payloads", OBJ_BODY)
-    + f" union all select target_seq, 'ipg_raw_data' as key, body as value from network_payloads where not ({OBJ_BODY})",
-    [], ("network_payloads",)))
+    "select * from (" + _tree_sql("body", K.PREFIX_IPG, "json_payloads", OBJ_BODY)
+    + f") t union all select target_seq, 'ipg_raw_data' as key, body as value from json_payloads where not ({OBJ_BODY})",
+    [], ("json_payloads",)))
 def q_json_or_raw(spark, sf):
-    p = X.network_payloads(spark, sf)
-    doc = F.when(N.py_strip("body").startswith("{"), F.try_parse_json("body"))
-    obj = J.is_json_object(doc)
-    base = p.select("target_seq", "body", F.when(obj, doc).alias("_doc"), obj.alias("_obj"))
-    flat = J.flatten_json_df(base, F.col("_doc"), K.PREFIX_IPG, "_flat")
+    p = X.json_payloads(spark, sf).select("target_seq", "body", J.parsed("body", K.PREFIX_IPG).alias("_p"))
     raw = F.array(F.struct(F.lit("ipg_raw_data").alias("key"), F.col("body").alias("value")))
-    return J.explode_kv(flat.withColumn("_flat", F.when(F.col("_obj"), F.col("_flat")).otherwise(raw)), "_flat", ["target_seq"])
+    flat = p.select("target_seq", F.when(F.col("_p.found"), F.col("_p.flat")).otherwise(raw).alias("_flat"))
+    return J.explode_kv(flat, "_flat", ["target_seq"])
 
 
 @register("first_response", _compose(
@@ -141,9 +137,8 @@ def q_json_or_raw(spark, sf):
               "where case when json_valid(body) then json_array_length(json_extract(body, '$.response')) > 0 else false end)", "true"),
     [], ("rank_payloads",)))
 def q_first_response(spark, sf):
-    p = X.rank_payloads(spark, sf).select("target_seq", R.first_response("body").alias("_doc"))
-    flat = J.flatten_json_df(p.where(F.col("_doc").isNotNull()), F.col("_doc"), K.PREFIX_OPR, "_flat")
-    return J.explode_kv(flat, "_flat", ["target_seq"])
+    p = X.rank_payloads(spark, sf).select("target_seq", J.parsed("body", K.PREFIX_OPR, response=True).alias("_p"))
+    return J.explode_kv(p.select("target_seq", F.col("_p.flat").alias("_flat")), "_flat", ["target_seq"])
 
 
 @register("explode_response", _compose(
@@ -172,9 +167,10 @@ def q_enrich_rank(spark, sf):
 
 
 NET_SQL = """
-nt as (select target_seq, ip, cast(p[1] as bigint) * 16777216 + cast(p[2] as bigint) * 65536 + cast(p[3] as bigint) * 256
-  + cast(p[4] as bigint) as ipn from (select target_seq, ip, string_split(ip, '.') as p from
-  (select target_seq, {strip} as ip from targets) a where regexp_full_match(ip, '{ipv4}')) b),
+nt as (select target_seq, ip, case when regexp_full_match(ip, '(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}')
+  then cast(p[1] as bigint) * 16777216 + cast(p[2] as bigint) * 65536 + cast(p[3] as bigint) * 256
+  + cast(p[4] as bigint) end as ipn from (select target_seq, ip, string_split(ip, '.') as p from
+  (select target_seq, {strip} as ip from targets) a) b),
 nb as (select net_id, cidr, asn, plen, (addr // (1::bigint << (32 - plen))) * (1::bigint << (32 - plen)) as lo,
   (addr // (1::bigint << (32 - plen))) * (1::bigint << (32 - plen)) + (1::bigint << (32 - plen)) - 1 as hi from
   (select net_id, cidr, asn, cast(split_part(cidr, '/', 2) as int) as plen,
@@ -186,7 +182,7 @@ nb as (select net_id, cidr, asn, plen, (addr // (1::bigint << (32 - plen))) * (1
 @register("enrich_network", _compose(
     "select nt.target_seq, nt.ip, nb.net_id, nb.cidr, nb.asn from nt left join nb on nt.ipn between nb.lo and nb.hi "
     "qualify row_number() over (partition by nt.target_seq order by nb.plen desc nulls last) = 1",
-    [NET_SQL.replace("{strip}", D.strip("target")).replace("{ipv4}", D._re2(T.IPV4_RE)).strip()], ("targets", "networks")))
+    [NET_SQL.replace("{strip}", D.strip("target")).strip()], ("targets", "networks")))
 def q_enrich_network(spark, sf):
     return NET.enrich_network(X.targets(spark, sf), X.networks(spark, sf))
 
@@ -370,13 +366,13 @@ IPG_KEYS = ("ipg_ip", "ipg_location_city", "ipg_location_country", "ipg_network_
 IPG_PATHS = ("$.ip", "$.location.city", "$.location.country", "$.network.autonomous_system.asn",
              "$.network.autonomous_system.tags[0]", "$.network.autonomous_system.tags[1].k", "$.network.cidr")
 IPG_BODY = (
-    "select " + _env_head("ipguide", "ok", "case when ok then '200' else '' end",
-                          f"case when blank then '{K.MSG_PARAM_TARGET_QUERY_REQUIRED}' else '' end")
+    "select " + _env_head("ipguide", "ok", "case when blank then '' else coalesce(cast(http_status as varchar), '') end",
+                          f"case when blank then '{K.MSG_PARAM_TARGET_QUERY_REQUIRED}' when body is not null and not good then body else '' end")
     + ", case when ok and not obj then body end as ipg_raw_data"
     + "".join(f", case when ok and obj then json_extract_string(body, '{p}') end as {k}" for k, p in zip(IPG_KEYS, IPG_PATHS))
-    + f" from (select *, not blank and body is not null as ok, coalesce({OBJ_BODY}, false) as obj from "
-    f"(select t.target_seq, t.target, p.body, {D.strip('t.target')} = '' as blank from targets t left join network_payloads p "
-    "on p.target_seq = t.target_seq) a) b")
+    + f" from (select *, not blank and body is not null and good as ok, coalesce({OBJ_BODY}, false) as obj from "
+    f"(select t.target_seq, t.target, p.body, p.http_status, coalesce(p.http_status between 200 and 299, false) as good, "
+    f"{D.strip('t.target')} = '' as blank from targets t left join network_payloads p on p.target_seq = t.target_seq) a) b")
 
 
 @register("envelope_ipguide", _compose(IPG_BODY, [], ("targets", "network_payloads")))

@@ -16,14 +16,10 @@ from sanscope.sources import fixtures as X
 from sanscope.streaming.cert_stream import replay
 
 ARRIVALS = 3
-_RUNS: dict = {}
 
 
 def _stream(spark, sf):
-    key = (id(spark), sf)
-    if key not in _RUNS:
-        _RUNS[key] = replay(spark, entries(spark, sf).drop("cert_id"), X.seen_ids(spark, sf), ARRIVALS)
-    return _RUNS[key]
+    return replay(spark, entries(spark, sf).drop("cert_id"), X.seen_ids(spark, sf), ARRIVALS)
 
 
 NEW = ("newc as (select * from dd where cast(cert_id as varchar) not in (select cert_id from seen_ids)),\n"

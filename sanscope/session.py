@@ -31,6 +31,16 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None, ap
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a local run, or a
+    folder all machines see); on a cluster that has it installed this changes nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def use_utc(spark: SparkSession) -> None:
     """All certificate times are read and printed in UTC (the reference's naive times are UTC)."""
     if spark.conf.get("spark.sql.session.timeZone", None) != UTC:
@@ -38,13 +48,15 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; only when unset (tests, local runs)
-    create a scratch folder for it."""
+    """Return the cluster's ``spark.checkpoint.dir``. Only a local session that has none gets a
+    scratch folder; on a cluster a folder of one machine would be useless, so that is an error."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     path = tempfile.mkdtemp(prefix="sanscope-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -1,7 +1,6 @@
 """Sinks: domain CSV, analysis CSV, JSON Lines log, saved state, result CSVs.
 
-Sorted outputs are range-partitioned by the sort key, so part files concatenate in
-order; ``single_file=True`` coalesces to one ordered file (only for small outputs).
+Sorted outputs are range-partitioned by the sort key, so part files concatenate in order.
 """
 
 from __future__ import annotations
@@ -12,22 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ANALYSIS_COLUMNS = ("domain", "level", "first_seen", "last_seen", "is_active")
+#: Columns that runs add to rows for their own order; no output file has them.
+RUN_COLUMNS = ("query_ord", "entry_seq", "cert_id", "target_seq", "elem_pos")
 
 
-def _sorted(df: DataFrame, cols: Sequence[str], single_file: bool) -> DataFrame:
-    out = df.orderBy(*cols)
-    return out.coalesce(1) if single_file else out
-
-
-def write_domains_csv(domains: DataFrame, path: str, single_file: bool = False) -> None:
+def write_domains_csv(domains: DataFrame, path: str) -> None:
     """Header ``domain``, rows sorted ascending."""
-    _sorted(domains.select("domain").distinct(), ["domain"], single_file).write.mode("overwrite").option(
-        "header", True).csv(path)
+    domains.select("domain").distinct().orderBy("domain").write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_analysis_csv(analysis: DataFrame, path: str, single_file: bool = False) -> None:
+def write_analysis_csv(analysis: DataFrame, path: str) -> None:
     """``domain,level,first_seen,last_seen,is_active`` sorted by domain; empty dates as ""."""
-    _sorted(analysis.select(*ANALYSIS_COLUMNS), ["domain"], single_file).write.mode("overwrite").option(
+    analysis.select(*ANALYSIS_COLUMNS).orderBy("domain").write.mode("overwrite").option(
         "header", True).option("emptyValue", "").csv(path)
 
 
@@ -36,8 +31,9 @@ def jsonl_lines(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_jsonl(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    jsonl_lines(df, fields).write.mode("overwrite").text(path)
+def write_jsonl(df: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
+    """Every column but the run's own ordinals, unless ``fields`` names them: raw entries are logged whole."""
+    jsonl_lines(df, fields or [c for c in df.columns if c not in RUN_COLUMNS]).write.mode("overwrite").text(path)
 
 
 def new_state(known: DataFrame, processed: DataFrame, col: str = "cert_id") -> DataFrame:
@@ -55,18 +51,26 @@ def write_seen_ids(state: DataFrame, root: str, version: int, col: str = "cert_i
 
 
 def header_first_appearance(frames: Sequence[DataFrame]) -> list[str]:
-    """Union of columns in first-appearance order over the tool outputs (in order),
-    counting a column only when some row has it (non-null)."""
+    """Union of columns in first-appearance order over the tool outputs that have rows. A key that
+    is present counts, whatever its values; the run's own ordinals are no keys."""
     seen: list[str] = []
     for df in frames:
-        cols = [c for c in df.columns if c not in seen]
-        if not cols:
-            continue
-        present = df.select(*[F.max(F.col(c).isNotNull().cast("int")).alias(c) for c in cols]).first()
-        seen.extend(c for c in cols if present is not None and present[c] == 1)
+        new = [c for c in df.columns if c not in seen and c not in RUN_COLUMNS]
+        if new and not df.isEmpty():
+            seen.extend(new)
     return seen
 
 
+def results_rows(frames: Sequence[DataFrame]) -> DataFrame:
+    """The rows of the results CSV: all tools' rows under the joint header."""
+    return union_by_name(frames).select(*header_first_appearance(frames))
+
+
+def sorted_header_rows(df: DataFrame) -> DataFrame:
+    """The rows under the sorted union of their keys."""
+    return df.select(*sorted(c for c in df.columns if c not in RUN_COLUMNS))
+
+
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:
@@ -86,6 +90,6 @@ def write_results_csv(frames: Sequence[DataFrame], path: str) -> list[str]:
 
 def write_rows_sorted_header(df: DataFrame, path: str) -> list[str]:
     """Header = sorted key union; written even for empty input."""
-    cols = sorted(df.columns)
-    df.select(*cols).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-    return cols
+    out = sorted_header_rows(df)
+    out.write.mode("overwrite").option("header", True).csv(path)
+    return out.columns

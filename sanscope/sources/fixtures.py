@@ -159,13 +159,23 @@ def network_payloads(spark: SparkSession, sf: str) -> DataFrame:
     body = F.when(s % 9 == 0, F.lit("<html>err</html>")).otherwise(F.concat(
         F.lit('{"ip":"'), t, F.lit('","network":{"cidr":"10.0.0.0/8","autonomous_system":{"asn":'), _s(s + 6568),
         F.lit(',"tags":["a",{"k":"v"}]}},"location":{"country":"Bolivia","city":null},"extra":{}}')))
-    return targets(spark, sf).select(s, t.alias("target"), body.alias("body"))
+    return targets(spark, sf).select(
+        s, t.alias("target"), F.when(s % 13 == 0, F.lit(502)).otherwise(F.lit(200)).alias("http_status"), body.alias("body"))
+
+
+def json_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """``network_payloads``, some with repeated keys, paths that meet, number forms and empty parts."""
+    s = F.col("target_seq")
+    odd = F.concat(F.lit('{"a_b":1,"a":{"b":2},"ip":"x","ip":"y'), _s(s), F.lit(
+        '","n":100.0,"e":[1.5,true,null,{"k":""},12345678901],"z":{},"w":[]}'))
+    return network_payloads(spark, sf).select(s, "target", F.when(s % 9 == 1, odd).otherwise(F.col("body")).alias("body"))
 
 
 def networks(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("n_nationkey")
-    cidr = F.when(n % 2 == 0, F.concat(_s(n + 1), F.lit(".0.0.0/8"))).otherwise(
-        F.concat(_s(n), F.lit("."), _s(n - 1), F.lit(".0.0/16")))
+    cidr = (F.when(n % 3 == 0, F.concat(_s(n + 1), F.lit(".0.0.0/8")))
+            .when(n % 3 == 1, F.concat(_s(n), F.lit("."), _s(n - 1), F.lit(".0.0/16")))
+            .otherwise(F.concat(_s(n * 8 + 1), F.lit("."), _s(n * 8), F.lit("."), _s(n % 5), F.lit(".0/24"))))
     return table(spark, sf, "nation").select(n.alias("net_id"), cidr.alias("cidr"), (n + 6500).alias("asn"))
 
 
@@ -207,9 +217,9 @@ def whois_pages(spark: SparkSession, sf: str, both_zones: bool = False) -> DataF
     k = F.col("s_suppkey")
     html = F.when(k % 7 == 0, F.lit("<html><p>sin tabla</p></html>")).otherwise(F.concat(
         F.lit("<html><table><tr><th>Nombre de dominio</th><th>Estado</th></tr><tr><td> root"), _s(k),
-        F.lit('.com.bo </td><td><a href="revisar_contacto.php?id='), _s(k),
+        F.lit('.com.bo </td><td><a href="revisar_contacto.php?a=1&amp;id='), _s(k),
         F.lit('">Registrado</a></td></tr><tr><td>root'), _s(k),
-        F.lit(".edu.bo</td><td>Disponible</td><td>280 Bs</td></tr></table></html>")))
+        F.lit(".edu.bo</td><td>Disponible &ndash; s&iacute;&#33;</td><td>280 Bs</td></tr></table></html>")))
     zone = F.when(k % 2 == 0, F.lit(".bo")).otherwise(F.lit(".ia.bo"))
     pages = table(spark, sf, "supplier").select(
         k.alias("page_id"), F.concat(F.lit("root"), _s(k)).alias("root"), zone.alias("zone"), html.alias("html"))
@@ -225,17 +235,18 @@ def whois_details(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, sf, "supplier").select(
         k.alias("page_id"),
-        F.concat(F.lit("https://nic.bo/revisar_contacto.php?id="), _s(k)).alias("url"),
+        F.concat(F.lit("https://nic.bo/revisar_contacto.php?a=1&id="), _s(k)).alias("url"),
         F.concat(F.lit("<table><tr><td>Titular :</td><td>"), F.col("s_name"),
                  F.lit("</td></tr><tr><th>Contacto</th></tr><tr><td>Ciudad:</td><td>La Paz</td></tr>"
-                       "<tr><td>Ciudad:</td><td>Oruro</td></tr></table>")).alias("html"),
+                       "<tr><td>Ciudad:</td><td>Oruro</td></tr><tr><td>Tel_Casa</td><td>1</td></tr>"
+                       "<tr><th>Contacto_Tel</th></tr><tr><td>Casa</td><td>&aacute;2</td></tr></table>")).alias("html"),
     )
 
 
 def crtsh_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Domains given to the certificate-search tool (duplicates, padding and blanks kept)."""
     k = F.col("s_suppkey")
-    base = _pick(k % 7, NAME_BASES)
+    base = F.when(k > 28, F.concat(_s(k), F.lit("."), _pick(k % 7, NAME_BASES))).otherwise(_pick(k % 7, NAME_BASES))
     t = F.when(k % 13 == 0, F.lit("  ")).when(k % 5 == 0, F.concat(F.lit(" "), base, F.lit(" "))).otherwise(base)
     return table(spark, sf, "supplier").select(k.alias("target_seq"), t.alias("target"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sanscope.functions import names as N
+from sanscope.operators import ordering
 
 CERT_ENTRY_SCHEMA = T.StructType([
     T.StructField("entry_seq", T.LongType()),
@@ -30,12 +31,17 @@ IDENTITY_SCHEMA = T.StructType([
 ])
 
 
-def read_cert_entries(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Stored search responses (JSON Lines or parquet) with the declared schema; the
-    response order must be in the data as ``entry_seq``."""
-    if fmt == "json":
-        return spark.read.schema(CERT_ENTRY_SCHEMA).json(path)
-    return spark.read.schema(CERT_ENTRY_SCHEMA).parquet(path)
+def read_cert_entries(spark: SparkSession, path: str, fmt: str = "json", extra: str = "") -> DataFrame:
+    """Stored search responses with the declared schema; the response order must be in the data
+    as ``entry_seq``.
+
+    ``fmt``: ``json`` (one entry per line, or a line holding an array of entries), ``json_array``
+    (files that are one array over many lines, each read by one task) or ``parquet``. ``extra`` is a
+    DDL string of further raw fields to keep (for example ``query_ord int, issuer_name string``)."""
+    schema = CERT_ENTRY_SCHEMA if not extra else T.StructType(CERT_ENTRY_SCHEMA.fields + T._parse_datatype_string(extra).fields)
+    if fmt == "json_array":
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).json(path) if fmt == "json" else spark.read.schema(schema).parquet(path)
 
 
 def parse_cert_entries(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -67,16 +73,23 @@ def read_targets(spark: SparkSession, cli: Sequence[str] = (), path: str | None
     cli_df = spark.createDataFrame([(0, i, t) for i, t in enumerate(cli)], "source_ord int, line_ord long, target string")
     if path is None:
         return cli_df
-    raw = spark.read.text(path).select(F.col("value").alias("target"), F.monotonically_increasing_id().alias("line_no"))
+    # one list file is one sequence of lines: read whole, so that line order survives any number of files
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_f"), "value")
+    raw = files.select("_f", F.posexplode(N.split_names("value")).alias("_n", "target"))
+    raw = ordering.order_number(raw, ["_f", "_n"], "line_no").select("target", "line_no")
     file_df = target_lines(raw).select(F.lit(1).alias("source_ord"), "line_ord", "target")
     return cli_df.unionByName(file_df)
 
 
 def read_domains_csv(spark: SparkSession, path: str, col: str = "dominio") -> DataFrame:
-    """Header CSV; the ``dominio`` column stripped, blanks and nulls dropped."""
-    df = spark.read.option("header", True).option("multiLine", True).csv(path)
+    """(target_seq, dominio) of a header CSV: the column stripped, blanks and nulls dropped,
+    numbered in file order. Values hold no line breaks (they are domains), so files can be split."""
+    df = spark.read.option("header", True).csv(path).withColumn(
+        "_at", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                        F.monotonically_increasing_id().alias("i")))
     d = N.py_strip(F.coalesce(F.col(col), F.lit("")))
-    return df.select(d.alias(col)).where(F.col(col) != "")
+    kept = df.select(d.alias(col), "_at.f", "_at.b", "_at.i").where(F.col(col) != "")
+    return ordering.order_number(kept, ["f", "b", "i"], "target_seq").select("target_seq", col)
 
 
 def domains_from_csv_lines(lines: DataFrame, line_col: str = "line", keys: Sequence[str] = ("target_seq",),
@@ -92,11 +105,26 @@ def read_seen_ids(spark: SparkSession, path: str | None) -> DataFrame:
     empty = spark.createDataFrame([], "cert_id string")
     if path is None:
         return empty
-    try:
-        lines = spark.read.text(path)
-    except Exception:  # a missing state file means no state yet
-        return empty
-    return seen_from_lines(lines, "value")
+    newest = newest_version(spark, path)
+    return empty if newest is None else seen_from_lines(spark.read.text(newest), "value")
+
+
+def newest_version(spark: SparkSession, root: str) -> str | None:
+    """The newest complete ``v=`` folder of a versioned state, the path itself if it has none,
+    null if nothing is there. Any other failure is an error, not an empty state."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    if not fs.getFileStatus(path).isDirectory():
+        return root
+    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+    versions = sorted(n for n in names if n.startswith("v="))
+    done = [n for n in versions if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{n}/_SUCCESS"))]
+    if versions:
+        return f"{root.rstrip('/')}/{done[-1]}" if done else None
+    return root
 
 
 def seen_from_lines(lines: DataFrame, col: str = "value") -> DataFrame:

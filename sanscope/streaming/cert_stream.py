@@ -4,15 +4,16 @@ Stored search responses land as new files in a source folder. Each run
 (``trigger(availableNow=True)``, i.e. "re-run on an ongoing basis") processes only
 the files that arrived since the last one:
 
-* ``new_certs`` - ``foreachBatch``: first entry per certificate within the batch
-  (``dedup_certs``), minus every id already known (saved state + earlier batches),
-  written per epoch with overwrite, so a retried epoch replaces its own output
-  (idempotent). The state is the union of the per-epoch id folders.
-* ``new_domains`` - the batch's new certificates -> names -> distinct, per epoch
-  (a known domain in a new certificate is reported again, like the original).
-* ``domain_analysis`` - a stateful streaming aggregate (min/max per domain) over the
-  new-certificate stream, complete mode; its state holds every domain seen, the same
-  unbounded set the original keeps.
+* ``new_certs`` - ``foreachBatch``: first entry per certificate by (arrival, entry) within the
+  batch, minus every id already known (saved state + earlier batches), written per epoch with
+  overwrite, so a retried epoch replaces its own output (idempotent). The state is the union of
+  the per-epoch id folders.
+* ``new_domains`` - the new certificates -> names -> distinct, per arrival (a known domain in a
+  new certificate is reported again, like the original).
+* ``domain_analysis`` - every epoch writes the first and last times of its own domains; reading
+  reduces them (min and max need no order), and ``compact`` folds old epochs into one.
+
+The rows do not depend on how many arrivals or files one trigger takes.
 
 All folders live under the shared ``spark.checkpoint.dir``.
 """
@@ -27,13 +28,11 @@ from pyspark.sql import types as T
 
 from sanscope.operators import certs as C
 from sanscope.operators import state as S
-from sanscope.session import state_path, use_utc
+from sanscope.session import materialize, state_path, use_utc
 from sanscope.sources.readers import CERT_ENTRY_SCHEMA
 
-MAX_BROADCAST_BATCH_IDS = 20_000_000
-MAX_FILES_PER_TRIGGER = 1000
-
-NEW_CERT_SCHEMA = T.StructType(list(CERT_ENTRY_SCHEMA.fields) + [T.StructField("cert_id", T.LongType())])
+NEW_CERT_SCHEMA = T.StructType(list(CERT_ENTRY_SCHEMA.fields) + [
+    T.StructField("arrival", T.IntegerType()), T.StructField("cert_id", T.LongType())])
 
 
 class CertStream:
@@ -63,60 +62,63 @@ class CertStream:
 
     # -- per-batch logic
     def _known_ids(self, epoch: int, batch_ids: DataFrame) -> DataFrame:
-        """Known ids that occur in this batch. The batch's distinct ids (bounded by the
-        trigger's file limit, and counted) are broadcast into a semi join, so the whole
-        state is scanned once but never shuffled."""
+        """Known ids that occur in this batch: a semi join with the batch's distinct ids, which
+        the optimizer broadcasts while they are small, so the state is scanned and not shuffled."""
         ids = self.spark.read.parquet(self.known).where(F.col("epoch") != epoch).select("cert_id")
         probe = batch_ids.select(F.col("cert_id").cast("string").alias("cert_id")).distinct()
-        if probe.count() <= MAX_BROADCAST_BATCH_IDS:
-            probe = F.broadcast(probe)
         return ids.join(probe, "cert_id", "left_semi")
 
     def _process(self, batch: DataFrame, epoch: int) -> None:
-        ded = C.dedup_certs(C.with_cert_id(batch.drop("arrival")))
+        # first by (arrival, entry): the first arrival of each certificate, then its first entry there
+        ded = materialize(C.first_owned_entries(C.with_cert_id(batch), by="arrival"), "stream-batch")
         new = S.anti_seen(ded, self._known_ids(epoch, ded.select("cert_id")))
         new.write.mode("overwrite").parquet(f"{self.new_certs}/epoch={epoch}")
         written = self.spark.read.schema(NEW_CERT_SCHEMA).parquet(f"{self.new_certs}/epoch={epoch}")
         written.select(F.col("cert_id").cast("string").alias("cert_id")).write.mode("overwrite").parquet(
             f"{self.known}/epoch={epoch}")
-        named = C.entry_names(written, keep=("entry_seq",))
-        C.distinct_domains(named).write.mode("overwrite").parquet(f"{self.new_domains}/epoch={epoch}")
+        named = C.entry_names(written, keep=("arrival", "not_before", "not_after"))
+        C.distinct_domains(named, by=["arrival"]).write.mode("overwrite").parquet(f"{self.new_domains}/epoch={epoch}")
+        named.groupBy("domain").agg(
+            F.min(C.N.parse_cert_time("not_before")).alias("first_ts"),
+            F.max(C.N.parse_cert_time("not_after")).alias("last_ts"),
+        ).write.mode("overwrite").parquet(f"{self.analysis}/epoch={epoch}")
 
     def run_new_certs(self) -> None:
         schema = T.StructType(list(CERT_ENTRY_SCHEMA.fields) + [T.StructField("arrival", T.IntegerType())])
-        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", MAX_FILES_PER_TRIGGER).parquet(self.source)
+        stream = self.spark.readStream.schema(schema).parquet(self.source)
         q = (stream.writeStream.foreachBatch(lambda df, epoch: self._process(df, epoch))
              .option("checkpointLocation", f"{self.root}/ckpt_new_certs").trigger(availableNow=True).start())
         q.awaitTermination()
 
-    def run_analysis(self) -> None:
-        """Running first/last seen per domain over the new-certificate stream (complete mode;
-        every batch rewrites the whole summary)."""
-        schema = T.StructType(list(NEW_CERT_SCHEMA.fields) + [T.StructField("epoch", T.IntegerType())])
-        stream = self.spark.readStream.schema(schema).parquet(self.new_certs)
-        named = C.entry_names(stream.drop("epoch"), keep=("not_before", "not_after"))
-        agg = named.groupBy("domain").agg(
-            F.min(C.N.parse_cert_time("not_before")).alias("first_ts"),
-            F.max(C.N.parse_cert_time("not_after")).alias("last_ts"))
-
-        def write(df: DataFrame, epoch: int) -> None:
-            df.write.mode("overwrite").parquet(self.analysis)
-
-        q = (agg.writeStream.outputMode("complete").foreachBatch(write)
-             .option("checkpointLocation", f"{self.root}/ckpt_analysis").trigger(availableNow=True).start())
-        q.awaitTermination()
+    def _analysis(self) -> DataFrame:
+        return self.spark.read.parquet(self.analysis).groupBy("domain").agg(
+            F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+    def compact(self) -> None:
+        """Fold the known ids and the domain times of all epochs into one new folder each. Readers
+        of the old folders stay valid; a failed compaction leaves the old state as it was."""
+        known = self.spark.read.parquet(self.known).select("cert_id").distinct()
+        self.known, old_known = f"{self.root}/known-{uuid.uuid4().hex}", self.known
+        self.analysis, old_analysis = f"{self.root}/analysis-{uuid.uuid4().hex}", self.analysis
+        try:
+            known.write.parquet(f"{self.known}/epoch=-1")
+            self.spark.read.parquet(old_analysis).groupBy("domain").agg(
+                F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")).write.parquet(f"{self.analysis}/epoch=-1")
+        except Exception:
+            self.known, self.analysis = old_known, old_analysis
+            raise
 
     # -- outputs
     def new_cert_rows(self) -> DataFrame:
         return self.spark.read.parquet(self.new_certs)
 
     def new_domain_rows(self) -> DataFrame:
-        return self.spark.read.parquet(self.new_domains).withColumnRenamed("epoch", "batch_no")
+        return self.spark.read.parquet(self.new_domains).select(F.col("arrival").alias("batch_no"), "domain")
 
     def analysis_rows(self) -> DataFrame:
         from sanscope.functions import names as N
 
-        a = self.spark.read.parquet(self.analysis)
+        a = self._analysis()
         return a.select("domain", N.domain_level("domain").alias("level"), N.iso_date("first_ts").alias("first_seen"),
                         N.iso_date("last_ts").alias("last_seen"), N.is_active("last_ts", self.as_of).alias("is_active"))
 
@@ -124,7 +126,7 @@ class CertStream:
 def replay(spark: SparkSession, entries: DataFrame, seen: DataFrame | None, arrivals: int,
            order_col: str = "entry_seq") -> CertStream:
     """Feed ``entries`` as ``arrivals`` consecutive response files (ranges of ``order_col``)
-    and run both streams after each arrival."""
+    and run the stream after each arrival."""
     stream = CertStream(spark)
     stream.init_state(seen if seen is not None else spark.createDataFrame([], "cert_id string"))
     top = entries.agg(F.max(order_col)).first()[0]
@@ -133,5 +135,4 @@ def replay(spark: SparkSession, entries: DataFrame, seen: DataFrame | None, arri
     for k in range(arrivals):
         stream.arrive(entries.where(part == k))
         stream.run_new_certs()
-        stream.run_analysis()
     return stream

@@ -7,7 +7,7 @@ from sanscope.functions import jsonflat as J
 
 def _flat(spark, doc, prefix="p_"):
     df = spark.createDataFrame([(1, doc)], "k int, body string")
-    out = J.flatten_json_df(df, F.try_parse_json("body"), prefix, "flat")
+    out = df.select(J.parsed("body", prefix)["flat"].alias("flat"))
     return [(r["key"], r["value"]) for r in out.select(F.explode("flat").alias("kv")).select("kv.*").collect()]
 
 
@@ -27,3 +27,17 @@ def test_flatten_deep_nesting_is_not_cut(spark):
 def test_flatten_duplicate_path_last_wins(spark):
     got = _flat(spark, '{"a":{"b":2},"a_b":1}', "")
     assert got == [("a_b", "1")]
+
+
+def test_document_order_repeated_keys_and_number_text(spark):
+    got = _flat(spark, '{"z":1,"a_b":1,"a":{"b":2},"z":3,"n":100.0,"big":12345678901234567890,"e":-0.5e1}', "")
+    assert got == [("z", "3"), ("a_b", "2"), ("n", "100.0"), ("big", "12345678901234567890"), ("e", "-5.0")]
+
+
+def test_other_documents(spark):
+    rows = [(1, "not json"), (2, None), (3, "[1]"), (4, '{"response":[]}'), (5, '{"response":[{"a":1},{"a":2}]}'), (6, '"s"'), (7, "{}")]
+    df = spark.createDataFrame(rows, "k int, body string")
+    plain = {r[0]: (r[1].valid, r[1].found) for r in df.select("k", J.parsed("body", "p_").alias("p")).collect()}
+    assert plain == {1: (False, False), 2: (False, False), 3: (True, False), 4: (True, True), 5: (True, True), 6: (True, False), 7: (True, True)}
+    first = {r[0]: r[1].flat for r in df.select("k", J.parsed("body", "p_", response=True).alias("p")).collect()}
+    assert [tuple(x) for x in first[5]] == [("p_a", "1")] and [k for k in first if first[k] is not None] == [5]
