@@ -58,7 +58,7 @@ def test_bounded_memory_of_pieces(tik, monkeypatch):
     c = bpe.Codec(RANKS, P.PATTERN)
     for t in ("one two three four five six seven eight", "one two nine ten", "x" * 200, "one two"):
         assert c.encode_all([t]) == [tik.encode_ordinary(t)]
-    assert len(c.young) < 20
+    assert len(c.pieces) < 20
 
 
 def test_unknown_id_and_empty_table(spark):
