@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sanscope.session import state_path
+from sanscope.session import share_code, state_path
 
 #: White space of the text contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
-def share_code(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a local run, or a
-    folder all machines see); on a cluster that has it installed this changes nothing."""
-    import sanscope
-
-    root = os.path.dirname(os.path.dirname(os.path.abspath(sanscope.__file__)))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-
-
 class Scratch:
     """Tables written below ``spark.checkpoint.dir`` to cut lineage.
 
@@ -72,22 +59,22 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     cur = scratch.keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u <> v").distinct(), "edges")
-    state = None
     while True:
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or tuple(now) == state:
-            break
-        state = tuple(now)
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        near = scratch.keep(both.groupBy("u").agg(
+            F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("top"),
+            F.sum((F.col("v") < F.col("u")).cast("long")).alias("below")), "neighbours")
+        # all stars: no node has two smaller neighbours, or smaller and larger ones
+        if near.where("below > 1 or (below > 0 and top > u)").isEmpty():
+            break
         large = scratch.keep(
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            both.where("v > u").join(near.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         nxt = scratch.keep(
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        scratch.drop(cur, large)
+        scratch.drop(cur, near, large, low)
         cur = nxt
     return (cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())

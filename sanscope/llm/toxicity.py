@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_code, text_or_empty
+from sanscope.session import share_code
+
+from .common import text_or_empty
 
 SAMPLE, FEATURES, LEAST_DOCS = 20_000, 4_000, 4
 #: Standard deviations by which a feature's rates among toxic and clean texts must differ.
