@@ -38,9 +38,15 @@ def explode_response(answers: DataFrame, keys=("target_seq",), body_col: str = "
     return ex.select(*keys, "elem_pos", element_fields(F.col("_e")).alias("_flat"))
 
 
+def first_answers(snapshot: DataFrame, keys=("target",), order: str = "target_seq") -> DataFrame:
+    """A snapshot with one answer per stripped target text (and further ``keys``): the first stored
+    one. The minimum is a hash aggregate, the rows follow by a semi join."""
+    s = snapshot.withColumn("target", N.py_strip("target"))
+    return s.join(s.groupBy(*keys).agg(F.min(order).alias(order)), [*keys, order], "left_semi")
+
+
 def enrich_rank(targets: DataFrame, answers: DataFrame) -> DataFrame:
-    """Target -> stored answer of its lookup (left join on the probe id ``target_seq``;
-    a miss keeps the target with null answer fields)."""
+    """Target -> stored answer of its lookup (left join on the target text; a miss keeps the
+    target with null answer fields)."""
     t = targets.select("target_seq", N.py_strip("target").alias("target"))
-    a = answers.select("target_seq", "http_status", "body")
-    return t.join(a, "target_seq", "left")
+    return t.join(first_answers(answers).select("target", "http_status", "body"), "target", "left")

@@ -153,11 +153,15 @@ def q_explode_response(spark, sf):
 
 
 # ---------------------------------------------------------------- joins
+def _first_sql(table: str, keys: str = "target") -> str:
+    return f"(select * from {table} qualify row_number() over (partition by {keys} order by target_seq) = 1)"
+
+
 @register("enrich_rank", _compose(
     "select t.target_seq, trim(t.target) as target, r.http_status, "
     "case when json_valid(r.body) then json_extract_string(r.body, '$.response[0].page_rank_integer') end as page_rank_integer, "
     "case when json_valid(r.body) then json_extract_string(r.body, '$.response[0].rank') end as rank "
-    "from targets t left join rank_payloads r on r.target_seq = t.target_seq", [], ("targets", "rank_payloads")))
+    "from targets t left join " + _first_sql("rank_payloads") + " r on r.target = trim(t.target)", [], ("targets", "rank_payloads")))
 def q_enrich_rank(spark, sf):
     j = R.enrich_rank(X.targets(spark, sf), X.rank_payloads(spark, sf))
     first = R.first_response("body")
@@ -193,11 +197,13 @@ def q_enrich_network(spark, sf):
     "unnest(case when len(ans) > 0 then list_transform(range(len(ans)), lambda i: cast(i as int)) else [null] end) as ans_pos, "
     "unnest(case when len(ans) > 0 then ans else [null] end) as t from "
     f"(select t.target_seq, d.record_type, case when d.returncode = 0 then {D.dig_answers('d.stdout')} else [] end as ans "
-    "from targets t left join dig_output_types d on d.target_seq = t.target_seq) z) y", [], ("targets", "dig_output_types")))
+    "from targets t left join " + _first_sql("dig_output_types", "target, record_type") + " d on d.target = trim(t.target)) z) y",
+    [], ("targets", "dig_output_types")))
 def q_enrich_dns(spark, sf):
-    t = X.targets(spark, sf).select("target_seq")
-    d = X.dig_output(spark, sf, record_types=True)
-    j = t.join(d.select("target_seq", "record_type", "returncode", "stdout"), "target_seq", "left")
+    """Targets with the first stored answer of each record type, joined by target text."""
+    t = X.targets(spark, sf).select("target_seq", N.py_strip("target").alias("target"))
+    d = R.first_answers(X.dig_output(spark, sf, record_types=True), ("target", "record_type"))
+    j = t.join(d.select("target", "record_type", "returncode", "stdout"), "target", "left")
     ans = F.when(F.col("returncode") == 0, PR.parse_dig_answer("stdout")).otherwise(
         F.array().cast("array<struct<record_name:string,ttl:string,class:string,type:string,value:string>>"))
     ex = j.select("target_seq", "record_type", F.posexplode_outer(ans).alias("ans_pos", "a"))
@@ -209,17 +215,18 @@ def q_enrich_dns(spark, sf):
     + PING_SQL_RE + "', 2) end as ping_avg, case when c.returncode = 0 and len(string_split(" + D.strip("c.stdout")
     + ", ',')) = 2 then string_split(" + D.strip("c.stdout") + ", ',')[1] end as curl_http_code, "
     "case when r.returncode = 0 then " + D.strip("r.stdout") + " else " + D.strip("r.stderr") + " end as trace_output "
-    "from targets t left join ping_output p on p.target_seq = t.target_seq left join curl_output c on c.target_seq = t.target_seq "
-    "left join dig_output r on r.target_seq = t.target_seq", [], ("targets", "ping_output", "curl_output", "dig_output")))
+    "from targets t left join " + _first_sql("ping_output") + " p on p.target = trim(t.target) left join " + _first_sql("curl_output")
+    + " c on c.target = trim(t.target) left join " + _first_sql("dig_output") + " r on r.target = trim(t.target)",
+    [], ("targets", "ping_output", "curl_output", "dig_output")))
 def q_enrich_probe(spark, sf):
     """One row per target with the parsed ping, curl and traceroute outputs (three left joins
-    on the probe id; AQE co-partitions them on ``target_seq``)."""
-    t = X.targets(spark, sf).select("target_seq")
-    p = X.ping_output(spark, sf).select("target_seq", F.col("returncode").alias("p_rc"), F.col("stdout").alias("p_out"))
-    c = X.curl_output(spark, sf).select("target_seq", F.col("returncode").alias("c_rc"), F.col("stdout").alias("c_out"))
-    r = X.dig_output(spark, sf).select("target_seq", F.col("returncode").alias("r_rc"), F.col("stdout").alias("r_out"),
-                                       F.col("stderr").alias("r_err"))
-    j = t.join(p, "target_seq", "left").join(c, "target_seq", "left").join(r, "target_seq", "left")
+    on the target text, each to the first stored answer)."""
+    t = X.targets(spark, sf).select("target_seq", N.py_strip("target").alias("target"))
+    p = R.first_answers(X.ping_output(spark, sf)).select("target", F.col("returncode").alias("p_rc"), F.col("stdout").alias("p_out"))
+    c = R.first_answers(X.curl_output(spark, sf)).select("target", F.col("returncode").alias("c_rc"), F.col("stdout").alias("c_out"))
+    r = R.first_answers(X.dig_output(spark, sf)).select("target", F.col("returncode").alias("r_rc"), F.col("stdout").alias("r_out"),
+                                                        F.col("stderr").alias("r_err"))
+    j = t.join(p, "target", "left").join(c, "target", "left").join(r, "target", "left")
     rtt = PR.parse_ping_rtt("p_out")
     cm = PR.parse_curl_metrics("c_out")
     return j.select(
