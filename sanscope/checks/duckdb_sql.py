@@ -111,6 +111,10 @@ select s_suppkey as target_seq, case when s_suppkey % 13 = 0 then '  ' when s_su
 from (select s_suppkey, case when s_suppkey > 28 then cast(s_suppkey as varchar) || '.' else '' end ||
   ['example.com','acme.com.bo','umsa.edu.bo','www.acme.com','google.co.uk','shop.example.com','localhost'][cast(s_suppkey % 7 as int) + 1] as b
   from supplier) z"""),
+    "crtsh_answers": (("crtsh_targets",), r"""
+select target_seq, target, case when target_seq % 10 = 9 then 503 else 200 end as http_status,
+  case target_seq % 10 when 9 then 'busy' when 8 then 'not json' when 7 then '{"message":"x"}' else '[]' end as body
+from crtsh_targets where target_seq % 10 <> 6"""),
     "whois_targets": ((), r"""
 select s_suppkey as target_seq, case when s_suppkey % 3 = 0 then 'nada' || cast(s_suppkey as varchar) || '.bo'
   else 'root' || cast(s_suppkey as varchar) || '.com.bo' end as target from supplier"""),

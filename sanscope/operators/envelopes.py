@@ -20,7 +20,9 @@ from sanscope.functions import jsonflat as J
 from sanscope.functions import names as N
 from sanscope.functions import parsers as P
 from sanscope.functions import targets as T
+from sanscope.operators.ranking import first_answers
 from sanscope.session import materialize
+from sanscope.sources.readers import body_kind
 
 
 def head(ts: str, action: str, ok: Column, status: Column, error: Column) -> list[Column]:
@@ -190,18 +192,30 @@ def crtsh_responses(targets: DataFrame, entries: DataFrame) -> DataFrame:
     return e.where(F.col("_q").isNotNull()).join(t, "_q").select(F.col("_q").alias("target"), "entry_seq")
 
 
-def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str) -> DataFrame:
-    """One row per distinct cleaned name of the certificates each target returned; a
-    target with no names keeps one bare row; a blank target is an error row.
-    Duplicate targets in the list are kept: the original prints one block of rows for each."""
+def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str, answers: DataFrame | None = None) -> DataFrame:
+    """One row per distinct cleaned name of the certificates each target returned; a target with no
+    names keeps one bare row; a blank target is an error row.
+
+    ``answers`` (target, http_status, body) are the stored search answers: a status outside 2xx or a
+    body that is no JSON is an error row, JSON that is no list goes to ``crt_raw_data``, a missing
+    answer is ``ok = false``. Without them every search counts as answered by a list. Duplicate
+    targets in the list are kept: the original prints one block of rows for each."""
     t = targets.select("target_seq", "target", F.lower(N.py_strip("target")).alias("_target_key"))
-    subs = crtsh_subdomains(targets, entries)
-    found = subs.join(t, "_target_key").select("target_seq", "target", F.col("name").alias("crt_subdomain"))
-    bare = t.join(subs.select("_target_key").distinct(), "_target_key", "left_anti").select(
-        "target_seq", "target", F.lit(None).cast("string").alias("crt_subdomain"))
-    rows = found.unionByName(bare)
-    blank = N.py_strip(F.col("target")) == ""
-    ok = ~blank
-    return rows.select("target_seq", *head(ts, "crtsh", ok, F.when(ok, F.lit("200")).otherwise(F.lit("")),
-                                           F.when(blank, F.lit(K.MSG_PARAM_TARGET_REQUIRED)).otherwise(F.lit(""))),
-                       "crt_subdomain")
+    if answers is None:
+        t = t.select("*", F.lit(200).alias("_status"), F.lit("[]").alias("_body"), F.lit("array").alias("_kind"))
+    else:
+        a = first_answers(answers.withColumn("target", F.lower(N.py_strip("target"))))
+        t = t.join(a.select(F.col("target").alias("_target_key"), F.col("http_status").alias("_status"), F.col("body").alias("_body"),
+                            body_kind(F.col("body")).alias("_kind")), "_target_key", "left")
+    blank = F.col("_target_key") == ""
+    http_ok = F.coalesce(F.col("_status").between(200, 299), F.lit(False))
+    ok = ~blank & http_ok & F.col("_kind").isNotNull()
+    err = (F.when(blank, F.lit(K.MSG_PARAM_TARGET_REQUIRED)).when(F.col("_status").isNull(), F.lit(""))
+           .when(~http_ok, F.coalesce("_body", F.lit(""))).when(F.col("_kind").isNull(), F.lit(K.MSG_NOT_JSON)).otherwise(F.lit("")))
+    status = F.when(blank, F.lit("")).otherwise(F.coalesce(F.col("_status").cast("string"), F.lit("")))
+    t = t.select("target_seq", "_target_key", *head(ts, "crtsh", ok, status, err),
+                 (ok & (F.col("_kind") == "array")).alias("_listed"),
+                 F.when(ok & (F.col("_kind") != "array"), F.col("_body")).alias("crt_raw_data")).alias("t")
+    subs = crtsh_subdomains(targets, entries).alias("s")
+    rows = t.join(subs, F.expr("t._target_key = s._target_key and t._listed"), "left")
+    return rows.select("target_seq", *K.ENVELOPE_COLUMNS, F.col("name").alias("crt_subdomain"), "crt_raw_data")

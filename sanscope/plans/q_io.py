@@ -230,7 +230,7 @@ def q_san_or_cn(spark, sf):
 
 # ---------------------------------------------------------------- combined report
 ALL_ENVELOPES = (
-    ("crtsh", q_lookups.CRT_BODY, ("crt_subdomain",)),
+    ("crtsh", q_lookups.CRT_BODY, ("crt_subdomain", "crt_raw_data")),
     ("dig", q_lookups.DIG_BODY, ("dig_record_name", "dig_ttl", "dig_class", "dig_type", "dig_value")),
     ("dnslookup", q_lookups._raw_tool_sql("dnslookup", "dig_output"), ("raw_output",)),
     ("ping", q_lookups.PING_BODY, ("ping_avg", "ping_max", "ping_min", "ping_mdev")),
@@ -253,7 +253,7 @@ def _report_sql() -> str:
         sel = ", ".join(["target_seq"] + list(K.ENVELOPE_COLUMNS) + [c if c in cols else f"null as {c}" for c in extra])
         parts.append(f"select {sel} from ({body}) {name}_x")
     ctes = [q_lookups.CRT_CTE, q_html.SCAN_SQL, q_html.CATS_SQL]
-    fixtures = ("crtsh_targets", "cert_entries", "targets", "dig_output", "ping_output", "curl_output", "network_payloads",
+    fixtures = ("crtsh_targets", "crtsh_answers", "cert_entries", "targets", "dig_output", "ping_output", "curl_output", "network_payloads",
                 "rank_payloads", "whois_targets", "whois_pages_both", "whois_details")
     return _compose(" union all ".join(parts), ctes, fixtures)
 
@@ -263,7 +263,7 @@ def q_all_tools_report(spark, sf):
     """Every tool's rows in one table (same six leading columns, tool columns side by side)."""
     t = X.targets(spark, sf)
     frames = [
-        E.envelope_crtsh(X.crtsh_targets(spark, sf), X.cert_entries(spark, sf), TS),
+        E.envelope_crtsh(X.crtsh_targets(spark, sf), X.cert_entries(spark, sf), TS, X.crtsh_answers(spark, sf)),
         E.envelope_dig(t, X.dig_output(spark, sf), TS),
         E.envelope_dnslookup(t, X.dig_output(spark, sf), TS),
         E.envelope_ping(t, X.ping_output(spark, sf), TS),

@@ -285,17 +285,22 @@ def q_subdomain_summary(spark, sf):
 CRT_CTE = ("cn as (select entry_seq, name from (select entry_seq, lower(" + D.strip("unnest(string_split(coalesce(name_value, ''), chr(10)))")
            + ") as name from cert_entries) z where name <> '')")
 CRT_BODY = (
-    "select " + _env_head("crtsh", "not blank", "case when blank then '' else '200' end",
-                          f"case when blank then '{K.MSG_PARAM_TARGET_REQUIRED}' else '' end", "t.target_seq", "t.target")
-    + ", case when not blank then s.name end as crt_subdomain from (select *, " + D.strip("target") + " = '' as blank from crtsh_targets) t "
+    "select " + _env_head("crtsh", "t.ok", "case when blank then '' else coalesce(cast(http_status as varchar), '') end",
+                          f"case when blank then '{K.MSG_PARAM_TARGET_REQUIRED}' when http_status is null then '' when http_status <> 200 "
+                          f"then body when kind is null then '{K.MSG_NOT_JSON}' else '' end", "t.target_seq", "t.target")
+    + ", s.name as crt_subdomain, case when t.ok and kind <> 'ARRAY' then body end as crt_raw_data from (select *, not blank and "
+    "coalesce(http_status = 200, false) and kind is not null as ok from (select c.target_seq, c.target, " + D.strip("c.target")
+    + " = '' as blank, a.http_status, a.body, case when json_valid(a.body) then json_type(a.body) end as kind from crtsh_targets c "
+    "left join (select lower(" + D.strip("target") + ") as q, http_status, body from crtsh_answers qualify row_number() over (partition by q "
+    "order by target_seq) = 1) a on a.q = lower(" + D.strip("c.target") + ")) z) t "
     "left join (select distinct h.target, n.name from (select distinct ct.target, cn.entry_seq from (select distinct target, lower("
     + D.strip("target") + ") as q from crtsh_targets where " + D.strip("target") + " <> '') ct join cn on ends_with(cn.name, '.' || ct.q)) h "
-    "join cn n on n.entry_seq = h.entry_seq) s on s.target = t.target")
+    "join cn n on n.entry_seq = h.entry_seq) s on s.target = t.target and t.ok and kind = 'ARRAY'")
 
 
-@register("envelope_crtsh", _compose(CRT_BODY, [CRT_CTE], ("crtsh_targets", "cert_entries")))
+@register("envelope_crtsh", _compose(CRT_BODY, [CRT_CTE], ("crtsh_targets", "crtsh_answers", "cert_entries")))
 def q_envelope_crtsh(spark, sf):
-    return E.envelope_crtsh(X.crtsh_targets(spark, sf), X.cert_entries(spark, sf), TS)
+    return E.envelope_crtsh(X.crtsh_targets(spark, sf), X.cert_entries(spark, sf), TS, X.crtsh_answers(spark, sf))
 
 
 DIG_BODY = (

@@ -251,6 +251,15 @@ def crtsh_targets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(k.alias("target_seq"), t.alias("target"))
 
 
+def crtsh_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored search answers: lists (their entries are the certificate entries), errors, other text, an object, none."""
+    s = F.col("target_seq")
+    k = s % 10
+    body = (F.when(k == 9, F.lit("busy")).when(k == 8, F.lit("not json")).when(k == 7, F.lit('{"message":"x"}')).otherwise(F.lit("[]")))
+    return crtsh_targets(spark, sf).where(k != 6).select(
+        s, "target", F.when(k == 9, F.lit(503)).otherwise(F.lit(200)).alias("http_status"), body.alias("body"))
+
+
 def whois_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Registry targets: most have search pages, every third has none."""
     k = F.col("s_suppkey")
