@@ -102,8 +102,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     names = scratch.keep(document_names(docs, scratch, id_col, text_col, block_bytes, hash_bits), "identities")
-    groups = names.groupBy("n_bytes", "name").agg(
-        F.min("doc_id").alias("keep_id"), F.sum("n_rows").cast("long").alias("group_size"))
+    # written, so that the join below has plain exchanges on both sides and a hot group can be split
+    groups = scratch.keep(names.groupBy("n_bytes", "name").agg(
+        F.min("doc_id").alias("keep_id"), F.sum("n_rows").cast("long").alias("group_size")), "groups")
     return names.join(groups, ["n_bytes", "name"]).select(
         "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"),
         F.col("sha").alias("text_sha256"))
