@@ -5,9 +5,9 @@ walk reads a sequence with a pointer that moves on or stays by a random bit for
 sequences at a small edit distance give outputs at a small Hamming distance. Each repetition
 walks with its own bits and compares two sampled output places; repetitions reach the target recall.
 
-Windows as long as an item start wherever the text holds one of the item's word grams at the gram's
-place. The gram length is such that a text within the allowed edits keeps at least one gram whole,
-so no match is lost. Windows whose sampled places agree with an item are verified by edit distance.
+Windows as long as an item start wherever the text holds word grams of items at their places. The
+gram length is such that a text within the allowed edits keeps at least one gram whole; windows with
+fewer grams than such a text must keep are left out, so no match is lost. Windows whose sampled places agree with an item are verified by edit distance.
 Documents are only mapped, never shuffled; items come in blocks of bounded size.
 """
 
@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share_code, text_or_empty
+from sanscope.session import share_code
+
+from .common import text_or_empty
 from .hashing import U, constants, document_words, mix, text_bytes
 
 SIMILARITY = 0.8
@@ -54,26 +56,29 @@ def grams(h: np.ndarray, q: int) -> np.ndarray:
     return mix(out + U(q))
 
 
-def embed_places(words: np.ndarray, lens: np.ndarray, repeat: int, similarity: float) -> np.ndarray:
-    """Hash of the sampled places of the CGK output of each row of ``words`` (zero beyond its length).
+def embed_places(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Keys (repeats x rows): a hash of the sampled places of each repetition's CGK output.
 
-    The walk has three steps a word; the places lie where the walk of the whole item is still inside it.
+    ``words`` has a row per sequence, zero beyond what it holds; ``lens`` are the nominal lengths. The
+    pointer moves every other step on average, so the places are drawn from the first 2 * len steps.
     """
-    rows = np.arange(len(words))
-    at = np.zeros(len(words), np.int64)
-    steps = 2 * lens  # the pointer moves every other step on average
-    pick = mix(np.array([[repeat * 64 + k] for k in range(PLACES)], U) + _STEP[repeat])
-    places = (pick * np.ones((1, len(words)), U)) % np.maximum(steps, 1).astype(U)[None, :]
-    out = np.zeros(len(words), U)
+    rows = np.arange(len(words))[None, :]
+    at = np.zeros((REPEATS, len(words)), np.int64)
+    step = _STEP[:, None]
+    steps = np.maximum(2 * lens, 1).astype(U)[None, :]
+    picks = [(mix(step + U(k + 1)) % steps).astype(np.int64) for k in range(PLACES)]
+    found = [np.zeros((REPEATS, len(words)), U) for _ in picks]
     wide = np.concatenate([words, np.zeros((len(words), 1), U)], axis=1)
-    step = _STEP[repeat : repeat + 1]  # arrays wrap around silently
-    for j in range(int(steps.max()) if len(steps) else 0):
-        w = wide[rows, np.minimum(at, lens)]
-        for k in range(PLACES):
-            out = np.where(places[k] == U(j), mix(out + w + U(k + 1)), out)
-        bit = (mix(w + step * U(2 * j + 1)) >> U(40)) & U(1)
-        at += bit.astype(np.int64)
-    return mix(out + lens.astype(U))
+    last = np.minimum(lens, words.shape[1])[None, :]
+    for j in range(int(2 * lens.max()) if len(lens) else 0):
+        w = wide[rows, np.minimum(at, last)]
+        for pick, out in zip(picks, found):
+            np.copyto(out, w, where=pick == j)
+        at += ((mix(w + step * U(2 * j + 1)) >> U(40)) & U(1)).astype(np.int64)
+    key = lens.astype(U)[None, :] + step
+    for out in found:
+        key = mix(key + out)
+    return key
 
 
 class Items:
@@ -102,9 +107,9 @@ class Items:
         self.tables: list[dict[int, list[int]]] = []
         if self.words:
             wide, lens = self._padded(self.words)
-            for r in range(REPEATS):
+            for keys in embed_places(wide, lens).tolist():
                 table = defaultdict(list)
-                for k, key in enumerate(embed_places(wide, lens, r, similarity).tolist()):
+                for k, key in enumerate(keys):
                     table[key].append(k)
                 self.tables.append(dict(table))
 
@@ -117,8 +122,12 @@ class Items:
         return wide, lens
 
     def windows(self, h: np.ndarray, bound: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, first word, words) of the item-sized windows that hold a gram at its place."""
-        found = set()
+        """(document, first word, words) of the item-sized windows that hold enough grams at their places.
+
+        A text within e edits of an item of n words keeps at least n - q + 1 - q * e of its grams of q
+        words, and their places give window starts at most 2 * e apart.
+        """
+        starts: dict[int, list] = defaultdict(list)
         for q, (keys, places) in self.grams.items():
             g = grams(h, q)
             hit = np.flatnonzero(self.maps[q][(g >> U(44)).astype(np.int64)])
@@ -127,24 +136,29 @@ class Items:
             doc = np.searchsorted(bound, hit, "right") - 1
             for p, d in zip(hit.tolist(), doc.tolist()):
                 if p + q <= bound[d + 1]:
-                    found.update((d, max(p - j, int(bound[d])), n) for j, n in places[int(g[p])])
+                    for j, n in places[int(g[p])]:
+                        starts[n].append((d, p - j))
+        found = set()
+        for n, at in starts.items():
+            e = allowed_edits(n, self.similarity)
+            q = gram_length(n, e)
+            d, s = np.array(sorted(at), np.int64).T
+            order = s + d * (4 * e + 1)  # documents lie farther apart than windows of one match
+            many = np.searchsorted(order, order + 2 * e, "right") - np.searchsorted(order, order - 2 * e) >= n - q + 1 - q * e
+            found.update(zip(d[many].tolist(), np.maximum(s[many], bound[d[many]]).tolist(), [n] * int(many.sum())))
         return found
 
     def matches(self, h: np.ndarray, bound: np.ndarray) -> dict[tuple[int, int], int]:
         """(document, item) -> least edit distance, for distances that are allowed."""
         best: dict[tuple[int, int], int] = {}
         todo = sorted(self.windows(h, bound))
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            wide, lens = self._padded([h[s : min(s + n, int(bound[d + 1]))] for d, s, n in part])
+        for at in range(0, len(todo), 1024):
+            part = todo[at : at + 1024]
+            wide, _ = self._padded([h[s : min(s + n, int(bound[d + 1]))] for d, s, n in part])
             size = np.array([n for _, _, n in part], np.int64)  # the key holds the window's nominal size
             pairs = set()
-            for r in range(REPEATS):
-                keys = embed_places(np.pad(wide, ((0, 0), (0, max(0, int(size.max()) - wide.shape[1])))), size, r, self.similarity)
-                table = self.tables[r]
-                for k, key in enumerate(keys.tolist()):
-                    for item in table.get(key, ()):
-                        pairs.add((k, item))
+            for keys, table in zip(embed_places(wide, size).tolist(), self.tables):
+                pairs.update((k, item) for k, key in enumerate(keys) for item in table.get(key, ()))
             for k, item in pairs:
                 d, s, n = part[k]
                 e, w = self.edits[item], self.words[item]
