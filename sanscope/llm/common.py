@@ -13,6 +13,10 @@ from sanscope.session import share_code, state_path
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+#: Tasks that write a narrow scratch table, per core of the cluster.
+TASKS_PER_CORE = 3
+
+
 class Scratch:
     """Tables written below ``spark.checkpoint.dir`` to cut lineage.
 
@@ -27,8 +31,12 @@ class Scratch:
         self.root = state_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
         self._n = 0
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+        """``narrow``: rows of a few numbers. They are written by a few tasks per core instead of one
+        small file per shuffle partition; the number follows the cluster."""
         self._n += 1
+        if narrow:
+            df = df.coalesce(TASKS_PER_CORE * self.spark.sparkContext.defaultParallelism)
         path = f"{self.root}/{self._n:03d}-{label}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -58,22 +66,22 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     cur = scratch.keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where("u <> v").distinct(), "edges")
+        .where("u <> v").distinct(), "edges", narrow=True)
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = scratch.keep(both.groupBy("u").agg(
             F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("top"),
-            F.sum((F.col("v") < F.col("u")).cast("long")).alias("below")), "neighbours")
+            F.sum((F.col("v") < F.col("u")).cast("long")).alias("below")), "neighbours", narrow=True)
         # all stars: no node has two smaller neighbours, or smaller and larger ones
         if near.where("below > 1 or (below > 0 and top > u)").isEmpty():
             break
         large = scratch.keep(
             both.where("v > u").join(near.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct(), "large")
-        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            .where("u <> v").distinct(), "large", narrow=True)
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), "low", narrow=True)
         nxt = scratch.keep(
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-            .unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+            .unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small", narrow=True)
         scratch.drop(cur, near, large, low)
         cur = nxt
     return (cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

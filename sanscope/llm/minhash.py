@@ -4,10 +4,10 @@ Each distinct shingle set gets MinHash samples. Bands of samples give bucket key
 are also folded into a parity bitmap (odd sketch) whose XOR with another bitmap counts the
 samples that differ, so a candidate's similarity is known to about 0.03 before its text is read.
 
-A bucket is never expanded into all pairs. First every member is compared with one leader of its
+A bucket is never expanded into all pairs. First every member is compared with a few leaders of its
 bucket and the confirmed links are merged; only members of buckets that still hold several
-components are compared further, across components only, and only pairs whose bitmaps agree are
-emitted. Every pair with a similarity of the threshold or more that shares a bucket (all but
+components are compared further, across components only. The bitmaps are compared within the
+joins, so pairs that can't be links are never emitted. Every pair with a similarity of the threshold or more that shares a bucket (all but
 about 3 in 10 million) and is not yet connected is confirmed on the full shingle sets.
 """
 
@@ -30,9 +30,14 @@ ROWS, BANDS = 6, 32
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
 SKETCH = [f"o{k}" for k in range(SKETCH_BITS // 64)]
-#: How far below the threshold an estimate may lie before a pair is dropped unread: over five
+#: Leaders that a bucket has at most in one turn.
+LEADERS = 8
+#: Pairs still open per bucket member up to which they are all compared by sketch; with more, other
+#: leaders are tried first. Either way every open pair is compared in the end.
+FEW = 500
+#: How far below the threshold an estimate may lie before a pair is dropped unread: four and a half
 #: standard deviations of the estimate.
-SLACK = 0.19
+SLACK = 0.15
 
 
 def most_differing_bits(percent: int) -> int:
@@ -66,7 +71,7 @@ def bands_and_sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), text_bytes(batch.column(1))
+        ids, texts = batch.column(0), text_bytes(batch.column(1))
         for at in range(0, len(texts), 2000):
             part = [t.lower() for t in texts[at : at + 2000]]  # bytes: only A-Z change
             n, cls, sig = [], [], np.zeros((len(part), SAMPLES), np.uint32)
@@ -77,7 +82,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, odd = bands_and_sketches(sig)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at : at + 2000], pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), flat]
+                [ids.slice(at, len(part)), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), flat]
                 + [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(len(SKETCH))],
                 names=["doc_id", "n_shingles", "cls", "bands", *SKETCH])
 
@@ -129,67 +134,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # texts with the same set are one class, represented by their least id
     live = sig.where("cls is not null and doc_id is not null")
-    classes = scratch.keep(live.groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = (live.join(classes, (live["cls"] == classes["cls"]) & (live["doc_id"] == classes["rep"]))
-            .select("rep", "bands", *SKETCH).dropDuplicates(["rep"]))
+    classes = scratch.keep(live.groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes", narrow=True)
+    reps = (live.join(classes.withColumn("doc_id", F.col("rep")), ["cls", "doc_id"])
+            .dropDuplicates(["doc_id", "cls"]).select("rep", "bands", *SKETCH))
     reps = scratch.keep(reps, "representatives")
-    placed = reps.select("rep", F.explode("bands").alias("key"))
-    leaders = (placed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n"))
-               .where("n > 1").select("key", "lead"))
-    members = scratch.keep(placed.join(leaders, "key").select("key", "rep", "lead"), "members")
-    sketches = reps.select("rep", *SKETCH)
+    placed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    # written first: a join of plain exchanges can split the rows of a hot bucket
+    shared = scratch.keep(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys", narrow=True)
+    # ``low``: 31 bits of each band's key, by which a pair of one bucket knows an earlier common one
+    low = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")).cast("int")).alias("low")
+    members = scratch.keep(placed.join(shared, "key").join(reps.select("rep", low, *SKETCH), "rep"), "members")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    bodies = scratch.keep(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
+    # the same plan at every size: the texts are shuffled once
+    bodies = scratch.keep(texts.join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
     limit = most_differing_bits(percent)
 
+    def near(left: DataFrame, right: DataFrame, whole: bool = False) -> DataFrame:
+        """Pairs (a, b) of one bucket but different components whose sketches agree well enough. When
+        ``whole`` buckets are compared, a pair is emitted in the first bucket it shares only."""
+        x, y = left.alias("x"), right.alias("y")
+        meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (_apart("x", "y") <= limit)
+        if whole:
+            meet = meet & (F.col("x.rep") < F.col("y.rep")) & F.expr(
+                "forall(zip_with(slice(x.low, 1, x.band), slice(y.low, 1, x.band), (p, q) -> p <> q), t -> t)")
+        return x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a <> b").distinct()
+
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         x, y = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), bodies.select(
             F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         return scratch.keep(pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb")
                             .mapInArrow(_confirm(percent), "a bigint, b bigint"), label)
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sketches agree well enough."""
-        p = (pairs.alias("p").join(sketches.alias("y"), F.expr("p.b = y.rep"))
-             .join(sketches.alias("x"), F.expr("p.a = x.rep")).where(_apart("x", "y") <= limit))
-        return p.select("p.a", "p.b")
-
-    pairs = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(scratch.keep(near(pairs), "leader-pairs"), "links")
-    groups = scratch.keep(connected_components(links, scratch), "components")
-    still_open = None
-    for turn in range(1, 1000):
-        state = scratch.keep(
-            members.join(groups, members["rep"] == groups["node"], "left")
-            .select("key", "rep", F.coalesce("component", "rep").alias("comp")), "state")
-        sizes = state.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        open_keys = scratch.keep(
-            sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"),
-                                     F.count(F.lit(1)).alias("c"))
-            .where("c > 1").select("key", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("open_pairs")), "open")
-        rows = open_keys.agg(F.sum("open_pairs")).first()[0] or 0
-        if rows == 0:
-            break
-        state = state.join(open_keys, "key", "left_semi")
-        if still_open is not None and rows > still_open / 2:
-            # leaders no longer help: compare across components, emitting only near pairs
-            s = scratch.keep(state.join(sketches, "rep"), "cross")
-            x, y = s.alias("x"), s.alias("y")
-            pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
-                            & (F.col("x.comp") != F.col("y.comp")) & (_apart("x", "y") <= limit))
-                     .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-            last = True
-        else:  # another leader for each open bucket, drawn by a hash of this turn
-            draw = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep"), F.col("comp"))
-            lead = state.groupBy("key").agg(F.min(draw).alias("lead"))
-            pairs = near(state.join(lead, "key").where("comp <> lead.comp")
-                         .select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct())
-            last = False
-        still_open = rows
-        new = confirmed(scratch.keep(pairs, "pairs"), "more-links")
-        if not new.isEmpty():
-            groups = scratch.keep(connected_components(
-                new.unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch), "components")
+    state, groups, still_open, few = members.withColumn("comp", F.col("rep")), None, None, 0
+    for turn in range(1000):
+        if groups is not None:
+            merged = scratch.keep(members.join(groups, members["rep"] == groups["node"], "left")
+                                  .select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"), "low", *SKETCH), "state")
+            sizes = merged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+            keys = scratch.keep(
+                sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"),
+                                         F.count(F.lit(1)).alias("c"))
+                .where("c > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")), "open", narrow=True)
+            rows, held = keys.agg(F.sum("pairs"), F.sum("m")).first()
+            if not rows:
+                break
+            few = FEW * held
+            state = scratch.keep(merged.join(keys.select("key"), "key", "left_semi"), "open-members")
+        # all open pairs at once if they are few or leaders no longer help; else a few leaders per bucket
+        last = groups is not None and (rows <= few or (still_open is not None and rows > still_open / 2))
+        if last:
+            pairs = near(state, state, whole=True)
+        else:
+            draw = F.xxhash64(F.lit(turn), "key", "rep")  # every bucket has leaders of its own
+            drawn = scratch.keep(state.groupBy("key", F.pmod(draw, F.lit(LEADERS)).alias("slot")).agg(F.min(draw).alias("draw"))
+                                 .select("key", "draw"), "drawn", narrow=True)
+            leaders = scratch.keep(state.withColumn("draw", draw).join(drawn, ["key", "draw"], "left_semi"), "leaders")
+            pairs = near(state, leaders)
+        if groups is not None:
+            still_open = rows
+        links = confirmed(scratch.keep(pairs, "pairs", narrow=True), "links")
+        if groups is None or not links.isEmpty():
+            if groups is not None:
+                links = links.unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b")))
+            groups = scratch.keep(connected_components(links, scratch), "components")
         if last:
             break
     scratch.drop(bodies, members)
