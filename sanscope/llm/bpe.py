@@ -26,6 +26,8 @@ from tokenizers import models
 
 from sanscope.session import share_code
 
+from .common import slices
+
 #: Pieces remembered per generation, of two; saves time only.
 CACHED_PIECES = 300_000
 #: Characters that are encoded together (one longer text makes a batch of its own).
@@ -211,7 +213,7 @@ def decode_documents(df: DataFrame, ranks_path: str, pattern: str, ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(batch.schema.get_field_index(ids_col))
             out = [c.decode(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64)) for x in ids]
             yield pa.RecordBatch.from_arrays(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sanscope.session import share_code
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 from .hashing import U, constants, document_words, mix, text_bytes
 
 SIMILARITY = 0.8
@@ -227,7 +227,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     def passing(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value, similarity)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
                 clean = np.ones(len(texts), bool)
                 for at, h, bound in document_words([t.translate(_WORDS) for t in texts]):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sanscope.session import share_code
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 SAMPLE, FEATURES, LEAST_DOCS = 20_000, 4_000, 4
 #: Standard deviations by which a feature's rates among toxic and clean texts must differ.
@@ -34,7 +34,7 @@ APART = 4.5
 #: Scale of a feature's value, and words added to each text, so that short texts don't get extreme ones.
 SCALE, SMOOTH = 2.0, 15
 #: Word scores remembered per Python worker (saves time only).
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -201,7 +201,7 @@ class Scorer:
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             out = list(map(score, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
@@ -221,7 +221,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([score(t) <= most for t in texts], pa.bool_()))
 
