@@ -29,7 +29,7 @@ from sanscope.session import share_code
 from .common import slices
 
 #: Pieces remembered per generation, of two; saves time only.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 150_000
 #: Characters that are encoded together (one longer text makes a batch of its own).
 BATCH_CHARS = 500_000
 #: Tokens that are decoded together.
@@ -199,6 +199,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text_col: str
                     cols += [lists(np.concatenate([p[k] for p in places]), n) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *extra])
                 at = end
+        c.pieces.old = None  # workers are used again by other stages: keep one generation only
 
     share_code(df.sparkSession)
     return df.mapInArrow(run, schema)
