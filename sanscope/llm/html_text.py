@@ -31,8 +31,10 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"op
             "th": {"td", "th", "tr", "tbody", "thead", "tfoot"}}
 CONTAINERS = frozenset("ul ol dl table select body html div section article".split())
 #: Elements that never hold article text.
-NO_TEXT = frozenset("head script style noscript template nav footer aside form iframe svg canvas object button select "
-                    "textarea audio video dialog menu input fieldset datalist math map".split())
+NO_TEXT = frozenset("head script style noscript template nav footer aside iframe svg canvas button select "
+                    "textarea audio video input datalist math map".split())
+#: Elements that seldom hold article text: judged like hints.
+SELDOM = frozenset("form dialog object menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of class and id names that mark what surrounds an article.
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar "
@@ -40,6 +42,10 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner sp
                   "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search "
                   "share sharing social related recommended recommendations comment comments commentlist respond replies reply "
                   "discussion disqus pagination pager toolbar copyright disclaimer skip hidden".split())
+#: Hints that also name parts or wrappers of articles: such elements go only with a low density.
+VAGUE = frozenset("alert banner copyright disclaimer discussion hidden menu modal notice notices notification overlay promotion "
+                  "related recommended recommendations reply search share sharing skip social sponsor sponsored subscription".split())
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
 PAGE_HEADERS = frozenset("header site-header page-header top-header main-header global-header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -129,32 +135,115 @@ def _elements(node: Node) -> list[Node]:
     return out
 
 
-def _hinted(node: Node) -> bool:
+def _hint(node: Node) -> int:
+    """0 without a hint, 1 for a vague one or an element that seldom holds text, 2 for a plain one, 3 for comments."""
+    if node.tag in ("html", "body", "main", "#root"):
+        return 0
     a = node.attrs
-    if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
-        return True
-    if re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    if any(x.lower() in PAGE_HEADERS for x in names.split()):
-        return True
-    return any(w.lower() in HINTS for w in _WORD.findall(names))
-
-
-def prune(root: Node) -> None:
-    """Takes out what is never article text. Hints in names don't count where an article lies below."""
-    for node in reversed(_elements(root)):
-        keep = []
-        for c in node.children:
+    words = {w.lower() for w in _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")} & HINTS if a else ()
+    if words and not COMMENTS.isdisjoint(words):
+        return 3
+    if a and (a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+              or re.search(r"display\s*:\s*none", a.get("style", ""))
+              or any(x.lower() in PAGE_HEADERS for x in f"{a.get('class', '')} {a.get('id', '')}".split())):
+        return 2
+    return 2 if any(w not in VAGUE for w in words) else 1 if words or node.tag in SELDOM else 0
+
+
+def _larger_part(body: Node, hints: dict[int, int]) -> set[int]:
+    """Hinted elements with most of the page's text outside links that have no rival.
+
+    A rival of a vaguely hinted element is an article or main with text elsewhere, that of another hint
+    also any element elsewhere whose density sum reaches the densest child of the hinted one.
+    """
+    most: dict[int, float] = {}  # the greatest density sum outside hinted elements
+    marked: dict[int, bool] = {}
+    for e in reversed(_elements(body)):
+        below = [c for c in e.children if isinstance(c, Node)]
+        free = not hints.get(id(e))
+        own = e.sum - sum(c.density for c in below if hints.get(id(c)))
+        most[id(e)] = max([own, *(most[id(c)] for c in below)]) if free else 0.0
+        marked[id(e)] = free and (e.tag in ("article", "main") and e.chars > 0 or any(marked[id(c)] for c in below))
+    kept, at, rival, article = set(), body, 0.0, False
+    half = (body.chars - body.link_chars) / 2
+    while at is not None:
+        below = [c for c in at.children if isinstance(c, Node)]
+        large = next((c for c in below if c.chars - c.link_chars > half), None)
+        if large is not None:
+            rival = max([rival, at.sum - sum(c.density for c in below if c is large or hints.get(id(c))),
+                         *(most[id(c)] for c in below if c is not large)])
+            article = article or any(marked[id(c)] for c in below if c is not large)
+            reach = max((c.density for c in large.children if isinstance(c, Node)), default=large.density)
+            if hints.get(id(large)) and not article and (hints[id(large)] == 1 or rival < reach):
+                kept.add(id(large))
+        at = large
+    return kept
+
+
+def prune(root: Node, link_share: float) -> list[tuple[Node, Node, list]]:
+    """Takes out what surrounds the article, by names and measured densities together.
+
+    A hinted element stays if it holds main, the page's articles (comments hold none of them) or the larger
+    part of the text. Returns (parent, element, the parent's former children) of vaguely hinted ones taken out.
+    """
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        node.children = [c for c in node.children if not isinstance(c, Node)
+                         or not (c.tag in NO_TEXT or c.tag in RAW or (c.tag == "header" and not inside))]
+        stack.extend((c, inside) for c in node.children if isinstance(c, Node))
+    body = next((e for e in _elements(root) if e.tag == "body"), root)
+    hints = {id(e): h for e in _elements(root) if (h := _hint(e))}
+    if not hints:
+        return []
+    measure(body, link_share)
+    kept = _larger_part(body, hints)
+    holds: dict[int, tuple[bool, bool]] = {}  # an article, main: in or below the element
+    for e in reversed(_elements(root)):
+        below = [holds[id(c)] for c in e.children if isinstance(c, Node)]
+        holds[id(e)] = (e.tag == "article" or any(b[0] for b in below), e.tag == "main" or any(b[1] for b in below))
+    least = 4  # the weakest hint at or above any article
+    stack = [(root, 0)]
+    while stack:
+        node, hint = stack.pop()
+        hint = max(hint, hints.get(id(node), 0))
+        if node.tag == "article":
+            least = min(least, hint)
+        stack.extend((c, hint) for c in node.children if isinstance(c, Node) and holds[id(c)][0])
+    withheld = []
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or node.tag == "article"
+        former, node.children = node.children, []
+        for c in former:
             if isinstance(c, Node):
-                inside = any(p.tag in ("article", "main") for p in node.path())
-                if c.tag in NO_TEXT or c.tag in RAW or (c.tag == "header" and not inside):
-                    continue
-                if c.tag not in ("html", "body", "main") and _hinted(c) and not any(
-                        x.tag in ("article", "main") and x is not c for x in _elements(c)):
+                hint = hints.get(id(c), 0)
+                article = holds[id(c)][0] and not inside and (hint == 1 or least >= hint)
+                if not hint or article or holds[id(c)][1] or id(c) in kept:
+                    node.children.append(c)
+                elif hint == 1:
+                    withheld.append((node, c, former))
+                else:
                     continue
-            keep.append(c)
-        node.children = keep
+                stack.append((c, inside))
+            else:
+                node.children.append(c)
+    return withheld
+
+
+def put_back(withheld: list[tuple[Node, Node, list]], content: Node, threshold: float, link_share: float) -> None:
+    """Returns vaguely hinted elements inside ``content`` whose density sum reaches the threshold."""
+    below = set(map(id, _elements(content))) if withheld else ()
+    for parent, c, former in withheld:
+        if id(parent) in below:
+            measure(c, link_share)
+            if c.sum >= threshold and c.link_chars * 2 <= c.chars:
+                now = {id(x) for x in parent.children if isinstance(x, Node)} | {id(c)}
+                gone = {id(x) for x in former if isinstance(x, Node)} - now
+                parent.children = [x for x in former if id(x) not in gone]
+                below.update(map(id, _elements(c)))
 
 
 def measure(body: Node, link_share: float) -> None:
@@ -239,14 +328,16 @@ def main_text(html: str) -> str:
     root = parse(html)
     body = next((e for e in _elements(root) if e.tag == "body"), root)
     share = _share_of_links(body)
-    prune(root)
+    withheld = prune(root, share)
     body = next((e for e in _elements(root) if e.tag == "body"), root)
     measure(body, share)
-    nodes = _elements(body)
-    best = max(nodes, key=lambda e: e.sum)
+    best = max(_elements(body), key=lambda e: e.sum)
     if not best.chars:
         return ""
     threshold = min(e.density for e in best.path() if hasattr(e, "density"))
+    put_back(withheld, next((e for e in best.path() if e.tag == "article"), best), threshold, share)
+    measure(body, share)
+    nodes = _elements(body)
     whole = [e for e in best.path() if e.tag == "article"] or [e for e in best.path() if e.tag == "main"]
     if whole:
         return "\n".join(blocks_of(whole[-1]))

@@ -45,6 +45,23 @@ def test_density_sum_prefers_the_article():
     assert by["a"].sum > by["b"].sum > links.sum
 
 
+def test_forms_and_hints_around_or_inside_the_article():
+    text = "\n".join(["Title", LONG.strip(), LONG.strip()])
+    body = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    for wrap in ("<form id=aspnetForm>%s</form>", "<dialog open>%s</dialog>", "<div id=content class='social-share hidden-print'>%s</div>",
+                 "<div class=has-sidebar>%s</div>"):
+        assert H.main_text(HEAD + NAV + wrap % f"<article>{body}</article>") == text
+        assert H.main_text(HEAD + NAV + wrap % f"<div>{body}</div>" + "<footer>Somebody</footer>") == text
+    part = f"<section id=discussion><h2>Discussion</h2><p>{LONG}</p></section>"
+    found = text + "\nDiscussion\n" + LONG.strip()
+    assert H.main_text(HEAD + NAV + f"<article class='post tag-advertising'>{body}{part}</article>") == found
+    assert H.main_text(HEAD + NAV + f"<div>{body}{part}<form><p>Your name</p></form></div>") == found
+    rival = "<p>I like it. " + LONG + "</p>"
+    for name in ("comments", "discussion", "cookie-consent"):
+        assert H.main_text(HEAD + NAV + f"<article>{body}</article><section id={name}>{rival * 9}</section>") == text
+    assert H.main_text(HEAD + NAV + f"<div>{body}</div><section id=comments>{rival * 9}</section>") == text
+
+
 def plain(page):
     """Blocks of the article element, for pages that have one."""
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
