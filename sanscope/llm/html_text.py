@@ -2,7 +2,8 @@
 
 Every element gets a density: its characters per tag, lowered where its characters lie in links.
 The element whose children's densities add up to most holds the article. The least density on the
-way from it up to the body is the threshold by which further elements count as content.
+way from it up to the body is the threshold by which further elements count as content, within article
+and main as elsewhere; ``choose`` says what these tags decide beside it.
 """
 
 from __future__ import annotations
@@ -221,7 +222,8 @@ def prune(root: Node, link_share: float) -> list[tuple[Node, Node, list]]:
             if isinstance(c, Node):
                 hint = hints.get(id(c), 0)
                 article = holds[id(c)][0] and not inside and (hint == 1 or least >= hint)
-                if not hint or article or holds[id(c)][1] or id(c) in kept:
+                replies = hint == 3 and inside and holds[id(c)][0]  # articles nested in an article's comments
+                if not hint or article or holds[id(c)][1] or id(c) in kept and not replies:
                     node.children.append(c)
                 elif hint == 1:
                     withheld.append((node, c, former))
@@ -323,6 +325,79 @@ def blocks_of(node: Node) -> list[str]:
     return out
 
 
+def _linked(node: Node) -> bool:
+    return node.link_chars * 2 > node.chars
+
+
+def _teaser(node: Node, threshold: float) -> bool:
+    """Less dense than content, and mostly links or under a heading that is one link."""
+    return max(node.density, node.sum) < threshold and node.chars > 0 and (_linked(node) or any(
+        e.tag in HEADINGS and e.chars and e.link_chars == e.chars for e in _elements(node)))
+
+
+def choose(body: Node, best: Node, threshold: float, link_share: float) -> None:
+    """Leaves below ``body`` the best element and what is as dense as the threshold.
+
+    Less dense blocks stay in two cases, unless more than half of them is links: in the article element
+    around the best one (not in articles nested there), and as headings or paragraphs beside the way to
+    the best one below main. An article beside that of the best one needs the density sum only. In the best
+    element, teasers go: anywhere if it lies in no article, else where an article is nested.
+    """
+    path = set(map(id, best.path()))
+    article = next((e for e in reversed(list(best.path())) if e.tag == "article"), None)
+    holds: set[int] = set()  # elements in which an article lies
+    for e in _elements(body):
+        if e.tag == "article" and e is not article:
+            for up in e.path():
+                if id(up) in holds:
+                    break
+                holds.add(id(up))
+
+    def run_stays(run: list, lenient: bool) -> bool:
+        parts = [c for c in run if isinstance(c, Node)]
+        chars = sum(c.chars if isinstance(c, Node) else len("".join(c.split())) for c in run)
+        links = sum(c.link_chars for c in parts)
+        if lenient:
+            return links * 2 <= chars
+        return chars > 0 and _density(chars, 1 + sum(c.tags for c in parts), links, sum(c.link_tags for c in parts),
+                                      link_share) >= threshold
+
+    stack = [] if body is best else [(body, body is article, body.tag == "main")]
+    while stack:
+        node, lenient, main = stack.pop()
+        keep, run = [], []
+        for c in [*node.children, None]:
+            if c is not None and (not isinstance(c, Node) or (c.tag in INLINE or c.tag in VOID) and id(c) not in path):
+                run.append(c)
+                continue
+            keep += run if run_stays(run, lenient) else ()
+            run = []
+            if c is None:
+                break
+            beside = id(node) in path
+            if id(c) in path:
+                if c is not best:
+                    stack.append((c, lenient or c is article, main or c.tag == "main"))
+            elif not (c.density >= threshold and (c.tag in HEADINGS or c.tag == "p" or c.sum >= threshold)
+                      or not _linked(c) and (
+                          lenient and id(c) not in holds
+                          or main and beside and (c.tag in HEADINGS or c.tag in ("p", "header", "hgroup", "blockquote", "pre"))
+                          or c.tag == "article" and article is not None and article.parent is node and c.sum >= threshold)):
+                stack.append((c, lenient and c.tag != "article" and not _linked(c), main))
+            keep.append(c)
+        node.children = keep
+    if article is None and not any(e.tag == "main" for e in best.path()):
+        return
+    stack = [best]
+    while stack:
+        node = stack.pop()
+        drop = {id(c) for c in node.children if isinstance(c, Node) and c.tag not in INLINE and c.tag not in HEADINGS
+                and c.tag != "p" and (article is None or id(c) in holds) and _teaser(c, threshold)}
+        node.children = [c for c in node.children if id(c) not in drop]
+        stack.extend(c for c in node.children if isinstance(c, Node) and max(c.density, c.sum) >= threshold
+                     and c.density < threshold and (article is None or id(c) in holds))
+
+
 def main_text(html: str) -> str:
     """The article's blocks joined by line feeds; empty if the page has no text."""
     root = parse(html)
@@ -337,20 +412,8 @@ def main_text(html: str) -> str:
     threshold = min(e.density for e in best.path() if hasattr(e, "density"))
     put_back(withheld, next((e for e in best.path() if e.tag == "article"), best), threshold, share)
     measure(body, share)
-    nodes = _elements(body)
-    whole = [e for e in best.path() if e.tag == "article"] or [e for e in best.path() if e.tag == "main"]
-    if whole:
-        return "\n".join(blocks_of(whole[-1]))
-    # without a marked article: the best element, and others outside it that are as dense
-    chosen, stack, above = [], [body], set(map(id, best.path()))
-    while stack:
-        e = stack.pop()
-        if e is best or (id(e) not in above and e.density >= threshold and (e.tag in HEADINGS or e.tag == "p" or e.sum >= threshold)):
-            chosen.append(e)
-        else:
-            stack.extend(c for c in e.children if isinstance(c, Node))
-    order = {id(e): k for k, e in enumerate(nodes)}
-    return "\n".join(b for e in sorted(chosen, key=lambda e: order[id(e)]) for b in blocks_of(e))
+    choose(body, best, threshold, share)
+    return "\n".join(blocks_of(body))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,23 @@ def test_forms_and_hints_around_or_inside_the_article():
     assert H.main_text(HEAD + NAV + f"<div>{body}</div><section id=comments>{rival * 9}</section>") == text
 
 
+def test_densities_choose_within_article_and_main():
+    part = [f"<h2>Part {k}</h2>" + f"<p>{LONG}</p>" * n for k, n in enumerate((3, 2))]
+    texts = [f"Part {k}" + ("\n" + LONG.strip()) * n for k, n in enumerate((3, 2))]
+    teaser = "<h3><a href='/x'>Another title</a></h3><p>A short summary.</p>"
+    for around in ("%s", "<main>%s</main>", "<div id=page>%s</div>"):
+        split = "".join(f"<article>{x}</article>" for x in part)
+        assert H.main_text(HEAD + NAV + around % split) == "\n".join(texts)
+        assert H.main_text(HEAD + NAV + around % (split + f"<div><article>{teaser}</article></div>" * 4)) == "\n".join(texts)
+    reader = "".join(f"<article><p>A reader writes. {LONG}</p></article>" for _ in range(3))
+    for own in (f"<p>{LONG}</p>", f"<h2>T</h2><div><p>{LONG}</p><p>{LONG}</p></div><p>Short end, <a href='/y'>a link</a>.</p>"):
+        want = "\n".join(x for x in re.split("<[/]?(?:p|div|h2)>", re.sub("</?a[^>]*>", "", own).replace(" </p>", "</p>")) if x)
+        assert H.main_text(HEAD + NAV + f"<article>{own}<section id=comments>{reader}</section></article>") == want
+    for body in (part[0], f"<div>{part[0]}</div>", f"<h1>Title</h1><div>{part[0]}</div>"):
+        got = H.main_text(HEAD + NAV + f"<main>{body}<div class=more>" + f"<div>{teaser}</div>" * 5 + "</div></main>")
+        assert got == ("Title\n" if "h1" in body else "") + texts[0]
+
+
 def plain(page):
     """Blocks of the article element, for pages that have one."""
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
