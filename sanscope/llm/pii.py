@@ -2,7 +2,8 @@
 
 Regular expressions find emails, addresses of machines, card and phone numbers: the seeds. Every
 seed, and every other string that looks like an identifier, is a mention with lexical patterns: the
-words before and after it. Spark scores the graph of patterns and mentioned strings in turns: a
+words before and after it. Spark scores the graph of patterns and mentioned strings in turns, until a turn
+accepts no new string: a
 pattern is as good as the share of its strings that are known to be of a kind; a string is
 believed of a kind as far as its patterns are. Strings above the acceptance level become known and
 count in the next turn. Seeds are never taken back.
@@ -22,8 +23,8 @@ from sanscope.session import share_code
 from .common import Scratch, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Turns of the scoring, strings a pattern needs to count, belief from which a string is accepted.
-TURNS, SUPPORT, ACCEPT = 3, 5, 0.9
+#: Strings a pattern needs to count, belief from which a string is accepted.
+SUPPORT, ACCEPT = 5, 0.9
 #: Strings of unknown kind that every pattern is taken to have beside its own.
 DOUBT = 1.0
 
@@ -35,7 +36,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 #: Strings that may be identifiers the seed patterns miss.
 _LOOSE = re.compile(r"[^\s@<>()\[\]\",;:]+@[^\s@<>()\[\]\",;:]+|(?<![\w.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![\w:])"
-                    r"|(?<![\w.])\+?\(?[0-9][0-9 ().:/-]{5,40}[0-9](?!\w)")
+                    r"|(?<![\w.])\+?\(?[0-9][0-9 ().:/-]{5,}[0-9](?!\w)")
 _CONTEXT = re.compile(r"[^\W\d_]+|[:=#]")
 CONTEXT_CHARS = 60
 
@@ -134,7 +135,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "base", "mentions"])
 
 
-def believed_strings(found: DataFrame, scratch: Scratch, turns: int = TURNS, support: int = SUPPORT,
+def believed_strings(found: DataFrame, scratch: Scratch, turns: int | None = None, support: int = SUPPORT,
                      accept: float = ACCEPT) -> DataFrame:
     """(what, kind) of the unknown strings that the scored graph accepts.
 
@@ -144,8 +145,8 @@ def believed_strings(found: DataFrame, scratch: Scratch, turns: int = TURNS, sup
     """
     edges = scratch.keep(found.select("what", "kind", "known", F.explode("patterns").alias("pattern"))
                          .groupBy("pattern", "what", "kind").agg(F.max("known").alias("known")), "edges")
-    known = None
-    for turn in range(turns):
+    known, accepted, turn = None, 0, 0
+    while turns is None or turn < turns:
         e = edges.withColumn("belief", F.col("known").cast("double"))
         if known is not None:
             e = (edges.join(known, ["what", "kind"], "left")
@@ -159,10 +160,15 @@ def believed_strings(found: DataFrame, scratch: Scratch, turns: int = TURNS, sup
         known = scratch.keep(
             edges.where("not known").join(scores, ["pattern", "kind"]).groupBy("what", "kind").agg((1 - doubt).alias("belief"))
             .where(F.col("belief") >= accept), "known")
+        turn += 1
+        if turns is None:
+            before, accepted = accepted, known.count()
+            if accepted <= before:
+                break
     return known.select("what", "kind")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", turns: int = TURNS,
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", turns: int | None = None,
              support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
     """doc_id, base and spans of every row: arrays of (k, a, b), kind and code points, end exclusive.
 

@@ -96,6 +96,22 @@ def test_scores_match_brute_force(spark):
     assert got == set(believed) and not math.isnan(sum(believed.values()))
 
 
+def test_turns_go_on_while_strings_are_accepted(spark):
+    """A chain of five patterns, each known only by the strings of the one before."""
+    from sanscope.llm.common import Scratch
+
+    rows = [(f"g{g}-{k}", 3, g == 0, [f"p{x}" for x in (g - 1, g) if 0 <= x < 5]) for g in range(6) for k in range(5)]
+    df = spark.createDataFrame(rows, "what string, kind int, known boolean, patterns array<string>")
+    got = {x.what for x in pii.believed_strings(df, Scratch(spark, "test"), support=1, accept=0.01).collect()}
+    assert got == {w for w, _, known, _ in rows if not known}
+
+
+def test_long_strings_of_digits_are_candidates():
+    text = "card " + " - / - ".join(["1234"] * 4 + ["567"]) + " end " + "(7) / " * 8 + "7 x"
+    loose = [m["what"] for m in pii.mentions(text, [])]
+    assert " - / - ".join(["1234"] * 4 + ["567"]) in loose and any(len(w) > 42 and w.startswith("(7)") for w in loose)
+
+
 def test_query_digest(spark, sf):
     from sanscope.llm.queries import QUERIES
 
