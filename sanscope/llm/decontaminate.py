@@ -3,7 +3,8 @@
 Texts and items are sequences of words (A-Z lower-cased, ASCII punctuation as white space). The CGK
 walk reads a sequence with a pointer that moves on or stays by a random bit for (step, word); two
 sequences at a small edit distance give outputs at a small Hamming distance. Each repetition
-walks with its own bits and compares two sampled output places; repetitions reach the target recall.
+walks with its own bits and compares two sampled output places. The pointers drift apart with the
+number of edits, so longer items get more repetitions: as many as the target recall takes.
 
 Windows as long as an item start wherever the text holds word grams of items at their places. The
 gram length is such that a text within the allowed edits keeps at least one gram whole; windows with
@@ -13,9 +14,11 @@ Documents are only mapped, never shuffled; items come in blocks of bounded size.
 
 from __future__ import annotations
 
+import math
 import string
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,24 @@ from .hashing import U, constants, document_words, mix, text_bytes
 
 SIMILARITY = 0.8
 REPEATS, PLACES = 24, 2
+#: Recall of copies at the limit, and the chance, times the item's words, that one repetition finds such a
+#: copy: the measured means were 25 to 31 from 250 to 1,000 words; lower, as copies differ in it.
+RECALL, CHANCE = 0.98, 16.0
 #: Characters of item text per block; a larger benchmark takes several passes over the documents.
 BLOCK_CHARS = 16 << 20
 _WORDS = bytes.maketrans((string.ascii_uppercase + string.punctuation).encode(),
                          (string.ascii_lowercase + " " * len(string.punctuation)).encode())
 _GRAM = constants(3, 7)
-_STEP = constants(REPEATS, 8)
+
+
+@lru_cache(maxsize=64)
+def _steps(repeats: int) -> np.ndarray:
+    return constants(repeats, 8)[:, None]
+
+
+def repeats_of(n: int) -> int:
+    """Repetitions for items of n words, REPEATS at least."""
+    return max(REPEATS, math.ceil(math.log(1 - RECALL) / math.log(1 - min(CHANCE / n, 0.5))))
 
 
 def allowed_edits(n: int, similarity: float) -> int:
@@ -56,18 +71,18 @@ def grams(h: np.ndarray, q: int) -> np.ndarray:
     return mix(out + U(q))
 
 
-def embed_places(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
+def embed_places(words: np.ndarray, lens: np.ndarray, repeats: int = REPEATS) -> np.ndarray:
     """Keys (repeats x rows): a hash of the sampled places of each repetition's CGK output.
 
     ``words`` has a row per sequence, zero beyond what it holds; ``lens`` are the nominal lengths. The
     pointer moves every other step on average, so the places are drawn from the first 2 * len steps.
     """
     rows = np.arange(len(words))[None, :]
-    at = np.zeros((REPEATS, len(words)), np.int64)
-    step = _STEP[:, None]
+    at = np.zeros((repeats, len(words)), np.int64)
+    step = _steps(repeats)
     steps = np.maximum(2 * lens, 1).astype(U)[None, :]
     picks = [(mix(step + U(k + 1)) % steps).astype(np.int64) for k in range(PLACES)]
-    found = [np.zeros((REPEATS, len(words)), U) for _ in picks]
+    found = [np.zeros((repeats, len(words)), U) for _ in picks]
     wide = np.concatenate([words, np.zeros((len(words), 1), U)], axis=1)
     last = np.minimum(lens, words.shape[1])[None, :]
     for j in range(int(2 * lens.max()) if len(lens) else 0):
@@ -104,14 +119,24 @@ class Items:
             seen = np.zeros(1 << 20, bool)
             seen[(keys >> U(44)).astype(np.int64)] = True
             self.maps[q] = seen
-        self.tables: list[dict[int, list[int]]] = []
-        if self.words:
-            wide, lens = self._padded(self.words)
-            for keys in embed_places(wide, lens).tolist():
-                table = defaultdict(list)
-                for k, key in enumerate(keys):
-                    table[key].append(k)
-                self.tables.append(dict(table))
+        #: for each number of repetitions, the tables of the items that have so many
+        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        for repeats, part in self._parts([len(w) for w in self.words]):
+            tables = self.tables.setdefault(repeats, [{} for _ in range(repeats)])
+            for table, keys in zip(tables, embed_places(*self._padded([self.words[k] for k in part]), repeats).tolist()):
+                for k, key in zip(part, keys):
+                    table.setdefault(key, []).append(k)
+
+    @staticmethod
+    def _parts(sizes: list[int]) -> Iterator[tuple[int, list[int]]]:
+        """(repetitions, places in ``sizes``) in parts of bounded size: up to 1,024 sequences of the least repetitions."""
+        alike: dict[int, list[int]] = defaultdict(list)
+        for k, n in enumerate(sizes):
+            alike[repeats_of(n)].append(k)
+        for repeats, ks in alike.items():
+            rows = max(1, 1024 * REPEATS // repeats)
+            for at in range(0, len(ks), rows):
+                yield repeats, ks[at : at + rows]
 
     @staticmethod
     def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +177,12 @@ class Items:
         """(document, item) -> least edit distance, for distances that are allowed."""
         best: dict[tuple[int, int], int] = {}
         todo = sorted(self.windows(h, bound))
-        for at in range(0, len(todo), 1024):
-            part = todo[at : at + 1024]
+        for repeats, places in self._parts([n for _, _, n in todo]):
+            part = [todo[k] for k in places]
             wide, _ = self._padded([h[s : min(s + n, int(bound[d + 1]))] for d, s, n in part])
             size = np.array([n for _, _, n in part], np.int64)  # the key holds the window's nominal size
             pairs = set()
-            for keys, table in zip(embed_places(wide, size).tolist(), self.tables):
+            for keys, table in zip(embed_places(wide, size, repeats).tolist(), self.tables[repeats]):
                 pairs.update((k, item) for k, key in enumerate(keys) for item in table.get(key, ()))
             for k, item in pairs:
                 d, s, n = part[k]

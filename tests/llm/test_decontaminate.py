@@ -88,6 +88,19 @@ def test_recall_at_the_limit():
     assert hit >= 0.9 * len(items), hit
 
 
+@pytest.mark.parametrize("n, count", [(300, 40), (600, 30), (1000, 20)])
+def test_recall_of_long_items_at_the_limit(n, count):
+    r = random.Random(n)
+    hit = 0
+    for _ in range(count):
+        item = words(r, n)
+        index = D.Items([0], [" ".join(item).encode()], 0.8)
+        text = words(r, 30) + edited(r, item, D.allowed_edits(n, 0.8)) + words(r, 30)
+        h = next(iter(D.document_words([" ".join(text).encode()])))
+        hit += (0, 0) in index.matches(h[1], h[2])
+    assert hit >= 0.9 * count, hit
+
+
 @pytest.mark.parametrize("n", range(1, 60))
 def test_no_edit_breaks_all_grams(n):
     e = D.allowed_edits(n, 0.8)
