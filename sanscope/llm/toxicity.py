@@ -228,143 +228,6 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     return docs.mapInArrow(run, docs.schema)
 
 
-def severity(self, score: np.ndarray) -> np.ndarray:
-        """Probabilities of each grade for scores w.x."""
-        below = _sigmoid(self.thresholds[None, :] - score[:, None])
-        below = np.concatenate([np.zeros((len(score), 1)), below, np.ones((len(score), 1))], axis=1)
-        return np.diff(below, axis=1)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(x / 2))
-
-
-def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int,
-                        l2: float = 1e-5, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by Adam on the regularised mean log-likelihood.
-
-    Thresholds are a first one and log-gaps, so they stay in order. Grades are 0 .. top.
-    """
-    n, top = len(grades), int(grades.max())
-    cum = np.array([(grades <= j).mean() for j in range(top)]).clip(1e-3, 1 - 1e-3)
-    t = np.log(cum / (1 - cum))
-    p = np.concatenate([np.zeros(n_features), t[:1], np.log(np.maximum(np.diff(t), 1e-2))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    for step in range(1, steps + 1):
-        w, gaps = p[:n_features], np.exp(p[n_features + 1 :])
-        t = p[n_features] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(rows, weights=values * w[cols], minlength=n)
-        s = _sigmoid(np.concatenate([np.full((n, 1), -np.inf), t[None, :] - score[:, None], np.full((n, 1), np.inf)], axis=1))
-        i = np.arange(n)
-        hi, lo = s[i, grades + 1], s[i, grades]
-        prob = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
-        dscore = (dhi - dlo) / n
-        dt = np.zeros(top)
-        for j in range(top):
-            dt[j] = -(dhi[grades == j].sum() - dlo[grades == j + 1].sum()) / n
-        g = np.concatenate([np.bincount(cols, weights=values * dscore[rows], minlength=n_features) + l2 * w,
-                            [dt.sum()], gaps * np.cumsum(dt[::-1])[::-1][1:]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    gaps = np.exp(p[n_features + 1 :])
-    return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(gaps)])
-
-
-def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        grades, both = batch.column(0).to_pylist(), (Counter(), Counter())
-        for g, text in zip(grades, batch.column(1).to_pylist()):
-            both[g > 0].update({f for w in distinct_words(text) for f in features_of(w)})
-        names = list(both[0].keys() | both[1].keys())
-        yield pa.RecordBatch.from_arrays([
-            pa.array(names, pa.string()), pa.array([both[1][f] for f in names], pa.int64()),
-            pa.array([both[0][f] for f in names], pa.int64())], names=["feature", "toxic", "clean"])
-
-
-def _feature_rates(index: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols, vals = [], []
-            for text in batch.column(1).to_pylist():
-                words = distinct_words(text)
-                c: Counter = Counter()
-                for w in words:
-                    for f in features_of(w):
-                        if f in index:
-                            c[index[f]] += 1
-                n = unit(len(words))
-                cols.append(list(c))
-                vals.append([k * n for k in c.values()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.list_(pa.int32())),
-                                              pa.array(vals, pa.list_(pa.float64()))], names=["grade", "cols", "vals"])
-
-    return run
-
-
-def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-          sample: int = SAMPLE, features: int = FEATURES) -> Model | None:
-    """A model from labelled rows; None without both clean and toxic ones.
-
-    Grades are whole numbers, 0 for clean. Where the labels have the grades 0 and 1 only, toxic texts
-    are split at the median rate of toxic evidence into moderate (1) and severe (2). Rows with a null
-    id or grade are left out; repeated labels count once, the highest.
-    """
-    share_code(docs.sparkSession)
-    lab = (labels.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade"))
-           .where("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").alias("grade"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(lab), "doc_id").select("grade", "text")  # at most ``sample`` ids
-    seen = rows.groupBy("grade").count().collect()
-    n = {True: sum(r[1] for r in seen if r[0] > 0), False: sum(r[1] for r in seen if r[0] == 0)}
-    if not (n[True] and n[False]):
-        return None
-    df = (rows.mapInArrow(_document_frequencies, "feature string, toxic bigint, clean bigint").groupBy("feature")
-          .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-          .where(F.col("toxic") + F.col("clean") >= LEAST_DOCS))
-    a, b = (F.col("toxic") + 0.5) / (n[True] + 1), (F.col("clean") + 0.5) / (n[False] + 1)
-    # separation: difference of rates in units of its standard deviation if both were one
-    c = (F.col("toxic") + F.col("clean")) / (n[True] + n[False])
-    apart = F.abs(a - b) / F.sqrt(c * (1 - c) * (1 / n[True] + 1 / n[False]) + 1e-9)
-    best = [r[0] for r in df.where(apart >= APART).orderBy(apart.desc(), "feature").limit(features).collect()]
-    if not best:
-        return None
-    index = {f: k for k, f in enumerate(best)}
-    got = rows.mapInArrow(_feature_rates(index), "grade int, cols array<int>, vals array<double>").collect()
-    grades = np.array([r[0] for r in got])
-    i = np.repeat(np.arange(len(got)), [len(r[1]) for r in got])
-    j = np.array([c for r in got for c in r[1]], np.int64)
-    x = np.array([c for r in got for c in r[2]], np.float64)
-    if grades.max() == 1:
-        weights, _ = fit_cumulative_link(i, j, x, grades, len(best), steps=150)
-        score = np.bincount(i, weights=x * weights[j], minlength=len(got))
-        grades = grades + ((grades == 1) & (score > np.median(score[grades == 1])))
-    weights, thresholds = fit_cumulative_link(i, j, x, grades, len(best))
-    return Model(best, weights, thresholds)
-
-
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared.value
-        known: dict[str, float] = {}
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words, total = distinct_words(text), 0.0
-                for w in words:
-                    s = known.get(w)
-                    if s is None:
-                        s = sum(weight.get(f, 0.0) for f in features_of(w))
-                        if len(known) < CACHED_WORDS:
-                            known[w] = s
-                    total += s
-                out.append(total * unit(len(words)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
-
-    return run
-
-
 def severity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, expected_severity, grade, toxic of every row of ``docs``.
 

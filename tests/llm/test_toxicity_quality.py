@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sanscope.llm import quality as Q
@@ -41,6 +42,17 @@ def test_toxic_documents_are_found(spark):
         x.doc_id for x in got if not x.toxic and x.doc_id is not None)
 
 
+def test_scores_come_in_slices():
+    class Shared:
+        value = {"zagrud": 2.0}
+
+    texts = ["zagrud mora" if k % 3 else "mora" for k in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = list(X._score(Shared)(iter([batch])))
+    assert [b.num_rows for b in got] == [500, 500, 200]
+    assert [x for b in got for x in b.column(1).to_pylist()] == [2.0 * X.unit(2) if k % 3 else 0.0 for k in range(1200)]
+
+
 def test_without_both_classes(spark):
     rows, lab = labelled(spark, 30)
     d = docs(spark, rows)
