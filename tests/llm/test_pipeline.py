@@ -66,6 +66,23 @@ def test_odd_rows_pass_through(spark, sf):
     assert sorted((r.doc_id, r.n_tokens) for r in docs.collect() if r.doc_id is not None) == [(1, 3), (2, 0)]
 
 
+def test_dedup_judges_documents_with_shared_or_no_id(spark, sf):
+    long = " ".join(f"word{k}" for k in range(60))
+    other = " ".join(f"term{k}" for k in range(60))
+    rows = [(1, "one text"), (1, "another text"), (1, "another  text"), (2, "one text"), (None, "one text"), (None, "lonely"),
+            (None, "lonely"), (None, "else"), (5, long), (5, other), (6, long + " end"), (None, other + " end"), (None, "else " + long), (7, None)]
+    docs = spark.createDataFrame([(i, t, None, None, n) for n, (i, t) in enumerate(rows)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    got = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert got.schema == docs.schema
+    assert sorted((r.doc_id or 0, " ".join((r.text or "").split())) for r in got.collect()) == sorted(
+        (i or 0, " ".join((t or "").split())) for i, t in set(rows) - {(2, "one text"), (None, "one text"), (1, "another  text")})
+    near = corpus_pipeline.drop_near_copies(spark, got, sf)
+    assert near.schema == docs.schema
+    gone = {(6, long + " end"), (None, other + " end"), (None, "else " + long)}
+    assert sorted((r.doc_id or 0, r.text or "") for r in near.collect()) == sorted(
+        (r.doc_id or 0, r.text or "") for r in got.collect() if (r.doc_id, r.text) not in gone)
+
+
 def test_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
