@@ -230,9 +230,9 @@ def _find(items_of):
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[tuple[list, list]]:
-    """Item ids and texts in blocks of about ``block_chars`` characters: what one pass over the documents holds."""
+    """Distinct item ids and texts in blocks of about ``block_chars`` characters: what one pass over the documents holds."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"),
-                             text_or_empty(item_text_col).alias("text")).where("item_id is not null and text <> ''")
+                             text_or_empty(item_text_col).alias("text")).where("item_id is not null and text <> ''").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     for b in range(blocks):

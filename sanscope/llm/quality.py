@@ -73,12 +73,17 @@ def _expand(cols: dict[str, Column]) -> list[Column]:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
           text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(means, deviations, weights) from at most ``sample`` labelled rows; None without both classes."""
+    """(means, deviations, weights) from at most ``sample`` labelled rows; None without both classes.
+
+    Of rows that share an id one text counts, the greatest.
+    """
     lab = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y"))
            .where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    stats = texts.join(F.broadcast(lab), "doc_id").select("y", *[c.alias(f) for f, c in statistics(F.col("text")).items()])
+    # one row per id: an id that many rows share must neither fill the driver nor sway the fit
+    rows = texts.join(F.broadcast(lab), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
+    stats = rows.select("y", *[c.alias(f) for f, c in statistics(F.col("text")).items()])
     rows = np.array([list(r) for r in stats.select("y", *_expand({f: F.col(f) for f in FEATURES})).collect()], float)
     if not len(rows) or len(set(rows[:, 0])) < 2:
         return None

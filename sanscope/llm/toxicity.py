@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sanscope.session import share_code
 
-from .common import slices, text_or_empty
+from .common import Scratch, slices, text_or_empty
 
 SAMPLE, FEATURES, LEAST_DOCS = 20_000, 4_000, 4
 #: Standard deviations by which a feature's rates among toxic and clean texts must differ.
@@ -144,14 +144,18 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col:
 
     Grades are whole numbers, 0 for clean. Where the labels have the grades 0 and 1 only, toxic texts
     are split at the median rate of toxic evidence into moderate (1) and severe (2). Rows with a null
-    id or grade are left out; repeated labels count once, the highest.
+    id or grade are left out; repeated labels count once, the highest; of rows that share an id one text
+    counts, the greatest.
     """
     share_code(docs.sparkSession)
     lab = (labels.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade"))
            .where("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").alias("grade"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(lab), "doc_id").select("grade", "text")  # at most ``sample`` ids
+    # at most ``sample`` rows: an id that many rows share must neither fill the driver nor sway the fit
+    rows = (texts.join(F.broadcast(lab), "doc_id").groupBy("doc_id").agg(F.max("grade").alias("grade"), F.max("text").alias("text"))
+            .select("grade", "text"))
+    rows = Scratch(docs.sparkSession, "toxicity").keep(rows, "labelled")
     seen = rows.groupBy("grade").count().collect()
     n = {True: sum(r[1] for r in seen if r[0] > 0), False: sum(r[1] for r in seen if r[0] == 0)}
     if not (n[True] and n[False]):

@@ -116,6 +116,12 @@ def test_edit_distance_matches_plain():
             assert D.edit_distance(np.array(a), np.array(b), most) == min(e, most + 1)
 
 
+def test_repeated_items_are_read_once(spark):
+    rows = [(1, "a b c d e f")] * 500 + [(k, f"item {k} of some words") for k in range(20)]
+    blocks = list(D._blocks(bench(spark, rows), "item_id", "text", 200))
+    assert sorted(x for ids, texts in blocks for x in zip(ids, texts)) == sorted((i, t.encode()) for i, t in set(rows))
+
+
 def test_empty_tables(spark):
     b = bench(spark, [(1, "a b c d e f")])
     assert D.contaminated(docs(spark, []), b).count() == 0

@@ -53,6 +53,14 @@ def test_scores_come_in_slices():
     assert [x for b in got for x in b.column(1).to_pylist()] == [2.0 * X.unit(2) if k % 3 else 0.0 for k in range(1200)]
 
 
+def test_a_shared_id_counts_once(spark):
+    rows, lab = labelled(spark, 120)
+    once, often = docs(spark, rows), docs(spark, rows + [rows[0], (0, "")] * 300)
+    a, b = X.train(once, lab, sample=100), X.train(often, lab, sample=100)
+    assert a.features == b.features and np.allclose(sorted(a.weights), sorted(b.weights)) and np.allclose(a.thresholds, b.thresholds)
+    assert all(np.allclose(x, y) for x, y in zip(Q.train(once, lab), Q.train(often, lab)))
+
+
 def test_without_both_classes(spark):
     rows, lab = labelled(spark, 30)
     d = docs(spark, rows)
