@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sanscope.sources.tables import table
 
-from . import bpe, decontaminate, exact_dedup, html_text, minhash, pii, quality, suffix_dedup, toxicity, url_filter
+from . import bpe, conversations, decontaminate, exact_dedup, html_text, minhash, pii, quality, suffix_dedup, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -62,9 +62,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports, repaired = conversations.repair(table(spark, sf_dir, "conversations"), damage=True)
+    sha = conversations.digests(repaired).select(F.col("conv_id").alias("its_id"), "repaired_sha256")
+    return reports.join(sha, reports["conv_id"].eqNullSafe(sha["its_id"]), "left").drop("its_id").withColumn(
+        "repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_decontamination, op3_exact_dedup, op4_toxicity, op5_html_text, op6_bpe, op7_pii, op8_url_filter,
-    op9_near_dedup, op10_suffix_dedup)}
+    op9_near_dedup, op10_suffix_dedup, op11_conversations)}
 
 #: Runs of white space, words and the letters that count as upper case, as the statements below state them.
 _SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
