@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sanscope.sources.tables import table
 
-from . import bpe, conversations, decontaminate, exact_dedup, html_text, minhash, pii, quality, suffix_dedup, toxicity, url_filter
+from . import bpe, conversations, decontaminate, exact_dedup, html_text, minhash, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -69,9 +69,14 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_decontamination, op3_exact_dedup, op4_toxicity, op5_html_text, op6_bpe, op7_pii, op8_url_filter,
-    op9_near_dedup, op10_suffix_dedup, op11_conversations)}
+    op9_near_dedup, op10_suffix_dedup, op11_conversations, op12_simhash)}
 
 #: Runs of white space, words and the letters that count as upper case, as the statements below state them.
 _SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
