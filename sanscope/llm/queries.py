@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sanscope.sources.tables import table
 
-from . import bpe, conversations, decontaminate, exact_dedup, html_text, minhash, pii, quality, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, conversations, decontaminate, exact_dedup, hard_negatives, html_text, minhash, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -74,9 +74,14 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_decontamination, op3_exact_dedup, op4_toxicity, op5_html_text, op6_bpe, op7_pii, op8_url_filter,
-    op9_near_dedup, op10_suffix_dedup, op11_conversations, op12_simhash)}
+    op9_near_dedup, op10_suffix_dedup, op11_conversations, op12_simhash, op13_hard_negatives)}
 
 #: Runs of white space, words and the letters that count as upper case, as the statements below state them.
 _SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
@@ -157,4 +162,17 @@ ORACLE = {
         SELECT t.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
                sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM t LEFT JOIN cut ON cut.doc_id = t.doc_id""",
+    "op13_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_dot_product(a.v, b.v)::bigint AS score
+          FROM e a JOIN e b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+            row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::int AS rank
+          FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own
+            AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
