@@ -71,6 +71,24 @@ select target_seq, trim(target) as target, case when target_seq % 13 = 0 then 50
     "json_payloads": (("network_payloads",), r"""
 select target_seq, target, case when target_seq % 9 = 1 then '{"a_b":1,"a":{"b":2},"ip":"x","ip":"y' || cast(target_seq as varchar)
   || '","n":100.0,"e":[1.5,true,null,{"k":""},12345678901],"z":{},"w":[]}' else body end as body from network_payloads"""),
+    "network_blocks": ((), r"""
+select k as net_id, case k % 6 when 0 then n || '.0.0.0/8' when 1 then n || '.' || (k % 250) || '.9.0/16'
+    when 2 then n || '.' || (k % 250) || '.' || (k % 100) || '.0/24' when 3 then '2800:' || lower(to_hex(k)) || '::/32'
+    when 4 then '2800:' || upper(to_hex(k - 1)) || ':' || lower(to_hex(k % 7)) || '::/48'
+    else ' 2800:' || lower(to_hex(k - 2)) || ':0:' || lower(to_hex(k)) || ':0:0:0:0/64' end as cidr, k % 40 + 6500 as asn
+from (select s_suppkey as k, cast(s_suppkey % 200 + 1 as varchar) as n from supplier) z"""),
+    "network_targets": ((), r"""
+select c as target_seq, case c % 9 when 0 then a || '.' || b || '.' || (n % 100) || '.' || (c % 250)
+    when 1 then '2800:' || lower(to_hex(n)) || '::' || lower(to_hex(c % 65536))
+    when 2 then ' 2800:' || upper(to_hex(n)) || ':0:' || lower(to_hex(n + 2)) || ':0:0:0:' || lower(to_hex(c % 65536)) || ' '
+    when 3 then a || '.' || b || '.0.0/20' when 4 then '2800:' || lower(to_hex(n)) || '::/40' when 5 then 'AS' || (c % 60 + 6490)
+    when 6 then 'www' || c || '.acme.com.bo' when 7 then '2800:' || lower(to_hex(n)) || '::10.1.2.' || (c % 250)
+    else case when c % 2 = 0 then '1.2.3.4/33' else 'bad-.example.com' end end as target
+from (select c_custkey as c, c_custkey % 97 as n, c_custkey % 97 % 200 + 1 as a, c_custkey % 97 % 250 as b from customer) z"""),
+    "host_addresses": ((), r"""
+select 'WWW' || c || '.acme.com.bo' as host, pos as ans_pos, case when pos = 1 then '9.9.9.9'
+    when c % 2 = 0 then (n % 200 + 1) || '.' || (n % 250) || '.1.1' else '2800:' || lower(to_hex(n)) || '::1' end as address
+from (select c_custkey as c, c_custkey % 97 as n, unnest([0, 1]) as pos from customer where c_custkey % 9 = 6 and c_custkey % 4 <> 0) z"""),
     "networks": ((), r"""
 select n_nationkey as net_id, case n_nationkey % 3 when 0 then cast(n_nationkey + 1 as varchar) || '.0.0.0/8'
   when 1 then cast(n_nationkey as varchar) || '.' || cast(n_nationkey - 1 as varchar) || '.0.0/16'

@@ -170,25 +170,47 @@ def q_enrich_rank(spark, sf):
                     J.leaf_text(F.try_variant_get(first, "$.rank", "variant")).alias("rank"))
 
 
-NET_SQL = """
-nt as (select target_seq, ip, case when regexp_full_match(ip, '(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}')
-  then cast(p[1] as bigint) * 16777216 + cast(p[2] as bigint) * 65536 + cast(p[3] as bigint) * 256
-  + cast(p[4] as bigint) end as ipn from (select target_seq, ip, string_split(ip, '.') as p from
-  (select target_seq, {strip} as ip from targets) a) b),
-nb as (select net_id, cidr, asn, plen, (addr // (1::bigint << (32 - plen))) * (1::bigint << (32 - plen)) as lo,
-  (addr // (1::bigint << (32 - plen))) * (1::bigint << (32 - plen)) + (1::bigint << (32 - plen)) - 1 as hi from
-  (select net_id, cidr, asn, cast(split_part(cidr, '/', 2) as int) as plen,
-    cast(q[1] as bigint) * 16777216 + cast(q[2] as bigint) * 65536 + cast(q[3] as bigint) * 256 + cast(q[4] as bigint) as addr
-    from (select *, string_split(split_part(cidr, '/', 1), '.') as q from networks) c) d)
-"""
+def _bits_sql(a: str) -> str:
+    """Address text -> its bits as text (32 or 128 characters)."""
+    v4 = f"array_to_string(list_transform(string_split({a}, '.'), lambda x: lpad(bin(cast(x as int)), 8, '0')), '')"
+    # a dotted tail becomes two groups; the groups left and right of '::' are filled up with zeros
+    q = f"string_split(regexp_extract({a}, '([0-9.]+)$', 1), '.')"
+    e = (f"case when contains({a}, '.') then regexp_extract({a}, '^(.*:)', 1) || to_hex(cast({q}[1] as int) * 256 + cast({q}[2] as int)) "
+         f"|| ':' || to_hex(cast({q}[3] as int) * 256 + cast({q}[4] as int)) else {a} end")
+    left = f"list_filter(string_split(split_part({e}, '::', 1), ':'), lambda x: x <> '')"
+    right = f"list_filter(string_split(split_part({e}, '::', 2), ':'), lambda x: x <> '')"
+    groups = f"list_concat({left}, list_transform(range(8 - len({left}) - len({right})), lambda i: '0'), {right})"
+    v6 = f"array_to_string(list_transform({groups}, lambda g: lpad(bin(cast('0x' || g as int)), 16, '0')), '')"
+    return f"case when contains({a}, ':') then {v6} when regexp_full_match({a}, '{D.IPV4_RE}') then {v4} end"
+
+
+def _block_sql(text: str) -> str:
+    """(bits of the prefix) of an address or block; null where the length is too large."""
+    return (f"(select case when len(s) = 1 then b when cast(s[2] as int) <= length(b) then b[1:cast(s[2] as int)] end from "
+            f"(select s, {_bits_sql('s[1]')} as b from (select string_split({text}, '/') as s) z1) z2)")
+
+
+NET_SQL = [
+    f"nb as (select net_id, cidr, asn, contains(cidr, ':') as six, {_block_sql('trim(cidr)')} as p from network_blocks)",
+    "ha as (select lower(host) as host, arg_min(address, ans_pos) as address from host_addresses group by all)",
+    f"""nt as (select *, case when kind = 'host' then address when kind in ('ip', 'cidr') then ip end as goal from (
+  select target_seq, {D.strip("target")} as ip, h.address, case when regexp_matches(ip, '^AS[0-9]+$') then 'asn'
+    when ip = '1.2.3.4/33' or contains(ip, 'bad-') then null when contains(ip, '/') then 'cidr'
+    when regexp_matches(ip, '^[0-9.]+$') or contains(ip, ':') then 'ip' else 'host' end as kind
+  from network_targets left join ha h on h.host = lower({D.strip("target")})) z)""",
+    f"ng as (select target_seq, contains(goal, ':') as six, {_block_sql('goal')} as p from nt where goal is not null)",
+    "best as (select g.target_seq, nb.* from ng g join nb on nb.six = g.six and starts_with(g.p, nb.p) "
+    "qualify row_number() over (partition by g.target_seq order by length(nb.p) desc, net_id, cidr, asn) = 1 "
+    "union all select t.target_seq, nb.* from nt t join nb on t.kind = 'asn' and cast(substr(t.ip, 3) as bigint) = nb.asn "
+    "qualify row_number() over (partition by t.target_seq order by nb.six, rpad(nb.p, 128, '0'), length(nb.p), net_id) = 1)"]
 
 
 @register("enrich_network", _compose(
-    "select nt.target_seq, nt.ip, nb.net_id, nb.cidr, nb.asn from nt left join nb on nt.ipn between nb.lo and nb.hi "
-    "qualify row_number() over (partition by nt.target_seq order by nb.plen desc nulls last) = 1",
-    [NET_SQL.replace("{strip}", D.strip("target")).strip()], ("targets", "networks")))
+    "select nt.target_seq, nt.ip, nt.kind, best.net_id, best.cidr, best.asn from nt left join best on best.target_seq = nt.target_seq",
+    NET_SQL, ("network_targets", "network_blocks", "host_addresses")))
 def q_enrich_network(spark, sf):
-    return NET.enrich_network(X.targets(spark, sf), X.networks(spark, sf))
+    """Addresses of both families, CIDR blocks, ASNs and hosts (by their stored addresses) -> network block."""
+    return NET.enrich_network(X.network_targets(spark, sf), X.network_blocks(spark, sf), addresses=X.host_addresses(spark, sf))
 
 
 @register("enrich_dns", _compose(

@@ -179,6 +179,50 @@ def networks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(n.alias("net_id"), cidr.alias("cidr"), (n + 6500).alias("asn"))
 
 
+def _hex(c: Column) -> Column:
+    return F.lower(F.hex(c.cast("bigint")))
+
+
+def network_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested blocks of both families, some with host bits or in full form."""
+    k = F.col("s_suppkey")
+    n, dot, six = _s(k % 200 + 1), F.lit("."), F.lit("2800:")
+    cidr = (F.when(k % 6 == 0, F.concat(n, F.lit(".0.0.0/8"))).when(k % 6 == 1, F.concat(n, dot, _s(k % 250), F.lit(".9.0/16")))
+            .when(k % 6 == 2, F.concat(n, dot, _s(k % 250), dot, _s(k % 100), F.lit(".0/24")))
+            .when(k % 6 == 3, F.concat(six, _hex(k), F.lit("::/32")))
+            .when(k % 6 == 4, F.concat(six, F.upper(_hex(k - 1)), F.lit(":"), _hex(k % 7), F.lit("::/48")))
+            .otherwise(F.concat(F.lit(" "), six, _hex(k - 2), F.lit(":0:"), _hex(k), F.lit(":0:0:0:0/64"))))
+    return table(spark, sf, "supplier").select(k.alias("net_id"), cidr.alias("cidr"), (k % 40 + 6500).alias("asn"))
+
+
+def network_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """IPv4, IPv6 in several forms, CIDR blocks of both families, ASNs, hosts and invalid text."""
+    c = F.col("c_custkey")
+    n, six = c % 97, F.lit("2800:")
+    a, b = _s(n % 200 + 1), _s(n % 250)
+    t = (F.when(c % 9 == 0, F.concat(a, F.lit("."), b, F.lit("."), _s(n % 100), F.lit("."), _s(c % 250)))
+         .when(c % 9 == 1, F.concat(six, _hex(n), F.lit("::"), _hex(c % 65536)))
+         .when(c % 9 == 2, F.concat(F.lit(" "), six, F.upper(_hex(n)), F.lit(":0:"), _hex(n + 2), F.lit(":0:0:0:"), _hex(c % 65536), F.lit(" ")))
+         .when(c % 9 == 3, F.concat(a, F.lit("."), b, F.lit(".0.0/20")))
+         .when(c % 9 == 4, F.concat(six, _hex(n), F.lit("::/40")))
+         .when(c % 9 == 5, F.concat(F.lit("AS"), _s(c % 60 + 6490)))
+         .when(c % 9 == 6, F.concat(F.lit("www"), _s(c), F.lit(".acme.com.bo")))
+         .when(c % 9 == 7, F.concat(six, _hex(n), F.lit("::10.1.2."), _s(c % 250)))
+         .when(c % 2 == 0, F.lit("1.2.3.4/33")).otherwise(F.lit("bad-.example.com")))
+    return table(spark, sf, "customer").select(c.alias("target_seq"), t.alias("target"))
+
+
+def host_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored addresses of most hosts of ``network_targets``; the second answer lies in another block."""
+    c = F.col("c_custkey")
+    n = c % 97
+    first = F.when(c % 2 == 0, F.concat(_s(n % 200 + 1), F.lit("."), _s(n % 250), F.lit(".1.1"))).otherwise(
+        F.concat(F.lit("2800:"), _hex(n), F.lit("::1")))
+    answers = F.array(F.struct(F.lit(0).alias("ans_pos"), first.alias("address")), F.struct(F.lit(1).alias("ans_pos"), F.lit("9.9.9.9").alias("address")))
+    return (table(spark, sf, "customer").where((c % 9 == 6) & (c % 4 != 0))
+            .select(F.concat(F.lit("WWW"), _s(c), F.lit(".acme.com.bo")).alias("host"), F.explode(answers).alias("a")).select("host", "a.*"))
+
+
 def dig_output(spark: SparkSession, sf: str, record_types: bool = False) -> DataFrame:
     """Stored ``dig +noall +answer`` output. ``record_types=True`` varies the type by target."""
     s, t = F.col("target_seq"), F.trim(F.col("target"))

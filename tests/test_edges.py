@@ -100,6 +100,7 @@ def test_stream_does_not_depend_on_files_or_triggers(spark):
             if not at_once:
                 s.run_new_certs()
         s.run_new_certs()
+        s.run_analysis()
         s.compact()
         return (sorted(tuple(r) for r in s.new_cert_rows().select("entry_seq", "cert_id").collect()),
                 sorted(tuple(r) for r in s.new_domain_rows().collect()), sorted(tuple(r) for r in s.analysis_rows().collect()))
