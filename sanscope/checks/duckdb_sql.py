@@ -71,6 +71,13 @@ select target_seq, trim(target) as target, case when target_seq % 13 = 0 then 50
     "json_payloads": (("network_payloads",), r"""
 select target_seq, target, case when target_seq % 9 = 1 then '{"a_b":1,"a":{"b":2},"ip":"x","ip":"y' || cast(target_seq as varchar)
   || '","n":100.0,"e":[1.5,true,null,{"k":""},12345678901],"z":{},"w":[]}' else body end as body from network_payloads"""),
+    "search_table": ((), r"""
+select cast(k as int) as query_ord, ['identity', 'keyword', 'subdomain', 'extended'][k % 4 + 1] as mode,
+  case k % 4 when 0 then ['example.com', 'acme.com.bo', 'umsa.edu.bo', 'www.acme.com', 'google.co.uk', 'shop.example.com', 'localhost'][k % 7 + 1]
+    when 1 then ['www', 'MAIL', 'api', 'dev', 'acme.c', 'umsa'][k % 6 + 1] || case when k % 3 = 0 then cast(k % 50 as varchar) else '' end
+    when 2 then ['', 'COM.', 'example.'][k % 3 + 1] || ['com', 'bo', 'com.bo', 'uk', 'edu.bo'][k % 5 + 1]
+    else ['www', 'mail', 'api', 'dev', 'a.b', 'm'][k % 6 + 1] || cast(k % 50 as varchar) end as term
+from (select s_suppkey as k from supplier) z"""),
     "network_blocks": ((), r"""
 select k as net_id, case k % 6 when 0 then n || '.0.0.0/8' when 1 then n || '.' || (k % 250) || '.9.0/16'
     when 2 then n || '.' || (k % 250) || '.' || (k % 100) || '.0/24' when 3 then '2800:' || lower(to_hex(k)) || '::/32'

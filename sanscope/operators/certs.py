@@ -1,8 +1,8 @@
 """Certificate-entry operators: dedup, name explode, filters, per-domain analysis.
 
 Shuffle map (for a cluster run):
-* ``dedup_certs``  - a hash aggregate of two integers per (group, cert_id), combined map-side,
-  then a semi join on (group, cert_id, entry): only the columns the caller selects are moved.
+* ``dedup_certs`` / ``first_owned_entries`` - one pass: the first row per certificate within each task,
+  then one shuffle of those rows with the columns the caller selects.
 * ``domain_analysis`` / ``distinct_domains`` - one shuffle on ``domain`` with a
   partial aggregate first; a domain holding a third of all rows is reduced map-side.
 * filters and ``entry_names`` are narrow (no shuffle) and run inside whole-stage codegen.
@@ -28,15 +28,18 @@ def with_cert_id(entries: DataFrame) -> DataFrame:
 
 def dedup_certs(entries: DataFrame, by: Sequence[str] = (), order_col: str = "entry_seq") -> DataFrame:
     """First entry per ``cert_id`` (in ``order_col`` order, unique per entry) within each ``by``
-    group; entries without an id are dropped.
-
-    The least order value per (group, cert_id) is a hash aggregate over integers; the rows are kept
-    by a semi join on it, so columns nobody selects are never read and a hot id can be split."""
+    group; entries without an id are dropped."""
     if "cert_id" not in entries.columns:
         entries = with_cert_id(entries)
-    keyed = entries.where(F.col("cert_id").isNotNull())
-    first = keyed.groupBy(*by, "cert_id").agg(F.min(order_col).alias(order_col))
-    return keyed.join(first, [*by, "cert_id", order_col], "left_semi")
+    return _first_rows(entries, [*by, "cert_id"], [order_col])
+
+
+def _first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row per key; rows with a null in the last key go. One read: each task keeps the first row
+    of its keys before the shuffle (a pushed-down group limit), so a key that holds a third of
+    all rows costs a row per task, and columns nobody selects are neither read nor moved."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.where(F.col(keys[-1]).isNotNull()).withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def entry_names(entries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +77,12 @@ def _name_list(entries_name_value: str = "name_value", common_name: str = "commo
     return F.filter(F.concat(N.split_names(entries_name_value), F.array(F.col(common_name))), lambda x: x.isNotNull())
 
 
-def identity_match(term: str, mode: str) -> Column:
+def _search_names() -> Column:
+    """The entry's names as searches see them: stripped and lower-cased."""
+    return F.transform(_name_list(), lambda n: F.lower(N.py_strip(n)))
+
+
+def identity_match(term: str, mode: str, names: Column | None = None) -> Column:
     """Does any name of the entry match ``term`` the way the certificate search does?
 
     modes: ``identity`` (name equals the domain or is below it, case-insensitive),
@@ -90,15 +98,18 @@ def identity_match(term: str, mode: str) -> Column:
         pred = lambda n: F.like(n, N.like_extended(t))
     else:
         raise ValueError(f"unknown match mode {mode!r}")
-    return F.exists(F.transform(_name_list(), lambda n: F.lower(N.py_strip(n))), pred)
+    return F.exists(_search_names() if names is None else names, pred)
 
 
-def match_cert_identity(entries: DataFrame, searches: Sequence[tuple[str, str]]) -> DataFrame:
+def match_cert_identity(entries: DataFrame, searches: Sequence[tuple[str, str]], ords: Sequence[int] | None = None) -> DataFrame:
     """Certificate-level search: an entry is returned by search ``i`` when any of its
     names matches; then all its names come along. One scan for all searches: each
-    entry gets the array of search ordinals it satisfies, exploded (no join)."""
-    hits = F.array(*[F.when(identity_match(term, mode), F.lit(i)) for i, (mode, term) in enumerate(searches)])
-    return explode_ords(entries, hits)
+    entry gets the array of search ordinals it satisfies, exploded (no join). ``ords`` restricts the
+    run to some of the searches. (``indexes.match_search_table`` takes thousands of searches.)"""
+    named = entries.withColumn("_names", F.explode_outer(F.array(_search_names())))  # computed once, for all searches
+    hits = F.array(*[F.when(identity_match(term, mode, F.col("_names")), F.lit(i)) for i, (mode, term) in enumerate(searches)
+                     if ords is None or i in ords])
+    return explode_ords(named, hits).drop("_names")
 
 
 def text_hits(entries: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -129,12 +140,8 @@ def first_query_owner(hits: DataFrame, key: str = "cert_id", order: str = "query
 def first_owned_entries(hits: DataFrame, key: str = "cert_id", by: str = "query_ord",
                         order_col: str = "entry_seq") -> DataFrame:
     """``dedup_certs`` per search followed by ``first_query_owner``: per certificate, the first
-    entry of the first search that returned it. Both minima are hash aggregates over integers
-    (the second one over at most searches x certificates rows); the rows follow by a semi join."""
-    keyed = hits.where(F.col(key).isNotNull())
-    per_search = keyed.groupBy(key, by).agg(F.min(order_col).alias(order_col))
-    first = per_search.groupBy(key).agg(F.min_by(order_col, by).alias(order_col), F.min(by).alias(by))
-    return keyed.join(first, [key, by, order_col], "left_semi")
+    entry of the first search that returned it, in one pass."""
+    return _first_rows(hits, [key], [by, order_col])
 
 
 def filter_levels(named: DataFrame, max_level: Column) -> DataFrame:

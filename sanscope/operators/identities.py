@@ -66,38 +66,46 @@ def identity_lexemes(col: str) -> Column:
     return F.split(F.lower(F.col(col)), LEXEME_SPLIT_RE, -1)
 
 
+#: Lexemes that one mask of 64 bits stands for.
+MASK_BITS = 63
+
+
 def fulltext_certificates(identities: DataFrame, searches: Sequence[str], cert_col: str = "certificate_id",
                           name_col: str = "name_value") -> DataFrame:
     """(cert_col, query_ord) for certificates whose identities hold every lexeme of search ``i``.
 
-    Each identity row flags the (search, lexeme) pairs it contains; a partial+final
-    ``bool_or`` per certificate combines them map-side (fixed-width buffers, no
-    collected token sets), then a certificate matches a search when all its flags are set."""
-    toks = identity_lexemes(name_col)
-    flags, groups = [], []
-    for i, term in enumerate(searches):
-        names = []
-        for j, lex in enumerate(lexemes(term)):
-            c = f"_f{i}_{j}"
-            flags.append(F.bool_or(F.array_contains(toks, F.lit(lex))).alias(c))
-            names.append(c)
-        groups.append((i, names))
-    # only identities that hold some lexeme take part in the shuffle
+    Every identity becomes masks with a bit per searched lexeme it holds; their ``bit_or`` per certificate
+    is combined map-side (a few integers, no collected token sets), and a certificate matches a search
+    when all its bits are set. Identities without any of the lexemes take no part in the shuffle."""
     wanted = sorted({lex for term in searches for lex in lexemes(term)})
-    some = F.arrays_overlap(toks, F.array(*[F.lit(x) for x in wanted])) if wanted else F.lit(False)
-    per_cert = identities.select(cert_col, name_col).where(some).groupBy(cert_col).agg(*flags)
-    hit = F.array(*[F.when(F.lit(bool(cols)) & _all(cols), F.lit(i)) for i, cols in groups])
+    parts = [wanted[k : k + MASK_BITS] for k in range(0, len(wanted), MASK_BITS)] or [[]]
+
+    def mask(held: Column, part: list[str]) -> Column:
+        out = F.lit(0).cast("bigint")
+        for k, lex in enumerate(part):
+            out = out.bitwiseOR(F.when(F.array_contains(held, F.lit(lex)), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        return out
+
+    if not wanted:
+        return identities.select(cert_col, F.lit(0).alias("query_ord")).where(F.lit(False))
+    held = F.array_intersect(identity_lexemes(name_col), F.array(*[F.lit(x) for x in wanted]))
+    # a generator's output: computed once, whatever is asked of it
+    rows = identities.select(cert_col, F.explode_outer(F.array(held)).alias("_held")).where(F.size("_held") > 0)
+    per_cert = rows.groupBy(cert_col).agg(*[F.bit_or(mask(F.col("_held"), part)).alias(f"_m{k}") for k, part in enumerate(parts)])
+
+    def whole(term: str) -> Column:
+        out = F.lit(bool(lexemes(term)))
+        for k, part in enumerate(parts):
+            need = sum(1 << part.index(lex) for lex in set(lexemes(term)) if lex in part)
+            if need:
+                out = out & (F.col(f"_m{k}").bitwiseAND(F.lit(need).cast("bigint")) == F.lit(need).cast("bigint"))
+        return out
+
+    hit = F.array(*[F.when(whole(term), F.lit(i)) for i, term in enumerate(searches)])
     return per_cert.select(cert_col, F.explode_outer(F.array_compact(hit)).alias("query_ord")).where(
         F.col("query_ord").isNotNull())
 
 
-def _all(cols: list[str]) -> Column:
-    out = F.lit(True)
-    for c in cols:
-        out = out & F.col(c)
-    return out
-
-
 def filter_fulltext(identities: DataFrame, searches: Sequence[str], cert_col: str = "certificate_id") -> DataFrame:
     """Identities of certificates matching each search, tagged with ``query_ord``
     (semi join back to the identity rows on the certificate id)."""

@@ -40,12 +40,10 @@ def responses(entries: DataFrame, searches: Sequence[Search], kind: str | None)
     as they are; otherwise each entry is tagged with every search it answers: a domain search
     returns certificates with a name equal to or below the domain, a keyword search those with a
     name that contains it (one scan, no join)."""
-    if "query_ord" in entries.columns:
-        hits = entries
-    else:
-        hits = C.match_cert_identity(entries, [("identity" if k == "domain" else k, t) for k, t in searches])
     ords = _ords(searches, kind)
-    return hits.where(F.col("query_ord").isin(ords)) if kind is not None else hits
+    if "query_ord" in entries.columns:
+        return entries.where(F.col("query_ord").isin(ords)) if kind is not None else entries
+    return C.match_cert_identity(entries, [("identity" if k == "domain" else k, t) for k, t in searches], ords)
 
 
 def run_names(spark: SparkSession, entries: DataFrame, searches: Sequence[Search], kind: str | None,

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sanscope.checks import duckdb_sql as D
 from sanscope.functions import names as N
 from sanscope.operators import certs as C
+from sanscope.operators import indexes as IX
 from sanscope.operators import ordering, state, suffix
 from sanscope.plans import discover as P
 from sanscope.plans.registry import register
+from sanscope.session import state_path
 from sanscope.sources import fixtures as X
 
 AS_OF = X.AS_OF
@@ -221,6 +225,17 @@ def q_match_cert_identity(spark, sf):
     return C.match_cert_identity(X.cert_entries(spark, sf), SEARCHES).select("query_ord", "entry_seq")
 
 
+@register("match_search_table", _compose(
+    "select s.query_ord, e.entry_seq from search_table s join cert_entries e on len(list_filter(list_filter(" + NAME_LIST
+    + ", lambda n: n is not null), lambda n: case s.mode when 'identity' then lower(" + D.strip("n") + ") = lower(s.term) or ends_with(lower("
+    + D.strip("n") + "), '.' || lower(s.term)) when 'keyword' then contains(lower(" + D.strip("n") + "), lower(s.term)) "
+    "when 'subdomain' then ends_with(lower(" + D.strip("n") + "), '.' || lower(s.term)) else lower(" + D.strip("n")
+    + ") like lower(s.term) || '.%.%' end)) > 0", [], ("cert_entries", "search_table")))
+def q_match_search_table(spark, sf):
+    """A table of searches matched by equi joins: the plan doesn't grow with their number."""
+    return IX.match_search_table(X.cert_entries(spark, sf), X.search_table(spark, sf)).select("query_ord", "entry_seq")
+
+
 @register("filter_private_suffix", _compose(
     "select qps.query_ord, n.domain from (select distinct " + D.normalize("name") + " as domain from name_rows) n "
     "join qps on list_contains(list_filter(string_split(n.domain, '.'), lambda x: x <> ''), qps.private_suffix)",
@@ -252,6 +267,20 @@ def q_anti_seen(spark, sf):
     return state.anti_seen(C.dedup_certs(entries(spark, sf)), X.seen_ids(spark, sf)).select("entry_seq", "cert_id")
 
 
+STATE_BUCKETS = 64
+
+
+@register("anti_seen_bucketed", _compose(
+    "select entry_seq, cert_id from dd where cast(cert_id as varchar) not in (select cert_id from seen_ids)",
+    [ENTS, DEDUP], ("cert_entries", "seen_ids")))
+def q_anti_seen_bucketed(spark, sf):
+    """The saved ids as a bucketed table: only the run's entries are moved."""
+    name, path = f"seen_{uuid.uuid4().hex}", state_path(spark, f"state-tables/{uuid.uuid4().hex}")
+    IX.write_state_table(X.seen_ids(spark, sf), name, STATE_BUCKETS, path)
+    known = IX.open_state_table(spark, name, STATE_BUCKETS, path)
+    return IX.anti_seen_bucketed(C.dedup_certs(entries(spark, sf)), known, STATE_BUCKETS).select("entry_seq", "cert_id")
+
+
 @register("except_seen", _compose(
     "select cast(cert_id as varchar) as cert_id from ents where cert_id is not null except select cert_id from seen_ids",
     [ENTS], ("cert_entries", "seen_ids")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,12 @@ from sanscope.checks import duckdb_sql as D
 from sanscope.functions import names as N
 from sanscope.operators import certs as C
 from sanscope.operators import identities as I
+from sanscope.operators import indexes as IX
 from sanscope.operators import state
 from sanscope.plans import discover as P
 from sanscope.plans.q_certs import _compose
-from sanscope.session import materialize
 from sanscope.plans.registry import register
+from sanscope.session import materialize, state_path
 from sanscope.sources import fixtures as X
 
 DOMAIN_ORDS = [i for i, (k, _) in enumerate(X.QUERIES) if k == "domain"]
@@ -95,6 +98,28 @@ def q_filter_fulltext(spark, sf):
     return ids(spark, sf).join(certs, "certificate_id").select("query_ord", "certificate_id", "name_value")
 
 
+@register("filter_fulltext_indexed", _compose(
+    "select ft.query_ord, i.certificate_id, i.name_value from cert_identities i join ft on ft.certificate_id = i.certificate_id",
+    [_ft_sql(ALL_ORDS)], ("cert_identities",)))
+def q_filter_fulltext_indexed(spark, sf):
+    """Full text by stored postings, the rarest word first."""
+    path = state_path(spark, f"indexes/lexemes-{uuid.uuid4().hex}")
+    IX.write_lexeme_index(ids(spark, sf), path)
+    certs = IX.fulltext_certificates_indexed(spark.read.parquet(path), [TERM[i] for i in ALL_ORDS])
+    return ids(spark, sf).join(certs, "certificate_id").select("query_ord", "certificate_id", "name_value")
+
+
+@register("filter_identity_keyword_indexed", _compose(
+    "select query_ord, certificate_id, name_value from (" + _tag_sql({i: _kw_sql(TERM[i]) for i in KEYWORD_ORDS}) + ") z",
+    [], ("cert_identities",)))
+def q_filter_identity_keyword_indexed(spark, sf):
+    """Keywords by stored trigram postings, every name verified."""
+    path = state_path(spark, f"indexes/trigrams-{uuid.uuid4().hex}")
+    IX.write_trigram_index(ids(spark, sf), path)
+    found = IX.keyword_identities_indexed(spark, path, {i: TERM[i] for i in KEYWORD_ORDS})
+    return found.select("query_ord", "certificate_id", "name_value")
+
+
 @register("filter_levels_raw", _compose(
     "select query_ord, certificate_id, name_value from (" + _tag_sql(
         {i: f"{_dom_sql(TERM[i])} and {D.level('name_value')} <= {TERM[i].count('.') + LEVELS}" for i in DOMAIN_ORDS})

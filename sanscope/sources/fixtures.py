@@ -304,6 +304,17 @@ def crtsh_answers(spark: SparkSession, sf: str) -> DataFrame:
         s, "target", F.when(k == 9, F.lit(503)).otherwise(F.lit(200)).alias("http_status"), body.alias("body"))
 
 
+def search_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A long list of searches of every mode; terms repeat and differ in case."""
+    k = F.col("s_suppkey")
+    mode = _pick(k % 4, ("identity", "keyword", "subdomain", "extended"))
+    term = (F.when(k % 4 == 0, _pick(k % 7, NAME_BASES))
+            .when(k % 4 == 1, F.concat(_pick(k % 6, ("www", "MAIL", "api", "dev", "acme.c", "umsa")), F.when(k % 3 == 0, _s(k % 50)).otherwise(F.lit(""))))
+            .when(k % 4 == 2, F.concat(_pick(k % 3, ("", "COM.", "example.")), _pick(k % 5, ("com", "bo", "com.bo", "uk", "edu.bo"))))
+            .otherwise(F.concat(_pick(k % 6, NAME_PREFIXES), _s(k % 50))))
+    return table(spark, sf, "supplier").select(k.cast("int").alias("query_ord"), mode.alias("mode"), term.alias("term"))
+
+
 def whois_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Registry targets: most have search pages, every third has none."""
     k = F.col("s_suppkey")
