@@ -63,6 +63,11 @@ select target_seq, trim(target) as target, case when target_seq % 5 = 0 then 404
   case when target_seq % 11 = 0 then 'not json' when target_seq % 7 = 0 then '{"status_code":200,"response":[]}'
   else '{"status_code":200,"response":[{"domain":"' || trim(target) || '","page_rank_integer":' || cast(target_seq % 10 as varchar)
   || ',"rank":"' || cast(target_seq * 37 as varchar) || '","error":null}]}' end as body from targets"""),
+    "rank_answers": (("rank_payloads",), r"""
+select target_seq, target, case when target_seq % 10 = 3 then 200 else http_status end as http_status,
+  case target_seq % 10 when 3 then '{"status_code":200,"status_code":201,"response":[{"domain":"x","domain":"d' || cast(target_seq as varchar)
+  || '","page_rank_decimal":100.0,"rank":null,"known":true,"nested":{"b":1,"a":[1,2]}},{"domain":"second","page_rank_decimal":2.5}]}'
+  when 9 then '[1]' else body end as body from rank_payloads"""),
     "network_payloads": (("targets",), r"""
 select target_seq, trim(target) as target, case when target_seq % 13 = 0 then 502 else 200 end as http_status,
   case when target_seq % 9 = 0 then '<html>err</html>'

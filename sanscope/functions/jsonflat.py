@@ -22,27 +22,6 @@ FLAT_TYPE = "array<struct<key:string,value:string>>"
 PARSED_TYPE = f"valid boolean, found boolean, flat {FLAT_TYPE}"
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def _is_container(v: Column) -> Column:
-    k = _kind(v)
-    return k.startswith("OBJECT") | k.startswith("ARRAY")
-
-
-def leaf_text(v: Column) -> Column:
-    """Text the original prints for a scalar VARIANT: strings as is, booleans ``True``/``False``,
-    null stays null, numbers in their JSON form."""
-    k = _kind(v)
-    return (
-        F.when(k == "VOID", F.lit(None).cast("string"))
-        .when(k == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-        .when(k == "STRING", F.try_variant_get(v, "$", "string"))
-        .otherwise(v.cast("string"))
-    )
-
-
 def flatten_value(value, prefix: str) -> dict[str, str | None]:
     """Path -> text of every leaf, in order of first appearance. Any depth: no recursion."""
     out: dict[str, str | None] = {}
@@ -85,6 +64,52 @@ def parsed(body: Column | str, prefix: str, response: bool = False) -> Column:
     return run(F.col(body) if isinstance(body, str) else body)
 
 
+ELEMENTS_TYPE = f"array<{FLAT_TYPE}>"
+
+
+def kind(body: Column | str) -> Column:
+    """'object' / 'array' / 'scalar' for JSON text, null when it is not JSON. Repeated keys are JSON."""
+    share_code(SparkSession.active())
+
+    def read(text):
+        try:
+            doc = json.loads(text)
+        except (TypeError, ValueError, RecursionError):
+            return None
+        return "object" if isinstance(doc, dict) else "array" if isinstance(doc, list) else "scalar"
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([read(t) for t in texts], dtype=object)
+
+    return run(F.col(body) if isinstance(body, str) else body)
+
+
+def response_elements(body: Column | str) -> Column:
+    """The list ``response`` of an answer: per element its top-level keys in order of first appearance with the
+    text the original prints (``100.0`` stays, ``True``, nested values as Python shows them, null stays null;
+    of a repeated key the last value). Elements that are no objects have no keys; null if there is no list."""
+    share_code(SparkSession.active())
+
+    def read(text):
+        try:
+            doc = json.loads(text)
+        except (TypeError, ValueError, RecursionError):
+            return None
+        found = doc.get("response") if isinstance(doc, dict) else None
+        if not isinstance(found, list):
+            return None
+        return [[{"key": k, "value": None if v is None else str(v)} for k, v in x.items()] if isinstance(x, dict) else [] for x in found]
+
+    @F.pandas_udf(ELEMENTS_TYPE)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([read(t) for t in texts], dtype=object)
+
+    return run(F.col(body) if isinstance(body, str) else body)
+
+
 def explode_kv(df: DataFrame, flat_col: str, keys) -> DataFrame:
     """(keys..., key, value) rows of a flattened array. ``explode_outer`` + a null filter
     instead of ``explode``: the optimizer would otherwise infer a ``size > 0`` filter and

@@ -101,20 +101,47 @@ def envelope_curl(targets: DataFrame, output: DataFrame, ts: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- JSON tools
-def widen(df: DataFrame, flat_col: str, keys: Sequence[str] | None = None) -> DataFrame:
-    """Long -> wide for flattened key/value arrays without a shuffle: the key set is
-    discovered in one aggregate pass (its size is the number of distinct JSON paths,
-    not rows), then each key becomes ``element_at(map, key)``."""
+#: Keys that become columns at most; documents with more go into a map (``fields=True``).
+MAX_COLUMNS = 2000
+#: Column metadata: some row has this key, even if all its values are null.
+PRESENT = {"present": True}
+
+
+def as_fields(df: DataFrame, flat_col: str, out: str = "fields") -> DataFrame:
+    """The flattened keys of a row as one map column, any number of them."""
+    flat = F.coalesce(F.col(flat_col), F.array().cast(J.FLAT_TYPE))
+    return df.withColumn(out, F.map_from_entries(flat)).drop(flat_col)
+
+
+def key_catalogue(rows: DataFrame, fields: str = "fields", order: str = "target_seq") -> DataFrame:
+    """(key, rows, first_seq) of a map column: which keys occur, how often, and in which row first. A
+    partial aggregate per key; it is a table like any other, whatever the number of keys."""
+    keys = rows.select(order, F.explode_outer(F.map_keys(fields)).alias("key")).where(F.col("key").isNotNull())
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("first_seq"))
+
+
+def pick_fields(rows: DataFrame, keys: Sequence[str], fields: str = "fields") -> DataFrame:
+    """The named keys of a map column as columns."""
+    return rows.select("*", *[F.element_at(F.col(fields), F.lit(k)).alias(k, metadata=PRESENT) for k in keys]).drop(fields)
+
+
+def widen(df: DataFrame, flat_col: str, keys: Sequence[str] | None = None, fields: bool = False) -> DataFrame:
+    """Flattened keys -> columns, in the order of their names; with ``fields`` -> one map column, without any
+    search for keys. ``keys`` names the columns; without it the key catalogue does, up to MAX_COLUMNS: more
+    keys than that are an error that names the map form, not a table of a million columns."""
+    if fields:
+        return as_fields(df, flat_col)
     if keys is None:
-        # the flattened rows feed both the key discovery and the result: write them once
+        # the flattened rows feed both the catalogue and the result: write them once
         df = materialize(df, "wide")
-        found = df.select(F.explode(F.col(flat_col)["key"]).alias("k")).distinct()
-        keys = sorted(r[0] for r in found.collect())  # the result's column names: a schema, not rows
-    m = F.map_from_entries(F.coalesce(F.col(flat_col), F.array().cast("array<struct<key:string,value:string>>")))
-    return df.select("*", *[F.element_at(m, F.lit(k)).alias(k) for k in keys]).drop(flat_col)
+        found = df.select(F.explode(F.col(flat_col)["key"]).alias("k")).distinct().limit(MAX_COLUMNS + 1).collect()
+        if len(found) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} distinct keys: take fields=True and key_catalogue")
+        keys = sorted(r[0] for r in found)
+    return pick_fields(as_fields(df, flat_col, "_fields"), keys, "_fields")
 
 
-def envelope_ipguide(targets: DataFrame, payloads: DataFrame, ts: str, keys: Sequence[str] | None = None) -> DataFrame:
+def envelope_ipguide(targets: DataFrame, payloads: DataFrame, ts: str, keys: Sequence[str] | None = None, fields: bool = False) -> DataFrame:
     """A stored answer with an HTTP status outside 2xx is an error row: its body is the error text."""
     p = payloads.select("target_seq", "http_status", "body").withColumn("_p", J.parsed(
         F.when(N.py_strip(F.col("body")).startswith("{"), F.col("body")), K.PREFIX_IPG))
@@ -128,10 +155,10 @@ def envelope_ipguide(targets: DataFrame, payloads: DataFrame, ts: str, keys: Seq
     status = F.when(blank, F.lit("")).otherwise(F.coalesce(F.col("http_status").cast("string"), F.lit("")))
     base = j.select("target_seq", *head(ts, "ipguide", ok, status, err), F.when(ok & is_obj, F.col("_p.flat")).alias("_flat"),
                     F.when(ok & ~is_obj, F.col("body")).alias("ipg_raw_data"))
-    return widen(base, "_flat", keys)
+    return widen(base, "_flat", keys, fields)
 
 
-def envelope_open_rank(targets: DataFrame, payloads: DataFrame, ts: str, keys: Sequence[str] | None = None) -> DataFrame:
+def envelope_open_rank(targets: DataFrame, payloads: DataFrame, ts: str, keys: Sequence[str] | None = None, fields: bool = False) -> DataFrame:
     p = payloads.select("target_seq", "http_status", "body").withColumn("_p", J.parsed("body", K.PREFIX_OPR, response=True))
     j = targets.select("target_seq", "target").join(p, "target_seq", "left")
     blank = N.py_strip(F.col("target")) == ""
@@ -145,7 +172,7 @@ def envelope_open_rank(targets: DataFrame, payloads: DataFrame, ts: str, keys: S
     base = j.select("target_seq", *head(ts, "open_rank", ok, status, err),
                     F.when(ok & has_first, F.col("_p.flat")).alias("_flat"),
                     F.when(ok & ~has_first, F.col("body")).alias("opr_raw_data"))
-    return widen(base, "_flat", keys)
+    return widen(base, "_flat", keys, fields)
 
 
 # ---------------------------------------------------------------- certificate search tool

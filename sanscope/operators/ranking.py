@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sanscope.functions import jsonflat as J
@@ -15,27 +15,17 @@ def batch_targets(domains: DataFrame, size: int, order_col: str = "target_seq")
     return ordering.batch_number(domains, [order_col], size, "batch_no")
 
 
-def response_array(body_col: str = "body") -> Column:
-    """``response`` list of a stored answer as array<variant> (null when absent / not JSON)."""
-    return F.try_variant_get(F.try_parse_json(body_col), "$.response", "array<variant>")
-
-
-def first_response(body_col: str = "body") -> Column:
-    return F.try_variant_get(F.try_parse_json(body_col), "$.response[0]", "variant")
-
-
-def element_fields(elem: Column) -> Column:
-    """Top-level key/value text of a response element (nested values as JSON text)."""
-    m = F.try_variant_get(elem, "$", "map<string,variant>")
-    return F.transform(F.map_entries(m), lambda e: F.struct(
-        e["key"].alias("key"),
-        F.when(J._is_container(e["value"]), F.to_json(e["value"])).otherwise(J.leaf_text(e["value"])).alias("value")))
-
-
 def explode_response(answers: DataFrame, keys=("target_seq",), body_col: str = "body") -> DataFrame:
     """All ``response`` elements of all stored answers, one row each (long key/value form)."""
-    ex = answers.select(*keys, F.posexplode(response_array(body_col)).alias("elem_pos", "_e"))
-    return ex.select(*keys, "elem_pos", element_fields(F.col("_e")).alias("_flat"))
+    return answers.select(*keys, F.posexplode(J.response_elements(body_col)).alias("elem_pos", "_flat"))
+
+
+def rank_rows(domains: DataFrame, answers: DataFrame, size: int, col: str = "dominio") -> DataFrame:
+    """Domains in batches of ``size`` -> the response elements of their stored answers (the first one per domain text,
+    only those with HTTP status 200), in long form. A domain that is listed twice has its elements twice."""
+    found = first_answers(answers.where(F.col("http_status") == 200)).select(F.col("target").alias("_target"), "body")
+    asked = batch_targets(domains, size)
+    return explode_response(asked.join(found, asked[col] == found["_target"]), ("batch_no", "target_seq"))
 
 
 def first_answers(snapshot: DataFrame, keys=("target",), order: str = "target_seq") -> DataFrame:

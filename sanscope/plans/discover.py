@@ -9,13 +9,16 @@ literals in the plan; everything that grows with the data stays in DataFrames.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sanscope.functions import names as N
 from sanscope.operators import certs as C
+from sanscope.operators import identities as I
 from sanscope.operators import state, suffix
+from sanscope.session import materialize
 
 Search = tuple[str, str]  # (kind, term) with kind 'domain' or 'keyword'
 
@@ -132,3 +135,88 @@ def certificate_log(entries: DataFrame, searches: Sequence[Search], kinds: Seque
     ords = [i for i, (k, _) in enumerate(searches) if k in kinds]
     cols = [c for c in entries.columns if c not in ("query_ord", "cert_id")]  # entries are logged whole
     return hits.where(F.col("query_ord").isin(ords)).select("query_ord", *cols)
+
+
+# ---------------------------------------------------------------- database flavour
+@dataclass(frozen=True)
+class DbPass:
+    """One database query of a run. ``term`` is the query text (the private suffix in an extended pass), ``label``
+    what an extended pass asks of every name."""
+
+    kind: str
+    term: str
+    label: str | None = None
+
+    def predicate(self, col: str = "name_value", levels: int | None = None) -> Column:
+        row = I.identity_domain_match(col, self.term) if self.kind == "domain" else I.identity_keyword_match(col, self.term)
+        if levels is None or self.kind != "domain":
+            return row
+        return row & (N.raw_level(col) <= self.term.count(".") + levels)
+
+    def implies_fulltext(self) -> bool:
+        """A name that ends in a term of plain labels holds the term's words itself."""
+        return self.kind == "domain" and bool(self.term) and set(self.term) <= set("abcdefghijklmnopqrstuvwxyz0123456789-.")
+
+
+def db_passes(spark: SparkSession, searches: Sequence[Search], kind: str | None = None, extended: bool = False,
+              rules: DataFrame | None = None) -> list[DbPass]:
+    """The queries of a run in their order: for each search its own, and with ``extended`` one for the
+    private suffix of each domain after the domain's."""
+    chosen = [s for s in searches if kind is None or s[0] == kind]
+    domains = [t for k, t in chosen if k == "domain"]
+    private = dict(zip(domains, suffix.private_suffix_of_terms(spark, domains, rules))) if extended and domains else {}
+    out = []
+    for k, t in chosen:
+        out.append(DbPass(k, t))
+        if extended and k == "domain":
+            out.append(DbPass(k, private[t] or t, private[t]))
+    return out
+
+
+def db_rows(identities: DataFrame, ca: DataFrame, passes: Sequence[DbPass], seen: DataFrame | None = None,
+            limit: int | None = None, levels: int | None = None) -> DataFrame:
+    """What the database returns and the run keeps: full text AND row filter (AND raw level) -> optional LIMIT per
+    pass -> issuer -> saved-state filter. (query_ord, *identity columns, issuer_name); ``query_ord`` numbers
+    the passes. Without ``limit`` all rows count. With ``seen`` a certificate belongs to the first
+    pass that returned it, as the state is saved after each."""
+    rows = I.tag_matches(identities, {i: p.predicate(levels=levels) for i, p in enumerate(passes)})
+    asked = [i for i, p in enumerate(passes) if not p.implies_fulltext()]
+    if asked:
+        ft = I.fulltext_certificates(identities, [passes[i].term for i in asked])
+        number = F.array(*[F.lit(i) for i in asked])
+        ft = ft.select("certificate_id", F.element_at(number, F.col("query_ord") + 1).alias("query_ord"))
+        implied = [i for i in range(len(passes)) if i not in asked]
+        held = rows.where(F.col("query_ord").isin(asked)).join(ft, ["certificate_id", "query_ord"], "left_semi")
+        rows = held.unionByName(rows.where(F.col("query_ord").isin(implied))) if implied else held
+    if limit is not None:
+        if len(passes) > 1:
+            # every pass takes its own first rows: write the matches once instead of finding them per pass
+            rows = materialize(rows, "db-matches")
+        rows = I.limit_identities(rows, limit, by="query_ord", ords=range(len(passes)))
+    rows = I.join_issuer(rows, ca)
+    if seen is not None:
+        rows = C.first_query_owner(state.anti_seen(rows, seen, id_col="certificate_id"), key="certificate_id")
+    return rows
+
+
+def db_names(rows: DataFrame, passes: Sequence[DbPass]) -> DataFrame:
+    """(query_ord, certificate_id, not_before, not_after, domain): the rows' names, split and normalised; an extended
+    pass keeps those that carry its private-suffix label."""
+    named = I.split_identity_names(rows, keep=("query_ord", "certificate_id", "not_before", "not_after"))
+    labels = {i: p.label for i, p in enumerate(passes) if p.label is not None}
+    if not labels:
+        return named
+    return named.where(~F.col("query_ord").isin(list(labels)) | F.coalesce(N.has_label("domain", _by_ord(labels)), F.lit(False)))
+
+
+def discover_db(spark: SparkSession, identities: DataFrame, ca: DataFrame, searches: Sequence[Search], seen: DataFrame | None = None,
+                kind: str | None = None, limit: int | None = None, levels: int | None = None, extended: bool = False,
+                rules: DataFrame | None = None) -> DataFrame:
+    """A run against the identity tables for any searches: ``db_names`` of its rows."""
+    passes = db_passes(spark, searches, kind, extended, rules)
+    return db_names(db_rows(identities, ca, passes, seen, limit, levels), passes)
+
+
+def certificate_log_db(rows: DataFrame) -> DataFrame:
+    """The raw log of a database run: four fields per returned row that the saved state didn't hold."""
+    return rows.select("query_ord", "certificate_id", "name_value", "not_before", "not_after", "issuer_name")

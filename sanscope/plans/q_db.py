@@ -13,11 +13,10 @@ from sanscope.functions import names as N
 from sanscope.operators import certs as C
 from sanscope.operators import identities as I
 from sanscope.operators import indexes as IX
-from sanscope.operators import state
 from sanscope.plans import discover as P
-from sanscope.plans.q_certs import _compose
+from sanscope.plans.q_certs import _compose, ps_sql
 from sanscope.plans.registry import register
-from sanscope.session import materialize, state_path
+from sanscope.session import state_path
 from sanscope.sources import fixtures as X
 
 DOMAIN_ORDS = [i for i, (k, _) in enumerate(X.QUERIES) if k == "domain"]
@@ -156,40 +155,6 @@ def q_src_cert_identities(spark, sf):
                     F.date_format("not_after", fmt).alias("not_after"), "issuer_name")
 
 
-def discover_db(spark: SparkSession, identities: DataFrame, ca: DataFrame, seen: DataFrame | None, ords, preds,
-                limit: int | None = None, levels: int | None = None, labels: dict[int, str] | None = None) -> DataFrame:
-    """full text AND row filter (AND raw level) -> optional LIMIT per search -> issuer -> saved-state
-    filter -> split + normalise (AND private-suffix label) -> (query_ord, domain).
-
-    ``limit`` is the caller's row limit per search; without one all rows count. ``labels`` are the
-    private suffixes of an extended run (``preds`` then hold its ``ps.%.%`` patterns)."""
-    if levels is not None:
-        base = labels or {i: TERM[i] for i in ords}
-        preds = {i: p & (N.raw_level("name_value") <= base[i].count(".") + levels) for i, p in preds.items()}
-    rows = I.tag_matches(identities, preds)
-    # a row that ends in a term of plain labels holds the term's words itself: the certificate matches
-    implied = labels is None and all(set(TERM[i]) <= set("abcdefghijklmnopqrstuvwxyz0123456789-.") and X.QUERIES[i][0] == "domain"
-                                     for i in ords)
-    if not implied:
-        terms = [(labels or TERM)[i] for i in ords]
-        ft = I.fulltext_certificates(identities, terms)
-        # fulltext_certificates numbers the searches 0..n-1; map them back to the run's ordinals
-        ft = ft.withColumn("query_ord", F.element_at(F.array(*[F.lit(o) for o in ords]), F.col("query_ord") + 1))
-        rows = rows.join(ft, ["certificate_id", "query_ord"])
-    if limit is not None:
-        if len(ords) > 1:
-            # every search takes its own first rows: write the matches once instead of finding them per search
-            rows = materialize(rows, "db-matches")
-        rows = I.limit_identities(rows, limit, by="query_ord", ords=ords)
-    rows = I.join_issuer(rows, ca)
-    if seen is not None:
-        rows = C.first_query_owner(state.anti_seen(rows, seen, id_col="certificate_id"), key="certificate_id")
-    named = I.split_identity_names(rows, keep=("query_ord", "certificate_id", "not_before", "not_after"))
-    if labels is not None:
-        named = C.filter_private_suffix(named, P._by_ord(labels))
-    return named
-
-
 def _discover_db_sql(ords, conds) -> str:
     ctes = [
         _ft_sql(ords),
@@ -206,13 +171,57 @@ def _discover_db_sql(ords, conds) -> str:
 @register("discover_domains_db", _discover_db_sql(DOMAIN_ORDS, {
     i: f"{_dom_sql(TERM[i])} and {D.level('name_value')} <= {TERM[i].count('.') + LEVELS}" for i in DOMAIN_ORDS}))
 def q_discover_domains_db(spark, sf):
-    named = discover_db(spark, ids(spark, sf), X.ca(spark, sf), X.seen_ids(spark, sf), DOMAIN_ORDS,
-                        _domain_preds(DOMAIN_ORDS), levels=LEVELS)
+    named = P.discover_db(spark, ids(spark, sf), X.ca(spark, sf), X.QUERIES, X.seen_ids(spark, sf), "domain", levels=LEVELS)
     return C.distinct_domains(named)
 
 
 @register("discover_keyword_db", _discover_db_sql(KEYWORD_ORDS, {i: _kw_sql(TERM[i]) for i in KEYWORD_ORDS}))
 def q_discover_keyword_db(spark, sf):
-    named = discover_db(spark, ids(spark, sf), X.ca(spark, sf), X.seen_ids(spark, sf), KEYWORD_ORDS,
-                        _keyword_preds(KEYWORD_ORDS))
-    return C.distinct_domains(named)
+    return C.distinct_domains(P.discover_db(spark, ids(spark, sf), X.ca(spark, sf), X.QUERIES, X.seen_ids(spark, sf), "keyword"))
+
+
+# an extended run over other terms than the fixture's, each followed by the pass of its private suffix
+EXT_SEARCHES = (("domain", "example.com"), ("domain", "com.net"), ("domain", "www.localhost"), ("keyword", "umsa"))
+EXT_LIMIT = 2000
+_EXT_DOMAINS = [t for k, t in EXT_SEARCHES if k == "domain"]
+
+
+def _extended_sql(select: str) -> str:
+    """CTEs of the extended run: passes (0, 2, 4 plain, 1, 3, 5 by private suffix), their first rows, first owners."""
+    passes = "xp as (" + " union all ".join(
+        f"select {2 * i} as query_ord, '{t}' as term, cast(null as varchar) as label union all "
+        f"select {2 * i + 1}, private_suffix, private_suffix from xt_out where domain = '{t}'" for i, t in enumerate(_EXT_DOMAINS)) + ")"
+    toks = "string_split_regex(lower({}), '[^a-z0-9-]+')"
+    return _compose(select, [
+        ps_sql("xt", " union all ".join(f"select '{t}' as domain" for t in _EXT_DOMAINS)), passes,
+        f"ctok as (select certificate_id, list_distinct(flatten(list({toks.format('name_value')}))) as toks from cert_identities group by 1)",
+        "found as (select p.query_ord, p.label, i.* from xp p join cert_identities i on (i.name_value ilike '%.' || p.term or i.name_value = p.term) "
+        f"and {D.level('i.name_value')} <= {D.level('p.term')} + {LEVELS} join ctok c on c.certificate_id = i.certificate_id "
+        f"and list_has_all(c.toks, list_filter({toks.format('p.term')}, lambda x: x <> '')) "
+        f"qualify row_number() over (partition by p.query_ord order by i.certificate_id, i.name_value) <= {EXT_LIMIT})",
+        "owned as (select f.*, ca.name as issuer_name from found f left join ca on f.issuer_ca_id = ca.id where cast(certificate_id as varchar) "
+        "not in (select cert_id from seen_ids) qualify query_ord = min(query_ord) over (partition by certificate_id))",
+    ], ("cert_identities", "ca", "seen_ids", "suffix_rules"))
+
+
+def _extended_rows(spark, sf):
+    passes = P.db_passes(spark, EXT_SEARCHES, "domain", extended=True, rules=X.suffix_rules(spark))
+    return P.db_rows(ids(spark, sf), X.ca(spark, sf), passes, X.seen_ids(spark, sf), EXT_LIMIT, LEVELS), passes
+
+
+@register("discover_extended_db", _extended_sql(
+    f"select distinct query_ord, domain from (select query_ord, label, {D.normalize('unnest(' + D.split_lines('name_value') + ')')} as domain "
+    "from owned) z where domain is not null and (label is null or list_contains(list_filter(string_split(domain, '.'), lambda x: x <> ''), label))"))
+def q_discover_extended_db(spark, sf):
+    """``--use-db --extended --levels --db-limit --uncached`` for terms of the caller's."""
+    return P.db_names(*_extended_rows(spark, sf)).select("query_ord", "domain").distinct()
+
+
+@register("certificate_log_db", _extended_sql(
+    "select query_ord, certificate_id, name_value, strftime(not_before, '%Y-%m-%d %H:%M:%S') as not_before, "
+    "strftime(not_after, '%Y-%m-%d %H:%M:%S') as not_after, issuer_name from owned"))
+def q_certificate_log_db(spark, sf):
+    """The raw log of that run."""
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    rows = P.certificate_log_db(_extended_rows(spark, sf)[0])
+    return rows.withColumn("not_before", F.date_format("not_before", fmt)).withColumn("not_after", F.date_format("not_after", fmt))

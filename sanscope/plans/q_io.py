@@ -72,9 +72,9 @@ def q_src_seen_ids(spark, sf):
 
 @register("src_lookup_snapshot", _compose(
     "select target_seq, http_status, case when json_valid(body) then case json_type(body) when 'OBJECT' then 'object' "
-    "when 'ARRAY' then 'array' else 'scalar' end end as body_kind from rank_payloads", [], ("rank_payloads",)))
+    "when 'ARRAY' then 'array' else 'scalar' end end as body_kind from rank_answers", [], ("rank_answers",)))
 def q_src_lookup_snapshot(spark, sf):
-    return X.rank_payloads(spark, sf).select("target_seq", "http_status", RD.body_kind(F.col("body")).alias("body_kind"))
+    return X.rank_answers(spark, sf).select("target_seq", "http_status", RD.body_kind(F.col("body")).alias("body_kind"))
 
 
 # ---------------------------------------------------------------- sinks (the ordered frame each one writes)
@@ -146,15 +146,19 @@ def q_sink_results_csv(spark, sf):
                            E.envelope_curl(t, X.curl_output(spark, sf), TS)])
 
 
-RANK_SQL = (
-    "select json_extract_string(e, '$.domain') as domain, json_extract_string(e, '$.error') as error, "
-    "json_extract_string(e, '$.page_rank_integer') as page_rank_integer, json_extract_string(e, '$.rank') as rank from "
-    "(select unnest(json_extract(r, '$[*]')) as e "
-    "from (select json_extract(p.body, '$.response') as r from targets t join rank_payloads p on p.target_seq = t.target_seq "
-    f"where {D.strip('t.target')} <> '' and p.http_status = 200 and json_valid(p.body)) z) y")
+RANK_KEYS = ("domain", "error", "known", "nested", "page_rank_decimal", "page_rank_integer", "rank")
+RANK_CTES = [
+    q_lookups.ELEMENTS_SQL,
+    # the first stored answer of a domain text; a listed domain has all its elements, as often as it is listed
+    "answers as (select target_seq, target from rank_answers where http_status = 200 qualify row_number() over (partition by target order by target_seq) = 1)",
+    f"asked as (select t.target_seq as asked_seq, a.target_seq from targets t join answers a on a.target = {D.strip('t.target')} "
+    f"where {D.strip('t.target')} <> '')"]
+RANK_SQL = ("select " + ", ".join(f"max(case when f.key = '{k}' then f.value end) as {k}" for k in RANK_KEYS)
+            + " from asked q join elems e on e.target_seq = q.target_seq left join fields f on f.target_seq = e.target_seq and f.elem_pos = e.elem_pos "
+              "group by q.asked_seq, e.elem_pos")
 
 
-@register("sink_rows_sorted_header", _compose(RANK_SQL, [], ("targets", "rank_payloads")))
+@register("sink_rows_sorted_header", _compose(RANK_SQL, RANK_CTES, ("targets", "rank_answers")))
 def q_sink_rows_sorted_header(spark, sf):
     """The exported rank rows under the sorted union of the response keys."""
     return S.sorted_header_rows(rank_rows(spark, sf))
@@ -178,16 +182,12 @@ def q_batch_targets(spark, sf):
 
 
 def rank_rows(spark, sf) -> DataFrame:
-    """Domains CSV -> batches of 250 -> stored rank answers -> every response element, one
+    """Domains CSV -> batches of 250 -> stored rank answers by domain text -> every response element, one
     row each, columns = element keys."""
-    domains = ranking.batch_targets(q_src_domains_csv(spark, sf), K.DEFAULT_RANK_BATCH)
-    answers = X.rank_payloads(spark, sf).where(F.col("http_status") == 200)
-    j = domains.join(answers.select("target_seq", "body"), "target_seq")
-    ex = ranking.explode_response(j, keys=("target_seq",))
-    return E.widen(ex, "_flat")
+    return E.widen(ranking.rank_rows(q_src_domains_csv(spark, sf), X.rank_answers(spark, sf), K.DEFAULT_RANK_BATCH), "_flat")
 
 
-@register("rank_targets", _compose(RANK_SQL, [], ("targets", "rank_payloads")))
+@register("rank_targets", _compose(RANK_SQL, RANK_CTES, ("targets", "rank_answers")))
 def q_rank_targets(spark, sf):
     return rank_rows(spark, sf).drop(*S.RUN_COLUMNS)
 

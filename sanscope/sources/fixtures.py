@@ -154,6 +154,16 @@ def rank_payloads(spark: SparkSession, sf: str) -> DataFrame:
         s, t.alias("target"), F.when(s % 5 == 0, F.lit(404)).otherwise(F.lit(200)).alias("http_status"), body.alias("body"))
 
 
+def rank_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """``rank_payloads`` with answers as they come: repeated keys, decimals, booleans, nested values, several elements."""
+    s = F.col("target_seq")
+    odd = F.concat(F.lit('{"status_code":200,"status_code":201,"response":[{"domain":"x","domain":"d'), _s(s), F.lit(
+        '","page_rank_decimal":100.0,"rank":null,"known":true,"nested":{"b":1,"a":[1,2]}},{"domain":"second","page_rank_decimal":2.5}]}'))
+    return rank_payloads(spark, sf).select(
+        s, "target", F.when(s % 10 == 3, F.lit(200)).otherwise(F.col("http_status")).alias("http_status"),
+        F.when(s % 10 == 3, odd).when(s % 10 == 9, F.lit('[1]')).otherwise(F.col("body")).alias("body"))
+
+
 def network_payloads(spark: SparkSession, sf: str) -> DataFrame:
     s, t = F.col("target_seq"), F.trim(F.col("target"))
     body = F.when(s % 9 == 0, F.lit("<html>err</html>")).otherwise(F.concat(

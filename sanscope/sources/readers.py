@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sanscope.functions import jsonflat as J
 from sanscope.functions import names as N
 from sanscope.operators import ordering
 
@@ -134,9 +135,7 @@ def seen_from_lines(lines: DataFrame, col: str = "value") -> DataFrame:
 
 def body_kind(body: Column) -> Column:
     """'object' / 'array' / 'scalar' for JSON text, null when it is not JSON."""
-    k = F.schema_of_variant(F.try_parse_json(body))
-    return F.when(k.startswith("OBJECT"), F.lit("object")).when(k.startswith("ARRAY"), F.lit("array")).when(
-        k.isNotNull(), F.lit("scalar"))
+    return J.kind(body)
 
 
 def read_lookup_snapshot(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
