@@ -30,6 +30,10 @@ def head(ts: str, action: str, ok: Column, status: Column, error: Column) -> lis
             ok.alias("ok"), status.cast("string").alias("status"), error.alias("error")]
 
 
+#: Column metadata: a row without a value doesn't have this key. (Other columns are keys whatever their values.)
+OPTIONAL = {"optional": True}
+
+
 def _probe(targets: DataFrame, output: DataFrame) -> DataFrame:
     out = output.select("target_seq", "returncode", "stdout", "stderr")
     return targets.select("target_seq", "target").join(out, "target_seq", "left")
@@ -48,8 +52,8 @@ def envelope_dig(targets: DataFrame, output: DataFrame, ts: str, record_type: st
     status = F.when(ran, F.lit("0")).otherwise(F.lit("1"))
     rows = j.select("target_seq", *head(ts, "dig", ok, status, err), F.explode_outer(F.col("_ans")).alias("_a"))
     a = F.col("_a")
-    return rows.select("target_seq", *K.ENVELOPE_COLUMNS, a["record_name"].alias("dig_record_name"), a["ttl"].alias("dig_ttl"),
-                       a["class"].alias("dig_class"), a["type"].alias("dig_type"), a["value"].alias("dig_value"))
+    return rows.select("target_seq", *K.ENVELOPE_COLUMNS, a["record_name"].alias("dig_record_name", metadata=OPTIONAL), a["ttl"].alias("dig_ttl", metadata=OPTIONAL),
+                       a["class"].alias("dig_class", metadata=OPTIONAL), a["type"].alias("dig_type", metadata=OPTIONAL), a["value"].alias("dig_value", metadata=OPTIONAL))
 
 
 def _raw_output_tool(targets: DataFrame, output: DataFrame, ts: str, action: str, extra_ok: Column | None,
@@ -85,7 +89,7 @@ def envelope_ping(targets: DataFrame, output: DataFrame, ts: str) -> DataFrame:
            .when(~ok, F.lit(K.MSG_PING_NO_RTT)).otherwise(F.lit("")))
     status = F.when(ok, F.lit("0")).otherwise(F.lit("1"))
     return j.select("target_seq", *head(ts, "ping", ok, status, err),
-                    *[F.when(ok, F.col(f"_r.{c}")).alias(c) for c in ("ping_avg", "ping_max", "ping_min", "ping_mdev")])
+                    *[F.when(ok, F.col(f"_r.{c}")).alias(c, metadata=OPTIONAL) for c in ("ping_avg", "ping_max", "ping_min", "ping_mdev")])
 
 
 def envelope_curl(targets: DataFrame, output: DataFrame, ts: str) -> DataFrame:
@@ -96,17 +100,13 @@ def envelope_curl(targets: DataFrame, output: DataFrame, ts: str) -> DataFrame:
     err = F.when(~ran, F.coalesce(F.col("stderr"), F.lit(""))).when(~ok, F.lit(K.MSG_CURL_PARSE)).otherwise(F.lit(""))
     status = F.when(ok, F.col("_m.curl_http_code")).otherwise(F.lit(""))
     return j.select("target_seq", *head(ts, "curl", ok, status, err),
-                    F.when(ok, F.col("_m.curl_http_code")).alias("curl_http_code"),
-                    F.when(ok, F.col("_m.curl_latency_seconds")).alias("curl_latency_seconds"))
+                    F.when(ok, F.col("_m.curl_http_code")).alias("curl_http_code", metadata=OPTIONAL),
+                    F.when(ok, F.col("_m.curl_latency_seconds")).alias("curl_latency_seconds", metadata=OPTIONAL))
 
 
 # ---------------------------------------------------------------- JSON tools
 #: Keys that become columns at most; documents with more go into a map (``fields=True``).
 MAX_COLUMNS = 2000
-#: Column metadata: some row has this key, even if all its values are null.
-PRESENT = {"present": True}
-
-
 def as_fields(df: DataFrame, flat_col: str, out: str = "fields") -> DataFrame:
     """The flattened keys of a row as one map column, any number of them."""
     flat = F.coalesce(F.col(flat_col), F.array().cast(J.FLAT_TYPE))
@@ -122,7 +122,7 @@ def key_catalogue(rows: DataFrame, fields: str = "fields", order: str = "target_
 
 def pick_fields(rows: DataFrame, keys: Sequence[str], fields: str = "fields") -> DataFrame:
     """The named keys of a map column as columns."""
-    return rows.select("*", *[F.element_at(F.col(fields), F.lit(k)).alias(k, metadata=PRESENT) for k in keys]).drop(fields)
+    return rows.select("*", *[F.element_at(F.col(fields), F.lit(k)).alias(k) for k in keys]).drop(fields)
 
 
 def widen(df: DataFrame, flat_col: str, keys: Sequence[str] | None = None, fields: bool = False) -> DataFrame:
@@ -154,7 +154,7 @@ def envelope_ipguide(targets: DataFrame, payloads: DataFrame, ts: str, keys: Seq
     err = F.when(blank, F.lit(K.MSG_PARAM_TARGET_QUERY_REQUIRED)).when(found & ~good, F.col("body")).otherwise(F.lit(""))
     status = F.when(blank, F.lit("")).otherwise(F.coalesce(F.col("http_status").cast("string"), F.lit("")))
     base = j.select("target_seq", *head(ts, "ipguide", ok, status, err), F.when(ok & is_obj, F.col("_p.flat")).alias("_flat"),
-                    F.when(ok & ~is_obj, F.col("body")).alias("ipg_raw_data"))
+                    F.when(ok & ~is_obj, F.col("body")).alias("ipg_raw_data", metadata=OPTIONAL))
     return widen(base, "_flat", keys, fields)
 
 
@@ -171,7 +171,7 @@ def envelope_open_rank(targets: DataFrame, payloads: DataFrame, ts: str, keys: S
     has_first = F.coalesce(F.col("_p.found"), F.lit(False))
     base = j.select("target_seq", *head(ts, "open_rank", ok, status, err),
                     F.when(ok & has_first, F.col("_p.flat")).alias("_flat"),
-                    F.when(ok & ~has_first, F.col("body")).alias("opr_raw_data"))
+                    F.when(ok & ~has_first, F.col("body")).alias("opr_raw_data", metadata=OPTIONAL))
     return widen(base, "_flat", keys, fields)
 
 
@@ -245,4 +245,5 @@ def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str, answers: Dat
                  F.when(ok & (F.col("_kind") != "array"), F.col("_body")).alias("crt_raw_data")).alias("t")
     subs = crtsh_subdomains(targets, entries).alias("s")
     rows = t.join(subs, F.expr("t._target_key = s._target_key and t._listed"), "left")
-    return rows.select("target_seq", *K.ENVELOPE_COLUMNS, F.col("name").alias("crt_subdomain"), "crt_raw_data")
+    return rows.select("target_seq", *K.ENVELOPE_COLUMNS, F.col("name").alias("crt_subdomain", metadata=OPTIONAL),
+                       F.col("crt_raw_data").alias("crt_raw_data", metadata=OPTIONAL))

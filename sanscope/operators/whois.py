@@ -1,12 +1,11 @@
 """Registry search pages -> domain rows, detail pages -> category/key/value, per target.
 
-All page parsing is per row (regex + array functions); the per-page carry-forward of
-categories is a window partitioned by the page (one page's rows per partition).
+Pages are parsed per row, a page's headings and fields with it: no shuffle before the joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,27 +40,8 @@ def whois_categories(details: DataFrame, key: str = "url") -> DataFrame:
     """(key, category, field, value): one-cell rows open a category (default 'General';
     re-opening one empties it); rows with >= 2 cells are ``field -> value`` with the
     field right-stripped of ' :'; the last duplicate field wins."""
-    return _categories(details, key).select(key, "category", "field", "value")
-
-
-def _categories(details: DataFrame, key: str) -> DataFrame:
-    """``whois_categories`` with ``at``: where a field's category, then the field itself, first stand."""
-    rows = html_first_table(details, (key,)).where(F.size("cells") >= 1)
-    opener = F.when(F.size("cells") == 1, F.col("cells")[0])
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_open", opener).withColumn(
-        "category", F.coalesce(F.last("_open", ignorenulls=True).over(w), F.lit(K.WHOIS_DEFAULT_CATEGORY)))
-    last_open = rows.where(F.col("_open").isNotNull()).groupBy(key, F.col("_open").alias("category")).agg(
-        F.max("pos").alias("_open_pos"))
-    kv = rows.where(F.size("cells") >= 2).select(
-        key, "category", "pos", F.regexp_replace(F.col("cells")[0], "[ :]+$", "").alias("field"),
-        F.col("cells")[1].alias("value"))
-    kv = kv.join(last_open, [key, "category"], "left").where(
-        F.col("_open_pos").isNull() | (F.col("pos") > F.col("_open_pos")))
-    first = rows.groupBy(key, "category").agg(F.min("pos").alias("_cat_pos"))
-    kv = kv.groupBy(key, "category", "field").agg(F.max_by("value", "pos").alias("value"), F.min("pos").alias("_pos"))
-    return kv.join(first, [key, "category"]).select(
-        key, "category", "field", "value", F.struct("_cat_pos", "_pos").alias("at"))
+    found = details.select(key, F.explode_outer(H.table_fields("html", K.WHOIS_DEFAULT_CATEGORY)).alias("_f"))
+    return found.where(F.col("_f").isNotNull()).select(key, "_f.*")
 
 
 def whois_dedup(rows: DataFrame, by: str = "target_seq") -> DataFrame:
@@ -85,25 +65,56 @@ def join_whois_detail(rows: DataFrame, details: DataFrame) -> DataFrame:
     return rows.join(cats, "detail_url", "left")
 
 
-def envelope_whois(targets: DataFrame, pages: DataFrame, details: DataFrame, ts: str, keys=None) -> DataFrame:
-    """One row per found domain (``whois_*`` columns), or one 404 row per target without
-    results."""
-    scan = whois_scan(targets, pages)
-    cats = _categories(details.select(F.col("url").alias("detail_url"), "html"), "detail_url")
-    # a category and a field may join to the path of another pair: the later one wins
-    path = F.concat(F.lit(K.PREFIX_WHOIS + "detalles_"), F.col("category"), F.lit("_"), F.col("field"))
-    cats = cats.groupBy("detail_url", path.alias("key")).agg(F.max_by("value", "at").alias("value"))
-    detail_kv = cats.groupBy("detail_url").agg(F.collect_list(F.struct("key", "value")).alias("_dkv"))
-    rows = scan.join(detail_kv, "detail_url", "left")
-    base_kv = F.array(
-        F.struct(F.lit(K.PREFIX_WHOIS + "dominio").alias("key"), F.col("dominio").alias("value")),
-        F.struct(F.lit(K.PREFIX_WHOIS + "estado").alias("key"), F.col("estado").alias("value")))
-    precio = F.when(F.col("precio").isNotNull(), F.array(
-        F.struct(F.lit(K.PREFIX_WHOIS + "precio").alias("key"), F.col("precio").alias("value")))).otherwise(
-        F.array().cast("array<struct<key:string,value:string>>"))
-    flat = F.concat(base_kv, F.coalesce(F.col("_dkv"), F.array().cast("array<struct<key:string,value:string>>")), precio)
-    found = rows.select("target_seq", *head(ts, "whois_bo", F.lit(True), F.lit("200"), F.lit("")), flat.alias("_flat"))
-    missing = targets.join(scan.select("target_seq").distinct(), "target_seq", "left_anti").select(
-        "target_seq", *head(ts, "whois_bo", F.lit(False), F.lit("404"), F.lit(K.MSG_WHOIS_NONE)),
-        F.lit(None).cast("array<struct<key:string,value:string>>").alias("_flat"))
-    return widen(found.unionByName(missing), "_flat", keys)
+def _paths(fields: Column) -> Column:
+    """Fields -> flattened keys. A category and a field may join to the path of another pair: the place of the
+    first and the value of the last count."""
+    named = F.transform(fields, lambda f: F.struct(F.concat(F.lit(K.PREFIX_WHOIS + "detalles_"), f["category"], F.lit("_"), f["field"]).alias("key"),
+                                                   f["value"].alias("value")))
+    keys = F.array_distinct(F.transform(named, lambda x: x["key"]))
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(named, lambda x: x["key"] == k), -1)["value"].alias("value")))
+
+
+def failed_targets(targets: DataFrame, pages: DataFrame, details: DataFrame) -> DataFrame:
+    """(target_seq, target, error) of the targets one of whose pages could not be fetched: a search page of either
+    zone, or a detail page that its rows link to. The first error in the order of the fetches counts."""
+    t = targets.select("target_seq", "target", N.root_label("target").alias("root"))
+    zone = F.when(F.col("zone") == K.WHOIS_ZONES[0], F.lit(0)).otherwise(F.lit(1)).alias("zone_ord")
+    search = pages.where(F.col("error").isNotNull()).select("root", zone, F.lit(-1).alias("pos"), "error")
+    linked = whois_search_rows(pages.where(F.col("error").isNull())).where(F.col("detail_url").isNotNull())
+    broken = details.where(F.col("error").isNotNull()).select(F.col("url").alias("detail_url"), "error")
+    detail = linked.join(broken, "detail_url").select("root", zone, "pos", "error")
+    first = search.unionByName(detail).groupBy("root").agg(F.min(F.struct("zone_ord", "pos", "error"))["error"].alias("error"))
+    return t.join(first, "root").drop("root")
+
+
+def envelope_whois(targets: DataFrame, pages: DataFrame, details: DataFrame, ts: str, keys=None, fields: bool = False) -> DataFrame:
+    """One row per found domain (``whois_*`` columns), one 404 row per target without results, one 500 row per
+    target with a page that could not be fetched (``error`` in the stored pages, where they have that column)."""
+    failing = "error" in pages.columns or "error" in details.columns
+    none = F.lit(None).cast("string")
+    pages = pages if "error" in pages.columns else pages.withColumn("error", none)
+    details = details if "error" in details.columns else details.withColumn("error", none)
+    flat_type = "array<struct<key:string,value:string>>"
+    kept = targets
+    if failing:
+        failed = failed_targets(targets, pages, details)
+        kept = targets.join(failed.select("target_seq"), "target_seq", "left_anti")
+    scan = whois_scan(kept, pages.where(F.col("error").isNull()))
+    found_fields = details.where(F.col("error").isNull()).select(
+        F.col("url").alias("detail_url"), F.explode_outer(F.array(H.table_fields("html", K.WHOIS_DEFAULT_CATEGORY))).alias("_f"))
+    rows = scan.join(found_fields.select("detail_url", _paths(F.col("_f")).alias("_dkv")), "detail_url", "left")
+
+    def one(key: str, value: Column) -> Column:
+        return F.array(F.struct(F.lit(K.PREFIX_WHOIS + key).alias("key"), value.alias("value")))
+
+    nothing = F.array().cast(flat_type)
+    flat = F.concat(one("dominio", F.col("dominio")), one("estado", F.col("estado")), F.coalesce(F.col("_dkv"), nothing),
+                    F.when(F.col("precio").isNotNull(), one("precio", F.col("precio"))).otherwise(nothing))
+    out = rows.select("target_seq", *head(ts, "whois_bo", F.lit(True), F.lit("200"), F.lit("")), flat.alias("_flat"))
+    missing = kept.join(scan.select("target_seq").distinct(), "target_seq", "left_anti").select(
+        "target_seq", *head(ts, "whois_bo", F.lit(False), F.lit("404"), F.lit(K.MSG_WHOIS_NONE)), F.lit(None).cast(flat_type).alias("_flat"))
+    out = out.unionByName(missing)
+    if failing:
+        out = out.unionByName(failed.select("target_seq", *head(ts, "whois_bo", F.lit(False), F.lit("500"), F.col("error")),
+                                            F.lit(None).cast(flat_type).alias("_flat")))
+    return widen(out, "_flat", keys, fields)

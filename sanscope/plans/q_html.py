@@ -116,6 +116,23 @@ def q_join_whois_detail(spark, sf):
     return j.select("target_seq", "dominio", "category", "field", "value")
 
 
+# pages that could not be fetched: (every, at) of the page number, for search and for detail pages
+SEARCH_ERRORS, DETAIL_ERRORS = (17, 5), (19, 3)
+_ERROR = "'503 Server Error for page ' || {p}"
+_ZONE = "case when {z} = '" + K.WHOIS_ZONES[0] + "' then 0 else 1 end"
+ENV_SQL = (
+    f"okpages as (select * from whois_pages_both where page_id % {SEARCH_ERRORS[0]} <> {SEARCH_ERRORS[1]}),\n"
+    "esrch as " + _search_sql("okpages", "root, zone") + ",\n"
+    "broken as (select root, " + _ZONE.format(z="zone") + " as z, -1 as pos, " + _ERROR.format(p="page_id") + " as error from whois_pages_both "
+    f"where page_id % {SEARCH_ERRORS[0]} = {SEARCH_ERRORS[1]} union all select s.root, " + _ZONE.format(z="s.zone") + ", s.pos, "
+    + _ERROR.format(p="d.page_id") + f" from esrch s join whois_details d on d.url = s.detail_url where d.page_id % {DETAIL_ERRORS[0]} = {DETAIL_ERRORS[1]}),\n"
+    "wt as (select target_seq, target, string_split(replace(target, '.bo', ''), '.')[1] as root from whois_targets),\n"
+    "wfail as (select t.target_seq, t.target, b.error from wt t join (select root, arg_min(error, (z, pos, error)) as error from broken group by root) b "
+    "on b.root = t.root),\n"
+    "wkept as (select * from wt where target_seq not in (select target_seq from wfail)),\n"
+    "escan as (select t.target_seq, t.target, s.* from wkept t join esrch s on s.root = t.root qualify row_number() over "
+    "(partition by t.target_seq, s.dominio order by " + _ZONE.format(z="s.zone") + ", s.pos) = 1)")
+
 WHOIS_KEYS = ("whois_detalles_Contacto_Ciudad", "whois_detalles_Contacto_Tel_Casa", "whois_detalles_General_Titular",
               "whois_dominio", "whois_estado", "whois_precio")
 
@@ -128,12 +145,19 @@ ENVELOPE_WHOIS_BODY = (
     "max(case when c.category = 'Contacto' and c.field = 'Tel_Casa' then c.value end)) as whois_detalles_Contacto_Tel_Casa, "
     "max(case when c.category = 'General' and c.field = 'Titular' then c.value end) as whois_detalles_General_Titular, "
     "s.dominio as whois_dominio, s.estado as whois_estado, s.precio as whois_precio "
-    "from scan s left join cats c on c.url = s.detail_url group by all "
+    "from escan s left join cats c on c.url = s.detail_url group by all "
     f"union all select target_seq, '{TS}', 'whois_bo', target, false, '404', '{K.MSG_WHOIS_NONE}', null, null, null, null, null, null "
-    "from whois_targets t where not exists (select 1 from scan s where s.target_seq = t.target_seq)")
+    "from wkept t where not exists (select 1 from escan s where s.target_seq = t.target_seq) "
+    f"union all select target_seq, '{TS}', 'whois_bo', target, false, '500', error, null, null, null, null, null, null from wfail")
+
+
+def envelope_inputs(spark, sf):
+    """Targets, search pages and detail pages, some of which could not be fetched."""
+    return (X.whois_targets(spark, sf), X.whois_errors(X.whois_pages(spark, sf, both_zones=True), *SEARCH_ERRORS),
+            X.whois_errors(X.whois_details(spark, sf), *DETAIL_ERRORS))
 
 
-@register("envelope_whois", _compose(ENVELOPE_WHOIS_BODY, [SCAN_SQL, CATS_SQL],
+@register("envelope_whois", _compose(ENVELOPE_WHOIS_BODY, [ENV_SQL, CATS_SQL],
                                      ("whois_targets", "whois_pages_both", "whois_details")))
 def q_envelope_whois(spark, sf):
-    return W.envelope_whois(X.whois_targets(spark, sf), X.whois_pages(spark, sf, both_zones=True), X.whois_details(spark, sf), TS)
+    return W.envelope_whois(*envelope_inputs(spark, sf), TS)

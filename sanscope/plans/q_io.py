@@ -252,7 +252,7 @@ def _report_sql() -> str:
             body = q_html.ENVELOPE_WHOIS_BODY
         sel = ", ".join(["target_seq"] + list(K.ENVELOPE_COLUMNS) + [c if c in cols else f"null as {c}" for c in extra])
         parts.append(f"select {sel} from ({body}) {name}_x")
-    ctes = [q_lookups.CRT_CTE, q_html.SCAN_SQL, q_html.CATS_SQL]
+    ctes = [q_lookups.CRT_CTE, q_html.ENV_SQL, q_html.CATS_SQL]
     fixtures = ("crtsh_targets", "crtsh_answers", "cert_entries", "targets", "dig_output", "ping_output", "curl_output", "network_payloads",
                 "rank_payloads", "whois_targets", "whois_pages_both", "whois_details")
     return _compose(" union all ".join(parts), ctes, fixtures)
@@ -271,6 +271,6 @@ def q_all_tools_report(spark, sf):
         E.envelope_curl(t, X.curl_output(spark, sf), TS),
         E.envelope_ipguide(t, X.network_payloads(spark, sf), TS),
         E.envelope_open_rank(t, X.rank_payloads(spark, sf), TS),
-        W.envelope_whois(X.whois_targets(spark, sf), X.whois_pages(spark, sf, both_zones=True), X.whois_details(spark, sf), TS),
+        W.envelope_whois(*q_html.envelope_inputs(spark, sf), TS),
     ]
     return S.union_by_name(frames)

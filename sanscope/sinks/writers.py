@@ -10,8 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sanscope import constants as K
-
 ANALYSIS_COLUMNS = ("domain", "level", "first_seen", "last_seen", "is_active")
 #: Columns that runs add to rows for their own order; no output file has them.
 RUN_COLUMNS = ("query_ord", "entry_seq", "cert_id", "target_seq", "elem_pos", "batch_no")
@@ -53,13 +51,12 @@ def write_seen_ids(state: DataFrame, root: str, version: int, col: str = "cert_i
 
 
 def header_first_appearance(frames: Sequence[DataFrame]) -> list[str]:
-    """Union of the keys of actual rows, in first-appearance order over the tool outputs. An envelope column is
-    in every row; a tool's column counts if some row has a value, or if it stands for a key that
-    documents have (``envelopes.PRESENT``), whatever its values. One job for all tools; the run's own
-    ordinals are no keys."""
+    """Union of the keys of actual rows, in first-appearance order over the tool outputs that have rows. A key
+    that is present counts, whatever its values; a tool's own column (``envelopes.OPTIONAL``) is a key of the
+    rows that have a value. One job for all tools; the run's own ordinals are no keys."""
     found = None
     for k, df in enumerate(frames):
-        flags = F.array(*[F.lit(True) if c in K.ENVELOPE_COLUMNS or df.schema[c].metadata.get("present") else F.count(F.col(c)) > 0
+        flags = F.array(*[F.count(F.col(c)) > 0 if df.schema[c].metadata.get("optional") else F.lit(True)
                           for c in df.columns])
         row = df.agg(F.count(F.lit(1)).alias("n"), flags.alias("held")).select(F.lit(k).alias("k"), "n", "held")
         found = row if found is None else found.unionAll(row)

@@ -297,6 +297,12 @@ def whois_details(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def whois_errors(pages: DataFrame, every: int, at: int) -> DataFrame:
+    """Stored pages, some of which could not be fetched."""
+    k = F.col("page_id")
+    return pages.withColumn("error", F.when(k % every == at, F.concat(F.lit("503 Server Error for page "), _s(k))))
+
+
 def crtsh_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Domains given to the certificate-search tool (duplicates, padding and blanks kept)."""
     k = F.col("s_suppkey")

@@ -54,9 +54,10 @@ def test_targets_without_a_block_stay(spark):
 
 
 def test_character_references(spark):
-    df = spark.createDataFrame([("Categor&iacute;a &#243; &#xE9; &lt;b&gt; &amp;lt; &nada; & &apos;",), (None,), ("plain",)], "t string")
-    got = [r[0] for r in df.select(H.decode_entities("t")).collect()]
-    assert got == ["Categoría ó é <b> &lt; &nada; & '", None, "plain"]
+    texts = ["Categor&iacute;a &#243; &#xE9; &lt;b&gt; &amp;lt; &nada; & &apos; &rarr;", None, "plain"]
+    df = spark.createDataFrame([(k, None if t is None else f"<table><tr><td>{t}</td></tr></table>") for k, t in enumerate(texts)], "k int, t string")
+    got = [r[0] for r in df.orderBy("k").select(H.table_rows("t")).collect()]
+    assert [[x.cells for x in r] for r in got] == [[["Categoría ó é <b> &lt; &nada; & ' →"]], [], [["plain"]]]
 
 
 def test_colliding_detail_paths(spark):
