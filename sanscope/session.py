@@ -69,12 +69,23 @@ def state_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}"
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return state_path(spark, f"materialized/{spark.sparkContext.applicationId}")
+
+
 def materialize(df, name: str):
     """Cut the lineage of ``df``: write it once as parquet under the shared checkpoint
     folder and read it back. (``Dataset.checkpoint`` without a persist computes its input
-    twice - once to count, once to write.)"""
+    twice - once to count, once to write.) ``drop_scratch`` removes what a session wrote so."""
     import uuid
 
-    path = state_path(df.sparkSession, f"materialized/{name}-{uuid.uuid4().hex}")
+    path = f"{_scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables that ``materialize`` wrote in this application. Frames that read them are of no use
+    afterwards, so call it when the results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
