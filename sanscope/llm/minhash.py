@@ -2,7 +2,7 @@
 
 Each distinct shingle set gets MinHash samples. Bands of samples give bucket keys; the samples
 are also folded into a parity bitmap (odd sketch) whose XOR with another bitmap counts the
-samples that differ, so a candidate's similarity is known to about 0.03 before its text is read.
+samples that differ, so a candidate's similarity is known to about 0.02 before its text is read.
 
 A bucket is never expanded into all pairs. First every member is compared with a few leaders of its
 bucket and the confirmed links are merged; only members of buckets that still hold several
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, text_or_empty
+from .common import Scratch, connected_components, slices, text_or_empty
 from .hashing import U, constants, mix, shingle_sets, text_bytes
 
 WORDS, PERCENT = 5, 85
 ROWS, BANDS = 6, 32
-SAMPLES = ROWS * BANDS
-SKETCH_BITS = 512
+#: The first ROWS * BANDS samples make the bands, all of them the bitmaps.
+SAMPLES = 512
+SKETCH_BITS = 1024
 SKETCH = [f"o{k}" for k in range(SKETCH_BITS // 64)]
 #: Leaders that a bucket has at most in one turn.
 LEADERS = 8
@@ -36,8 +37,8 @@ LEADERS = 8
 #: leaders are tried first. Either way every open pair is compared in the end.
 FEW = 500
 #: How far below the threshold an estimate may lie before a pair is dropped unread: four and a half
-#: standard deviations of the estimate.
-SLACK = 0.15
+#: standard deviations of the estimate (0.016 by the samples, 0.007 by the bitmap).
+SLACK = 0.08
 
 
 def most_differing_bits(percent: int) -> int:
@@ -55,36 +56,34 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     """MinHash: for each factor, the least product modulo 2**32."""
     x = (shingles ^ (shingles >> U(32))).astype(np.uint32)
     out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(out, np.multiply.outer(x[at : at + 2048], _FACTORS).min(axis=0), out=out)
+    for at in range(0, len(x), 512):
+        np.minimum(out, np.multiply.outer(x[at : at + 512], _FACTORS).min(axis=0), out=out)
     return out
 
 
 def bands_and_sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys (documents x bands) and odd sketches (documents x words of 64 bits)."""
     spread = mix(sig.astype(U) + _PLACE)
-    keys = mix(spread.reshape(len(sig), BANDS, ROWS).sum(axis=2, dtype=U) + _BAND).view(np.int64)
+    keys = mix(spread[:, : ROWS * BANDS].reshape(len(sig), BANDS, ROWS).sum(axis=2, dtype=U) + _BAND).view(np.int64)
     bit = (spread % U(SKETCH_BITS)).astype(np.int64) + np.arange(len(sig))[:, None] * SKETCH_BITS
     odd = np.bincount(bit.ravel(), minlength=len(sig) * SKETCH_BITS).astype(np.uint8) & 1
     return keys, np.packbits(odd.reshape(len(sig), SKETCH_BITS), axis=1).view(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), text_bytes(batch.column(1))
-        for at in range(0, len(texts), 2000):
-            part = [t.lower() for t in texts[at : at + 2000]]  # bytes: only A-Z change
-            n, cls, sig = [], [], np.zeros((len(part), SAMPLES), np.uint32)
-            for k, s in enumerate(shingle_sets(part, WORDS)):
-                n.append(len(s))
-                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig[k] = samples(s)
-            keys, odd = bands_and_sketches(sig)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, len(part)), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), flat]
-                + [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(len(SKETCH))],
-                names=["doc_id", "n_shingles", "cls", "bands", *SKETCH])
+    for batch in slices(batches):
+        part = [t.lower() for t in text_bytes(batch.column(1))]  # bytes: only A-Z change
+        n, cls, sig = [], [], np.zeros((len(part), SAMPLES), np.uint32)
+        for k, s in enumerate(shingle_sets(part, WORDS)):
+            n.append(len(s))
+            cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            sig[k] = samples(s)
+        keys, odd = bands_and_sketches(sig)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), flat]
+            + [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(len(SKETCH))],
+            names=["doc_id", "n_shingles", "cls", "bands", *SKETCH])
 
 
 SIGNATURE = ("doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>, "
@@ -93,7 +92,7 @@ SIGNATURE = ("doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>,
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             ta, tb = text_bytes(batch.column(2)), text_bytes(batch.column(3))
             ok = np.zeros(len(a), bool)
@@ -136,14 +135,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = sig.where("cls is not null and doc_id is not null")
     classes = scratch.keep(live.groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes", narrow=True)
     reps = (live.join(classes.withColumn("doc_id", F.col("rep")), ["cls", "doc_id"])
-            .dropDuplicates(["doc_id", "cls"]).select("rep", "bands", *SKETCH))
+            .dropDuplicates(["doc_id", "cls"]).select("rep", F.col("n_shingles").alias("n"), "bands", *SKETCH))
     reps = scratch.keep(reps, "representatives")
     placed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     # written first: a join of plain exchanges can split the rows of a hot bucket
     shared = scratch.keep(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys", narrow=True)
     # ``low``: 31 bits of each band's key, by which a pair of one bucket knows an earlier common one
     low = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")).cast("int")).alias("low")
-    members = scratch.keep(placed.join(shared, "key").join(reps.select("rep", low, *SKETCH), "rep"), "members")
+    members = scratch.keep(placed.join(shared, "key").join(reps.select("rep", "n", low, *SKETCH), "rep"), "members")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     # the same plan at every size: the texts are shuffled once
     bodies = scratch.keep(texts.join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
@@ -154,6 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ``whole`` buckets are compared, a pair is emitted in the first bucket it shares only."""
         x, y = left.alias("x"), right.alias("y")
         meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (_apart("x", "y") <= limit)
+        meet = meet & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))  # else no link, whatever they share
         if whole:
             meet = meet & (F.col("x.rep") < F.col("y.rep")) & F.expr(
                 "forall(zip_with(slice(x.low, 1, x.band), slice(y.low, 1, x.band), (p, q) -> p <> q), t -> t)")
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(1000):
         if groups is not None:
             merged = scratch.keep(members.join(groups, members["rep"] == groups["node"], "left")
-                                  .select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"), "low", *SKETCH), "state")
+                                  .select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp"), "low", *SKETCH), "state")
             sizes = merged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
             keys = scratch.keep(
                 sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"),
