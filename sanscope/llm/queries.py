@@ -45,9 +45,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.expr(f"filter(base, s -> s.k = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [F.size(F.expr(f"filter(base, s -> s.k = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.span_text("base").cast("binary"), 256).alias("base_sha256"),
-                        pii.span_text("spans").alias("spans"))
+                        pii.span_text("spans").alias("spans"),
+                        F.size(F.expr(f"filter(spans, s -> s.k = {pii.SECRET})")).cast("long").alias("n_secret"),
+                        F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +122,14 @@ ORACLE = {
                  regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<script\b.*?</script>', '', 'g') AS html FROM pages),
         tag AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS t FROM base),
         link AS (SELECT url, replace(CASE
-            WHEN regexp_matches(t, '(?i)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)
+            WHEN regexp_matches(t, '(?i)^<link\b[^>]*\brel\s*=\s*(["'']([^"''>]*\s)?canonical[\s"'']|canonical[\s>/])') THEN regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)
             WHEN regexp_matches(t, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)
             END, '&amp;', '&') AS h FROM tag),
-        goal AS (SELECT url, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN h
+        goal AS (SELECT url, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h
             WHEN starts_with(h, '//') THEN regexp_extract(url, '^([^:/?#]*):', 1) || ':' || h
             WHEN starts_with(h, '/') THEN regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) || h
+            WHEN starts_with(h, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || h
+            WHEN starts_with(h, '#') THEN regexp_extract(url, '^([^#]*)', 1) || h
             ELSE regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) ||
               coalesce(nullif(regexp_extract(url, '^[^:/?#]*://[^/?#]*([^?#]*/)', 1), ''), '/') || h END AS target FROM link WHERE h <> ''),
         edge AS (SELECT DISTINCT {_key_sql('url')} AS a, {_key_sql('target')} AS b FROM goal WHERE instr(url, '://') > 0 AND instr(target, '://') > 0),

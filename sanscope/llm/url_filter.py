@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sanscope.functions.targets import resolve_link
+
 from .common import Scratch, connected_components
 
 ALLOW, BLOCK = "allow", "block"
@@ -58,31 +60,26 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on the page ``base``."""
+    """Absolute form of a link found on the page ``base``, as the reference forms of URLs say; null if it is empty."""
     href = F.trim(F.regexp_replace(href, "&amp;", "&"))
-    scheme = F.regexp_extract(base, r"^([^:/?#]*):", 1)
-    site = F.regexp_extract(base, r"^([^:/?#]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*([^?#]*/)", 1)
-    return (F.when(href == "", F.lit(None).cast("string"))
-            .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
-            .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(site, href))
-            .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), href)))
+    return F.when(href != "", resolve_link(base, href))
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target) for each canonical link and each refresh redirect in the page's own markup."""
+    """(url, target) for each canonical link and each refresh redirect in the page's own markup, read against its base element."""
     html = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<!--.*?-->|<script\b.*?</script>", "")
     value = r"""["']?([^"'\s>]*)"""
+    pages = pages.select(F.col(url_col).alias("url"), html.alias("html"))
+    html, its_base = F.col("html"), F.regexp_extract("html", r"(?i)<base\b[^>]*\bhref\s*=\s*" + value, 1)
     tags = pages.select(
-        F.col(url_col).alias("url"),
+        "url", F.coalesce(resolve(F.col("url"), its_base), F.col("url")).alias("base"),
         F.explode(F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1))).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"""(?i)^<link\b[^>]*\brel\s*=\s*["']?canonical\b"""),
+    canonical = F.when(F.col("tag").rlike(r"""(?i)^<link\b[^>]*\brel\s*=\s*(?:["'](?:[^"'>]*\s)?canonical[\s"']|canonical[\s>/])"""),
                        F.regexp_extract("tag", r"(?i)\bhref\s*=\s*" + value, 1))
     refresh = F.when(F.col("tag").rlike(r"""(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b"""),
                      F.regexp_extract("tag", r"""(?i)\burl\s*=\s*['"]?([^"'\s>;]+)""", 1))
-    return (tags.select("url", F.coalesce(canonical, refresh).alias("href")).where("href is not null")
-            .select("url", resolve(F.col("url"), F.col("href")).alias("target")).where("target is not null"))
+    return (tags.select("url", "base", F.coalesce(canonical, refresh).alias("href")).where("href is not null")
+            .select("url", resolve(F.col("base"), F.col("href")).alias("target")).where("target is not null"))
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_col: str = "page_id",

@@ -95,3 +95,22 @@ def test_query_matches_plain_and_is_native(spark, sf):
 
 def test_empty_table(spark):
     assert U.url_verdicts(table(spark, [("http://a.b/", None)]).limit(0)).count() == 0
+
+
+def test_links_resolve_as_references_do(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://x.net/b/c", "http://x.net", "https://x.net/a/b/?q=1#f", "http://x.net/a?b=/c/"]
+    hrefs = ["?p=1", "../d", "#f", "e", "./e", "/g", "//h.org/i", "https://j.com/k", "mailto:a@b", "../../../z", "e/../f?x=../y"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    got = df.select("base", "href", U.resolve(U.F.col("base"), U.F.col("href")).alias("r")).collect()
+    assert all(r.r == urljoin(r.base, r.href) for r in got), [tuple(r) for r in got if r.r != urljoin(r.base, r.href)]
+
+
+def test_base_element_and_lists_of_relations(spark):
+    rows = [("http://a.net/1/2", '<base href="http://bad.com/de/"><link rel="canonical" href="9">'),
+            ("http://a.net/2", '<link rel="alternate canonical" href="http://bad.com/de/1">'),
+            ("http://a.net/3", '<link rel="non-canonical" href="http://bad.com/de/1">'),
+            ("http://a.net/4/5?x=1", '<link rel=canonical href="?x=2">'), ("http://a.net/4/5?x=2", '<link rel=canonical href=//bad.com/de/>')]
+    got = {r.page_id: r.verdict for r in U.url_verdicts(table(spark, rows)).collect()}
+    assert [got[i] for i in range(5)] == ["block", "block", "allow", "block", "block"]
