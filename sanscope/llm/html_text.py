@@ -51,8 +51,9 @@ PAGE_HEADERS = frozenset("header site-header page-header top-header main-header
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-                    r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+                    r"(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?)*+)(?:>|\Z)", re.S)
+# a quote opens a value after "=" only; elsewhere it is a letter like any other, as browsers read it
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 _WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 
 
@@ -114,14 +115,16 @@ def parse(html: str) -> Node:
                 break
             if open_[k].tag in CONTAINERS:
                 break
-        attrs = {a[0].lower(): unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m["attrs"])} if m["attrs"].strip() else {}
+        found = list(_ATTR.finditer(m["attrs"]))
+        attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in reversed(found)}  # the first of a name counts
+        closed = m["attrs"].endswith("/") and (not found or found[-1].end() < len(m["attrs"]))  # a value may end in a slash
         node = Node(tag, attrs, open_[-1])
         open_[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             node.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+        elif tag not in VOID and not closed:
             open_.append(node)
     return root
 
@@ -155,7 +158,8 @@ def _larger_part(body: Node, hints: dict[int, int]) -> set[int]:
     """Hinted elements with most of the page's text outside links that have no rival.
 
     A rival of a vaguely hinted element is an article or main with text elsewhere, that of another hint
-    also any element elsewhere whose density sum reaches the densest child of the hinted one.
+    also any element elsewhere whose density sum reaches the densest child of the hinted one, or inside an article
+    its whole density sum. Comments have no such right.
     """
     most: dict[int, float] = {}  # the greatest density sum outside hinted elements
     marked: dict[int, bool] = {}
@@ -165,16 +169,18 @@ def _larger_part(body: Node, hints: dict[int, int]) -> set[int]:
         own = e.sum - sum(c.density for c in below if hints.get(id(c)))
         most[id(e)] = max([own, *(most[id(c)] for c in below)]) if free else 0.0
         marked[id(e)] = free and (e.tag in ("article", "main") and e.chars > 0 or any(marked[id(c)] for c in below))
-    kept, at, rival, article = set(), body, 0.0, False
+    kept, at, rival, article, inside = set(), body, 0.0, False, False
     half = (body.chars - body.link_chars) / 2
     while at is not None:
         below = [c for c in at.children if isinstance(c, Node)]
         large = next((c for c in below if c.chars - c.link_chars > half), None)
+        inside = inside or at.tag == "article"
         if large is not None:
             rival = max([rival, at.sum - sum(c.density for c in below if c is large or hints.get(id(c))),
                          *(most[id(c)] for c in below if c is not large)])
             article = article or any(marked[id(c)] for c in below if c is not large)
             reach = max((c.density for c in large.children if isinstance(c, Node)), default=large.density)
+            reach = max(reach, large.sum) if inside and hints.get(id(large)) != 3 else reach
             if hints.get(id(large)) and not article and (hints[id(large)] == 1 or rival < reach):
                 kept.add(id(large))
         at = large
@@ -236,12 +242,12 @@ def prune(root: Node, link_share: float) -> list[tuple[Node, Node, list]]:
 
 
 def put_back(withheld: list[tuple[Node, Node, list]], content: Node, threshold: float, link_share: float) -> None:
-    """Returns vaguely hinted elements inside ``content`` whose density sum reaches the threshold."""
+    """Returns vaguely hinted elements inside ``content`` whose density sum, a paragraph's density, reaches the threshold."""
     below = set(map(id, _elements(content))) if withheld else ()
     for parent, c, former in withheld:
         if id(parent) in below:
             measure(c, link_share)
-            if c.sum >= threshold and c.link_chars * 2 <= c.chars:
+            if (c.density if c.tag == "p" else c.sum) >= threshold and c.link_chars * 2 <= c.chars:
                 now = {id(x) for x in parent.children if isinstance(x, Node)} | {id(c)}
                 gone = {id(x) for x in former if isinstance(x, Node)} - now
                 parent.children = [x for x in former if id(x) not in gone]

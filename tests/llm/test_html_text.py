@@ -103,3 +103,26 @@ def test_nulls_repeated_rows_and_empty_table(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in H.extract_pages(df).collect())
     assert got == [(0, "a", 1), (1, "", 0), (2, "", 0), (2, "", 0)]
     assert H.extract_pages(df.limit(0)).count() == 0
+
+
+def test_attributes_as_browsers_read_them():
+    body = "<article><p>{}</p><p>" + LONG + "</p></article>"
+    want = "x\n" + LONG.strip()
+    for tag in ('<p class="x"">', "<p title=don't>", '<p title="a>b">', "<p title='a>b' checked>", '<p a = "b" c=d/e/ >', '<p "x">', "<p =x>",
+                '<p title=a"b>', "<p a='>", '<p title="x"class="y">'):
+        got = H.main_text("<article>" + tag + "x</p><p>" + LONG + "</p></article>")
+        assert got == want, tag
+    assert H.main_text(body.format("can't stop, won't")) == "can't stop, won't\n" + LONG.strip()
+    link = H.parse("<a href=/x/>y</a><br/><b class=z />w").children
+    assert link[0].attrs == {"href": "/x/"} and link[0].children == ["y"] and [c.tag for c in link[1:3]] == ["br", "b"]
+    assert H.parse("<p id=a id=b ID=c>").children[0].attrs == {"id": "a"}
+
+
+def test_hints_do_not_outweigh_density_inside_the_article():
+    paragraphs = "".join(f"<p>{LONG}</p>" for _ in range(6))
+    page = f"<body><article><p>{LONG}</p><p>{LONG}</p><div class='navigation-history'>{paragraphs}</div></article></body>"
+    assert H.main_text(page) == "\n".join([LONG.strip()] * 8)
+    page = f"<body><article><p>{LONG}</p><p class='related'>{LONG}</p><div class='related'><a href=x>{LONG}</a></div></article></body>"
+    assert H.main_text(page) == "\n".join([LONG.strip()] * 2)
+    page = f"<body><article><p>{LONG}</p><div class='comments'>{paragraphs}</div></article></body>"
+    assert H.main_text(page) == LONG.strip()
