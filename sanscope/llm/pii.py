@@ -1,6 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
-Regular expressions find emails, addresses of machines, card and phone numbers: the seeds. Every
+Regular expressions find emails, addresses of machines, card and phone numbers, and secrets (keys of a public
+form, values that a name such as password or token is given): the seeds. Every
 seed, and every other string that looks like an identifier, is a mention with lexical patterns: the
 words before and after it. Spark scores the graph of patterns and mentioned strings in turns, until a turn
 accepts no new string: a
@@ -12,6 +13,7 @@ count in the next turn. Seeds are never taken back.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 from sanscope.session import share_code
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, slices, text_or_empty
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds of the base; the others are found by the method only.
+BASE_KINDS, SECRET = KINDS[:4], 4
 #: Strings a pattern needs to count, belief from which a string is accepted.
 SUPPORT, ACCEPT = 5, 0.9
 #: Strings of unknown kind that every pattern is taken to have beside its own.
@@ -33,11 +37,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]")
+_ANY = re.compile(r"[0-9@]|AKIA|ASIA")
 #: Strings that may be identifiers the seed patterns miss.
 _LOOSE = re.compile(r"[^\s@<>()\[\]\",;:]+@[^\s@<>()\[\]\",;:]+|(?<![\w.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![\w:])"
                     r"|(?<![\w.])\+?\(?[0-9][0-9 ().:/-]{5,}[0-9](?!\w)")
+#: Access keys of a public form, and values given to a name that says they are secret.
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
+_NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?([A-Za-z0-9+/_-]{12,})", re.I)
+#: Strings that may be secrets; they hold letters and digits.
+_CODE = re.compile(r"(?<![\w/.+-])[A-Za-z0-9_+-]{16,}(?![\w/])")
 _CONTEXT = re.compile(r"[^\W\d_]+|[:=#]")
+#: A word further than this from a mention is no context of it.
 CONTEXT_CHARS = 60
 
 
@@ -73,6 +83,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _mixed(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
+
+def secret_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of each seed of the kind secret, in order."""
+    out = {m.span() for m in _KEY.finditer(text)} | {m.span(1) for m in _NAMED.finditer(text) if _mixed(m[1])}
+    return sorted(out)
+
+
 def looks_like(s: str) -> list[int]:
     """The kinds that an unknown string may be of."""
     digits = sum(c.isdigit() for c in s)
@@ -96,14 +116,41 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out + ["1>" + w for w in after]
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same characters as spans in order that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _meets(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the merged spans shares a character with [a, b)."""
+    k = bisect_left(taken, (b, 0))
+    return k > 0 and taken[k - 1][1] > a
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds (one kind, known) and loose strings outside them (a row for each possible kind)."""
     out = [{"kind": k, "a": a, "b": b, "known": True, "what": text[a:b].lower(), "patterns": patterns(text, a, b)}
            for k, a, b in base]
     if not _ANY.search(text):
         return out
-    taken = sorted((a, b) for _, a, b in base)
+    def add(kind: int, a: int, b: int, known: bool) -> None:
+        out.append({"kind": kind, "a": a, "b": b, "known": known, "what": text[a:b].lower(), "patterns": patterns(text, a, b)})
+
+    taken = _merged([(a, b) for _, a, b in base])
     i = 0
+    secrets = [s for s in secret_spans(text) if not _meets(taken, *s)]
+    for a, b in secrets:
+        add(SECRET, a, b, True)
+    taken = _merged(taken + secrets)
+    for m in _CODE.finditer(text):
+        if _mixed(m[0]) and not _meets(taken, *m.span()):
+            add(SECRET, *m.span(), False)
     for m in _LOOSE.finditer(text):
         a, b = m.span()
         while b > a and text[b - 1] in ".-:/ ":
@@ -113,7 +160,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         if i < len(taken) and taken[i][0] < b:
             continue
         for k in looks_like(text[a:b]):
-            out.append({"kind": k, "a": a, "b": b, "known": False, "what": text[a:b].lower(), "patterns": patterns(text, a, b)})
+            add(k, a, b, False)
     return out
 
 
@@ -125,14 +172,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("k", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
     mention = pa.struct([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("known", pa.bool_()),
                          ("what", pa.string()), ("patterns", pa.list_(pa.string()))])
-    for batch in batches:
+    for batch in slices(batches):
         spans, found = [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             base = base_spans(text)
             spans.append([{"k": k, "a": a, "b": b} for k, a, b in base])
             found.append(mentions(text, base))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(mention))],
-                                         names=["doc_id", "base", "mentions"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(mention))],
+            names=["row", "doc_id", "base", "mentions"])
 
 
 def believed_strings(found: DataFrame, scratch: Scratch, turns: int | None = None, support: int = SUPPORT,
@@ -172,23 +220,24 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tu
              support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
     """doc_id, base and spans of every row: arrays of (k, a, b), kind and code points, end exclusive.
 
-    ``base`` holds the spans of the regular expressions, ``spans`` also the discovered ones. Null and
-    empty texts have none. Repeated rows each get their spans; a null id stays null and gets base spans
-    only; other columns are ignored; an empty table gives no rows.
+    ``base`` holds the spans of the regular expressions for BASE_KINDS, ``spans`` also secrets and the discovered
+    ones. Null and empty texts have none. Repeated rows and rows with a null id each get their spans; other columns
+    are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     share_code(spark)
     scratch = Scratch(spark, "pii")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    scanned = scratch.keep(texts.mapInArrow(_scan, f"doc_id bigint, base array<{SPAN}>, mentions array<{MENTION}>"), "scanned")
-    found = scanned.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
+                        text_or_empty(text_col).alias("text"))
+    scanned = scratch.keep(texts.mapInArrow(_scan, f"row bigint, doc_id bigint, base array<{SPAN}>, mentions array<{MENTION}>"), "scanned")
+    found = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     accepted = believed_strings(found, scratch, turns, support, accept)
     # the least kind wins where a string is accepted as several
     accepted = accepted.groupBy("what").agg(F.min("kind").alias("k"))
-    more = (found.where("not known and doc_id is not null").join(accepted, "what").where("kind = k")
-            .select("doc_id", F.struct("k", "a", "b").alias("s")).distinct()
-            .groupBy("doc_id").agg(F.collect_list("s").alias("more")))
-    return (scanned.drop("mentions").join(more, "doc_id", "left")
+    more = (found.where("not known").join(accepted, "what").where("kind = k").select("row", F.struct("k", "a", "b").alias("s"))
+            .unionByName(found.where(f"known and kind = {SECRET}").select("row", F.struct(F.col("kind").alias("k"), "a", "b").alias("s")))
+            .groupBy("row").agg(F.collect_list("s").alias("more")))
+    return (scanned.drop("mentions").join(more, "row", "left")
             .select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans")))
 
 
