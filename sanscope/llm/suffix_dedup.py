@@ -500,4 +500,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     done = step.where(F.col("kind") == FINAL).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     rest = held.join(later, "doc_id", "left").select("doc_id", "body", "lo", "n", "more").mapInArrow(
         _finish(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return done.unionByName(rest)
+    # repeated rows are one document; rows without an id are one each (none of them is held)
+    named = done.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(done.where("doc_id is null")).unionByName(rest)

@@ -51,6 +51,8 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     want = brute_suffix([(1, t), (2, t)])
     assert {r.doc_id: tuple(r)[1:] for r in got if r.doc_id is not None} == want
     assert [r.n_removed for r in got if r.doc_id is None] == [0]
+    short = S.suffix_dedup(docs(spark, [(1, "abc"), (1, "abc"), (None, "abc"), (None, "abc"), (2, None)])).collect()
+    assert sorted(str(r.doc_id) for r in short) == ["1", "2", "None", "None"]
     assert S.suffix_dedup(docs(spark, [])).count() == 0
 
 
