@@ -37,17 +37,18 @@ def document_names(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     body = docs.select(
         F.col(id_col).alias("doc_id"),
         F.encode(F.regexp_replace(text_or_empty(text_col), SPACE_CLASS, " "), "UTF-8").alias("bin"))
-    sized = body.select("doc_id", "bin", F.length("bin").cast("long").alias("n_bytes"))
+    # hashed here, below the explode: once per text, not once per block
+    sized = body.select("doc_id", "bin", F.length("bin").cast("long").alias("n_bytes"), F.xxhash64("bin").alias("th"))
     last = F.greatest(F.ceil(F.col("n_bytes") / block_bytes) - 1, F.lit(0)).cast("long")
-    placed = sized.select("doc_id", "bin", "n_bytes", last.alias("last"),
+    placed = sized.select("doc_id", "bin", "th", "n_bytes", last.alias("last"),
                           F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pos"))
     block = F.expr(f"substring(bin, cast(pos * {block_bytes} + 1 as int), {block_bytes})")
-    blocks = placed.select("doc_id", "bin", "n_bytes", "last", "pos", block.alias("block"))
+    blocks = placed.select("doc_id", "bin", "th", "n_bytes", "last", "pos", block.alias("block"))
     h = F.xxhash64("block") if hash_bits >= 64 else F.pmod(F.xxhash64("block"), F.lit(2**hash_bits))
 
     named = scratch.keep(_numbered(blocks.select(h.alias("h"), "block").distinct(), ["h", "block"])
                          .select("h", "name"), "block-names")
-    occ = blocks.select("doc_id", F.xxhash64("bin").alias("th"), "n_bytes", "last", "pos", h.alias("h"),
+    occ = blocks.select("doc_id", "th", "n_bytes", "last", "pos", h.alias("h"),
                         F.when(F.col("pos") == 0, F.sha2("bin", 256)).alias("sha"), "block")
     clash = scratch.keep(named.groupBy("h").count().where("count > 1").select("h"), "clashes")
     cols = ["doc_id", "th", "n_bytes", "last", "pos", "sha", "name"]

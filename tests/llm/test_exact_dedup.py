@@ -33,3 +33,12 @@ def test_native_plan(spark, sf):
 
     plan = QUERIES["op3_exact_dedup"](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_text_is_hashed_once_not_once_per_block(spark):
+    import time
+
+    long = spark.range(2).selectExpr("id as doc_id", "repeat('0123456789abcde ', 1000000) as text")  # 16 MB each
+    began = time.time()
+    got = sorted(tuple(r)[:4] for r in exact_dedup(long).select("doc_id", "keep_id", "group_size", "kept").collect())
+    assert got == [(0, 0, 2, True), (1, 0, 2, False)] and time.time() - began < 60
