@@ -26,10 +26,10 @@ from tokenizers import models
 
 from sanscope.session import share_code
 
-from .common import slices
+from .common import giving_back, slices
 
 #: Pieces remembered per generation, of two; saves time only.
-CACHED_PIECES = 150_000
+CACHED_PIECES = 60_000
 #: Characters that are encoded together (one longer text makes a batch of its own).
 BATCH_CHARS = 500_000
 #: Tokens that are decoded together.
@@ -71,21 +71,15 @@ class Pieces(dict):
         return len(self.ends) - 1
 
 
-class Codec:
-    """Encoder and decoder of one rank file; built once per Python worker."""
+def read_ranks(ranks_path: str) -> dict[bytes, int]:
+    with open(ranks_path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
-    def __init__(self, ranks_path: str, pattern: str):
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        chars = byte_table()
-        spell = {t: "".join(map(chars.__getitem__, t)) for t in ranks}
-        merges = [(spell[t[:k]], spell[t[k:]]) for t, _ in sorted(ranks.items(), key=lambda x: x[1])
-                  for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.model = models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges)
-        self.table = str.maketrans({chr(b): c for b, c in enumerate(chars)})
-        self.pattern = regex.compile(pattern)
-        self.fast = _LATIN_PATTERN[1] if pattern == _LATIN_PATTERN[0] else None
-        self.pieces = Pieces(self.encode_piece)
+
+class Decoder:
+    """The bytes of each id of one rank file."""
+
+    def __init__(self, ranks: dict[bytes, int]):
         top = max(ranks.values()) + 1
         self.n_bytes = np.zeros(top, np.int64)
         table = [b""] * top
@@ -97,6 +91,36 @@ class Codec:
         self.start = np.concatenate([[0], np.cumsum(self.n_bytes)[:-1]])
         self.flat = np.frombuffer(b"".join(table), np.uint8)
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of a list of ids; an id outside the vocabulary is an error."""
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return b""
+        if len(ids) > DECODE_TOKENS:
+            return b"".join(self.decode(ids[k : k + DECODE_TOKENS]) for k in range(0, len(ids), DECODE_TOKENS))
+        if ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all():
+            raise ValueError("token id outside the vocabulary")
+        n = self.n_bytes[ids]
+        shift = self.start[ids] - np.concatenate([[0], np.cumsum(n)[:-1]])
+        return self.flat[np.repeat(shift, n) + np.arange(int(n.sum()))].tobytes()
+
+
+class Codec(Decoder):
+    """Encoder and decoder of one rank file; built once per task and gone with it."""
+
+    def __init__(self, ranks_path: str, pattern: str):
+        ranks = read_ranks(ranks_path)
+        super().__init__(ranks)
+        chars = byte_table()
+        spell = {t: "".join(map(chars.__getitem__, t)) for t in ranks}
+        merges = [(spell[t[:k]], spell[t[k:]]) for t, _ in sorted(ranks.items(), key=lambda x: x[1])
+                  for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        self.model = models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges)
+        self.table = str.maketrans({chr(b): c for b, c in enumerate(chars)})
+        self.pattern = regex.compile(pattern)
+        self.fast = _LATIN_PATTERN[1] if pattern == _LATIN_PATTERN[0] else None
+        self.pieces = Pieces(self.encode_piece)
+
     def encode_piece(self, piece: str) -> list[int]:
         spelled = piece.encode().decode("latin-1").translate(self.table)  # one character per byte
         return [t.id for t in self.model.tokenize(spelled)]
@@ -135,19 +159,6 @@ class Codec:
         ends = np.cumsum(self.n_bytes[ids])
         return char_of[ends - self.n_bytes[ids]], char_of[ends - 1] + 1
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of a list of ids; an id outside the vocabulary is an error."""
-        ids = np.asarray(ids, np.int64)
-        if not len(ids):
-            return b""
-        if len(ids) > DECODE_TOKENS:
-            return b"".join(self.decode(ids[k : k + DECODE_TOKENS]) for k in range(0, len(ids), DECODE_TOKENS))
-        if ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all():
-            raise ValueError("token id outside the vocabulary")
-        n = self.n_bytes[ids]
-        shift = self.start[ids] - np.concatenate([[0], np.cumsum(n)[:-1]])
-        return self.flat[np.repeat(shift, n) + np.arange(int(n.sum()))].tobytes()
-
 
 @lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str) -> Codec:
@@ -184,7 +195,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text_col: str
         return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32, copy=False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c = Codec(ranks_path, pattern)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
@@ -199,10 +210,9 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text_col: str
                     cols += [lists(np.concatenate([p[k] for p in places]), n) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *extra])
                 at = end
-        c.pieces.old = None  # workers are used again by other stages: keep one generation only
 
     share_code(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 def decode_documents(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
@@ -213,7 +223,7 @@ def decode_documents(df: DataFrame, ranks_path: str, pattern: str, ids_col: str
     names, schema = _with(df, decoded=T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
+        c = Decoder(read_ranks(ranks_path))
         for batch in slices(batches):
             ids = batch.column(batch.schema.get_field_index(ids_col))
             out = [c.decode(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64)) for x in ids]
@@ -222,4 +232,4 @@ def decode_documents(df: DataFrame, ranks_path: str, pattern: str, ids_col: str
                 names=[*names, "decoded"])
 
     share_code(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)

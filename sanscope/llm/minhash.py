@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, slices, text_or_empty
+from .common import Scratch, connected_components, giving_back, slices, text_or_empty
 from .hashing import U, constants, mix, shingle_sets, text_bytes
 
 WORDS, PERCENT = 5, 85
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    sig = scratch.keep(texts.mapInArrow(_signatures, SIGNATURE), "signatures")
+    sig = scratch.keep(texts.mapInArrow(giving_back(_signatures), SIGNATURE), "signatures")
 
     # texts with the same set are one class, represented by their least id
     live = sig.where("cls is not null and doc_id is not null")
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x, y = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), bodies.select(
             F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         return scratch.keep(pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb")
-                            .mapInArrow(_confirm(percent), "a bigint, b bigint"), label)
+                            .mapInArrow(giving_back(_confirm(percent)), "a bigint, b bigint"), label)
 
     state, groups, still_open, few = members.withColumn("comp", F.col("rep")), None, None, 0
     for turn in range(1000):

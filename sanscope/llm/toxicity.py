@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sanscope.session import share_code
 
-from .common import Scratch, slices, text_or_empty
+from .common import Scratch, giving_back, slices, text_or_empty
 
 SAMPLE, FEATURES, LEAST_DOCS = 20_000, 4_000, 4
 #: Standard deviations by which a feature's rates among toxic and clean texts must differ.
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col:
     n = {True: sum(r[1] for r in seen if r[0] > 0), False: sum(r[1] for r in seen if r[0] == 0)}
     if not (n[True] and n[False]):
         return None
-    df = (rows.mapInArrow(_document_frequencies, "feature string, toxic bigint, clean bigint").groupBy("feature")
+    df = (rows.mapInArrow(giving_back(_document_frequencies), "feature string, toxic bigint, clean bigint").groupBy("feature")
           .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
           .where(F.col("toxic") + F.col("clean") >= LEAST_DOCS))
     a, b = (F.col("toxic") + 0.5) / (n[True] + 1), (F.col("clean") + 0.5) / (n[False] + 1)
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col:
     if not best:
         return None
     index = {f: k for k, f in enumerate(best)}
-    got = rows.mapInArrow(_feature_rates(index), "grade int, cols array<int>, vals array<double>").collect()
+    got = rows.mapInArrow(giving_back(_feature_rates(index)), "grade int, cols array<int>, vals array<double>").collect()
     grades = np.array([r[0] for r in got])
     i = np.repeat(np.arange(len(got)), [len(r[1]) for r in got])
     j = np.array([c for r in got for c in r[1]], np.int64)
@@ -229,7 +229,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([score(t) <= most for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def severity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +245,7 @@ def severity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     if model is None:
         return ids.select("doc_id", F.lit(0.0).alias("expected_severity"), F.lit(0).alias("grade"), F.lit(False).alias("toxic"))
     shared = spark.sparkContext.broadcast(model.table())  # at most FEATURES entries
-    scored = ids.mapInArrow(_score(shared), "doc_id bigint, score double")
+    scored = ids.mapInArrow(giving_back(_score(shared)), "doc_id bigint, score double")
     below = [1 / (1 + F.exp(F.col("score") - float(t))) for t in model.thresholds]
     edges = [F.lit(0.0), *below, F.lit(1.0)]
     probs = [edges[j + 1] - edges[j] for j in range(len(edges) - 1)]
