@@ -29,7 +29,8 @@ from sanscope.session import share_code
 from .common import Scratch, giving_back, slices, text_or_empty
 
 SAMPLE, FEATURES, LEAST_DOCS = 20_000, 4_000, 4
-#: Standard deviations by which a feature's rates among toxic and clean texts must differ.
+#: Standard deviations by which a feature's rates among toxic and clean texts must differ. Where so few texts
+#: are labelled that no feature differs as much, those count that differ as much as the best one.
 APART = 4.5
 #: Scale of a feature's value, and words added to each text, so that short texts don't get extreme ones.
 SCALE, SMOOTH = 2.0, 15
@@ -140,7 +141,7 @@ def _feature_rates(index: dict[str, int]):
 
 def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
           sample: int = SAMPLE, features: int = FEATURES) -> Model | None:
-    """A model from labelled rows; None without both clean and toxic ones.
+    """A model from labelled rows; None without both clean and toxic ones, or if no feature tells them apart.
 
     Grades are whole numbers, 0 for clean. Where the labels have the grades 0 and 1 only, toxic texts
     are split at the median rate of toxic evidence into moderate (1) and severe (2). Rows with a null
@@ -167,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col:
     # separation: difference of rates in units of its standard deviation if both were one
     c = (F.col("toxic") + F.col("clean")) / (n[True] + n[False])
     apart = F.abs(a - b) / F.sqrt(c * (1 - c) * (1 / n[True] + 1 / n[False]) + 1e-9)
-    best = [r[0] for r in df.where(apart >= APART).orderBy(apart.desc(), "feature").limit(features).collect()]
+    ranked = df.select("feature", apart.alias("apart")).where("apart > 0").orderBy(F.desc("apart"), "feature").limit(features).collect()
+    best = [r[0] for r in ranked if r[1] >= min(APART, ranked[0][1])]
     if not best:
         return None
     index = {f: k for k, f in enumerate(best)}

@@ -141,3 +141,14 @@ def test_statistics_are_finite(spark, text):
 
     row = spark.createDataFrame([(text,)], "text string").select(*[c.alias(f) for f, c in Q.statistics(F.col("text")).items()]).first()
     assert all(np.isfinite(v) for v in row)
+
+
+def test_few_labels_still_give_a_model(spark):
+    clean = [(k, f"quiet words of number w{'abcdefghij'[k]}") for k in range(10)]
+    toxic = [(10 + k, f"quiet words of number w{'abcdefghij'[k]} villain") for k in range(10)]
+    df = spark.createDataFrame(clean + toxic, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 10)) for k in range(20)], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in X.severity(df, X.train(df, labels)).collect()}
+    assert got == {k: k >= 10 for k in range(20)}
+    same = df.withColumn("text", X.F.lit("one text"))  # nothing tells them apart
+    assert X.train(same, labels) is None
