@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sanscope.session import share_code
 
-from .common import Scratch, slices, text_or_empty
+from .common import Scratch, giving_back, slices, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Kinds of the base; the others are found by the method only.
@@ -229,16 +229,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tu
     scratch = Scratch(spark, "pii")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
                         text_or_empty(text_col).alias("text"))
-    scanned = scratch.keep(texts.mapInArrow(_scan, f"row bigint, doc_id bigint, base array<{SPAN}>, mentions array<{MENTION}>"), "scanned")
+    scanned = scratch.keep(texts.mapInArrow(giving_back(_scan), f"row bigint, doc_id bigint, base array<{SPAN}>, mentions array<{MENTION}>"), "scanned")
     found = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     accepted = believed_strings(found, scratch, turns, support, accept)
     # the least kind wins where a string is accepted as several
     accepted = accepted.groupBy("what").agg(F.min("kind").alias("k"))
     more = (found.where("not known").join(accepted, "what").where("kind = k").select("row", F.struct("k", "a", "b").alias("s"))
-            .unionByName(found.where(f"known and kind = {SECRET}").select("row", F.struct(F.col("kind").alias("k"), "a", "b").alias("s")))
             .groupBy("row").agg(F.collect_list("s").alias("more")))
-    return (scanned.drop("mentions").join(more, "row", "left")
-            .select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans")))
+    seeds = F.expr(f"transform(filter(mentions, m -> m.known and m.kind = {SECRET}), m -> struct(m.kind as k, m.a as a, m.b as b))")
+    return (scanned.withColumn("seeds", seeds).drop("mentions").join(more, "row", "left")
+            .select("doc_id", "base", F.array_sort(F.concat("base", "seeds", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans")))
 
 
 def span_text(col: str):
