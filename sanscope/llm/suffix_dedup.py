@@ -9,8 +9,9 @@ windows have their anchor at the same place, so only windows with equal anchors
    Spans that are repeated within the task are removed there but for the first.
 2. Anchors meet by anchor hash (a hash of the span travels along, not the text): later copies of a
    whole span are removed; spans whose anchor also occurs with other contexts are contested.
-   An anchor that has many contexts in one task is crowded: its spans go on as single windows,
-   spread by their content, and only a token per task marks the anchor itself.
+   An anchor that has many contexts in one run is crowded: its spans go on as single windows,
+   spread by their content, and only a token per run marks the anchor itself. Anchors are judged
+   as a sorted stream that holds three rows of the current one.
 3. The texts with contested spans are read once more. Every task sorts its contested suffixes and
    emits front-coded runs (common prefix length and rest). A bucket merges its runs with a loser tree
    that carries common prefix lengths, so no known prefix is compared again, and gets the suffixes
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, giving_back, text_or_empty
 from .hashing import _BYTE, Powers, U, mix, text_bytes
 
 LENGTH, ANCHOR = 100, 32
@@ -162,9 +163,10 @@ def _find_anchors(length: int, k: int, crowd: int):
                 p = packed(0, lo[keep], left[keep], width[keep]) | (many.astype(np.int64) << 61)
                 tokens = np.unique(hk[many]).view(np.int64)
                 zero = np.zeros(len(tokens), np.int64)
+                first = np.full(len(tokens), np.iinfo(np.int64).min)  # a token is read before its anchor's spans
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([g, tokens, mix(rd.view(U)).view(np.int64)])),
-                    pa.array(np.concatenate([sh[keep].view(np.int64), zero, rn])),
+                    pa.array(np.concatenate([sh[keep].view(np.int64), first, rn])),
                     pa.array(np.concatenate([doc[keep], zero, rd])),
                     pa.array(np.concatenate([p, zero + (TOKEN << 61), packed(REMOVED, rlo, rlo * 0, rlo * 0)])),
                 ], names=["g", "sh", "doc_id", "p"])
@@ -172,9 +174,9 @@ def _find_anchors(length: int, k: int, crowd: int):
     return run
 
 
-def _judge(g: np.ndarray, sh: np.ndarray, doc: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-    """Step 2 for whole groups, sorted by g, sh, doc_id, p: marks (doc_id, p, b); b is the number of
-    windows of a removed range and the group of a contested one."""
+def _judge(g: np.ndarray, sh: np.ndarray, doc: np.ndarray, p: np.ndarray, made: np.ndarray) -> pa.RecordBatch:
+    """Step 2 for rows sorted by g, sh, doc_id, p: marks (doc_id, p, b); b is the number of
+    windows of a removed range and the group of a contested one. ``made``: rows marked before."""
     kind, lo, _, width = unpacked(p)
     out = kind == REMOVED
     live = np.flatnonzero((kind == SPAN) | (kind == SPREAD))
@@ -187,7 +189,7 @@ def _judge(g: np.ndarray, sh: np.ndarray, doc: np.ndarray, p: np.ndarray) -> pa.
     first = live[~same]
     several = np.bincount(group[first], minlength=len(crowded)) > 1
     spread = (kind[first] == SPREAD) | crowded[group[first]]
-    fight = spread | several[group[first]]
+    fight = (spread | several[group[first]]) & ~made[first]
     first, spread = first[fight], spread[fight]
     base = p & ((1 << 61) - 1)
     return pa.RecordBatch.from_arrays([
@@ -197,18 +199,32 @@ def _judge(g: np.ndarray, sh: np.ndarray, doc: np.ndarray, p: np.ndarray) -> pa.
     ], names=["doc_id", "p", "b"])
 
 
+def _open_end(g: np.ndarray, sh: np.ndarray, p: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the rows to come need of the last anchor: (places, marked before) of its token, its first span and
+    the first row of its last span. Three rows stand for it, however often the anchor occurs."""
+    last = np.arange(np.searchsorted(g, g[-1]), len(g))
+    kind = p[last] >> 61
+    token, live = last[kind == TOKEN][:1], last[(kind == SPAN) | (kind == SPREAD)]
+    if not len(live):
+        return token, made[token]
+    ends = np.unique([live[0], live[np.searchsorted(sh[live], sh[live[-1]])]])
+    contested = len(token) > 0 or len(ends) > 1 or (p[ends[0]] >> 61) == SPREAD
+    return np.concatenate([token, ends]), np.concatenate([made[token], made[ends] | contested])
+
+
 def _judge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rest = None
+    rest, marked = None, np.zeros(0, bool)
     for batch in batches:
+        if not batch.num_rows:
+            continue
         cols = [c.to_numpy() for c in batch.columns]
+        made = np.zeros(len(cols[0]), bool)
         if rest is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-        if cut:
-            yield _judge(*(c[:cut] for c in cols))
-        rest = [c[cut:] for c in cols]
-    if rest is not None and len(rest[0]):
-        yield _judge(*rest)
+            cols, made = [np.concatenate([a, b]) for a, b in zip(rest, cols)], np.concatenate([marked, made])
+        # a carried row has been counted: a removed range isn't carried, a span is marked once
+        yield _judge(*cols, made)
+        at, marked = _open_end(cols[0], cols[1], cols[3], made)
+        rest = [c[at] for c in cols]
 
 
 def removed_runs(lo: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -481,16 +497,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     found = texts.where("doc_id is not null").mapInArrow(
-        _find_anchors(length, anchor, crowd), "g bigint, sh bigint, doc_id bigint, p bigint")
+        giving_back(_find_anchors(length, anchor, crowd)), "g bigint, sh bigint, doc_id bigint, p bigint")
     marks = scratch.keep(
         found.repartition("g").sortWithinPartitions("g", "sh", "doc_id", "p")
-        .mapInArrow(_judge_sorted, "doc_id bigint, p bigint, b bigint"), "marks")
+        .mapInArrow(giving_back(_judge_sorted), "doc_id bigint, p bigint, b bigint"), "marks")
     kind = F.shiftright("p", 61)
     fights = marks.agg(F.sum(F.when(kind == SPAN, F.lit(1)).when(kind == SPREAD, F.expr("(p & 127) + 1")).otherwise(0))).first()[0]
     buckets = max(1, -(-(fights or 0) // bucket_rows))
     per_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("p", "b")).alias("marks"))
     once = texts.join(per_doc, "doc_id", "left").select("doc_id", "text", "marks")
-    step = scratch.keep(once.mapInArrow(_sort_runs(length, buckets), SORTED), "sorted")
+    step = scratch.keep(once.mapInArrow(giving_back(_sort_runs(length, buckets)), SORTED), "sorted")
     merged = (step.where(F.col("kind") == RUN).select("bucket", *RUN_COLUMNS).groupBy("bucket")
               .applyInArrow(_merge_bucket(length), "doc_id bigint, lo bigint, n bigint"))
     local = step.where(F.col("kind") == RANGE).select(
@@ -499,7 +515,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = step.where(F.col("kind") == HELD).select("doc_id", "body", "lo", "n").dropDuplicates(["doc_id"])
     done = step.where(F.col("kind") == FINAL).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     rest = held.join(later, "doc_id", "left").select("doc_id", "body", "lo", "n", "more").mapInArrow(
-        _finish(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+        giving_back(_finish(length)), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     # repeated rows are one document; rows without an id are one each (none of them is held)
     named = done.where("doc_id is not null").dropDuplicates(["doc_id"])
     return named.unionByName(done.where("doc_id is null")).unionByName(rest)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from sanscope.llm import suffix_dedup as S
@@ -40,11 +41,40 @@ def test_long_text_in_pieces(spark, monkeypatch):
 
 
 def _batch(texts):
-    import pyarrow as pa
-
     return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t or "" for t in texts])], names=["doc_id", "text"])
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_an_anchor_is_judged_as_a_stream(size):
+    """However the sorted rows are cut into batches, and with an anchor of far more rows than a batch."""
+    r = random.Random(size)
+    token = (-(2**63), 0, S.TOKEN << 61)
+    rows = set()
+    for g in range(60):
+        spans = r.choice([1, 1, 2, 5])
+        for _ in range(400 if g == 30 else r.choice([1, 2, 9])):
+            kind = S.SPREAD if g % 7 == 6 else S.SPAN
+            rows.add((g, r.randrange(spans), r.randrange(9), (kind << 61) | (r.randrange(4) << 14) | 5))
+        if g % 5 == 4:
+            rows.add((g, *token))
+        if g % 3 == 0:
+            rows.add((g, r.randrange(1, 9), r.randrange(9), (S.REMOVED << 61) | (r.randrange(4) << 14)))
+    rows = sorted(rows) + [(61, 1, 1, 5), (61, 1, 1, 5)]  # a repeated row is no copy
+    want = []
+    for g in range(62):
+        live = [x[1:] for x in rows if x[0] == g and x[3] >> 61 in (S.SPAN, S.SPREAD)]
+        crowd = any(x[3] >> 61 == S.TOKEN for x in rows if x[0] == g) or g % 7 == 6
+        lead = {sh: min((d, p) for s, d, p in live if s == sh) for sh in {x[0] for x in live}}
+        want += [(d, p & ((1 << 61) - 1) | (S.REMOVED << 61), 6) for sh, d, p in live if (d, p) != lead[sh]]
+        if crowd or len(lead) > 1:
+            want += [(d, p & ((1 << 61) - 1) | (int(crowd) << 61), g) for d, p in lead.values()]
+        want += [(d, p, sh) for x, sh, d, p in rows if x == g and p >> 61 == S.REMOVED]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size])], names=["g", "sh", "doc_id", "p"])
+               for k in range(0, len(rows), size)]
+    got = [tuple(x.values()) for b in S._judge_sorted(iter(batches)) for x in b.to_pylist()]
+    assert sorted(got) == sorted(want)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     t = "the same long text " * 20
     got = S.suffix_dedup(docs(spark, [(1, t), (1, t), (2, t), (None, t)])).collect()
