@@ -49,6 +49,27 @@ def test_large_group_of_near_copies(spark):
     assert [x.component_id for x in got if x.doc_id is None] == [None]
 
 
+def test_recall_at_the_limit(spark):
+    """Pairs of similarity 0.8507, from one changed word in 66 to ten in 624, and pairs just below the limit."""
+    r = random.Random(5)
+    rows, linked = [], []
+    for n in range(200):
+        k = (1, 2, 5, 10)[n % 4]
+        a = [f"w{r.randrange(10**9)}" for _ in range(62 * k + 4)]
+        b, over = list(a), n >= 160  # 62 * k shingles; every changed word, five or more apart from others and the ends, changes five
+        places = r.sample(range(62 * k // 6), k + over)
+        for at in places:
+            b[5 + 6 * at if 5 + 6 * at < len(b) - 5 else len(b) // 2] = f"x{r.randrange(10**9)}"
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+        x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+        linked.append(100 * len(x & y) >= 85 * len(x | y))
+        assert over or 85 * len(x | y) <= 100 * len(x & y) < 87 * len(x | y)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    together = [got[2 * n + 1] == 2 * n for n in range(200)]
+    assert not any(t for t, y in zip(together, linked) if not y) and linked.count(False) >= 30
+    assert sum(together) >= 0.9 * sum(linked)
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 

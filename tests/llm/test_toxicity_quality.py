@@ -1,4 +1,7 @@
+import collections
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,39 @@ def test_scores_come_in_slices():
     assert [x for b in got for x in b.column(1).to_pylist()] == [2.0 * X.unit(2) if k % 3 else 0.0 for k in range(1200)]
 
 
+def _plain_features(text):
+    """(feature -> distinct words that have it, number of distinct words)"""
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    out = collections.Counter()
+    for w in words:
+        out.update([w] + ["^" + w[:n] for n in range(3, 7) if n <= len(w)] + [w[-n:] + "$" for n in (3, 4) if n < len(w)])
+    return out, len(words)
+
+
+def test_features_and_scores_match_plain_python(spark):
+    """The features chosen, and severities of every text from the model's weights and thresholds."""
+    rows, lab = labelled(spark)
+    model = X.train(docs(spark, rows), lab)
+    has = [(set(_plain_features(t)[0]), i % 6 == 0) for i, t in rows]
+    n = {y: sum(z == y for _, z in has) for y in (True, False)}
+    apart = {}
+    for f in set().union(*(fs for fs, _ in has)):
+        a, b = (sum(f in fs for fs, z in has if z == y) for y in (True, False))
+        if a + b >= X.LEAST_DOCS:
+            c = (a + b) / len(rows)
+            apart[f] = abs((a + 0.5) / (n[True] + 1) - (b + 0.5) / (n[False] + 1)) / math.sqrt(
+                c * (1 - c) * (1 / n[True] + 1 / n[False]) + 1e-9)
+    assert set(model.features) == {f for f, z in apart.items() if z >= X.APART}
+    weight, texts = dict(zip(model.features, model.weights)), rows + [(900, None), (901, ""), (902, "zagrud " * 4000), (903, "Zagrúd 12 _ mor")]
+    for x in X.severity(docs(spark, texts), model).collect():
+        counts, words = _plain_features(dict(texts)[x.doc_id])
+        score = sum(weight.get(f, 0.0) * k for f, k in counts.items()) * X.SCALE / (words + X.SMOOTH) ** 0.25
+        below = [1 / (1 + math.exp(score - t)) for t in model.thresholds]
+        probs = [q - p for p, q in zip([0.0, *below], [*below, 1.0])]
+        assert abs(x.expected_severity - sum(k * p for k, p in enumerate(probs))) < 2e-6
+        assert probs[x.grade] >= max(probs) - 1e-9 and x.toxic == (below[0] < 0.5)
+
+
 def test_a_shared_id_counts_once(spark):
     rows, lab = labelled(spark, 120)
     once, often = docs(spark, rows), docs(spark, rows + [rows[0], (0, "")] * 300)
