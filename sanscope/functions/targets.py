@@ -73,7 +73,7 @@ def target_url(col) -> Column:
 
 def resolve_link(base, href) -> Column:
     """``urljoin(base, href)`` for the common reference forms: absolute, scheme-relative,
-    root-relative, query-only, fragment-only, empty and relative paths with ``.``/``..``."""
+    query-only, fragment-only, empty, root-relative and relative paths with ``.``/``..``."""
     b, h = _c(base) if not isinstance(base, str) else F.lit(base), _c(href)
     scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
@@ -83,20 +83,19 @@ def resolve_link(base, href) -> Column:
     base_dir = F.regexp_replace(F.when(base_path == "", F.lit("/")).otherwise(base_path), r"[^/]*$", "")
     rel_path = F.regexp_extract(h, r"^([^?#]*)", 1)
     rel_rest = F.substring(h, F.length(rel_path) + 1, 1 << 30)
-    merged = F.concat(base_dir, rel_path)
+    merged = F.when(h.startswith("/"), rel_path).otherwise(F.concat(base_dir, rel_path))
     segs = F.split(F.substring(merged, 2, 1 << 30), "/", -1)
     folded = F.aggregate(
         segs, F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
     tail_dir = F.element_at(segs, -1).isin(".", "..")
-    path = F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(tail_dir, F.lit("/")).otherwise(F.lit("")))
+    path = F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(tail_dir & (F.size(folded) > 0), F.lit("/")).otherwise(F.lit("")))
     return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
         .when(h == "", b)
         .when(h.startswith("#"), F.concat(base_nofrag, h))
         .when(h.startswith("?"), F.concat(base_noquery, h))
-        .when(h.startswith("/"), F.concat(origin, h))
         .otherwise(F.concat(origin, path, rel_rest))
     )

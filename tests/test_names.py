@@ -71,3 +71,17 @@ def test_resolve_link(spark):
              "": base}
     got = _one(spark, lambda c: T.resolve_link(base, c), list(cases))
     assert got == list(cases.values())
+
+
+def test_links_resolve_as_urljoin_does(spark):
+    from urllib.parse import urljoin
+
+    from sanscope.functions.targets import resolve_link
+
+    bases = ["http://x.net/b/c?q=1#f", "https://x.net", "http://x.net/", "http://x.net/a/b/"]
+    hrefs = ["", "d", "../d", "../../../d", "./", "..", "d/../e/./f?x=../y#../z", "?p=1", "#f", "//y.net/a", "http://y.net/a/../b",
+             "/", "/d", "/d/", "/d/../e", "/../e", "/d/./e/..", "/d/..", "/d?u=/../v", "/d#/../v", "mailto:a@b.c"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = spark.createDataFrame(rows, "b string, h string").select("b", "h", resolve_link(F.col("b"), F.col("h")).alias("u")).collect()
+    wrong = [(r.b, r.h, r.u, urljoin(r.b, r.h)) for r in got if r.u != urljoin(r.b, r.h)]
+    assert not wrong
