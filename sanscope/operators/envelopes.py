@@ -34,9 +34,14 @@ def head(ts: str, action: str, ok: Column, status: Column, error: Column) -> lis
 OPTIONAL = {"optional": True}
 
 
+def _stored(targets: DataFrame, answers: DataFrame, *cols: str) -> DataFrame:
+    """Targets with the answer stored for each. The optimizer takes an answer's text for as small as the columns
+    it is made of and would send all answers through the driver; a merge join sends none."""
+    return targets.select("target_seq", "target").join(answers.select("target_seq", *cols).hint("merge"), "target_seq", "left")
+
+
 def _probe(targets: DataFrame, output: DataFrame) -> DataFrame:
-    out = output.select("target_seq", "returncode", "stdout", "stderr")
-    return targets.select("target_seq", "target").join(out, "target_seq", "left")
+    return _stored(targets, output, "returncode", "stdout", "stderr")
 
 
 def envelope_dig(targets: DataFrame, output: DataFrame, ts: str, record_type: str = "A") -> DataFrame:
@@ -143,9 +148,9 @@ def widen(df: DataFrame, flat_col: str, keys: Sequence[str] | None = None, field
 
 def envelope_ipguide(targets: DataFrame, payloads: DataFrame, ts: str, keys: Sequence[str] | None = None, fields: bool = False) -> DataFrame:
     """A stored answer with an HTTP status outside 2xx is an error row: its body is the error text."""
-    p = payloads.select("target_seq", "http_status", "body").withColumn("_p", J.parsed(
+    # read after the join, by as many tasks as that has: texts are moved, not what they hold
+    j = _stored(targets, payloads, "http_status", "body").withColumn("_p", J.parsed(
         F.when(N.py_strip(F.col("body")).startswith("{"), F.col("body")), K.PREFIX_IPG))
-    j = targets.select("target_seq", "target").join(p, "target_seq", "left")
     blank = N.py_strip(F.col("target")) == ""
     found = F.col("body").isNotNull()
     good = F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
@@ -159,8 +164,7 @@ def envelope_ipguide(targets: DataFrame, payloads: DataFrame, ts: str, keys: Seq
 
 
 def envelope_open_rank(targets: DataFrame, payloads: DataFrame, ts: str, keys: Sequence[str] | None = None, fields: bool = False) -> DataFrame:
-    p = payloads.select("target_seq", "http_status", "body").withColumn("_p", J.parsed("body", K.PREFIX_OPR, response=True))
-    j = targets.select("target_seq", "target").join(p, "target_seq", "left")
+    j = _stored(targets, payloads, "http_status", "body").withColumn("_p", J.parsed("body", K.PREFIX_OPR, response=True))
     blank = N.py_strip(F.col("target")) == ""
     http_ok = F.coalesce(F.col("http_status") == 200, F.lit(False))
     parsed = F.coalesce(F.col("_p.valid"), F.lit(False))
@@ -233,7 +237,7 @@ def envelope_crtsh(targets: DataFrame, entries: DataFrame, ts: str, answers: Dat
     else:
         a = first_answers(answers.withColumn("target", F.lower(N.py_strip("target"))))
         t = t.join(a.select(F.col("target").alias("_target_key"), F.col("http_status").alias("_status"), F.col("body").alias("_body"),
-                            body_kind(F.col("body")).alias("_kind")), "_target_key", "left")
+                            body_kind(F.col("body")).alias("_kind")).hint("merge"), "_target_key", "left")
     blank = F.col("_target_key") == ""
     http_ok = F.coalesce(F.col("_status").between(200, 299), F.lit(False))
     ok = ~blank & http_ok & F.col("_kind").isNotNull()

@@ -140,3 +140,36 @@ def test_answers_as_they_come(spark):
     got = [(r.target_seq, r.elem_pos, [(x.key, x.value) for x in r._flat]) for r in R.explode_response(df).collect()]
     assert got == [(0, 0, [("a", "2"), ("b", "100.0"), ("c", "True"), ("d", None), ("e", "{'x': [1, 'y']}")]), (0, 1, []), (0, 2, [])]
     assert [r[0] for r in df.orderBy("target_seq").select(J.kind("body")).collect()] == ["object", None, None, "array", "object", "object"]
+
+
+def _broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_stored_answers_are_not_broadcast(spark):
+    """Made of a few small columns, their texts look small to the optimizer, however long they are."""
+    targets = spark.range(300).selectExpr("id target_seq", "concat('www', id, '.acme.com') target")
+    answers = targets.selectExpr("target_seq", "target", "200 http_status", """concat('{"ip":"', repeat('x', 5000), target, '"}') body""",
+                                 "0 returncode", "repeat('x', 5000) stdout", "'' stderr")
+    for rows in (E.envelope_ipguide(targets, answers, "now", fields=True), E.envelope_open_rank(targets, answers, "now", fields=True),
+                 E.envelope_dig(targets, answers, "now"), E.envelope_dnslookup(targets, answers, "now"), E.envelope_ping(targets, answers, "now"),
+                 E.envelope_traceroute(targets, answers, "now"), E.envelope_curl(targets, answers, "now")):
+        assert _broadcasts(rows) == 0 and rows.count() == 300
+    some = answers.where("target_seq % 3 = 0").unionByName(answers.where("target_seq = 6"))
+    got = E.envelope_ipguide(targets, some, "now", fields=True)
+    assert got.count() == 301 and got.where("ok").count() == 101 and got.where("ok and size(fields) = 1").count() == 101
+
+
+def test_registry_pages_are_not_broadcast(spark):
+    from sanscope.operators import whois as W
+
+    targets = spark.range(20).selectExpr("id target_seq", "concat('root', id, '.bo') target")
+    pages = spark.range(20).selectExpr("concat('root', id) root", "'.bo' zone", """concat('<table><tr><td>root', id,
+        '.bo</td><td><a href="revisar_contacto.php?id=', id, '">x</a></td></tr><tr><td>b', id, '.bo</td><td>free</td></tr></table>') html""")
+    details = spark.range(0, 20, 2).selectExpr("concat('https://nic.bo/revisar_contacto.php?id=', id) url",
+                                               "concat('<table><tr><td>Titular</td><td>t', id, '</td></tr></table>') html")
+    rows = W.envelope_whois(targets, pages, details, "now", fields=True)
+    assert "BroadcastHashJoin [root" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [detail_url" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = rows.selectExpr("target_seq", "size(fields) n").collect()
+    assert sorted(map(tuple, found)) == sorted([(k, 2) for k in range(20)] + [(k, 3 if k % 2 == 0 else 2) for k in range(20)])
