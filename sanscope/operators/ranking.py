@@ -39,4 +39,5 @@ def enrich_rank(targets: DataFrame, answers: DataFrame) -> DataFrame:
     """Target -> stored answer of its lookup (left join on the target text; a miss keeps the
     target with null answer fields)."""
     t = targets.select("target_seq", N.py_strip("target").alias("target"))
-    return t.join(first_answers(answers).select("target", "http_status", "body"), "target", "left")
+    # texts are larger than the estimate of the columns they are made of
+    return t.join(first_answers(answers).select("target", "http_status", "body").hint("merge"), "target", "left")

@@ -56,7 +56,7 @@ def whois_scan(targets: DataFrame, pages: DataFrame) -> DataFrame:
     rows, deduplicated per target."""
     t = targets.select("target_seq", "target", N.root_label("target").alias("root"))
     rows = whois_search_rows(pages)
-    return whois_dedup(t.join(rows, "root"))
+    return whois_dedup(t.join(rows.hint("merge"), "root"))  # pages are larger than their columns' estimate
 
 
 def join_whois_detail(rows: DataFrame, details: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def envelope_whois(targets: DataFrame, pages: DataFrame, details: DataFrame, ts:
     scan = whois_scan(kept, pages.where(F.col("error").isNull()))
     found_fields = details.where(F.col("error").isNull()).select(
         F.col("url").alias("detail_url"), F.explode_outer(F.array(H.table_fields("html", K.WHOIS_DEFAULT_CATEGORY))).alias("_f"))
-    rows = scan.join(found_fields.select("detail_url", _paths(F.col("_f")).alias("_dkv")), "detail_url", "left")
+    rows = scan.join(found_fields.select("detail_url", _paths(F.col("_f")).alias("_dkv")).hint("merge"), "detail_url", "left")
 
     def one(key: str, value: Column) -> Column:
         return F.array(F.struct(F.lit(K.PREFIX_WHOIS + key).alias("key"), value.alias("value")))
