@@ -5,7 +5,7 @@ are also folded into a parity bitmap (odd sketch) whose XOR with another bitmap
 samples that differ, so a candidate's similarity is known to about 0.02 before its text is read.
 
 A bucket is never expanded into all pairs. First every member is compared with a few leaders of its
-bucket and the confirmed links are merged; only members of buckets that still hold several
+bucket, of all its buckets' leaders the nearest few are confirmed, and the links are merged; only members of buckets that still hold several
 components are compared further, across components only. The bitmaps are compared within the
 joins, so pairs that can't be links are never emitted. Every pair with a similarity of the threshold or more that shares a bucket (all but
 about 3 in 10 million) and is not yet connected is confirmed on the full shingle sets.
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, connected_components, giving_back, slices, text_or_empty
 from .hashing import U, constants, mix, shingle_sets, text_bytes
@@ -33,6 +34,9 @@ SKETCH_BITS = 1024
 SKETCH = [f"o{k}" for k in range(SKETCH_BITS // 64)]
 #: Leaders that a bucket has at most in one turn.
 LEADERS = 8
+#: Leaders of other components that a member is confirmed against in one turn, the nearest by sketch: the texts
+#: read in a turn grow with the members. What is left open by that, later turns compare.
+NEAREST = 3
 #: Pairs still open per bucket member up to which they are all compared by sketch; with more, other
 #: leaders are tried first. Either way every open pair is compared in the end.
 FEW = 500
@@ -149,15 +153,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     limit = most_differing_bits(percent)
 
     def near(left: DataFrame, right: DataFrame, whole: bool = False) -> DataFrame:
-        """Pairs (a, b) of one bucket but different components whose sketches agree well enough. When
-        ``whole`` buckets are compared, a pair is emitted in the first bucket it shares only."""
+        """Pairs (a, b) of one bucket but different components whose sketches agree well enough: the NEAREST on
+        the right for each on the left. When ``whole`` buckets are compared, all pairs, each emitted in the
+        first bucket it shares only."""
         x, y = left.alias("x"), right.alias("y")
         meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (_apart("x", "y") <= limit)
         meet = meet & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))  # else no link, whatever they share
         if whole:
             meet = meet & (F.col("x.rep") < F.col("y.rep")) & F.expr(
                 "forall(zip_with(slice(x.low, 1, x.band), slice(y.low, 1, x.band), (p, q) -> p <> q), t -> t)")
-        return x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a <> b").distinct()
+            return x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        met = x.join(y, meet).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("leader"), _apart("x", "y").alias("apart")).distinct()
+        place = F.row_number().over(Window.partitionBy("rep").orderBy("apart", "leader"))
+        return met.withColumn("place", place).where(F.col("place") <= NEAREST).select(
+            F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).where("a <> b").distinct()
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         x, y = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), bodies.select(

@@ -49,6 +49,27 @@ def test_large_group_of_near_copies(spark):
     assert [x.component_id for x in got if x.doc_id is None] == [None]
 
 
+def test_few_texts_are_read_for_a_large_group(spark, monkeypatch):
+    """Near copies of one text meet many leaders in their buckets; each is confirmed against a few."""
+    read, keep = [], minhash.Scratch.keep
+
+    def kept(self, df, label, **kw):
+        out = keep(self, df, label, **kw)
+        if label == "pairs":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "keep", kept)
+    r = random.Random(3)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for i in range(250):
+        c = list(base)
+        c[r.randrange(300)] = f"x{i}"
+        texts.append(" ".join(c))
+    got = minhash.near_duplicates(docs(spark, texts)).collect()
+    assert {x.component_id for x in got} == {0} and sum(read) <= minhash.NEAREST * 250
+
+
 def test_recall_at_the_limit(spark):
     """Pairs of similarity 0.8507, from one changed word in 66 to ten in 624, and pairs just below the limit."""
     r = random.Random(5)
