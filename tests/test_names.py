@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sanscope.functions import names as N
 from sanscope.functions import targets as T
+from sanscope.operators import certs as C
 from sanscope.operators import suffix
 
 
@@ -29,6 +30,18 @@ def test_split_names_matches_splitlines(spark):
     assert [list(g) for g in got] == [t.splitlines() for t in texts]
 
 
+def test_a_name_is_split_and_normalised_once(spark):
+    """No filter below the projection computes names again, and the right names remain at their positions."""
+    lines = ["*.A.com.\r\n b.com \x85", "", None, "bad@x\n\nc.com", "\u3000*..d.com.. \x1c"]
+    df = spark.createDataFrame([(i, v, "CN.com" if i % 2 else None) for i, v in enumerate(lines)], "entry_seq int, name_value string, common_name string")
+    named = C.entry_names(df, keep=("entry_seq",))
+    assert sorted(map(tuple, named.collect())) == [
+        (0, 0, "a.com"), (0, 1, "b.com"), (1, 0, "cn.com"), (3, 2, "c.com"), (3, 3, "cn.com"), (4, 0, "d.com")]
+    assert named.columns == ["entry_seq", "name_pos", "domain"]
+    plan = C.distinct_domains(named)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [plan.count(f) for f in ("regexp_extract(", "regexp_replace(", "translate(", "split(")] == [1, 0, 1, 1], plan
+
+
 def test_cert_id(spark):
     df = spark.createDataFrame([(0, 7), (None, 7), (5, 7), (None, None)], "min_cert_id long, id long")
     assert [r[0] for r in df.select(N.cert_id()).collect()] == [7, 7, 5, None]
