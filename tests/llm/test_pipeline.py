@@ -94,5 +94,5 @@ def test_registered(spark):
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert {"op3_exact_dedup"} <= set(e.oracle_sql())
